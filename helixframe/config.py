@@ -50,4 +50,3 @@ class LogOptions:
     save_checkpoint_steps: int = 1000
     train_batch_size: int = 128
     processes: int = 4
-    block_steps: int = 1 << 20

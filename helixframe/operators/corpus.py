@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from helixframe.functions import fixed
 from helixframe.functions.hashing import digest, digits_to_int, unit
+from helixframe.operators.ordering import assign_batches
 
 IGNORED_LABEL = -100
 
@@ -79,14 +81,18 @@ def pad(df: DataFrame, length: Column | int = 512) -> DataFrame:
     )
 
 
-def pad_to_batch(df: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Pad every row to the longest of its batch.
+def pad_in_batches(df: DataFrame, key: str, batch_size: int, drop_last: bool = False) -> DataFrame:
+    """Consecutive batches in ``key`` order, each padded to its longest row.
 
-    The longest is a partial aggregate over batch sizes, joined back; token
-    arrays are moved once, by the join.
+    Batch numbers and widths are worked out on (key, row length) alone; the token
+    arrays move once, in the final join on the key.
     """
-    longest = df.groupBy(batch).agg(F.max(F.size("input_ids")).alias("_width"))
-    return pad(df.join(longest, batch), F.col("_width")).drop("_width")
+    lengths = df.select(key, F.size("input_ids").alias("_length"))
+    numbered = assign_batches(lengths, key, batch_size, drop_last)
+    widths = numbered.select(
+        key, "batch_id", F.max("_length").over(Window.partitionBy("batch_id")).alias("_width")
+    )
+    return pad(df.join(widths, key), F.col("_width")).drop("_width")
 
 
 def mask_tokens(

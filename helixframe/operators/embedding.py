@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.text import percent
 from helixframe.functions.vector import as_double, cosine_similarity, l2_distance
 from helixframe.operators.tables import long_to_wide
+from helixframe.session import settle
 
 
 def standardise(
@@ -21,7 +22,8 @@ def standardise(
     """Centre and scale every dimension, over the table or within ``by``.
 
     Uses the population standard deviation unless ``sample_sd``. A constant
-    dimension becomes 0. The statistics are one vector per group.
+    dimension becomes 0. With ``by`` a job settles the statistics, one pair of
+    vectors per group, before they are joined to the rows.
     """
     by = list(by)
     stats = (
@@ -35,7 +37,7 @@ def standardise(
         F.transform(vector_to_array("_s.std"), lambda s: s * shrink).alias("sd"),
     )
     if by:
-        joined = df.join(stats.select(*by, held.alias("_stats")), by)
+        joined = df.join(settle(stats.select(*by, held.alias("_stats"))), by)
     else:
         joined = df.withColumn("_stats", stats.select(held).scalar())
     centred = F.zip_with(as_double(F.col(vec)), F.col("_stats.mean"), lambda x, m: x - m)

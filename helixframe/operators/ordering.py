@@ -19,11 +19,12 @@ from pyspark.sql.window import Window
 from helixframe.functions.hashing import digest, digits_to_int
 
 BLOCK = "_block"
+_GROUP_MASK = (1 << 20) - 1
 
 
-def int_block(order: str, rows: int = 1 << 20) -> Column:
-    """Block of a whole-number order column without repeats: at most ``rows`` rows each."""
-    return F.floor(F.col(order) / F.lit(rows)).cast("bigint")
+def int_block(order: str, bits: int = 20) -> Column:
+    """Block of a whole-number order column without repeats: at most 2^bits rows each."""
+    return F.shiftright(F.col(order).cast("bigint"), bits)
 
 
 def hash_block(hex_text: Column, digits: int = 3) -> Column:
@@ -31,6 +32,12 @@ def hash_block(hex_text: Column, digits: int = 3) -> Column:
     return digits_to_int(hex_text, 1, digits)
 
 
+def text_block(text: Column, length: int = 3) -> Column:
+    """Block of a text order: the first bytes of the text as a number."""
+    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, length)), 2 * length, "0")
+    return F.conv(head, 16, 10).cast("bigint")
+
+
 def with_carry(
     df: DataFrame,
     keys: Sequence[str],
@@ -57,6 +64,35 @@ def with_carry(
     return df.join(carried, [*keys, BLOCK])
 
 
+def _block_offsets(counts: DataFrame, keys: Sequence[str], total: str | None) -> DataFrame:
+    """Rows of the key in earlier blocks, as (keys, block, _offset).
+
+    Blocks are added up inside groups of 2^20 blocks and those groups among
+    themselves. For blocks of 2^20 ids the second window sees at most 2^24 groups
+    however sparse 64-bit ids are.
+    """
+    grouped = counts.withColumn("_group", F.col(BLOCK).bitwiseAND(~_GROUP_MASK))
+    inside = (
+        Window.partitionBy(*keys, "_group")
+        .orderBy(BLOCK)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    across = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = (
+        grouped.groupBy(*keys, "_group")
+        .agg(F.sum("_n").alias("_group_n"))
+        .withColumn("_before", F.coalesce(F.sum("_group_n").over(across), F.lit(0)))
+    )
+    if total:
+        groups = groups.withColumn(total, F.sum("_group_n").over(Window.partitionBy(*keys)))
+    return (
+        grouped.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(groups, [*keys, "_group"])
+        .withColumn("_offset", F.col("_before") + F.col("_inside"))
+        .drop("_n", "_group", "_group_n", "_before", "_inside")
+    )
+
+
 def row_index(
     df: DataFrame,
     order: Sequence[str | Column],
@@ -64,27 +100,23 @@ def row_index(
     keys: Sequence[str] = (),
     name: str = "row_idx",
     total: str | None = None,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Exact 0-based position in ``order``, per ``keys`` or over the whole table.
 
-    ``total`` also adds the row count of the key. Without keys, the only window
-    that is not partitioned runs over the table of block counts.
+    ``total`` also adds the row count of the key. Rows move once, to their
+    (keys, block); everything else happens on block counts.
     """
     blocked = df.withColumn(BLOCK, block)
     counts = blocked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    by_block = Window.partitionBy(*keys).orderBy(BLOCK)
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    if total:
-        whole = Window.partitionBy(*keys)
-        offsets = offsets.withColumn(total, F.sum("_n").over(whole))
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    return (
+    out = (
         blocked.withColumn("_local", F.row_number().over(inside) - 1)
-        .join(offsets.drop("_n"), [*keys, BLOCK])
+        .join(_block_offsets(counts, keys, total), [*keys, BLOCK])
         .withColumn(name, F.col("_offset") + F.col("_local"))
-        .drop(BLOCK, "_local", "_offset")
+        .drop("_local", "_offset")
     )
+    return out if keep_block else out.drop(BLOCK)
 
 
 def previous_value(
@@ -92,11 +124,11 @@ def previous_value(
     value: str,
     order: str,
     keys: Sequence[str],
-    block_rows: int = 1 << 20,
+    block_bits: int = 20,
     name: str = "previous",
 ) -> DataFrame:
     """Value of the row before in ``order`` within ``keys``; NULL for the first."""
-    blocked = df.withColumn(BLOCK, int_block(order, block_rows))
+    blocked = df.withColumn(BLOCK, int_block(order, block_bits))
     inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
     local = blocked.withColumn("_lag", F.lag(F.struct(value)).over(inside))
     carried = with_carry(
@@ -118,10 +150,10 @@ def shuffled_index(df: DataFrame, key: str, seed: int, name: str = "position") -
 
 
 def buffered_shuffle(
-    df: DataFrame, key: str, buffer: int, seed: int, block_rows: int = 1 << 20, name: str = "position"
+    df: DataFrame, key: str, buffer: int, seed: int, block_bits: int = 20, name: str = "position"
 ) -> DataFrame:
     """Random order inside consecutive buffers of ``buffer`` rows (in ``key`` order)."""
-    indexed = row_index(df, [key], int_block(key, block_rows), name="_idx")
+    indexed = row_index(df, [key], int_block(key, block_bits), name="_idx")
     hashed = indexed.withColumn("_buffer", F.floor(F.col("_idx") / buffer)).withColumn(
         "_hash", digest("shuffle", seed, key)
     )
@@ -136,11 +168,11 @@ def assign_batches(
     order: str,
     batch_size: int,
     drop_last: bool = False,
-    block_rows: int = 1 << 20,
+    block_bits: int = 20,
     name: str = "batch_id",
 ) -> DataFrame:
     """Consecutive batches in ``order``; ``drop_last`` leaves out a short final one."""
-    indexed = row_index(df, [order], int_block(order, block_rows), name="_idx", total="_total")
+    indexed = row_index(df, [order], int_block(order, block_bits), name="_idx", total="_total")
     out = indexed.withColumn(name, F.floor(F.col("_idx") / batch_size).cast("bigint"))
     if drop_last:
         out = out.where(F.col(name) < F.floor(F.col("_total") / batch_size))

@@ -27,7 +27,7 @@ def pool(
     Padding counts as 0: it adds nothing to the mean, but a dimension that is
     negative throughout gets a maximum of 0 as soon as there is padding.
     ``exclude_pad`` takes the maximum over real tokens only. A sequence of padding
-    alone has mean 0, or NaN without ``empty_as_zero``.
+    alone has mean 0, or NaN without ``empty_as_zero``, and no maximum over real tokens.
 
     Vectors are summed element-wise inside one aggregate with map-side partials;
     they are not exploded into a row per element.
@@ -54,10 +54,14 @@ def pool(
     mean = F.transform(
         vector_to_array("_s.sum"), lambda v: F.when(tokens == 0.0, nan).otherwise(F.try_divide(v, tokens))
     )
+    if exclude_pad:
+        largest = F.when(F.col("_tokens") > 0, vector_to_array("_m.max"))
+    else:
+        largest = vector_to_array("_s.max")
     return pooled.select(
         seq,
         mean.alias("mean_vec"),
-        vector_to_array("_m.max" if exclude_pad else "_s.max").alias("max_vec"),
+        largest.alias("max_vec"),
         "cls_vec",
     ).withColumn("concat_vec", F.concat("cls_vec", "max_vec", "mean_vec"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from helixframe.session import settle
+
 
 def strict(value: str, result: Column) -> Column:
     """NULL as soon as the group holds a NULL; Spark's own aggregates skip them."""
@@ -58,16 +60,6 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows per distinct value, as (keys, x, n); NULL and NaN are left out."""
-    return (
-        df.select(*keys, F.col(value).cast("double").alias("x"))
-        .where(F.col("x").isNotNull() & ~F.isnan("x"))
-        .groupBy(*keys, "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def _log_scale(x: Column) -> Column:
     """Increasing in x over the whole double range, with even relative resolution."""
     return F.signum(x) * F.log1p(F.abs(x) * 1e9)
@@ -88,19 +80,34 @@ def _targets_inside(targets: Column) -> Column:
     )
 
 
-def quantiles_of_counts(
-    counted: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
+def _cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(_key, x) with NULL and NaN values left out.
+
+    The keys travel as one struct, in which NULL equals NULL, so that joins keep
+    groups whose key is NULL.
+    """
+    return df.select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("x")).where(
+        F.col("x").isNotNull() & ~F.isnan("x")
+    )
+
+
+def exact_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: Sequence[float] = (0.25, 0.5, 0.75),
 ) -> DataFrame:
-    """``exact_quantiles`` for rows already counted per distinct value as (keys, x, n).
+    """Linearly interpolated quantiles as (keys, n, p0, p1, ...), exact at any group size.
 
-    The keys travel as one struct, in which NULL equals NULL, so that the joins
-    keep groups whose key is NULL.
+    No group is gathered, and no row outside the bins around a wanted rank is
+    shuffled. One scan counts rows per bin of a fixed logarithmic scale; a second
+    one takes the rows of the bins that hold a wanted rank (at most two per
+    quantile), counts them on a 10,000 times finer scale, and only the values of
+    the fine bins found there are put in order. Runs a job for the first scan.
     """
-    outer = list(keys)
-    counted = counted.select(F.struct(*outer).alias("_key"), "x", "n")
-    keys = ["_key"]
+    cells = _cells(df, keys, value)
     scaled = _log_scale(F.col("x"))
-    cells = counted.withColumn("bin", F.floor(scaled * 1e4)).withColumn("bin2", F.floor(scaled * 1e8))
+    coarse_bin, fine_bin = F.floor(scaled * 1e4), F.floor(scaled * 1e8)
 
     wanted = []
     for i, p in enumerate(probabilities):
@@ -113,28 +120,32 @@ def quantiles_of_counts(
                     rank.cast("bigint").alias("rank"),
                 )
             )
-    coarse = (
-        cells.groupBy(*keys, "bin")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("below", _count_below(keys, "bin"))
-        .withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-        .select(*keys, "bin", "total", _targets_inside(F.array(*wanted)).alias("targets"))
+    coarse = settle(
+        cells.groupBy("_key", coarse_bin.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("below", _count_below(["_key"], "bin"))
+        .withColumn("total", F.sum("n").over(Window.partitionBy("_key")))
+        .select("_key", "bin", "total", _targets_inside(F.array(*wanted)).alias("targets"))
         .where(F.size("targets") > 0)
     )
-    near = cells.join(coarse, [*keys, "bin"])
+    near = (
+        cells.withColumn("bin", coarse_bin)
+        .join(coarse.select("_key", "bin"), ["_key", "bin"])
+        .groupBy("_key", "bin", fine_bin.alias("bin2"), "x")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     fine = (
-        near.groupBy(*keys, "bin", "bin2")
-        .agg(F.sum("n").alias("n"), F.first("targets").alias("_targets"))
-        .withColumn("below", _count_below([*keys, "bin"], "bin2"))
-        .select(*keys, "bin", "bin2", _targets_inside(F.col("_targets")).alias("targets"))
+        near.groupBy("_key", "bin", "bin2")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("below", _count_below(["_key", "bin"], "bin2"))
+        .join(coarse, ["_key", "bin"])
+        .select("_key", "bin", "bin2", "total", _targets_inside(F.col("targets")).alias("targets"))
         .where(F.size("targets") > 0)
     )
-    last = [*keys, "bin", "bin2"]
     found = (
-        near.drop("targets")
-        .join(fine, last)
-        .withColumn("below", _count_below(last, "x"))
-        .select(*keys, "x", "n", "below", "total", F.inline("targets"))
+        near.join(fine, ["_key", "bin", "bin2"])
+        .withColumn("below", _count_below(["_key", "bin", "bin2"], "x"))
+        .select("_key", "x", "n", "below", "total", F.inline("targets"))
         .where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("n")))
     )
     picks = [
@@ -142,7 +153,7 @@ def quantiles_of_counts(
         for i in range(len(probabilities))
         for side in (0, 1)
     ]
-    out = found.groupBy(*keys).agg(F.max("total").alias("total"), *picks)
+    out = found.groupBy("_key").agg(F.max("total").alias("total"), *picks)
     values = []
     for i, p in enumerate(probabilities):
         place = (F.col("total") - 1) * F.lit(float(p))
@@ -151,45 +162,29 @@ def quantiles_of_counts(
     return out.select("_key.*", F.col("total").alias("n"), *values)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probabilities: Sequence[float] = (0.25, 0.5, 0.75),
-) -> DataFrame:
-    """Linearly interpolated quantiles as (keys, n, p0, p1, ...), exact at any group size.
+def box_stats(df: DataFrame, keys: Sequence[str], value: str = "score", whisker: float = 1.5) -> DataFrame:
+    """Quartiles, whisker ends (furthest rows inside the fences) and outlier count.
 
-    A group is never gathered in one place. Rows are counted per distinct value,
-    then per bin of a fixed logarithmic scale; the bins that hold a wanted rank
-    (at most two per quantile) are counted again on a 10,000 times finer scale, and
-    only the values of the fine bins found there are put in order.
+    Runs jobs: the quartiles are settled, so that a last scan can compare every row
+    with the fences of its group.
     """
-    return quantiles_of_counts(value_counts(df, keys, value), keys, probabilities)
-
-
-def box_stats(df: DataFrame, keys: Sequence[str], value: str = "score", whisker: float = 1.5) -> DataFrame:
-    """Quartiles, whisker ends (furthest rows inside the fences) and outlier count."""
     keys = list(keys)
-    counted = value_counts(df, keys, value)
-    boxes = (
-        quantiles_of_counts(counted, keys, (0.25, 0.5, 0.75))
-        .withColumnsRenamed({"p0": "q1", "p1": "median", "p2": "q3"})
-        .select(F.struct(*keys).alias("_key"), "n", "q1", "median", "q3")
+    quartiles = exact_quantiles(df, keys, value).withColumnsRenamed(
+        {"p0": "q1", "p1": "median", "p2": "q3"}
     )
-    x, n = F.col("x"), F.col("counted")
+    boxes = settle(quartiles.select(F.struct(*keys).alias("_key"), "n", "q1", "median", "q3"))
+    x = F.col("x")
     inside = (x >= F.col("fence_low")) & (x <= F.col("fence_high"))
-    ends = (
-        counted.select(F.struct(*keys).alias("_key"), "x", F.col("n").alias("counted"))
-        .join(fences(boxes, whisker).select("_key", "fence_low", "fence_high"), "_key")
-        .groupBy("_key")
+    return (
+        _cells(df, keys, value)
+        .join(fences(boxes, whisker), "_key")
+        .groupBy("_key", "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, x)).alias("whisker_low"),
             F.max(F.when(inside, x)).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(n)).cast("bigint").alias("n_outliers"),
+            F.count(F.when(~inside, 1)).alias("n_outliers"),
         )
-    )
-    return boxes.join(ends, "_key").select(
-        "_key.*", "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"
+        .select("_key.*", "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
     )
 
 
@@ -201,8 +196,8 @@ def fences(boxes: DataFrame, whisker: float = 1.5) -> DataFrame:
 
 
 def outliers(df: DataFrame, boxes: DataFrame, keys: Sequence[str], value: str = "score", whisker: float = 1.5) -> DataFrame:
-    """The rows beyond the fences of their group's box."""
-    fenced = fences(boxes, whisker).select(*keys, "fence_low", "fence_high")
+    """The rows beyond the fences of their group's box. Runs a job to settle the boxes."""
+    fenced = settle(fences(boxes, whisker).select(*keys, "fence_low", "fence_high"))
     return (
         df.join(fenced, list(keys))
         .where((F.col(value) < F.col("fence_low")) | (F.col(value) > F.col("fence_high")))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.text import literal_map
+from helixframe.operators.ordering import row_index, text_block
+from helixframe.session import settle
 
 # --- projection -------------------------------------------------------------
 
@@ -57,20 +59,14 @@ def map_codes(df: DataFrame, column: str, names: Mapping, name: str) -> DataFram
 
 
 def label_codes(df: DataFrame, label: str, name: str = "code") -> DataFrame:
-    """0-based code of each label in sorted order.
+    """0-based code of each text label in sorted order; NULL has none.
 
-    The order is made over the distinct labels, which are few; the rows are joined
-    to that table and never sorted.
+    The order is made over the distinct labels. They are settled in a job of their
+    own, so the rows are joined to a table of known size and never sorted.
     """
-    from pyspark.sql.window import Window
-
-    codes = (
-        df.select(label)
-        .distinct()
-        .where(F.col(label).isNotNull())
-        .withColumn(name, F.row_number().over(Window.orderBy(label)) - 1)
-    )
-    return df.join(codes, label, "left")
+    labels = df.select(label).where(F.col(label).isNotNull()).distinct()
+    coded = row_index(labels, [label], text_block(F.col(label).cast("string")), name=name)
+    return df.join(settle(coded.withColumn(name, F.col(name).cast("int"))), label, "left")
 
 
 # --- filters ----------------------------------------------------------------

@@ -77,10 +77,10 @@ def with_counters(df: DataFrame, samples_per_step: int, accumulation: int, small
 
 
 def step_times(
-    df: DataFrame, run: str = "run", step: str = "step", ts: str = "ts", block_rows: int = 1 << 20
+    df: DataFrame, run: str = "run", step: str = "step", ts: str = "ts", block_bits: int = 20
 ) -> DataFrame:
     """Seconds since the record before in the run, NULL for the first."""
-    out = previous_value(df, ts, step, [run], block_rows, "_before")
+    out = previous_value(df, ts, step, [run], block_bits, "_before")
     micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))
     return out.withColumn("time_per_iteration", micros / 1e6).drop("_before")
 
@@ -99,7 +99,7 @@ def tflops(
 
     Equation 3 of "Efficient Large-Scale Language Model Training on GPU Clusters"
     (arXiv:2104.04473); ``batch_size`` is the global one, and activation
-    recomputation costs one more forward pass.
+    recomputation costs one more forward pass. NULL where no time has passed.
     """
     passes = 4.0 if recompute else 3.0
     width = n_embd.cast("double")
@@ -108,7 +108,7 @@ def tflops(
     attention = max_length / (6.0 * width)
     logits = vocab_size / (16.0 * layers * width)
     flops = 24.0 * passes * tokens * layers * width * width * (1.0 + attention + logits)
-    return flops / (elapsed * processes * 1e12)
+    return F.try_divide(flops, elapsed * processes * 1e12)
 
 
 def with_tflops(
@@ -161,7 +161,7 @@ def early_stop(
     metric: str = "metric",
     patience: int = 5,
     threshold: float = 0.01,
-    block_rows: int = 1 << 20,
+    block_bits: int = 20,
 ) -> DataFrame:
     """Where each run would stop: its ``patience``-th evaluation in a row without a gain.
 
@@ -174,9 +174,7 @@ def early_stop(
     """
     keys = list(keys)
     base = df.select(*keys, step, metric)
-    numbered = row_index(base, [step], int_block(step, block_rows), keys, "_no").withColumn(
-        BLOCK, int_block(step, block_rows)
-    )
+    numbered = row_index(base, [step], int_block(step, block_bits), keys, "_no", keep_block=True)
     before = (
         Window.partitionBy(*keys, BLOCK).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -79,7 +79,8 @@ def _batches(spark, folder, size=16, drop_last=False):
     ),
 )
 def dynamic_pad(spark, folder):
-    rows = corpus.pad_to_batch(_batches(spark, folder).withColumn("n_tokens", F.size("input_ids").cast("bigint")))
+    rows = corpus.tokenise(views.seqs(spark, folder).select("doc_id", "sequence"))
+    rows = corpus.pad_in_batches(rows.withColumn("n_tokens", F.size("input_ids").cast("bigint")), "doc_id", 16)
     return rows.select("doc_id", "batch_id", "n_tokens", F.size("input_ids").cast("bigint").alias("width"), _joined("input_ids"))
 
 
@@ -169,7 +170,21 @@ def eval_cap(spark, folder):
     return capped.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("bpe_tokenise")
+# Every pair is one merge, so taking merges in rank order is replacing pairs in that
+# order; a merged pair becomes a lower-case letter that no later pair contains.
+_MERGED = "sequence"
+for _i, (_a, _b) in enumerate((a, b) for a in fixed.NUCLEOTIDES for b in fixed.NUCLEOTIDES):
+    _MERGED = f"replace({_MERGED}, '{_a + _b}', '{chr(ord('a') + _i)}')"
+
+
+@query(
+    "bpe_tokenise",
+    sql(
+        f"""SELECT doc_id, len(ids)::INT AS n_tokens, array_to_string(ids, ',') AS input_ids FROM (
+                SELECT doc_id, list_transform(regexp_extract_all({_MERGED}, '.'),
+                       lambda c: 4 + instr('ACGTabcdefghijklmnop', c)) AS ids FROM seqs)"""
+    ),
+)
 def bpe_tokenise(spark, folder):
     """Learned merges through the batched mapper; the merges pair up nucleotides."""
     from tokenizers import Tokenizer, models

@@ -57,7 +57,7 @@ def pool_max(spark, folder):
 def pool_max_real(spark, folder):
     """Maximum over real tokens only, for sequences that have any."""
     pooled = _pooled(spark, folder, exclude_pad=True)
-    return _cells(pooled.where(F.get("max_vec", F.lit(0)) != F.lit(float("-inf"))), "seq_id", "max_vec")
+    return _cells(pooled.where(F.col("max_vec").isNotNull()), "seq_id", "max_vec")
 
 
 @query("pool_cls", sql("SELECT seq_id, dim, round(cls_v, 6) AS value FROM pooled", pooled=_POOLED))

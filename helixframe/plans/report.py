@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import fixed, text
 from helixframe.operators import stats, tables
+from helixframe.session import settle
 
 THROUGHPUT = "eval_samples_per_second"
 DEFAULT_METRIC = "eval_mcc"
@@ -59,7 +60,8 @@ def overview(clean: DataFrame) -> DataFrame:
 def size_ranked(clean: DataFrame) -> DataFrame:
     """Plain models with the rank of their size among those of equal vocabulary.
 
-    The ranked table holds one row per (vocabulary, size), not one per score.
+    The ranked table holds one row per (vocabulary, size), not one per score; a job
+    settles it before it is joined to the scores.
     """
     plain = clean.where(
         F.col("model").rlike("seqLens") & ~F.col("model").rlike("esm") & ~F.col("model").rlike("at|M-M")
@@ -67,7 +69,7 @@ def size_ranked(clean: DataFrame) -> DataFrame:
     parsed = with_model_parts(plain)
     sizes = parsed.select("vocab_size", "model_info").distinct()
     ranks = stats.average_rank(sizes, ["vocab_size"], "model_info")
-    return tables.left_join_nulls_match(parsed, ranks, ["model_info", "vocab_size"])
+    return tables.left_join_nulls_match(parsed, settle(ranks), ["model_info", "vocab_size"])
 
 
 def report_slice(clean: DataFrame, models: Sequence[tuple[str, str]]) -> DataFrame:

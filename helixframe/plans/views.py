@@ -96,7 +96,7 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         "event_id",
         _pick(MODELS, user % len(MODELS)).alias("model"),
-        _pick(DATASETS, F.floor(event / 3) % len(DATASETS)).alias("dataset"),
+        _pick(DATASETS, F.expr("event_id div 3") % len(DATASETS)).alias("dataset"),
         F.when(event % 11 == 0, "test").otherwise("validation").alias("evaluation_set"),
         _pick(METRICS, (event + user) % len(METRICS)).alias("metric"),
         F.when(event % 997 != 0, (F.col("value") - 100.0) / 333.0).alias("score"),
@@ -112,14 +112,14 @@ def log(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("_no") + 1).alias("small_step"),
         "event_id",
         "ts",
-        (F.col("value") / 100.0).alias("loss"),
+        (F.col("value") / 333.0).alias("loss"),
         (F.col("event_id") % 4).alias("rank"),
     )
 
 
 def hidden(spark: SparkSession, folder: str) -> DataFrame:
     vec_id = F.col("vec_id")
-    seq_id = F.floor(vec_id / 8)
+    seq_id = F.expr("vec_id div 8")
     return table(spark, folder, "embeddings").select(
         seq_id.alias("seq_id"),
         (vec_id % 8).alias("pos"),
@@ -152,7 +152,7 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
         F.get("embedding", F.lit(1)).cast("double").alias("UMAP2"),
         F.col("label").cast("string").alias("Label"),
         _pick(["Mean", "Max", "CLS"], v % 3).alias("vec_type"),
-        F.when(F.floor(v / 3) % 2 == 0, "Yes").otherwise("No").alias("fine_tuned"),
+        F.when(F.expr("vec_id div 3") % 2 == 0, "Yes").otherwise("No").alias("fine_tuned"),
     )
 
 
@@ -186,7 +186,7 @@ SQL = {
         FROM events""",
     "log": """
         SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS small_step,
-               event_id, ts, value / 100 AS loss, event_id % 4 AS rank FROM events""",
+               event_id, ts, value / 333 AS loss, event_id % 4 AS rank FROM events""",
     "hidden": """
         SELECT vec_id // 8 AS seq_id, vec_id % 8 AS pos,
                CASE WHEN vec_id % 8 < (vec_id // 8) % 6 THEN 1 ELSE 0 END AS mask,

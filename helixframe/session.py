@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "helixframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,12 +57,15 @@ def _local_base() -> str:
     return tempfile.mkdtemp(prefix="helixframe-", dir=os.environ.get("TMPDIR", "/tmp"))
 
 
-def cut_lineage(df):
-    """Materialise ``df`` as Parquet in the shared folder and read it back.
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back. Runs a job.
 
-    Used where a plan is iterated over: the written table survives lost executors,
-    and readers of it do not recompute its inputs.
+    For a reduced table that is joined to a large one. Its size is then known
+    before the join is planned: below ``spark.sql.autoBroadcastJoinThreshold`` it is
+    broadcast and the large side is not shuffled, above it the join shuffles both.
+    Estimates alone would take the reduced table for as large as its input. The
+    written table also survives lost executors.
     """
-    path = shared_folder(df.sparkSession, "table")
+    path = shared_folder(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
