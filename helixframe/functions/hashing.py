@@ -7,6 +7,8 @@ value depends only on the row, so a recomputed task draws the same numbers.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,5 +30,13 @@ def unit(hex_text: Column, start: int = 1) -> Column:
     return digits_to_int(hex_text, start, 8) / F.lit(4294967296.0)
 
 
+def unit_below(hex_text: Column, bound: float, start: int = 1) -> Column:
+    """``unit(...) < bound`` as a comparison of hex digits, without a conversion."""
+    whole = math.ceil(bound * 4294967296.0)
+    if whole > 0xFFFFFFFF:
+        return F.lit(True)
+    return F.substring(hex_text, start, 8) < F.lit(f"{whole:08x}")
+
+
 def uniform(purpose: str, seed: int, *keys: Column | str) -> Column:
     return unit(digest(purpose, seed, *keys))

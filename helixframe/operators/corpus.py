@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from helixframe.functions import fixed
-from helixframe.functions.hashing import digest, digits_to_int, unit
+from helixframe.functions.hashing import digits_to_int, unit_below
 from helixframe.operators.ordering import assign_batches
 
 IGNORED_LABEL = -100
@@ -111,23 +111,24 @@ def mask_tokens(
     """
 
     def masked(token: Column, i: Column) -> Column:
-        h = digest("mask", seed, F.lit(epoch), F.col(key), i)
-        chosen = (token >= fixed.SPECIAL_COUNT) & (unit(h, 1) < probability)
-        action = unit(h, 9)
+        h = F.md5(F.concat(F.col("_prefix"), i.cast("string")))
+        chosen = (token >= fixed.SPECIAL_COUNT) & unit_below(h, probability)
         shown = (
-            F.when(~chosen | (action >= 0.9), token)
-            .when(action < 0.8, F.lit(fixed.MASK))
-            .otherwise((digits_to_int(h, 17, 8) % vocab_size).cast("int"))
+            F.when(~chosen, token)
+            .when(unit_below(h, 0.8, 9), F.lit(fixed.MASK))
+            .when(unit_below(h, 0.9, 9), (digits_to_int(h, 17, 8) % vocab_size).cast("int"))
+            .otherwise(token)
         )
         return F.struct(
             shown.alias("id"), F.when(chosen, token).otherwise(F.lit(IGNORED_LABEL)).alias("label")
         )
 
     return (
-        df.withColumn("_masked", F.transform("input_ids", masked))
+        df.withColumn("_prefix", F.concat(F.lit(f"mask:{seed}:{epoch}:"), F.col(key).cast("string"), F.lit(":")))
+        .withColumn("_masked", F.transform("input_ids", masked))
         .withColumn("input_ids", F.col("_masked.id"))
         .withColumn("labels", F.col("_masked.label"))
-        .drop("_masked")
+        .drop("_masked", "_prefix")
     )
 
 

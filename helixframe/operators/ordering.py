@@ -10,7 +10,7 @@ the row, so a recomputed task always lands in the same block.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,29 +39,23 @@ def text_block(text: Column, length: int = 3) -> Column:
 
 
 def with_carry(
-    df: DataFrame,
-    keys: Sequence[str],
-    part: Column,
-    running: Callable[[str], Column],
-    name: str,
+    df: DataFrame, keys: Sequence[str], carried: Mapping[str, tuple[Column, Callable[[str], Column]]]
 ) -> DataFrame:
-    """Add ``name``: ``running`` over the per-block value ``part`` of all earlier blocks.
+    """Add columns that sum up all earlier blocks of the key; NULL in the first block.
 
-    The join is on (keys, block), the partitioning the window above already has,
-    so it adds no shuffle of ``df``.
+    Each entry names a column and gives its per-block aggregate and the function
+    that runs over the blocks. The join is on (keys, block), the partitioning that
+    windows inside blocks already have, so it adds no shuffle of ``df``.
     """
     earlier = (
         Window.partitionBy(*keys)
         .orderBy(BLOCK)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = (
-        df.groupBy(*keys, BLOCK)
-        .agg(part.alias("_part"))
-        .withColumn(name, running("_part").over(earlier))
-        .drop("_part")
-    )
-    return df.join(carried, [*keys, BLOCK])
+    parts = [part.alias(f"_part_{name}") for name, (part, _) in carried.items()]
+    running = [run(f"_part_{name}").over(earlier).alias(name) for name, (_, run) in carried.items()]
+    blocks = df.groupBy(*keys, BLOCK).agg(*parts).select(*keys, BLOCK, *running)
+    return df.join(blocks, [*keys, BLOCK])
 
 
 def _block_offsets(counts: DataFrame, keys: Sequence[str], total: str | None) -> DataFrame:
@@ -131,13 +125,8 @@ def previous_value(
     blocked = df.withColumn(BLOCK, int_block(order, block_bits))
     inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
     local = blocked.withColumn("_lag", F.lag(F.struct(value)).over(inside))
-    carried = with_carry(
-        local,
-        keys,
-        F.max_by(F.struct(value), F.col(order)),
-        lambda c: F.last(c),
-        "_carry",
-    )
+    last = F.max_by(F.struct(value), F.col(order))
+    carried = with_carry(local, keys, {"_carry": (last, F.last)})
     return carried.withColumn(
         name, F.coalesce(F.col("_lag"), F.col("_carry"))[value]
     ).drop(BLOCK, "_lag", "_carry")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixframe.functions.text import step_from_name
-from helixframe.operators.ordering import BLOCK, cap_batches, int_block, previous_value, row_index, with_carry
+from helixframe.operators.ordering import BLOCK, cap_batches, int_block, previous_value, with_carry
 
 
 def mean_over_processes(df: DataFrame, keys: Sequence[str] = ("run", "step"), value: str = "loss") -> DataFrame:
@@ -169,24 +169,32 @@ def early_stop(
     ``threshold``; the best itself moves on any improvement. The first one always
     gains. Runs that never stop have a NULL ``stop_step``.
 
-    A run is worked on in blocks of steps. The best so far, the evaluation number
-    and the number of the last gain are carried from block to block.
+    A run is worked on in blocks of steps. The best so far, the number of
+    evaluations and the number of the last gain are carried from block to block.
     """
     keys = list(keys)
-    base = df.select(*keys, step, metric)
-    numbered = row_index(base, [step], int_block(step, block_bits), keys, "_no", keep_block=True)
-    before = (
-        Window.partitionBy(*keys, BLOCK).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    base = df.select(*keys, step, metric).withColumn(BLOCK, int_block(step, block_bits))
+    ordered = Window.partitionBy(*keys, BLOCK).orderBy(step)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumns(
+        {"_local_best": F.max(metric).over(before), "_local_no": F.row_number().over(ordered)}
     )
-    local = numbered.withColumn("_local_best", F.max(metric).over(before))
-    seen = with_carry(local, keys, F.max(metric), F.max, "_carried_best")
-    best = F.greatest("_local_best", "_carried_best")
+    seen = with_carry(
+        local, keys, {"_best": (F.max(metric), F.max), "_count": (F.count(F.lit(1)), F.sum)}
+    )
+    best = F.greatest("_local_best", "_best")
     gain = best.isNull() | (F.col(metric) - best > threshold)
-    gains = seen.withColumn("_gain", F.when(gain, F.col("_no"))).drop("_local_best", "_carried_best")
-    upto = Window.partitionBy(*keys, BLOCK).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    local = gains.withColumn("_local_gain", F.max("_gain").over(upto))
-    known = with_carry(local, keys, F.max("_gain"), F.max, "_carried_gain")
-    streak = F.col("_no") - F.greatest("_local_gain", "_carried_gain")
+    numbered = seen.withColumn("_no", F.col("_local_no") + F.coalesce("_count", F.lit(0)))
+    gains = numbered.withColumn("_gain", F.when(gain, F.col("_no"))).drop(
+        "_local_best", "_best", "_local_no", "_count"
+    )
+    known = with_carry(
+        gains.withColumn("_local_gain", F.max("_gain").over(upto)),
+        keys,
+        {"_earlier_gain": (F.max("_gain"), F.max)},
+    )
+    streak = F.col("_no") - F.greatest("_local_gain", "_earlier_gain")
     return known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("evaluations"),
         F.max(metric).alias("best"),
