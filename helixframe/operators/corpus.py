@@ -181,9 +181,8 @@ def tokenise_batched(df: DataFrame, tokenizer_json: str, sequence: str = "sequen
         if max_length is not None:
             tokenizer.enable_truncation(max_length)
         for texts in batches:
-            known = texts.dropna()
-            encoded = tokenizer.encode_batch(list(known))
-            yield pd.Series([e.ids for e in encoded], index=known.index, dtype=object).reindex(texts.index)
+            encoded = iter(tokenizer.encode_batch([t for t in texts if t is not None]))
+            yield pd.Series([None if t is None else next(encoded).ids for t in texts], dtype=object)
 
     return (
         df.withColumn("input_ids", encode_batches(F.col(sequence)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from helixframe.operators.tables import left_join_nulls_match
 from helixframe.session import settle
 
 
@@ -195,19 +196,23 @@ def fences(boxes: DataFrame, whisker: float = 1.5) -> DataFrame:
     )
 
 
-def outliers(df: DataFrame, boxes: DataFrame, keys: Sequence[str], value: str = "score", whisker: float = 1.5) -> DataFrame:
+def outliers(
+    df: DataFrame, boxes: DataFrame, keys: Sequence[str], value: str = "score", whisker: float = 1.5
+) -> DataFrame:
     """The rows beyond the fences of their group's box. Runs a job to settle the boxes."""
     fenced = settle(fences(boxes, whisker).select(*keys, "fence_low", "fence_high"))
+    x = F.col(value)
+    beyond = (x < F.col("fence_low")) | (x > F.col("fence_high"))
     return (
-        df.join(fenced, list(keys))
-        .where((F.col(value) < F.col("fence_low")) | (F.col(value) > F.col("fence_high")))
+        left_join_nulls_match(df, fenced, keys)
+        .where(beyond & ~F.isnan(x.cast("double")))
         .drop("fence_low", "fence_high")
     )
 
 
 def overlay(boxes: DataFrame, points: DataFrame, keys: Sequence[str], name: str = "test_score") -> DataFrame:
     """Box statistics with one further value per group, such as the test score."""
-    return boxes.join(points.select(*keys, F.col("avg_score").alias(name)), list(keys), "left")
+    return left_join_nulls_match(boxes, points.select(*keys, F.col("avg_score").alias(name)), list(keys))
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:

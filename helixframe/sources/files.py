@@ -16,13 +16,18 @@ from helixframe.operators.tables import pack_matching
 def read_chunks(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType = schemas.GENOME_CHUNKS) -> DataFrame:
     """Tab-separated chunk files by split name, e.g. ``{"train": ..., "valid": ...}``.
 
-    The split a row belongs to is that of its file, whatever the file's own column says.
+    The split a row belongs to is that of its file, whatever the file's own column
+    says. An empty field is an empty sequence.
     """
     parts = [
         spark.read.schema(schema).csv(path, sep="\t", header=True).withColumn("split", F.lit(name))
         for name, path in paths.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return fill_sequences(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+def fill_sequences(chunks: DataFrame, sequence: str = "sequence") -> DataFrame:
+    return chunks.withColumn(sequence, F.coalesce(sequence, F.lit("")))
 
 
 def read_split(spark: SparkSession, root: str, dataset: str, split: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from helixframe import schemas
 from helixframe.operators import corpus
+from helixframe.sources.files import fill_sequences
 
 CHUNK_METADATA = ["split", "assembly_id", "assembly_accession", "start", "sequence_length"]
 
@@ -18,13 +19,14 @@ def read_chunk_stream(
     max_files: int = 1000,
 ) -> DataFrame:
     """New tab-separated chunk files of a folder, a bounded number per micro-batch."""
-    return (
+    chunks = (
         spark.readStream.schema(schema)
         .option("sep", "\t")
         .option("header", True)
         .option("maxFilesPerTrigger", max_files)
         .csv(folder)
     )
+    return fill_sequences(chunks)
 
 
 def tokenise_stream(chunks: DataFrame, k: int = 6, max_length: int = 512) -> DataFrame:
