@@ -27,7 +27,7 @@ def int_block(order: str, bits: int = 20) -> Column:
     return F.shiftright(F.col(order).cast("bigint"), bits)
 
 
-def hash_block(hex_text: Column, digits: int = 3) -> Column:
+def hash_block(hex_text: Column, digits: int = 4) -> Column:
     """Block of a hash order: 16^digits blocks of near-equal size."""
     return digits_to_int(hex_text, 1, digits)
 

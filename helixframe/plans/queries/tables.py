@@ -231,7 +231,7 @@ def concat_rows(spark, folder):
                   model || '_results_' || dataset AS stem,
                   CASE WHEN model LIKE '%-at-base-nt' THEN 'seqLens_4096_512_89M-at-base' ELSE model END AS source,
                   CASE WHEN score IS NOT NULL THEN printf('%.1f%%', score * 100) END AS pct,
-                  CASE WHEN score IS NOT NULL THEN printf('%.3f', score) END AS shown, round(score, 1) AS one_digit,
+                  CASE WHEN score IS NOT NULL THEN printf('%.3f', score) END AS shown, round(score, 1) + 0::DOUBLE AS one_digit,
                   round(exp(score), 6) AS e, round(pow(score, 2), 6) AS sq,
                   str_split(concat_ws('_', 'tok', evaluation_set), '_')[2] AS second
            FROM results"""

@@ -21,7 +21,7 @@ def _pooled(spark, folder, **options):
     return pooling.pool(views.hidden(spark, folder), **options)
 
 
-_POOLED = """SELECT seq_id, dim, sum(x * mask) / greatest(sum(mask), 1) AS mean_v, max(x * mask) AS max_v,
+_POOLED = """SELECT seq_id, dim, sum(x * mask) / greatest(sum(mask), 1) AS mean_v, max(x * mask) + 0::DOUBLE AS max_v,
     any_value(x) FILTER (pos = 0) AS cls_v FROM hidden_cells GROUP BY seq_id, dim"""
 
 
