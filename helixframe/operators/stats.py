@@ -104,7 +104,7 @@ def exact_quantiles(
     shuffled. One scan counts rows per bin of a fixed logarithmic scale; a second
     one takes the rows of the bins that hold a wanted rank (at most two per
     quantile), counts them on a 10,000 times finer scale, and only the values of
-    the fine bins found there are put in order. Runs a job for the first scan.
+    the fine bins found there are put in order. Runs one job per scan.
     """
     cells = _cells(df, keys, value)
     scaled = _log_scale(F.col("x"))
@@ -129,7 +129,7 @@ def exact_quantiles(
         .select("_key", "bin", "total", _targets_inside(F.array(*wanted)).alias("targets"))
         .where(F.size("targets") > 0)
     )
-    near = (
+    near = settle(
         cells.withColumn("bin", coarse_bin)
         .join(coarse.select("_key", "bin"), ["_key", "bin"])
         .groupBy("_key", "bin", fine_bin.alias("bin2"), "x")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from helixframe.config import EarlyStopOptions
 
 GROUPS_PER_KEY = 1024
+EVALUATIONS_PER_BLOCK = 4096
 
 # The processors are local classes, so that they travel to the Python workers by
 # value and the package need not be installed there.
@@ -27,26 +30,30 @@ def _loss_rollup(accumulation: int) -> StatefulProcessor:
             )
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            seen: dict[int, tuple[float, int, int]] = {}
-            for chunk in rows:
-                sums = chunk.groupby("completed_steps").agg(
+            parts = [
+                chunk.groupby("completed_steps").agg(
                     loss=("loss", "sum"), n=("loss", "size"), small_step=("small_step", "max")
                 )
-                for group, loss, n, last in sums.itertuples():
-                    before = seen.get(group, (0.0, 0, 0))
-                    seen[group] = (before[0] + loss, before[1] + n, max(before[2], last))
-            full = []
-            for group, (loss, n, last) in sorted(seen.items()):
+                for chunk in rows
+            ]
+            sums = pd.concat(parts).groupby(level=0).agg({"loss": "sum", "n": "sum", "small_step": "max"})
+            full = sums[sums["n"] >= accumulation]
+            # A step with all its micro-steps in this batch has none in the state.
+            closed = [(int(g), loss, int(last)) for g, loss, _, last in full.itertuples()]
+            for group, loss, n, last in sums[sums["n"] < accumulation].itertuples():
                 group = int(group)
                 if self.open.containsKey((group,)):
                     kept = self.open.getValue((group,))
                     loss, n, last = loss + kept[0], n + kept[1], max(last, kept[2])
                 if n >= accumulation:
-                    full.append((key[0], group, loss / accumulation, last))
+                    closed.append((group, loss, int(last)))
                     self.open.removeKey((group,))
                 else:
                     self.open.updateValue((group,), (float(loss), int(n), int(last)))
-            yield pd.DataFrame(full, columns=["run", "completed_steps", "loss", "small_step"])
+            out = pd.DataFrame(closed, columns=["completed_steps", "loss", "small_step"])
+            out["loss"] = out["loss"].astype("float64") / accumulation
+            out.insert(0, "run", key[0])
+            yield out
 
         def close(self) -> None:
             pass
@@ -75,43 +82,92 @@ def loss_rollup_stream(log: DataFrame, accumulation: int) -> DataFrame:
 
 
 def _early_stop(patience: int, threshold: float) -> StatefulProcessor:
+    size = EVALUATIONS_PER_BLOCK
+
+    def walk(values: np.ndarray, best: float | None, waited: int) -> tuple[int | None, float, int]:
+        """Go through evaluations in order: place of the stop, best so far, evaluations waited."""
+        start = -math.inf if best is None else best
+        upto = np.maximum.accumulate(np.concatenate([[start], values]))
+        gained = values - upto[:-1] > threshold
+        places = np.arange(len(values))
+        last_gain = np.maximum.accumulate(np.where(gained, places, -1))
+        streak = np.where(last_gain >= 0, places - last_gain, waited + 1 + places)
+        stops = np.flatnonzero(streak >= patience)
+        at = int(stops[0]) if len(stops) else None
+        return at, float(upto[-1 if at is None else at + 1]), int(streak[-1])
+
     class EarlyStop(StatefulProcessor):
         """Progress of one run, and evaluations that arrived before their turn."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.progress = handle.getValueState("progress", "next bigint, best double, waited bigint, done boolean")
-            self.early = handle.getMapState("early", "eval_no bigint", "metric double")
+            self.early = handle.getMapState("early", "block bigint", "numbers array<bigint>, metrics array<double>")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             following, best, waited, done = self.progress.get() if self.progress.exists() else (1, None, 0, False)
-            arrived: dict[int, float] = {}
+            numbers, metrics = [], []
             for chunk in rows:
                 if not done:
-                    arrived.update(zip(chunk["eval_no"].tolist(), chunk["metric"].tolist()))
+                    numbers.append(chunk["eval_no"].to_numpy())
+                    metrics.append(chunk["metric"].to_numpy())
             stops = []
-            while not done:
-                if following in arrived:
-                    value = arrived.pop(following)
-                elif self.early.containsKey((following,)):
-                    value = self.early.getValue((following,))[0]
-                    self.early.removeKey((following,))
+            if not done:
+                numbers, metrics = np.concatenate(numbers), np.concatenate(metrics)
+                ahead = numbers >= following
+                blocks = self._merged(numbers[ahead], metrics[ahead])
+                while not done:
+                    here = following // size
+                    kept = blocks.pop(here, None) or self._stored(here)
+                    if kept is None:
+                        break
+                    ready = np.searchsorted(kept[0], following)
+                    run = kept[0][ready:] == following + np.arange(len(kept[0]) - ready)
+                    count = len(run) if run.all() else int(run.argmin())
+                    if count:
+                        at, best, waited = walk(kept[1][ready : ready + count], best, waited)
+                        if at is not None:
+                            done = True
+                            stops.append((key[0], int(following + at), best))
+                        following += count
+                    if done or not count or following % size:
+                        blocks[here] = (kept[0][ready + count :], kept[1][ready + count :])
+                        break
+                    if self.early.containsKey((here,)):
+                        self.early.removeKey((here,))
+                if done:
+                    self.early.clear()
                 else:
-                    break
-                gained = best is None or value - best > threshold
-                waited = 0 if gained else waited + 1
-                best = value if best is None else max(best, value)
-                if waited >= patience:
-                    done = True
-                    stops.append((key[0], following, best))
-                following += 1
-            if done:
-                self.early.clear()
-            else:
-                for number, value in arrived.items():
-                    self.early.updateValue((int(number),), (float(value),))
-            self.progress.update((int(following), None if best is None else float(best), int(waited), done))
+                    for block, (left, values) in blocks.items():
+                        if len(left):
+                            self.early.updateValue((block,), (left.tolist(), values.tolist()))
+                        elif self.early.containsKey((block,)):
+                            self.early.removeKey((block,))
+                self.progress.update((int(following), best, int(waited), done))
             yield pd.DataFrame(stops, columns=["run", "stop_no", "best"])
 
+        def _stored(self, block: int):
+            if not self.early.containsKey((block,)):
+                return None
+            numbers, metrics = self.early.getValue((block,))
+            return np.array(numbers, dtype="int64"), np.array(metrics, dtype="float64")
+
+        def _merged(self, numbers: np.ndarray, metrics: np.ndarray) -> dict:
+            """New evaluations by block, each once and in order, with those already waiting there."""
+            numbers, first = np.unique(numbers, return_index=True)
+            metrics = metrics[first]
+            cuts = np.flatnonzero(np.diff(numbers // size)) + 1
+            blocks = {}
+            for left, values in zip(np.split(numbers, cuts), np.split(metrics, cuts)):
+                if not len(left):
+                    continue
+                block = int(left[0] // size)
+                waiting = self._stored(block)
+                if waiting is not None:
+                    left, first = np.unique(np.concatenate([waiting[0], left]), return_index=True)
+                    values = np.concatenate([waiting[1], values])[first]
+                blocks[block] = (left, values)
+            return blocks
+
         def close(self) -> None:
             pass
 
@@ -122,8 +178,9 @@ def early_stop_stream(log: DataFrame, options: EarlyStopOptions = EarlyStopOptio
     """One row per run at the evaluation that stops it.
 
     Input (run, eval_no, metric) with evaluations numbered from 1, in any order;
-    they are taken in turn, early ones wait in the state. A run has one evaluation
-    per checkpoint interval, and once stopped its state is a single row.
+    they are taken in turn, early ones wait in the state in blocks. A run is followed
+    by one task, which holds its evaluations of one micro-batch as two number arrays:
+    the trigger size of the source bounds them. A stopped run's state is one row.
     """
     run_type = log.schema["run"].dataType.simpleString()
     return (

@@ -39,11 +39,14 @@ def test_loss_rollup_across_batches(spark, tmp_path):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
-def test_early_stop_waits_for_missing_steps(spark, tmp_path):
+@pytest.mark.parametrize("block", [4, 4096])
+def test_early_stop_waits_for_missing_steps(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(log, "EVALUATIONS_PER_BLOCK", block)
     rnd = random.Random(3)
-    runs = {"flat": [1.0] * 12, "rising": [float(i) for i in range(12)], **{f"r{i}": [rnd.random() for _ in range(30)] for i in range(4)}}
+    runs = {"flat": [1.0] * 12, "rising": [float(i) for i in range(12)], **{f"r{i}": [rnd.random() + j * 0.02 for j in range(60)] for i in range(8)}}
     rows = [(r, i, m) for r, ms in runs.items() for i, m in enumerate(ms, 1)]
-    stream = arrivals(spark, rows, "run string, eval_no bigint, metric double", f"{tmp_path}/in", 5)
+    repeated = rows + rows[::7]
+    stream = arrivals(spark, repeated, "run string, eval_no bigint, metric double", f"{tmp_path}/in", 5)
     done = run.materialise(log.early_stop_stream(stream, EarlyStopOptions(4, 0.05)), "test-stop")
     table = spark.createDataFrame(rows, "run string, step bigint, metric double")
     stops = trainlog.early_stop(table, patience=4, threshold=0.05).where("stop_step is not null")
