@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 
 @dataclass(frozen=True)
@@ -50,3 +51,21 @@ class LogOptions:
     save_checkpoint_steps: int = 1000
     train_batch_size: int = 128
     processes: int = 4
+
+
+@dataclass(frozen=True)
+class ReportNames:
+    """The model names in a set of score files; they belong to the study, not to the library.
+
+    ``prefix`` starts the name of each own model; ``excluded`` models stay out of the
+    overall table; each slice lists (model, display name) pairs in display order;
+    ``variants`` gives the display name of each continued-training variant; models
+    ending in ``loan_suffix`` use the tokenizer of ``lender``.
+    """
+
+    prefix: str
+    excluded: Sequence[str] = ()
+    slices: Mapping[str, Sequence[tuple[str, str]]] = field(default_factory=dict)
+    variants: Mapping[str, str] = field(default_factory=dict)
+    loan_suffix: str = "-at-base-nt"
+    lender: str = ""

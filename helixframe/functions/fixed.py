@@ -1,69 +1,11 @@
-"""Names, levels and aliases that results depend on."""
+"""Fixed values that results depend on."""
 
 # Task groups, in display order.
 TASK_GROUPS = ["Chromatin profiles", "Genome origin", "Splicing", "Regulatory elements"]
 
-# Models left out of the overall score table.
-OVERVIEW_EXCLUDED_MODELS = [
-    "seqLens_4096_512_46M-Me",
-    "seqLens_4096_512_46M-Ms",
-    "seqLens_4096_512_46M-Mp",
-    "nt_50_avg",
-    "nt_50_max",
-    "nt_50_conv",
-    "NT-100-LoRA",
-    "seqLens_4096_512_89M-at-base-LoRA",
-]
-
 # Metrics of the overall score table.
 OVERVIEW_METRICS = ["eval_mcc", "eval_accuracy", "eval_f1_score", "eval_samples_per_second"]
 
-# Report slices, each an ordered list of (model name, display name).
-POOLING_SLICE = [
-    ("nucleotide-transformer-v2-50m-multi-species", "[CLS]"),
-    ("nt_50_avg", "Mean"),
-    ("nt_50_max", "Max"),
-    ("nt_50_conv", "Concat"),
-]
-CONTINUAL_SLICE = [
-    ("seqLens_4096_512_46M-Me", "seqLens_4096_512_46M-Me"),
-    ("seqLens_4096_512_46M-Mp", "seqLens_4096_512_46M-Mp"),
-    ("seqLens_4096_512_46M-Ms", "seqLens_4096_512_46M-Ms"),
-    ("seqLens_4096_512_46M", "seqLens_4096_512_46M"),
-]
-ARCHITECTURE_SLICE = [
-    ("seqLens_4096_512_15M", "seqLens_4096_512_15M"),
-    ("seqLens_4096_512_23M-at-xsmall", "seqLens_4096_512_23M-at-xsmall"),
-    ("seqLens_4096_512_27M", "seqLens_4096_512_27M"),
-    ("seqLens_4096_512_46M", "seqLens_4096_512_46M"),
-    ("seqLens_4096_512_47M-at-small", "seqLens_4096_512_47M-at-small"),
-    ("seqLens_4096_512_89M", "seqLens_4096_512_89M"),
-    ("seqLens_4096_512_89M-at-base", "seqLens_4096_512_89M-at-base"),
-]
-FAMILY_SLICE = [
-    ("seqLens_esm_4096_512_55M", "seqLens_esm_4096_512_55M"),
-    ("nucleotide-transformer-v2-50m-multi-species", "NT-50"),
-    ("seqLens_4096_512_47M-at-small", "seqLens_4096_512_47M-at-small"),
-    ("seqLens_esm_4096_512_97M", "seqLens_esm_4096_512_97M"),
-    ("nucleotide-transformer-v2-100m-multi-species", "NT-100"),
-    ("seqLens_4096_512_89M-at-base", "seqLens_4096_512_89M-at-base"),
-    ("seqLens_4096_512_89M-at-base-multi", "seqLens_4096_512_89M-at-base-multi"),
-]
-LORA_SLICE = [
-    ("seqLens_4096_512_89M-at-base", "seqLens_4096_512_89M-at-base"),
-    ("seqLens_4096_512_89M-at-base-LoRA", "seqLens_4096_512_89M-at-base-LoRA"),
-    ("nucleotide-transformer-v2-100m-multi-species", "NT-100"),
-    ("NT-100-LoRA", "NT-100-LoRA"),
-]
-
-# Display name of each continued-training variant.
-VARIANT_ALIASES = {
-    "base": "seqLens_4096_512_46M",
-    "Ms": "seqLens_4096_512_46M-Ms",
-    "Mp": "seqLens_4096_512_46M-Mp",
-    "Me": "seqLens_4096_512_46M-Me",
-}
-
 # Display name of each genome-origin dataset.
 DATASET_ALIASES = {"plasmid_detection": "Plasmid", "four_kingdoms": "Four kingdom"}
 
@@ -74,9 +16,8 @@ KINGDOM_LABELS = {0: "Virus", 1: "Bacteria", 2: "Eukaryote", 3: "Archaea"}
 # Tokens marked in the token map.
 HIGHLIGHT_TOKENS = ["aaagaa", "gaagcga", "gacgacca"]
 
-# Tokenizer source of the one model that borrows another's.
-BORROWED_TOKENIZER_SUFFIX = "-at-base-nt"
-BORROWED_TOKENIZER_MODEL = "seqLens_4096_512_89M-at-base"
+# Continued-training variants in display order, the base last.
+VARIANTS = ["Me", "Mp", "Ms", "base"]
 
 # Special token ids and the nucleotide order of the k-mer codes.
 PAD, UNK, CLS, SEP, MASK = 0, 1, 2, 3, 4

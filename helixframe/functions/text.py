@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helixframe.functions import fixed
-
 
 def replace_in_order(text: Column, steps: Sequence[tuple[str, str]]) -> Column:
     """Literal replacements, each applied to the outcome of the one before."""
@@ -60,18 +58,19 @@ def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def model_family(model: Column) -> Column:
+def model_family(model: Column, prefix: str) -> Column:
+    """Architecture by name; ``prefix`` starts the name of each own model, others are NT."""
     return (
         F.when(model.isNull(), F.lit(None).cast("string"))
-        .when(~model.startswith("seqLens"), "NT")
+        .when(~model.startswith(prefix), "NT")
         .when(model.contains("esm"), "ESM")
         .otherwise("DeBERTa")
     )
 
 
-def model_size_million(model: Column) -> Column:
+def model_size_million(model: Column, prefix: str) -> Column:
     """Two or three digits in front of ``M`` in the size part of a model name, as double."""
-    family = model_family(model)
+    family = model_family(model, prefix)
     size_part = (
         F.when(family == "DeBERTa", nth_part(model, "_", 3))
         .when(family == "ESM", nth_part(model, "_", 4))
@@ -80,8 +79,8 @@ def model_size_million(model: Column) -> Column:
     return safe_double(first_match(size_part, r"^\d{2,3}(?=M)"))
 
 
-def model_vocab_size(model: Column) -> Column:
-    family = model_family(model)
+def model_vocab_size(model: Column, prefix: str) -> Column:
+    family = model_family(model, prefix)
     part = (
         F.when(family == "DeBERTa", nth_part(model, "_", 1))
         .when(family == "ESM", nth_part(model, "_", 2))
@@ -109,11 +108,9 @@ def step_from_name(name: Column) -> Column:
     return F.regexp_extract(name, r"^step_(\d+)$", 1).try_cast("bigint")
 
 
-def tokenizer_source(model: Column) -> Column:
-    """Model whose tokenizer is used: one suffix borrows another model's."""
-    return F.when(
-        model.endswith(fixed.BORROWED_TOKENIZER_SUFFIX), F.lit(fixed.BORROWED_TOKENIZER_MODEL)
-    ).otherwise(model)
+def tokenizer_source(model: Column, loan_suffix: str, lender: str) -> Column:
+    """Model whose tokenizer is used: those with the suffix borrow the lender's."""
+    return F.when(model.endswith(loan_suffix), F.lit(lender)).otherwise(model)
 
 
 def result_file_name(model: Column, dataset: Column, lora: Column | None = None) -> Column:

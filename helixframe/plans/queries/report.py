@@ -30,11 +30,11 @@ _CLEAN = {
         {_CLEAN_NAME} AS dataset FROM results WHERE dataset <> 'promoter_tata'"""
 }
 
-_PARTS = """CASE WHEN model NOT LIKE 'seqLens%' THEN 'NT' WHEN model LIKE '%esm%' THEN 'ESM' ELSE 'DeBERTa' END AS model_type,
-    TRY_CAST(regexp_extract(CASE WHEN model NOT LIKE 'seqLens%' THEN upper(str_split(model, '-')[4])
+_PARTS = """CASE WHEN model NOT LIKE 'seqm%' THEN 'NT' WHEN model LIKE '%esm%' THEN 'ESM' ELSE 'DeBERTa' END AS model_type,
+    TRY_CAST(regexp_extract(CASE WHEN model NOT LIKE 'seqm%' THEN upper(str_split(model, '-')[4])
         WHEN model LIKE '%esm%' THEN str_split(model, '_')[5] ELSE str_split(model, '_')[4] END,
         '^(\\d{2,3})M', 1) AS DOUBLE) AS model_info,
-    TRY_CAST(CASE WHEN model NOT LIKE 'seqLens%' THEN '4096'
+    TRY_CAST(CASE WHEN model NOT LIKE 'seqm%' THEN '4096'
         WHEN model LIKE '%esm%' THEN str_split(model, '_')[3] ELSE str_split(model, '_')[2] END AS DOUBLE) AS vocab_size"""
 
 
@@ -66,7 +66,7 @@ def task_group(spark, folder):
 
 @query("model_id_parse", sql(f"SELECT DISTINCT model, {_PARTS} FROM results"))
 def model_id_parse(spark, folder):
-    return report.with_model_parts(views.results(spark, folder).select("model").distinct())
+    return report.with_model_parts(views.results(spark, folder).select("model").distinct(), views.NAMES)
 
 
 @query(
@@ -75,12 +75,12 @@ def model_id_parse(spark, folder):
         f"""SELECT *, {_PARTS} FROM (
             SELECT model, dataset, evaluation_set, metric, group_data, round({_STRICT_MEAN}, 6) AS avg_score
             FROM clean WHERE metric IN ({_names(fixed.OVERVIEW_METRICS)})
-              AND model NOT IN ({_names(fixed.OVERVIEW_EXCLUDED_MODELS)}) GROUP BY ALL)""",
+              AND model NOT IN ({_names(views.NAMES.excluded)}) GROUP BY ALL)""",
         **_CLEAN,
     ),
 )
 def score_mean(spark, folder):
-    return rounded(report.overview(_clean(spark, folder)), "avg_score")
+    return rounded(report.overview(_clean(spark, folder), views.NAMES), "avg_score")
 
 
 @query(
@@ -178,11 +178,8 @@ def _register_slice(name: str, models) -> None:
         return rounded(report.slice_throughput(sliced), "score_mean", "se", "ymin", "ymax")
 
 
-_register_slice("pooling_heads", fixed.POOLING_SLICE)
-_register_slice("continual", fixed.CONTINUAL_SLICE)
-_register_slice("architecture", fixed.ARCHITECTURE_SLICE)
-_register_slice("family", fixed.FAMILY_SLICE)
-_register_slice("lora_vs_full", fixed.LORA_SLICE)
+for _name, _models in views.NAMES.slices.items():
+    _register_slice(_name, _models)
 
 
 @query(
@@ -204,7 +201,7 @@ def generalisation_gap(spark, folder):
 
 _PLAIN = _CLEAN | {
     "plain": f"""SELECT *, {_PARTS} FROM clean
-        WHERE model LIKE '%seqLens%' AND model NOT LIKE '%esm%' AND NOT regexp_matches(model, 'at|M-M')""",
+        WHERE model LIKE '%seqm%' AND model NOT LIKE '%esm%' AND NOT regexp_matches(model, 'at|M-M')""",
     "ranks": """SELECT vocab_size, model_info,
         CASE WHEN model_info IS NOT NULL THEN (rank() OVER (PARTITION BY vocab_size ORDER BY model_info NULLS LAST))::DOUBLE END AS rank
         FROM (SELECT DISTINCT vocab_size, model_info FROM plain)""",
@@ -221,7 +218,7 @@ _PLAIN = _CLEAN | {
     ),
 )
 def size_rank_join(spark, folder):
-    ranked = report.size_ranked(_clean(spark, folder))
+    ranked = report.size_ranked(_clean(spark, folder), views.NAMES)
     return stats.group_counts(ranked, ["model", "vocab_size", "model_info", "rank"])
 
 
@@ -238,7 +235,7 @@ def size_rank_join(spark, folder):
 )
 def size_rank_throughput(spark, folder):
     """The throughput tables of the three smallest sizes, in one pass."""
-    ranked = report.size_ranked(_clean(spark, folder))
+    ranked = report.size_ranked(_clean(spark, folder), views.NAMES)
     chosen = ranked.where(F.col("rank").isin(1.0, 2.0, 3.0) & (F.col("metric") == report.THROUGHPUT))
     table = stats.mean_and_error(chosen, ["rank", "model", "dataset", "metric", "group_data"])
     return rounded(table, "score_mean", "se", "ymin", "ymax")

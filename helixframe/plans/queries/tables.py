@@ -61,7 +61,7 @@ def value_map(spark, folder):
         """SELECT event_id, model, metric FROM results
            WHERE metric IN ('eval_mcc', 'eval_accuracy')
              AND model NOT IN ('nt_50_avg', 'nt_50_max') AND dataset <> 'promoter_tata'
-             AND model LIKE '%seqLens%' AND model NOT LIKE '%esm%'
+             AND model LIKE '%seqm%' AND model NOT LIKE '%esm%'
              AND score > 0 AND score < 0.5"""
     ),
 )
@@ -72,7 +72,7 @@ def filters_in_notin(spark, folder):
             tables.is_in("metric", ["eval_mcc", "eval_accuracy"])
             & tables.not_in("model", ["nt_50_avg", "nt_50_max"])
             & (F.col("dataset") != "promoter_tata")
-            & F.col("model").rlike("seqLens")
+            & F.col("model").rlike("seqm")
             & ~F.col("model").rlike("esm")
             & tables.open_range("score", 0, 0.5)
         )
@@ -229,7 +229,7 @@ def concat_rows(spark, folder):
                   model || '_results_' || dataset AS run_name,
                   str_split('out/results/' || model || '_results_' || dataset || '.csv', '/')[-1] AS last_part,
                   model || '_results_' || dataset AS stem,
-                  CASE WHEN model LIKE '%-at-base-nt' THEN 'seqLens_4096_512_89M-at-base' ELSE model END AS source,
+                  CASE WHEN model LIKE '%-at-base-nt' THEN 'seqm_4096_512_89M-at-base' ELSE model END AS source,
                   CASE WHEN score IS NOT NULL THEN printf('%.1f%%', score * 100) END AS pct,
                   CASE WHEN score IS NOT NULL THEN printf('%.3f', score) END AS shown, round(score, 1) + 0::DOUBLE AS one_digit,
                   round(exp(score), 6) AS e, round(pow(score, 2), 6) AS sq,
@@ -251,7 +251,7 @@ def string_kit(spark, folder):
         run_name.alias("run_name"),
         text.last_path_part(path).alias("last_part"),
         text.file_stem(path).alias("stem"),
-        text.tokenizer_source(model).alias("source"),
+        text.tokenizer_source(model, views.NAMES.loan_suffix, views.NAMES.lender).alias("source"),
         shown(text.percent(score, 1)).alias("pct"),
         shown(text.fixed_point(score, 3)).alias("shown"),
         F.round(score, 1).alias("one_digit"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.functions import fixed
 from helixframe.operators import embedding, pooling, tables
 from helixframe.plans import report, views
 from helixframe.plans.registry import query
@@ -154,7 +153,7 @@ def token_cosine(spark, folder):
     return rounded(embedding.drift_wide(long, VARIANTS), *VARIANTS)
 
 
-_SHOWN = "CASE model " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.VARIANT_ALIASES.items()) + " END"
+_SHOWN = "CASE model " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in views.NAMES.variants.items()) + " END"
 
 
 @query(
@@ -162,11 +161,8 @@ _SHOWN = "CASE model " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.VAR
     sql(f"SELECT token, {_SHOWN} AS model, round(sqrt(d2), 6) AS value FROM pairs", pairs=_PAIRS),
 )
 def drift_long(spark, folder):
-    from helixframe.functions.text import alias
-
     wide = embedding.drift_wide(embedding.drift(views.tokens(spark, folder), "l2"), VARIANTS)
-    long = tables.wide_to_long(wide, ["token"], VARIANTS, "model", "value")
-    return rounded(long.withColumn("model", alias(F.col("model"), fixed.VARIANT_ALIASES)), "value")
+    return rounded(report.drift_long(wide, views.NAMES, ["token"]), "value")
 
 
 _FENCE = "b1 - 1.5 * (b3 - b1) AND b3 + 1.5 * (b3 - b1)"
@@ -188,7 +184,7 @@ _FENCE = "b1 - 1.5 * (b3 - b1) AND b3 + 1.5 * (b3 - b1)"
 def drift_boxes(spark, folder):
     long = embedding.drift(views.tokens(spark, folder), "l2")
     wide = embedding.drift_wide(rounded(long, "value", digits=9), VARIANTS)
-    return rounded(report.drift_boxes(wide), "q1", "median", "q3", "whisker_low", "whisker_high")
+    return rounded(report.drift_boxes(wide, views.NAMES), "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
 @query(
@@ -204,4 +200,4 @@ def token_xy_lengths(spark, folder):
     rows = views.tokens(spark, folder).where(tables.open_range("token_length", 5, 9)).select(
         "vec_id", "token", "model", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y")
     )
-    return rounded(report.token_map(rows), "x", "y")
+    return rounded(report.token_map(rows, views.NAMES), "x", "y")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.config import ReportNames
 from helixframe.functions import fixed, text
 from helixframe.operators import stats, tables
 from helixframe.session import settle
@@ -24,14 +25,14 @@ def clean_results(results: DataFrame, excluded_dataset: str = "promoter_tata") -
     )
 
 
-def with_model_parts(df: DataFrame, model: str = "model") -> DataFrame:
+def with_model_parts(df: DataFrame, names: ReportNames, model: str = "model") -> DataFrame:
     """Family, size in million parameters and vocabulary size of each model name."""
     name = F.col(model)
     return df.withColumns(
         {
-            "model_type": text.model_family(name),
-            "model_info": text.model_size_million(name),
-            "vocab_size": text.model_vocab_size(name),
+            "model_type": text.model_family(name, names.prefix),
+            "model_info": text.model_size_million(name, names.prefix),
+            "vocab_size": text.model_vocab_size(name, names.prefix),
         }
     )
 
@@ -47,26 +48,26 @@ def gap_table(clean: DataFrame, metric: str = DEFAULT_METRIC) -> DataFrame:
     return tables.generalisation_gap(wide)
 
 
-def overview(clean: DataFrame) -> DataFrame:
+def overview(clean: DataFrame, names: ReportNames) -> DataFrame:
     """Mean scores of the compared models with their parsed names."""
     kept = clean.where(
         tables.is_in("metric", fixed.OVERVIEW_METRICS)
-        & tables.not_in("model", fixed.OVERVIEW_EXCLUDED_MODELS)
+        & tables.not_in("model", names.excluded)
     )
     means = stats.grouped_mean(kept, ["model", "dataset", "evaluation_set", "metric", "group_data"])
-    return with_model_parts(means)
+    return with_model_parts(means, names)
 
 
-def size_ranked(clean: DataFrame) -> DataFrame:
+def size_ranked(clean: DataFrame, names: ReportNames) -> DataFrame:
     """Plain models with the rank of their size among those of equal vocabulary.
 
     The ranked table holds one row per (vocabulary, size), not one per score; a job
     settles it before it is joined to the scores.
     """
     plain = clean.where(
-        F.col("model").rlike("seqLens") & ~F.col("model").rlike("esm") & ~F.col("model").rlike("at|M-M")
+        F.col("model").contains(names.prefix) & ~F.col("model").contains("esm") & ~F.col("model").rlike("at|M-M")
     )
-    parsed = with_model_parts(plain)
+    parsed = with_model_parts(plain, names)
     sizes = parsed.select("vocab_size", "model_info").distinct()
     ranks = stats.average_rank(sizes, ["vocab_size"], "model_info")
     return tables.left_join_nulls_match(parsed, settle(ranks), ["model_info", "vocab_size"])
@@ -99,22 +100,26 @@ def slice_throughput(sliced: DataFrame) -> DataFrame:
     return stats.mean_and_error(sliced.where(F.col("metric") == THROUGHPUT), SLICE_KEYS)
 
 
-def token_map(points: DataFrame) -> DataFrame:
+def token_map(points: DataFrame, names: ReportNames) -> DataFrame:
     """Token coordinates with token length, display name and a mark for chosen tokens."""
-    names = fixed.VARIANT_ALIASES
+    shown = [names.variants[v] for v in fixed.VARIANTS]
     return (
         points.withColumn("token_len", F.char_length("token"))
-        .withColumn("model", text.alias(F.col("model"), names))
-        .withColumn("ord", tables.level_order("model", [names[v] for v in ("Me", "Mp", "Ms", "base")]))
+        .withColumn("model", text.alias(F.col("model"), names.variants))
+        .withColumn("ord", tables.level_order("model", shown))
         .withColumn("marked", tables.is_in("token", fixed.HIGHLIGHT_TOKENS))
     )
 
 
-def drift_boxes(drift_wide: DataFrame, variants: Sequence[str] = ("Ms", "Mp", "Me")) -> DataFrame:
+def drift_long(wide: DataFrame, names: ReportNames, keys: Sequence[str] = ()) -> DataFrame:
+    """Token drift with one row per token and variant, variants by display name."""
+    long = tables.wide_to_long(wide, keys, fixed.VARIANTS[:-1], "model", "value")
+    return long.withColumn("model", text.alias(F.col("model"), names.variants))
+
+
+def drift_boxes(wide: DataFrame, names: ReportNames) -> DataFrame:
     """Distribution of token drift per variant, from one column per variant."""
-    long = tables.wide_to_long(drift_wide.drop("token"), [], variants, "model", "value")
-    named = long.withColumn("model", text.alias(F.col("model"), fixed.VARIANT_ALIASES))
-    return stats.box_stats(named, ["model"], "value")
+    return stats.box_stats(drift_long(wide.drop("token"), names), ["model"], "value")
 
 
 def facets(points: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.config import ReportNames
 from helixframe.functions.hashing import uniform
 from helixframe.functions.vector import as_double
 from helixframe.operators.folds import assign_folds
@@ -19,25 +20,25 @@ from helixframe.operators.ordering import int_block, row_index
 
 FOLD_SEED, PRED_SEED, SHUFFLE_SEED, MASK_SEED = 123, 7, 42, 1
 
-# Model and dataset names the score rows are spread over.
+# Stand-in model and dataset names, in the shape that score files use.
 MODELS = [
-    "seqLens_4096_512_15M",
-    "seqLens_4096_512_27M",
-    "seqLens_4096_512_46M",
-    "seqLens_4096_512_89M",
-    "seqLens_4096_512_89M-at-base",
-    "seqLens_4096_512_46M-Ms",
-    "seqLens_4096_512_46M-Me",
-    "seqLens_8192_512_17M",
-    "seqLens_8192_512_30M",
-    "seqLens_16384_512_22M",
-    "seqLens_esm_4096_512_55M",
-    "seqLens_esm_4096_512_97M",
+    "seqm_4096_512_15M",
+    "seqm_4096_512_27M",
+    "seqm_4096_512_46M",
+    "seqm_4096_512_89M",
+    "seqm_4096_512_89M-at-base",
+    "seqm_4096_512_46M-Ms",
+    "seqm_4096_512_46M-Me",
+    "seqm_8192_512_17M",
+    "seqm_8192_512_30M",
+    "seqm_16384_512_22M",
+    "seqm_esm_4096_512_55M",
+    "seqm_esm_4096_512_97M",
     "nucleotide-transformer-v2-50m-multi-species",
     "nucleotide-transformer-v2-100m-multi-species",
     "nt_50_avg",
     "nt_50_max",
-    "seqLens_4096",
+    "seqm_4096",
 ]
 DATASETS = [
     "H3K4me1",
@@ -48,6 +49,48 @@ DATASETS = [
     "plasmid_detection",
     "four_kingdoms",
 ]
+NAMES = ReportNames(
+    prefix="seqm",
+    excluded=("seqm_4096_512_46M-Me", "seqm_4096_512_46M-Ms", "nt_50_avg", "nt_50_max"),
+    slices={
+        "pooling_heads": [
+            ("nucleotide-transformer-v2-50m-multi-species", "[CLS]"),
+            ("nt_50_avg", "Mean"),
+            ("nt_50_max", "Max"),
+        ],
+        "continual": [
+            ("seqm_4096_512_46M-Me", "seqm_4096_512_46M-Me"),
+            ("seqm_4096_512_46M-Ms", "seqm_4096_512_46M-Ms"),
+            ("seqm_4096_512_46M", "seqm_4096_512_46M"),
+        ],
+        "architecture": [
+            ("seqm_4096_512_15M", "seqm_4096_512_15M"),
+            ("seqm_4096_512_27M", "seqm_4096_512_27M"),
+            ("seqm_4096_512_46M", "seqm_4096_512_46M"),
+            ("seqm_4096_512_89M", "seqm_4096_512_89M"),
+            ("seqm_4096_512_89M-at-base", "seqm_4096_512_89M-at-base"),
+        ],
+        "family": [
+            ("seqm_esm_4096_512_55M", "seqm_esm_4096_512_55M"),
+            ("nucleotide-transformer-v2-50m-multi-species", "NT-50"),
+            ("seqm_esm_4096_512_97M", "seqm_esm_4096_512_97M"),
+            ("nucleotide-transformer-v2-100m-multi-species", "NT-100"),
+            ("seqm_4096_512_89M-at-base", "seqm_4096_512_89M-at-base"),
+        ],
+        "lora_vs_full": [
+            ("seqm_4096_512_89M-at-base", "seqm_4096_512_89M-at-base"),
+            ("nucleotide-transformer-v2-100m-multi-species", "NT-100"),
+            ("NT-100-LoRA", "NT-100-LoRA"),
+        ],
+    },
+    variants={
+        "base": "seqm_4096_512_46M",
+        "Ms": "seqm_4096_512_46M-Ms",
+        "Mp": "seqm_4096_512_46M-Mp",
+        "Me": "seqm_4096_512_46M-Me",
+    },
+    lender="seqm_4096_512_89M-at-base",
+)
 METRICS = ["eval_mcc", "eval_accuracy", "eval_f1_score", "eval_samples_per_second"]
 
 

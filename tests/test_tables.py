@@ -24,17 +24,17 @@ def test_dataset_names(spark):
 
 
 def test_model_names(spark):
-    names = ["seqLens_4096_512_46M", "seqLens_8192_512_111M", "seqLens_4096_512_46M-Ms", "seqLens_4096_512_89M-at-base-multi",
-             "seqLens_esm_4096_512_97M", "nucleotide-transformer-v2-100m-multi-species", "nt_50_avg", "seqLens_4096", None]
-    assert texts(spark, text.model_family, *names) == ["DeBERTa"] * 4 + ["ESM", "NT", "NT", "DeBERTa", None]
-    assert texts(spark, text.model_size_million, *names) == [46.0, 111.0, 46.0, 89.0, 97.0, 100.0, None, None, None]
-    assert texts(spark, text.model_vocab_size, *names) == [4096.0, 8192.0, 4096.0, 4096.0, 4096.0, 4096.0, 4096.0, 4096.0, None]
+    names = ["seqm_4096_512_46M", "seqm_8192_512_111M", "seqm_4096_512_46M-Ms", "seqm_4096_512_89M-at-base-multi",
+             "seqm_esm_4096_512_97M", "nucleotide-transformer-v2-100m-multi-species", "nt_50_avg", "seqm_4096", None]
+    assert texts(spark, lambda x: text.model_family(x, "seqm"), *names) == ["DeBERTa"] * 4 + ["ESM", "NT", "NT", "DeBERTa", None]
+    assert texts(spark, lambda x: text.model_size_million(x, "seqm"), *names) == [46.0, 111.0, 46.0, 89.0, 97.0, 100.0, None, None, None]
+    assert texts(spark, lambda x: text.model_vocab_size(x, "seqm"), *names) == [4096.0, 8192.0, 4096.0, 4096.0, 4096.0, 4096.0, 4096.0, 4096.0, None]
 
 
 def test_path_and_step_names(spark):
     assert texts(spark, text.file_stem, "a/b/c.d.csv", "plain", "x/step_10") == ["c.d", "plain", "step_10"]
     assert texts(spark, text.step_from_name, "step_123", "last", "step_", None) == [123, None, None, None]
-    assert texts(spark, text.tokenizer_source, "m-at-base-nt", "m-at-base") == [fixed.BORROWED_TOKENIZER_MODEL, "m-at-base"]
+    assert texts(spark, lambda x: text.tokenizer_source(x, "-at-base-nt", "big"), "m-at-base-nt", "m-at-base") == ["big", "m-at-base"]
     assert texts(spark, lambda x: text.percent(x.cast("double"), 1), "0.1234") == ["12.3%"]
     assert texts(spark, lambda x: text.safe_double(x), "1.5", "no", None) == [1.5, None, None]
 
