@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.vector import choose_two, log_factorial
 from helixframe.operators.tables import clamp_negative, wide_to_long
+from helixframe.session import settle
 
 SCORES = ["ARI", "AMI", "NID", "NMI"]
 _CHUNK = 1 << 16
@@ -128,10 +129,11 @@ def agreement(
     """ARI, AMI, NID and NMI of two clusterings per group (at least one key).
 
     NID is 1 - MI / max entropy. ``reference_compat`` puts the AMI into the NID
-    column, as published tables had it.
+    column, as published tables had it. The rows are read once, in the job that
+    settles the contingency table; all else works on that.
     """
     keys = list(keys)
-    cells = contingency(df, keys, a, b)
+    cells = settle(contingency(df, keys, a, b))
     margins = _margins(cells, keys)
     sums = _sums(cells, margins, keys)
     out = sums.join(expected_mutual_information(margins, keys, sums), keys, "left")

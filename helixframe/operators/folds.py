@@ -20,7 +20,13 @@ def assign_folds(
     """
     hashed = df.withColumn("_hash", digest("fold", seed, *by, key))
     indexed = row_index(
-        hashed, ["_hash", key], hash_block(F.col("_hash")), keys=by, name="_idx", total="_total"
+        hashed,
+        ["_hash", key],
+        hash_block(F.col("_hash")),
+        keys=by,
+        name="_idx",
+        total="_total",
+        few_blocks=True,
     )
     size = F.floor(F.col("_total") / k)
     larger = F.col("_total") % k

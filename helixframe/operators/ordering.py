@@ -58,35 +58,42 @@ def with_carry(
     return df.join(blocks, [*keys, BLOCK])
 
 
-def _block_offsets(counts: DataFrame, keys: Sequence[str], total: str | None) -> DataFrame:
+def _block_offsets(
+    counts: DataFrame, keys: Sequence[str], total: str | None, few_blocks: bool
+) -> DataFrame:
     """Rows of the key in earlier blocks, as (keys, block, _offset).
 
-    Blocks are added up inside groups of 2^20 blocks and those groups among
-    themselves. For blocks of 2^20 ids the second window sees at most 2^24 groups
-    however sparse 64-bit ids are.
+    A ``few_blocks`` order has at most some ten thousand blocks per key, which one
+    window adds up. Otherwise blocks are added up inside groups of 2^20 blocks and
+    those groups among themselves: for blocks of 2^20 ids the second window sees
+    at most 2^24 groups however sparse 64-bit ids are.
     """
+    whole = Window.partitionBy(*keys)
+    past = (Window.unboundedPreceding, -1)
+    if few_blocks:
+        added = counts.withColumn("_offset", _sum_or_zero("_n", whole.orderBy(BLOCK).rowsBetween(*past)))
+        return (added.withColumn(total, F.sum("_n").over(whole)) if total else added).drop("_n")
     grouped = counts.withColumn("_group", F.col(BLOCK).bitwiseAND(~_GROUP_MASK))
-    inside = (
-        Window.partitionBy(*keys, "_group")
-        .orderBy(BLOCK)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    across = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_group").orderBy(BLOCK).rowsBetween(*past)
     groups = (
         grouped.groupBy(*keys, "_group")
         .agg(F.sum("_n").alias("_group_n"))
-        .withColumn("_before", F.coalesce(F.sum("_group_n").over(across), F.lit(0)))
+        .withColumn("_before", _sum_or_zero("_group_n", whole.orderBy("_group").rowsBetween(*past)))
     )
     if total:
-        groups = groups.withColumn(total, F.sum("_group_n").over(Window.partitionBy(*keys)))
+        groups = groups.withColumn(total, F.sum("_group_n").over(whole))
     return (
-        grouped.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        grouped.withColumn("_inside", _sum_or_zero("_n", inside))
         .join(groups, [*keys, "_group"])
         .withColumn("_offset", F.col("_before") + F.col("_inside"))
         .drop("_n", "_group", "_group_n", "_before", "_inside")
     )
 
 
+def _sum_or_zero(column: str, window) -> Column:
+    return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+
 def row_index(
     df: DataFrame,
     order: Sequence[str | Column],
@@ -94,23 +101,23 @@ def row_index(
     keys: Sequence[str] = (),
     name: str = "row_idx",
     total: str | None = None,
-    keep_block: bool = False,
+    few_blocks: bool = False,
 ) -> DataFrame:
     """Exact 0-based position in ``order``, per ``keys`` or over the whole table.
 
-    ``total`` also adds the row count of the key. Rows move once, to their
-    (keys, block); everything else happens on block counts.
+    ``total`` also adds the row count of the key; ``few_blocks`` says that ``block``
+    is a hash block. Rows move once, to their (keys, block); everything else
+    happens on block counts.
     """
     blocked = df.withColumn(BLOCK, block)
     counts = blocked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    out = (
+    return (
         blocked.withColumn("_local", F.row_number().over(inside) - 1)
-        .join(_block_offsets(counts, keys, total), [*keys, BLOCK])
+        .join(_block_offsets(counts, keys, total, few_blocks), [*keys, BLOCK])
         .withColumn(name, F.col("_offset") + F.col("_local"))
-        .drop("_local", "_offset")
+        .drop(BLOCK, "_local", "_offset")
     )
-    return out if keep_block else out.drop(BLOCK)
 
 
 def previous_value(
@@ -135,7 +142,7 @@ def previous_value(
 def shuffled_index(df: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
     """Position of every row in a seeded random order of the whole table."""
     hashed = df.withColumn("_hash", digest("shuffle", seed, key))
-    return row_index(hashed, ["_hash", key], hash_block(F.col("_hash")), name=name).drop("_hash")
+    return row_index(hashed, ["_hash", key], hash_block(F.col("_hash")), name=name, few_blocks=True).drop("_hash")
 
 
 def buffered_shuffle(

@@ -17,6 +17,7 @@ from helixframe.functions.hashing import uniform
 from helixframe.functions.vector import as_double
 from helixframe.operators.folds import assign_folds
 from helixframe.operators.ordering import int_block, row_index
+from helixframe.session import spread
 
 FOLD_SEED, PRED_SEED, SHUFFLE_SEED, MASK_SEED = 123, 7, 42, 1
 
@@ -103,7 +104,8 @@ def _pick(names: list[str], index):
 
 
 def seqs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    return spread(documents, "doc_id").select(
         "doc_id", "lang", "source", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("sequence")
     )
 

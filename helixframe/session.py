@@ -69,3 +69,17 @@ def settle(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a table that was read in fewer splits than there are cores.
+
+    For row-wise work that costs far more than moving the rows, such as tokenising.
+    A table in fewer splits is at most cores x ``maxPartitionBytes`` large, so what
+    is moved is bounded; a larger one is left as it is. ``table`` is a plain scan:
+    its splits are counted without running a job.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, key)
