@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.vector import as_double
-from helixframe.operators.tables import concat_rows
 
 
 def pool(
@@ -68,17 +65,14 @@ def pool(
 
 def labelled_vectors(pooled: DataFrame, model_type: str, labels: DataFrame, seq: str = "seq_id") -> DataFrame:
     """One row per sequence and vector type, tagged with model type and label."""
-    joined = pooled.join(labels.select(seq, "label"), seq, "left")
-    parts: Sequence[tuple[str, str]] = (("Mean", "mean_vec"), ("Max", "max_vec"), ("CLS", "cls_vec"))
-    return concat_rows(
+    kinds = F.array(
         *[
-            joined.select(
-                seq,
-                F.col(column).alias("vec"),
-                F.lit(name).alias("vec_type"),
-                F.lit(model_type).alias("model_type"),
-                "label",
-            )
-            for name, column in parts
+            F.struct(F.col(column).alias("vec"), F.lit(name).alias("vec_type"))
+            for name, column in (("Mean", "mean_vec"), ("Max", "max_vec"), ("CLS", "cls_vec"))
         ]
     )
+    return (
+        pooled.join(labels.select(seq, "label"), seq, "left")
+        .select(seq, "label", F.inline(kinds))
+        .withColumn("model_type", F.lit(model_type))
+    )

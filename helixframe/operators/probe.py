@@ -17,6 +17,7 @@ from helixframe.operators.corpus import kmer_tokens
 from helixframe.operators.folds import assign_folds, fold_train, fold_validation
 from helixframe.operators.metrics import evaluate, result_rows
 from helixframe.operators.tables import concat_rows
+from helixframe.session import settle
 
 METRICS = ["accuracy", "f1_score", "mcc"]
 
@@ -65,7 +66,7 @@ def cross_validate(
             models[k] = LogisticRegression(maxIter=max_iter, regParam=reg).fit(fold_train(folded, k))
             parts.append(_predict(models[k], fold_validation(folded, k), key, "fold"))
         predictions = reduce(lambda a, b: a.unionByName(b), parts)
-        bundle = evaluate(predictions, ["fold"])
+        bundle = settle(evaluate(predictions, ["fold"]))
         scored = {r["fold"]: r[options.select_by] for r in bundle.collect()}
     finally:
         folded.unpersist()
@@ -75,7 +76,8 @@ def cross_validate(
     model, data = F.lit(model_name), F.lit(dataset)
     rows = result_rows(bundle, METRICS, "validation", model, data)
     if chosen is not None:
-        tested = evaluate(_predict(models[chosen], test, key).withColumn("fold", F.lit(chosen)), ["fold"])
+        scored_test = _predict(models[chosen], test, key).withColumn("fold", F.lit(chosen))
+        tested = settle(evaluate(scored_test, ["fold"]))
         rows = concat_rows(rows, result_rows(tested, METRICS, "test", model, data))
     return ProbeResult(predictions, rows, chosen, models.get(chosen))
 

@@ -95,7 +95,7 @@ def scan_split(spark, folder):
         F.col("lang").alias("dataset"),
         F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"),
     )
-    files.write_partitioned(rows, root, "dataset", "split")
+    files.write_partitioned(rows, root, "dataset", "split", rebalance=True)
     return files.read_split(spark, root, "fr", "train")
 
 

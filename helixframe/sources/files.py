@@ -86,10 +86,11 @@ def read_results(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def finished_runs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """The (model, dataset) pairs that have a result file."""
-    path = F.col("_metadata.file_path")
+    """The (model, dataset) pairs that have a result file; the files are listed, not read."""
+    path = F.col("path")
     return (
-        spark.read.text(paths)
+        spark.read.format("binaryFile")
+        .load(paths)
         .select(
             F.regexp_extract(path, RESULT_FILE, 2).alias("model"),
             F.regexp_extract(path, RESULT_FILE, 3).alias("dataset"),
@@ -121,12 +122,17 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=sep, nullValue="NA")
 
 
-def write_partitioned(df: DataFrame, path: str, *columns: str, rows_per_file: int = 0) -> None:
+def write_partitioned(
+    df: DataFrame, path: str, *columns: str, rows_per_file: int = 0, rebalance: bool = False
+) -> None:
     """Parquet with one folder per value; a rerun replaces only the folders it writes.
 
-    Rows go to files as the tasks hold them, without a shuffle on the partition
-    columns, so a value with a third of all rows is still written by many tasks.
+    As it is, rows go to files as the tasks hold them: no shuffle, but up to one file
+    per task and value. ``rebalance`` shuffles rows into files of even size first;
+    adaptive execution splits a value with a large share of the rows over many tasks.
     """
+    if rebalance:
+        df = df.hint("rebalance", *columns)
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns)
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
