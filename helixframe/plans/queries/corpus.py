@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.config import CorpusOptions
 from helixframe.functions import fixed
 from helixframe.operators import corpus, ordering
-from helixframe.plans import views
+from helixframe.plans import flows, views
 from helixframe.plans.registry import query
 from helixframe.plans.views import sql
 
@@ -126,6 +127,48 @@ def mlm_mask(spark, folder):
     return masked.select("doc_id", _joined("input_ids"), _joined("labels"))
 
 
+def _flow_sql(batches: str) -> str:
+    padded = f"list_concat({{ids}}, list_transform(range(512 - len({{ids}})), lambda x: {{fill}}))"
+    ids, labels = padded.format(ids="input_ids", fill=0), padded.format(ids="labels", fill=-100)
+    return f"""SELECT doc_id, batch_id, array_to_string({ids}, ',') AS input_ids, array_to_string({labels}, ',') AS labels
+               FROM masked JOIN ({batches}) USING (doc_id)"""
+
+
+@query(
+    "training_batches",
+    sql(
+        _flow_sql(
+            f"""SELECT doc_id, (buffer * 256 + row_number() OVER (PARTITION BY buffer
+                       ORDER BY md5('shuffle:{views.MASK_SEED}:' || doc_id), doc_id) - 1) // 16 AS batch_id
+                FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 256 AS buffer FROM documents)"""
+        ),
+        **_mask_sql(),
+    ),
+)
+def training_batches(spark, folder):
+    """Tokenise, pad, shuffle in buffers, mask and batch the whole corpus."""
+    options = CorpusOptions(shuffle_buffer=256, train_batch_size=16, seed=views.MASK_SEED)
+    rows = flows.training_batches(views.seqs(spark, folder).select("doc_id", "sequence"), "doc_id", options)
+    return rows.select("doc_id", "batch_id", _joined("input_ids"), _joined("labels"))
+
+
+@query(
+    "evaluation_batches",
+    sql(
+        _flow_sql(
+            """SELECT * FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM documents)
+               WHERE batch_id <= 7"""
+        ),
+        **_mask_sql(),
+    ),
+)
+def evaluation_batches(spark, folder):
+    """Evaluation inputs in table order, capped at 7 steps, which keeps eight batches."""
+    options = CorpusOptions(valid_batch_size=16, max_eval_steps=7, seed=views.MASK_SEED)
+    rows = flows.evaluation_batches(views.seqs(spark, folder).select("doc_id", "sequence"), "doc_id", options)
+    return rows.select("doc_id", "batch_id", _joined("input_ids"), _joined("labels"))
+
+
 @query(
     "det_shuffle",
     sql(f"SELECT doc_id, row_number() OVER (ORDER BY md5('shuffle:{views.SHUFFLE_SEED}:' || doc_id), doc_id) - 1 AS position FROM documents"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.config import LogOptions
 from helixframe.operators import trainlog
-from helixframe.plans import views
+from helixframe.plans import flows, views
 from helixframe.plans.registry import query
 from helixframe.plans.views import rounded, sql
 
@@ -149,3 +150,28 @@ def latest_step(spark, folder):
         "run", F.concat(F.lit("step_"), F.col("small_step")).alias("name"), F.col("ts").alias("created")
     )
     return trainlog.latest_checkpoint(folders, ["run"])
+
+
+@query(
+    "optimizer_log",
+    sql(
+        """SELECT s.run, s.model, s.completed_steps, s.small_step, s.small_step * 512 AS samples, round(s.loss, 6) AS loss,
+                  round(t, 6) AS time_per_iteration,
+                  round(24.0::DOUBLE * 4 * 2048 * 512 * n_layer * n_embd * n_embd
+                  * (1 + 512 / (6.0::DOUBLE * n_embd) + vocab_size / (16.0::DOUBLE * n_layer * n_embd)) / (t * 4 * 1e12), 6) AS tflops,
+                  (s.completed_steps + 1) % 5 = 0 AS checkpoint_due
+           FROM (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY run ORDER BY small_step)) / 1e6 AS t
+                 FROM (SELECT run, ['small', 'base', 'wide'][run % 3 + 1] AS model, (small_step - 1) // 4 AS completed_steps,
+                              sum(loss / 4) AS loss, max(small_step) AS small_step, max(ts) AS ts
+                       FROM log GROUP BY run, (small_step - 1) // 4 HAVING count(*) = 4)) s
+           JOIN (VALUES ('small', 6, 384, 4096), ('base', 12, 768, 4096), ('wide', 12, 768, 65536))
+                c(model, n_layer, n_embd, vocab_size) USING (model)"""
+    ),
+)
+def optimizer_log(spark, folder):
+    """The whole training log at optimizer-step level."""
+    names = F.array(*[F.lit(c[0]) for c in _CONFIGS])
+    log = views.log(spark, folder).withColumn("model", F.get(names, (F.col("run") % 3).cast("int")))
+    configs = spark.createDataFrame(_CONFIGS, "model string, n_layer int, n_embd int, vocab_size int")
+    options = LogOptions(gradient_accumulation_steps=ACCUMULATION, save_checkpoint_steps=5)
+    return rounded(flows.optimizer_log(log, configs, 512, options), "loss", "time_per_iteration", "tflops")
