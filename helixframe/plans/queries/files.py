@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe import schemas
+from helixframe.functions import text
 from helixframe.operators import stats, tables
 from helixframe.plans import views
 from helixframe.plans.registry import query
@@ -123,14 +124,15 @@ def route_outputs(spark, folder):
 def scan_variant_files(spark, folder):
     """One embedding file per variant, tagged by the file name on the way back."""
     root = shared_folder(spark, "variants")
-    paths = []
-    for model in ("base", "Ms", "Mp", "Me"):
-        rows = views.tokens(spark, folder).where(F.col("model") == model)
-        cells = [F.get("vec", F.lit(i)).alias(str(i)) for i in range(64)]
-        path = f"{root}/tokenizer_embeddings{'' if model == 'base' else '-' + model}.csv"
-        files.write_csv(rows.select(*cells, "token", "token_length"), path)
-        paths.append(path)
-    read = files.read_variants(spark, paths, "tokenizer_embeddings", schemas.token_embedding_csv(64))
+    suffix = F.when(F.col("model") == "base", "").otherwise(F.concat(F.lit("-"), F.col("model")))
+    rows = views.tokens(spark, folder).select(
+        *[F.get("vec", F.lit(i)).alias(str(i)) for i in range(64)],
+        "token",
+        "token_length",
+        F.concat(F.lit("tokenizer_embeddings"), suffix, F.lit(".csv")).alias("file"),
+    )
+    files.write_named_csv(rows, root, "file")
+    read = files.read_variants(spark, f"{root}/*", "tokenizer_embeddings", schemas.token_embedding_csv(64))
     packed = tables.pack_leading(read, 64)
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
     return packed.select("token", "token_length", "model", F.round(total, 5).alias("total"))
@@ -148,16 +150,14 @@ def scan_vector_folder(spark, folder):
     """Vector files whose dataset and fine-tuning state are in their names."""
     root = shared_folder(spark, "vectors")
     rows = views.points(spark, folder).join(views.table(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id")
-    paths = []
-    for plasmid in (True, False):
-        for fine in ("Yes", "No"):
-            part = rows.where((F.col("vec_type") == "Mean") == F.lit(plasmid)).where(F.col("fine_tuned") == fine)
-            path = f"{root}/{'plasmid' if plasmid else 'four_kingdoms'}{'_fine' if fine == 'Yes' else ''}.csv"
-            cells = [F.get("embedding", F.lit(i)).cast("double").alias(f"v_{i}") for i in range(64)]
-            tags = ["vec_type", F.lit("Base").alias("model_type"), F.col("Label").alias("label")]
-            files.write_csv(part.select(F.col("vec_id").alias("_c0"), *cells, *tags), path)
-            paths.append(path)
-    read = files.read_vector_folder(spark, paths, 64)
+    name = F.concat(
+        F.when(F.col("vec_type") == "Mean", "plasmid").otherwise("four_kingdoms"),
+        F.when(F.col("fine_tuned") == "Yes", "_fine.csv").otherwise(".csv"),
+    )
+    cells = [F.get("embedding", F.lit(i)).cast("double").alias(f"v_{i}") for i in range(64)]
+    tags = ["vec_type", F.lit("Base").alias("model_type"), F.col("Label").alias("label")]
+    files.write_named_csv(rows.select(F.col("vec_id").alias("_c0"), *cells, *tags, name.alias("file")), root, "file")
+    read = files.read_vector_folder(spark, f"{root}/*", 64)
     total = F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x))
     return read.groupBy("dataset", "fine_tuned", "vec_type", "label").agg(
         F.count(F.lit(1)).alias("n"), F.round(total, 4).alias("total")
@@ -167,13 +167,19 @@ def scan_vector_folder(spark, folder):
 def _result_files(spark, folder):
     """One result file per dataset for a full and an adapter run, suffix on test rows only."""
     root = shared_folder(spark, "runs")
-    rows = views.results(spark, folder).drop("event_id")
-    for lora in (False, True):
-        model = F.when(F.lit(lora) & (F.col("evaluation_set") == "test"), "runA-LoRA").otherwise("runA")
-        for name in views.DATASETS:
-            part = rows.where(F.col("dataset") == name).withColumn("model", model)
-            files.write_csv(part, f"{root}/{'lora_32_8_' if lora else ''}runA_results_{name}.csv")
-    return f"{root}/*.csv"
+    methods = F.array(*[F.struct(F.lit(p).alias("_prefix")) for p in ("", "lora_32_8_")])
+    rows = views.results(spark, folder).drop("event_id", "model").select("*", F.inline(methods))
+    adapter_test = (F.col("_prefix") != "") & (F.col("evaluation_set") == "test")
+    named = rows.select(
+        F.when(adapter_test, "runA-LoRA").otherwise("runA").alias("model"),
+        "dataset",
+        "evaluation_set",
+        "metric",
+        "score",
+        F.concat("_prefix", text.result_file_name(F.lit("runA"), F.col("dataset")), F.lit(".csv")).alias("file"),
+    )
+    files.write_named_csv(named, root, "file")
+    return f"{root}/*"
 
 
 @query(

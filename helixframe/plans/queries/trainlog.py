@@ -142,7 +142,8 @@ def resume_filter(spark, folder):
 @query(
     "latest_step",
     sql(
-        """SELECT run, max_by('step_' || small_step, ts) AS name, max_by(small_step, ts) AS step FROM log GROUP BY run"""
+        """SELECT run, max_by('step_' || small_step, {'at': ts, 'name': 'step_' || small_step}) AS name,
+                  max_by(small_step, {'at': ts, 'name': 'step_' || small_step}) AS step FROM log GROUP BY run"""
     ),
 )
 def latest_step(spark, folder):

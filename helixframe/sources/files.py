@@ -47,7 +47,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, index: bool
 
 
 def read_variants(
-    spark: SparkSession, paths: Sequence[str], stem: str, schema: T.StructType, name: str = "model"
+    spark: SparkSession, paths: str | Sequence[str], stem: str, schema: T.StructType, name: str = "model"
 ) -> DataFrame:
     """Same-shaped files tagged by what follows ``stem`` in the file name.
 
@@ -55,7 +55,7 @@ def read_variants(
     by Spark work too: the tag is then taken from the folder.
     """
     tag = F.regexp_extract(F.col("_metadata.file_path"), rf"\Q{stem}\E(?:-([^./]+))?\.csv", 1)
-    df = spark.read.schema(schema).csv(list(paths), header=True, nullValue="NA")
+    df = spark.read.schema(schema).csv(paths, header=True, nullValue="NA")
     return df.select("*", F.when(tag == "", "base").otherwise(tag).alias(name))
 
 
@@ -71,7 +71,7 @@ def read_vector_folder(spark: SparkSession, paths: str | Sequence[str], width: i
     return pack_matching(tagged, r"^v_\d+$")
 
 
-RESULT_FILE = r"(lora_32_8_)?([^/]+)_results_([^/]+?)\.csv"
+RESULT_FILE = r"(?:^|[/=])(lora_32_8_)?([^/=]+)_results_([^/=]+?)\.csv"
 
 
 def read_results(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -122,6 +122,15 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=sep, nullValue="NA")
 
 
+def write_named_csv(df: DataFrame, root: str, name: str) -> None:
+    """One CSV file per value of the ``name`` column, all in one pass.
+
+    A file is a folder ``<name>=<value>`` of part files; the readers here, which go by
+    file paths, take ``<root>/*``.
+    """
+    df.write.mode("overwrite").partitionBy(name).csv(root, header=True, nullValue="NA")
+
+
 def write_partitioned(
     df: DataFrame, path: str, *columns: str, rows_per_file: int = 0, rebalance: bool = False
 ) -> None:
