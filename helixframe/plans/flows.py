@@ -19,25 +19,28 @@ def training_batches(
     order = ordering.buffered_shuffle(
         chunks.select(key), key, options.effective_buffer(), options.seed
     ).withColumn("batch_id", F.floor(F.col("position") / options.train_batch_size).cast("bigint"))
-    rows = corpus.tokenise(chunks.join(order, key), k=k, max_length=options.max_length)
-    return corpus.mask_tokens(
-        corpus.pad(rows, options.max_length),
-        key,
-        corpus.kmer_vocab_size(k),
-        options.mlm_probability,
-        options.seed,
-        epoch,
-    )
+    return _model_inputs(chunks.join(order, key), key, options, epoch, k)
 
 
 def evaluation_batches(chunks: DataFrame, key: str, options: CorpusOptions = CorpusOptions(), k: int = 6) -> DataFrame:
     """Masked model inputs in table order, up to the evaluation cap."""
     batches = ordering.assign_batches(chunks.select(key), key, options.valid_batch_size)
     kept = ordering.cap_batches(batches, options.max_eval_steps)
-    rows = corpus.tokenise(chunks.join(kept, key), k=k, max_length=options.max_length)
-    return corpus.mask_tokens(
-        corpus.pad(rows, options.max_length), key, corpus.kmer_vocab_size(k), options.mlm_probability, options.seed
+    return _model_inputs(chunks.join(kept, key), key, options, 0, k)
+
+
+def _model_inputs(chunks: DataFrame, key: str, options: CorpusOptions, epoch: int, k: int) -> DataFrame:
+    """Tokenise, mask, and only then pad: padding is never masked, so it need not be looked at."""
+    rows = corpus.mask_tokens(
+        corpus.tokenise(chunks, k=k, max_length=options.max_length),
+        key,
+        corpus.kmer_vocab_size(k),
+        options.mlm_probability,
+        options.seed,
+        epoch,
     )
+    labels = corpus.padded(F.col("labels"), options.max_length, corpus.IGNORED_LABEL)
+    return corpus.pad(rows.withColumn("labels", labels), options.max_length)
 
 
 def optimizer_log(
