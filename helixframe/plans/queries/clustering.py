@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe import schemas
 from helixframe.operators import clustering
 from helixframe.plans import report, views
 from helixframe.plans.registry import query
 from helixframe.plans.views import rounded, sql
+from helixframe.session import shared_folder
+from helixframe.sources import files
 
 _TABLES = {
     "cells": "SELECT dataset, pred AS a, label AS b, count(*) AS n FROM preds GROUP BY ALL",
@@ -71,7 +74,10 @@ def cluster_score_table(spark, folder):
     ),
 )
 def facet_groups(spark, folder):
-    rows = report.facets(views.points(spark, folder))
+    """Facets of plotted points, which come in as a file."""
+    path = shared_folder(spark, "points")
+    files.write_csv(views.points(spark, folder).select(schemas.UMAP_POINTS.names), path)
+    rows = report.facets(files.read_table(spark, path, schemas.UMAP_POINTS))
     return rows.groupBy("facet_label", "fine_tuned").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("Label").alias("n_labels")
     )

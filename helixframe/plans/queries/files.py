@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from helixframe import schemas
 from helixframe.functions import text
-from helixframe.operators import stats, tables
+from helixframe.operators import stats, tables, trainlog
 from helixframe.plans import views
 from helixframe.plans.registry import query
 from helixframe.plans.views import rounded, sql
@@ -221,11 +221,34 @@ def normalise_lora(spark, folder):
     return files.normalise_methods(rows).select("event_id", "model", "method")
 
 
-@query("append_log", sql("SELECT run, small_step, round(loss, 6) AS loss FROM log"))
+@query(
+    "append_log",
+    sql(
+        """SELECT run::VARCHAR AS run, small_step AS step, 'micro' AS kind, 'loss_per_step/train' AS metric, round(loss, 6) AS score FROM log
+           UNION ALL SELECT run::VARCHAR, small_step, 'micro', 'small_steps', small_step::DOUBLE FROM log
+           UNION ALL SELECT run::VARCHAR, max(small_step), 'step', 'loss/train', round(sum(loss / 4), 6) FROM log
+           GROUP BY run, (small_step - 1) // 4 HAVING count(*) = 4"""
+    ),
+)
 def append_log(spark, folder):
-    """Metric records appended in two goes."""
+    """Log records of two kinds with different metrics, appended in two goes, one row per metric."""
     path = shared_folder(spark, "log")
-    rows = views.log(spark, folder).select("run", "small_step", "loss")
-    files.append_metrics(rows.where("small_step <= 10"), path)
-    files.append_metrics(rows.where("small_step > 10"), path)
-    return rounded(spark.read.parquet(path), "loss")
+    log = views.log(spark, folder)
+    micro = F.create_map(
+        F.lit("loss_per_step/train"), F.col("loss"), F.lit("small_steps"), F.col("small_step").cast("double")
+    )
+
+    def records(rows, kind, metrics):
+        return rows.select(
+            F.col("run").cast("string").alias("run"),
+            F.col("small_step").alias("step"),
+            F.lit(None).cast("timestamp").alias("ts"),
+            F.lit(kind).alias("kind"),
+            metrics.alias("metrics"),
+        )
+
+    files.append_metrics(records(log, "micro", micro), path)
+    steps = trainlog.loss_rollup(log, 4)
+    files.append_metrics(records(steps, "step", F.create_map(F.lit("loss/train"), F.col("loss"))), path)
+    read = spark.read.schema(schemas.TRAIN_LOG).parquet(path)
+    return rounded(tables.metrics_to_rows(read, ["run", "step", "kind"]), "score")

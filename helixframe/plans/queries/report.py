@@ -58,10 +58,17 @@ def name_clean(spark, folder):
     return names.withColumn("shown", shown)
 
 
-@query("task_group", sql(f"SELECT {_GROUP} AS group_data, count(*) AS n FROM results GROUP BY ALL"))
+@query(
+    "task_group",
+    sql(
+        f"""SELECT group_data, list_position(['Chromatin profiles', 'Genome origin', 'Splicing', 'Regulatory elements'],
+                   group_data)::INT AS ord, count(*) AS n FROM (SELECT {_GROUP} AS group_data FROM results) GROUP BY ALL"""
+    ),
+)
 def task_group(spark, folder):
     rows = views.results(spark, folder).withColumn("group_data", text.task_group(F.col("dataset")))
-    return stats.group_counts(rows, ["group_data"])
+    ordered = rows.withColumn("ord", tables.level_order("group_data", fixed.TASK_GROUPS))
+    return stats.group_counts(ordered, ["group_data", "ord"]).orderBy("ord")
 
 
 @query("model_id_parse", sql(f"SELECT DISTINCT model, {_PARTS} FROM results"))

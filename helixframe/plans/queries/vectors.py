@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe import schemas
 from helixframe.operators import embedding, pooling, tables
 from helixframe.plans import report, views
 from helixframe.plans.registry import query
 from helixframe.plans.views import rounded, sql
+from helixframe.session import shared_folder
+from helixframe.sources import files
 
 
 def _cells(df, key: str, vec: str):
@@ -182,22 +185,30 @@ _FENCE = "b1 - 1.5 * (b3 - b1) AND b3 + 1.5 * (b3 - b1)"
     ),
 )
 def drift_boxes(spark, folder):
+    """Token drift written as a file and summed up from it."""
     long = embedding.drift(views.tokens(spark, folder), "l2")
-    wide = embedding.drift_wide(rounded(long, "value", digits=9), VARIANTS)
+    path = shared_folder(spark, "drift")
+    drifted = embedding.drift_wide(rounded(long, "value", digits=9), VARIANTS)
+    files.write_csv(drifted.select(schemas.TOKEN_DRIFT.names), path)
+    wide = files.read_table(spark, path, schemas.TOKEN_DRIFT)
     return rounded(report.drift_boxes(wide, views.NAMES), "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
 @query(
     "token_xy_lengths",
     sql(
-        f"""SELECT vec_id, token, length(token)::INT AS token_len, {_SHOWN} AS model,
+        f"""SELECT token, length(token)::INT AS token_len, {_SHOWN} AS model,
                    (CASE model WHEN 'Me' THEN 1 WHEN 'Mp' THEN 2 WHEN 'Ms' THEN 3 WHEN 'base' THEN 4 END)::INT AS ord,
                    token IN ('aaagaa', 'gaagcga', 'gacgacca') AS marked, round(vec[1], 6) AS x, round(vec[2], 6) AS y
             FROM tokens WHERE token_length > 5 AND token_length < 9"""
     ),
 )
 def token_xy_lengths(spark, folder):
+    """Token coordinates, through a file, for the token map."""
+    path = shared_folder(spark, "token-xy")
     rows = views.tokens(spark, folder).where(tables.open_range("token_length", 5, 9)).select(
-        "vec_id", "token", "model", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y")
+        F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"), "token", "model"
     )
-    return rounded(report.token_map(rows, views.NAMES), "x", "y")
+    files.write_csv(rows, path)
+    points = files.read_table(spark, path, schemas.TOKEN_XY)
+    return rounded(report.token_map(points, views.NAMES), "x", "y")

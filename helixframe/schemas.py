@@ -14,23 +14,6 @@ GENOME_CHUNKS = T.StructType(
     ]
 )
 
-LABELLED_SEQUENCES = T.StructType(
-    [
-        T.StructField("sequence", T.StringType()),
-        T.StructField("label", T.IntegerType()),
-        T.StructField("dataset", T.StringType()),
-        T.StructField("split", T.StringType()),
-    ]
-)
-
-TOKENISED = T.StructType(
-    [
-        T.StructField("input_ids", T.ArrayType(T.IntegerType())),
-        T.StructField("attention_mask", T.ArrayType(T.IntegerType())),
-        T.StructField("labels", T.IntegerType()),
-    ]
-)
-
 RESULTS = T.StructType(
     [
         T.StructField("model", T.StringType()),

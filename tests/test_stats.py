@@ -35,7 +35,17 @@ def values(spark):
     return spark.createDataFrame(rows, "g string, v double").repartition(7)
 
 
-def test_box_stats(values):
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_box_stats(spark, values, broadcast):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        check_boxes(values)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def check_boxes(values):
     got = {r["g"]: r for r in stats.box_stats(values, ["g"], "v").collect()}
     assert set(got) == set(GROUPS) | {None}
     assert (got[None]["n"], got[None]["median"]) == (2, 5.0)
