@@ -54,22 +54,19 @@ def cross_validate(
 ) -> ProbeResult:
     """K-fold evaluation, then the best fold's model on the test rows.
 
-    ``train`` and ``test`` have ``features`` and ``label``. Every fold is one
-    distributed fit; all folds' predictions are scored in one aggregate. The
-    driver reads k metric rows to choose the fold: highest score above 0, the
-    earliest on a tie.
+    ``train`` and ``test`` have ``features`` and ``label``. The folded features are
+    settled once for all fits. Every fold is one distributed fit; all folds'
+    predictions are scored in one aggregate. The driver reads k metric rows to
+    choose the fold: highest score above 0, the earliest on a tie.
     """
-    folded = assign_folds(train, key, options.folds, options.seed).persist()
-    try:
-        parts, models = [], {}
-        for k in range(1, options.folds + 1):
-            models[k] = LogisticRegression(maxIter=max_iter, regParam=reg).fit(fold_train(folded, k))
-            parts.append(_predict(models[k], fold_validation(folded, k), key, "fold"))
-        predictions = reduce(lambda a, b: a.unionByName(b), parts)
-        bundle = settle(evaluate(predictions, ["fold"]))
-        scored = {r["fold"]: r[options.select_by] for r in bundle.collect()}
-    finally:
-        folded.unpersist()
+    folded = settle(assign_folds(train, key, options.folds, options.seed))
+    parts, models = [], {}
+    for k in range(1, options.folds + 1):
+        models[k] = LogisticRegression(maxIter=max_iter, regParam=reg).fit(fold_train(folded, k))
+        parts.append(_predict(models[k], fold_validation(folded, k), key, "fold"))
+    predictions = reduce(lambda a, b: a.unionByName(b), parts)
+    bundle = settle(evaluate(predictions, ["fold"]))
+    scored = {r["fold"]: r[options.select_by] for r in bundle.collect()}
     chosen = max(
         (k for k in scored if scored[k] > 0), key=lambda k: (scored[k], -k), default=None
     )
