@@ -37,6 +37,7 @@ class Settings:
     groups: int = 128  # coordinates of a point
     leaf: int = 16  # points of a leaf, and boxes of a node
     piece: int = 1_024  # documents of a block that stay together
+    leader_rounds: int = 4  # at most
     bloom_bits: int = 1 << 27  # filter that keeps most unlinked sets from being written
 
 
@@ -153,13 +154,14 @@ def members(docs: DataFrame, possible: DataFrame, id_col: str, text_col: str, s:
     return settle(rows.mapInArrow(run, f"id {kind}, set bigint, n bigint, shingles array<bigint>"))
 
 
-def rare_first(found: DataFrame, possible: DataFrame, s: Settings) -> DataFrame:
+def rare_first(found: DataFrame, s: Settings) -> DataFrame:
     """(set, n, need, tokens) of the sets that can link, settled.
 
+    The few sets that came through the filter by chance are judged like the others.
     ``tokens`` are the shingles that other sets have too, rare ones first. A set can only link if
     these are ``need`` of its shingles; shingles of no other set cannot be shared and are dropped.
     """
-    rows = found.where("shingles is not null").join(possible, "set", "left_semi")
+    rows = found.where("shingles is not null")
     tokens = rows.select("set", "n", F.explode("shingles").alias("token")).repartition("token")
     tokens = tokens.dropDuplicates(["token", "set"])
     counted = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
@@ -176,120 +178,178 @@ def count_vector(tokens: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount(textbytes.mix(tokens.view(np.uint64)) % np.uint64(groups), minlength=groups).astype(np.uint16)
 
 
-class Tree:
-    """An R-tree packed bottom up; of a box only the largest counts and the range of sizes are needed."""
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, value) of all ``range(start, stop)``, one after the other."""
+    sizes = stops - starts
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) + (starts - (ends - sizes))[owner]
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int):
-        self.order = np.lexsort((points.argmax(axis=1), sizes)) if len(sizes) else np.zeros(0, np.int64)
-        tops, low, high = points[self.order], sizes[self.order], sizes[self.order]
-        self.levels = [(tops, low, high)]
-        while len(tops) > leaf:
-            starts = np.arange(0, len(tops), leaf)
-            tops = np.maximum.reduceat(tops, starts, axis=0)
-            low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-            self.levels.append((tops, low, high))
-        self.leaf = leaf
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, slack) of the points that may link to this one, by summed coordinate minima."""
-        nodes = np.arange(len(self.levels[-1][0]))
+class Trees:
+    """One R-tree per block, packed bottom up side by side.
+
+    Of a box only its largest counts, the range of its set sizes and of its components are needed. Level 0 are
+    the points, each block's in the order of component and size, so that near copies share a box.
+    """
+
+    def __init__(self, block: np.ndarray, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, leaf: int):
+        self.order = order = np.lexsort((sizes, parts, block))
+        block, tops, low, part_low = block[order], points[order], sizes[order], parts[order]
+        high, part_high, first = low, part_low, np.arange(len(low))
+        self.levels = []
+        while True:
+            self.levels.append((tops, low, high, part_low, part_high, first, block))
+            opens = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            if len(opens) == len(block):
+                return
+            inside = np.arange(len(block)) - np.repeat(opens, np.diff(np.append(opens, len(block))))
+            first = np.flatnonzero(inside % leaf == 0)
+            tops, low, high = np.maximum.reduceat(tops, first, axis=0), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            part_low, part_high, block = np.minimum.reduceat(part_low, first), np.maximum.reduceat(part_high, first), block[first]
+
+    def search(
+        self, block: np.ndarray, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(asker, row, slack) of the points of other components in its block that each asker may link to.
+
+        Slack is how far the sum of coordinate minima exceeds what a link needs, relative to the sizes.
+        """
+        roots = self.levels[-1][-1]
+        node = np.minimum(np.searchsorted(roots, block), len(roots) - 1)
+        asker = np.flatnonzero(roots[node] == block)
+        node = node[asker]
         for depth in range(len(self.levels) - 1, -1, -1):
-            tops, low, high = self.levels[depth]
-            fits = (100 * high[nodes] >= percent * size) & (100 * size >= percent * low[nodes])
-            nodes = nodes[fits]
-            bound = np.minimum(tops[nodes], point).sum(axis=1, dtype=np.int64)
-            slack = bound * (100 + percent) - percent * (size + low[nodes])
-            nodes, slack = nodes[slack >= 0], slack[slack >= 0]
+            tops, low, high, part_low, part_high, first, _ = self.levels[depth]
+            n, part = sizes[asker], parts[asker]
+            fits = (100 * high[node] >= percent * n) & (100 * n >= percent * low[node])
+            fits &= (part_low[node] != part) | (part_high[node] != part)
+            asker, node = asker[fits], node[fits]
+            bound = np.zeros(len(asker), dtype=np.int64)
+            for at in range(0, len(asker), 8192):
+                here = slice(at, at + 8192)
+                bound[here] = np.minimum(tops[node[here]], points[asker[here]]).sum(axis=1, dtype=np.int64)
+            total = sizes[asker] + low[node]
+            slack = bound * (100 + percent) - percent * total
+            fits = slack >= 0
+            asker, node, slack = asker[fits], node[fits], slack[fits] / total[fits]
             if depth:
-                below = len(self.levels[depth - 1][0])
-                nodes = (nodes[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-                nodes = nodes[nodes < below]
-        return self.order[nodes], slack
+                stops = np.append(first[1:], len(self.levels[depth - 1][0]))
+                place, node = _ranges(first[node], stops[node])
+                asker = asker[place]
+        return asker, self.order[node], slack
 
 
-def block_pairs(block: pd.DataFrame, s: Settings, all_pairs: bool) -> pd.DataFrame:
-    """Pairs of one piece of a block that may link and are not connected yet.
+def block_pairs(rows: pd.DataFrame, s: Settings, all_pairs: bool) -> pd.DataFrame:
+    """Pairs (a, b) inside whole blocks that may link and are not connected yet, with the components x of a and y of b.
 
-    Rows with ``home`` are in the tree, rows with ``visits`` look for partners. Unless ``all_pairs``, only the
-    pair of most slack is given for any two components.
+    Rows with ``home`` are in their block's tree, rows with ``visits`` ask. Unless ``all_pairs``, a component
+    gives only its pair of most slack.
     """
-    home = block[block["home"]]
-    points = np.stack([np.frombuffer(v, dtype=np.uint16) for v in home["vector"]])
-    tree = Tree(points, home["n"].to_numpy(), s.leaf)
-    names, parts = home["set"].to_numpy(), home["component"].to_numpy()
-    found: list[tuple] = []
-    for name, n, part, vector in block.loc[block["visits"], ["set", "n", "component", "vector"]].itertuples(index=False):
-        rows, slack = tree.search(np.frombuffer(vector, dtype=np.uint16), n, s.percent)
-        other = parts[rows] != part
-        for row, room in zip(rows[other], slack[other], strict=True):
-            a, b = sorted((int(name), int(names[row])))
-            found.append((a, b, *sorted((int(part), int(parts[row]))), int(room)))
-    out = pd.DataFrame(found, columns=["a", "b", "_x", "_y", "_room"])
-    if not all_pairs:
-        out = out.sort_values(["_room", "a", "b"], ascending=[False, True, True]).drop_duplicates(["_x", "_y"])
-    return out[["a", "b"]].drop_duplicates()
-
-
-def _by_block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole (token, piece) groups of rows that come sorted by these."""
+    keys = rows[["token", "piece", "part"]].to_numpy()
+    block = np.cumsum(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    points = np.frombuffer(b"".join(rows["vector"]), dtype=np.uint16).reshape(len(rows), s.groups)
+    sets, sizes, parts = (rows[c].to_numpy() for c in ("set", "n", "component"))
+    home, visits = rows["home"].to_numpy(), rows["visits"].to_numpy()
+    at, ask = np.flatnonzero(home), np.flatnonzero(visits)
+    found = [pd.DataFrame({"a": [], "b": [], "x": [], "y": [], "slack": []}, dtype=np.int64)]
+    if len(at) and len(ask):
+        trees = Trees(block[at], points[at], sizes[at], parts[at], s.leaf)
+        homes = np.bincount(block[at], minlength=block[-1] + 1)
+        work = np.cumsum(homes[block[ask]])
+        for chunk in np.split(ask, np.flatnonzero(np.diff(work // 500_000)) + 1):
+            asker, row, slack = trees.search(block[chunk], points[chunk], sizes[chunk], parts[chunk], s.percent)
+            a, b = chunk[asker], at[row]
+            once = ~visits[b] | (sets[a] < sets[b])  # two askers meet twice
+            a, b = a[once], b[once]
+            found.append(pd.DataFrame({"a": sets[a], "b": sets[b], "x": parts[a], "y": parts[b], "slack": slack[once]}))
+    pairs = pd.concat(found).drop_duplicates(["a", "b"])
+    return pairs if all_pairs else best_of_component(pairs)
+
+
+def best_of_component(pairs: pd.DataFrame) -> pd.DataFrame:
+    pairs = pairs.sort_values(["slack", "a", "b"], ascending=[False, True, True], kind="stable")
+    order = np.argsort(np.concatenate([np.arange(len(pairs)) * 2, np.arange(len(pairs)) * 2 + 1]), kind="stable")
+    ends = np.concatenate([pairs["x"].to_numpy(), pairs["y"].to_numpy()])[order]
+    _, first = np.unique(ends, return_index=True)
+    return pairs.iloc[np.unique(first // 2)]
+
+
+def whole_blocks(frames: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Frames of about ``rows`` rows that end with a block, from rows that come sorted by block."""
     held: list[pd.DataFrame] = []
     for frame in frames:
         if not len(frame):
             continue
-        keys = frame[["token", "piece"]].to_numpy()
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(frame)]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            if held and tuple(held[0][["token", "piece"]].iloc[0]) != tuple(keys[low]):
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(frame.iloc[low:high])
+        keys = frame[["token", "piece", "part"]].to_numpy()
+        opens = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        last = int(opens[-1]) if len(opens) else 0
+        starts_new = bool(held) and tuple(held[-1][["token", "piece", "part"]].iloc[-1]) != tuple(keys[0])
+        if sum(map(len, held)) >= rows and (starts_new or last):
+            cut = 0 if starts_new else int(opens[0])
+            yield pd.concat([*held, frame.iloc[:cut]])
+            held, frame = [], frame.iloc[cut:]
+        held.append(frame)
     if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        yield pd.concat(held)
 
 
 # links ------------------------------------------------------------------------------------------
 
 
-def leaders(blocks: DataFrame) -> DataFrame:
-    """(a, b): every set with one leader, the smallest set of the blocks that it shares most often."""
-    lead = blocks.groupBy("token").agg(F.min(F.struct("n", "set")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = blocks.join(lead, "token").where(F.col("lead.set") != F.col("set"))
-    often = met.groupBy("set", F.col("lead.set").alias("b"), F.col("lead.n").alias("m")).agg(F.count(F.lit(1)).alias("often"))
-    best = often.groupBy("set").agg(F.max_by("b", F.struct("often", -F.col("m"), "b")).alias("b"))
-    return best.select(F.col("set").alias("a"), "b")
+def leaders(blocks: DataFrame, components: DataFrame, seed: int) -> DataFrame:
+    """(a, b): every set with one set of another component, the block leader it meets most often.
+
+    The leader of a block is its set of least hash, so large groups of near copies agree on few leaders.
+    """
+    rows = blocks.join(components, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    lead = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "set").alias("h"), "set", "component")).alias("lead"))
+    met = rows.join(lead, "token").where(F.col("lead.component") != F.col("component"))
+    often = met.groupBy("set", F.col("lead.set").alias("b")).agg(F.count(F.lit(1)).alias("often"))
+    return often.groupBy(F.col("set").alias("a")).agg(F.max_by("b", F.struct("often", "b")).alias("b"))
 
 
 def candidate_pairs(blocks: DataFrame, ready: DataFrame, components: DataFrame, s: Settings, all_pairs: bool) -> DataFrame:
     """(a, b) of sets of different components that share a block and may link.
 
     Only blocks with several components count. Their largest component stays at home in pieces; the documents of
-    the others visit every piece, so the work follows what is not yet connected.
+    the others visit every piece, in parts of bounded size, so the work follows what is not yet connected. Unless
+    ``all_pairs``, a component gives only its likeliest pair.
     """
     labelled = blocks.join(components, "set", "left").withColumn("component", F.coalesce("component", "set"))
     parts = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
-    open_blocks = settle(
-        parts.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"), F.max_by("component", F.struct("rows", "component")).alias("base"))
-        .where("parts > 1")
-        .select("token", "base", F.ceil(F.col("rows") / s.piece).cast("int").alias("pieces"))
-    )
+    base = F.max_by("component", F.struct("rows", "component")).alias("base")
+    pieces = F.ceil(F.sum("rows") / s.piece).cast("int").alias("pieces")
+    visitors = F.ceil((F.sum("rows") - F.max("rows")) / (4 * s.piece)).cast("int").alias("parts")
+    open_blocks = settle(parts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), base, pieces, visitors).where("n > 1").drop("n"))
     rows = labelled.join(open_blocks, "token")
-    own = F.pmod(F.xxhash64("set"), F.col("pieces")).cast("int")
-    is_base = F.col("component") == F.col("base")
-    there = F.when(is_base, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))
-    spread = rows.select("token", "set", "component", own.alias("own"), (~is_base).alias("visits"), F.explode(there).alias("piece"))
+    visits = F.col("component") != F.col("base")
+    own_piece = F.pmod(F.xxhash64("set"), F.col("pieces")).cast("int")
+    own_part = F.pmod(F.xxhash64(F.lit("part"), "set"), F.col("parts")).cast("int")
+    every = lambda n, own: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.struct(i.alias("i"), (i == own).alias("own")))
+    placed = rows.select(
+        "token", "set", "component", visits.alias("_v"), "parts", own_part.alias("_part"), F.explode(every("pieces", own_piece)).alias("p")
+    ).where("_v or p.own")
+    placed = placed.select("token", "set", "component", "_v", "p", F.explode(every("parts", F.col("_part"))).alias("q")).where("p.own or q.own")
     points = ready.select("set", "n", "tokens").mapInArrow(_vectors(s), "set bigint, n bigint, vector binary")
-    met = spread.join(points, "set").select(
-        "token", "piece", "set", "n", "component", "vector", (F.col("own") == F.col("piece")).alias("home"), "visits"
+    met = placed.join(points, "set").select(
+        "token", F.col("p.i").alias("piece"), F.col("q.i").alias("part"), "set", "n", "component", "vector",
+        F.col("p.own").alias("home"), (F.col("_v") & F.col("q.own")).alias("visits"),
     )
-    sorted_rows = met.repartition("token", "piece").sortWithinPartitions("token", "piece")
+    keys = ["token", "piece", "part"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _by_block(frames):
-            if block["home"].any() and block["visits"].any():
-                yield block_pairs(block, s, all_pairs)
+        for some in whole_blocks(frames):
+            yield block_pairs(some, s, all_pairs)
 
-    return sorted_rows.mapInPandas(run, "a bigint, b bigint").distinct()
+    sorted_rows = met.repartition(*keys).sortWithinPartitions(*keys)
+    pairs = sorted_rows.mapInPandas(run, "a bigint, b bigint, x bigint, y bigint, slack double")
+    if all_pairs:
+        return pairs.select("a", "b").distinct()
+    pairs = settle(pairs)
+    ends = pairs.select("a", "b", "slack", F.explode(F.array("x", "y")).alias("component"))
+    likeliest = ends.groupBy("component").agg(F.max(F.struct("slack", "a", "b")).alias("best"))
+    return likeliest.select("best.a", "best.b").distinct()
 
 
 def _vectors(s: Settings):
@@ -305,37 +365,47 @@ def _vectors(s: Settings):
 
 
 def verified(pairs: DataFrame, ready: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) that link, by their exact intersections. Settled."""
-    left = ready.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    right = ready.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    near = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("t_a", "t_b"))
-    links = near.where(both * (100 + s.percent) >= (F.col("n_a") + F.col("n_b")) * s.percent)
+    """The pairs (a, b) that link, by their exact intersections. Settled.
+
+    The pairs are settled first: as long as they are few they are broadcast, and only the sets
+    they name move.
+    """
+    ends = settle(pairs.select("a", "b")).select("a", "b", F.explode(F.array("a", "b")).alias("set"))
+    sides = ready.join(ends, "set").groupBy("a", "b").agg(F.collect_list(F.struct("n", "tokens")).alias("two"))  # exactly two
+    p, q = F.element_at("two", 1), F.element_at("two", 2)
+    both = F.size(F.array_intersect(p["tokens"], q["tokens"]))
+    links = sides.where(both * (100 + s.percent) >= (p["n"] + q["n"]) * s.percent)
     return settle(links.select("a", "b"))
 
 
 def link_sets(ready: DataFrame, s: Settings) -> DataFrame:
     """(set, component) of the sets that link to another; every link between different sets counts. Runs jobs.
 
-    First every set is compared with one leader. Then, as long as it connects anything, the
-    likeliest pair of any two components that share a block; at last all pairs that remain possible between different components.
+    First every set is compared with one leader, in a few rounds. Then, as long as it connects anything, with
+    the likeliest pair of each component; at last with all pairs that remain possible between different components.
     """
     # of the first n - need + 1 shingles, the n - size(tokens) that no other set has come first
     prefix = F.slice("tokens", F.lit(1), (F.size("tokens") - F.col("need") + 1).cast("int"))
-    blocks = settle(ready.select(F.explode(prefix).alias("token"), "set", "n"))
-    bare = blocks.select("token", "set")
-    links = verified(leaders(blocks), ready, s)
-    components = connected_components(links).select(F.col("vertex").alias("set"), "component")
-    all_pairs = False
+    blocks = settle(ready.select(F.explode(prefix).alias("token"), "set"))
+    components = ready.select("set", F.col("set").alias("component")).limit(0)
+    links, step = None, 0
     while True:
-        more = verified(candidate_pairs(bare, ready, components, s, all_pairs), ready, s)
+        all_pairs = step > s.leader_rounds
+        if step < s.leader_rounds:
+            pairs = leaders(blocks, components, step)
+        else:
+            pairs = candidate_pairs(blocks, ready, components, s, all_pairs)
+        more = verified(pairs, ready, s)
         grew = more.limit(1).count() > 0
         if grew:
-            links = settle(links.unionByName(more))
+            links = more if links is None else settle(links.unionByName(more))
             components = connected_components(links).select(F.col("vertex").alias("set"), "component")
         if all_pairs:
             return components
-        all_pairs = not grew
+        if step < s.leader_rounds:
+            step = step + 1 if grew else s.leader_rounds
+        elif not grew:
+            step += 1
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -348,7 +418,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s = settings
     possible = settle(possible_sets(docs, text_col, s))
     found = members(docs, possible, id_col, text_col, s)
-    components = link_sets(rare_first(found, possible, s), s)
+    components = link_sets(rare_first(found, s), s)
     rows = found.select("id", "set", "n")
     smallest = rows.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
     named = smallest.join(components, "set", "left").withColumn("component", F.coalesce("component", "set"))

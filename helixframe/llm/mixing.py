@@ -124,7 +124,7 @@ def mix(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
     epoch the documents that still fit the source's budget are. Any further columns of ``rows`` ride
     along. Runs jobs.
     """
-    rows = rows.withColumn("source", F.coalesce("source", F.lit("")))
+    rows = settle(rows.withColumn("source", F.coalesce("source", F.lit(""))))  # texts are read once
     budgets = source_budgets(rows.select("source", "tokens"), s)
     total = budgets.agg(F.sum("budget")).first()[0] or 0
     blocks = max(1, round(total / s.block_tokens))
@@ -158,8 +158,7 @@ def mix_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     same = Window.partitionBy("doc_id").orderBy("_text", "tokens")
     copy = F.row_number().over(same)
     light = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("tokens"), F.xxhash64("text").alias("_text"))
-    light = settle(light.withColumn("copy", copy).drop("_text"))
-    draws = mix(light, s).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "block", "position")
+    draws = mix(light.withColumn("copy", copy).drop("_text"), s).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "block", "position")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     full = docs.select(row, F.col("doc_id"), F.xxhash64("text").alias("_text"), n_tokens(F.col("text")).alias("tokens"))
     full = full.withColumn("copy", copy)
