@@ -28,7 +28,7 @@ CACHE_WORDS = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    per_class: int = 4_000  # labelled documents of each class that the model is fitted on, at most
+    per_class: int = 3_000  # labelled documents of each class that the model is fitted on, at most
     buckets: int = 1 << 16
     width: int = 8
     window: int = 2  # words; few, so that one bad word among many clean ones is not averaged away
@@ -57,12 +57,6 @@ def window_starts(n_words: int, size: int) -> np.ndarray:
     return np.arange(0, n_words, size)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.fromiter((x for one in lists for x in one), dtype=np.int32, count=int(sizes.sum()))
-    return flat, np.concatenate([[0], np.cumsum(sizes)])
-
-
 def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Concatenated ``range(start, stop)``."""
     sizes = stops - starts
@@ -75,17 +69,21 @@ class Bags:
 
     def __init__(self, texts: list[str], s: Settings):
         ids: dict[str, int] = {}
-        words, first, owner = [], [], []
+        words, first, owner = array("i"), array("q"), array("i")
         for doc, text in enumerate(texts):
-            own = [ids.setdefault(w, len(ids)) for w in _WORD.findall(text.lower())]
-            for at in range(0, len(own), s.window):
-                first.append(len(words) + at)
-                owner.append(doc)
-            words.extend(own)
-        self.words = np.array(words, dtype=np.int64)
-        self.first = np.array([*first, len(words)], dtype=np.int64)
-        self.owner = np.array(owner, dtype=np.int64)
-        self.grams, self.gram_first = _flat([ngram_buckets(w, s) for w in ids])
+            at = len(words)
+            words.extend(ids.setdefault(w, len(ids)) for w in _WORD.findall(text.lower()))
+            starts = window_starts(len(words) - at, s.window)
+            first.frombytes((starts + at).astype(np.int64).tobytes())
+            owner.frombytes(np.full(len(starts), doc, dtype=np.int32).tobytes())
+        first.append(len(words))
+        grams, gram_first = array("i"), array("q", [0])
+        for word in ids:
+            grams.extend(ngram_buckets(word, s))
+            gram_first.append(len(grams))
+        self.words, self.owner = np.frombuffer(words, dtype=np.int32), np.frombuffer(owner, dtype=np.int32)
+        self.first, self.gram_first = np.frombuffer(first, dtype=np.int64), np.frombuffer(gram_first, dtype=np.int64)
+        self.grams = np.frombuffer(grams, dtype=np.int32)
         self.documents = self._documents(s.buckets)
 
     def _documents(self, buckets: int) -> np.ndarray:
