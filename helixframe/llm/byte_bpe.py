@@ -20,7 +20,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 200_000
+from helixframe.llm.base import slices
+
+CACHE_WORDS = 100_000
 LONG_WORD = 48  # bytes; longer ones merge by a heap, so that one huge word stays n log n
 
 
@@ -131,7 +133,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             flat, bounds = [], [0]
             for text in batch.column(1).to_pylist():
                 own = np.array(encoder.ids(text), dtype=np.int32)
@@ -153,7 +155,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", nam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(place)
             flat = column.flatten().to_numpy(zero_copy_only=False)
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

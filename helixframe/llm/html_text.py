@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.base import slices
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -208,7 +210,7 @@ def extract(pages: DataFrame, html_col: str = "html", name: str = "text", settin
     place = pages.columns.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array([main_text(x, settings) for x in batch.column(place).to_pylist()], type=pa.string())
             columns = [texts if i == place else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixframe.llm import textbytes
-from helixframe.llm.base import connected_components
+from helixframe.llm.base import connected_components, slices
 from helixframe.session import settle
 
 
@@ -75,7 +75,7 @@ def first_shingles(docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             ids, wants, tokens = [], [], []
             for name, own in sets_of(batch.column(0), s.size):
                 if len(own) and name not in seen:
@@ -86,9 +86,8 @@ def first_shingles(docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
                     wants.append(np.full(len(own), 1 + int(s.spare * need), dtype=np.int32))
                     tokens.append(own)
             if ids:
-                for at in range(0, len(ids), 256):
-                    part = [pa.array(np.concatenate(x[at : at + 256])) for x in (ids, wants, tokens)]
-                    yield pa.RecordBatch.from_arrays(part, ["set", "wanted", "token"])
+                part = [pa.array(np.concatenate(x)) for x in (ids, wants, tokens)]
+                yield pa.RecordBatch.from_arrays(part, ["set", "wanted", "token"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "set bigint, wanted int, token bigint")
 
@@ -114,7 +113,7 @@ def bloom_filter(sets: DataFrame, bits: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = _bits(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()
             bit = (np.uint64(1) << (at % np.uint64(64))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(64)).astype(np.int64)), pa.array(bit)], ["word", "bit"])
@@ -137,7 +136,7 @@ def members(docs: DataFrame, possible: DataFrame, id_col: str, text_col: str, s:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             names, sizes, kept = [], [], []
             for name, own in sets_of(batch.column(1), s.size):
                 names.append(name)
@@ -354,7 +353,7 @@ def candidate_pairs(blocks: DataFrame, ready: DataFrame, components: DataFrame,
 
 def _vectors(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))

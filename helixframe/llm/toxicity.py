@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.base import held_out, training_rows
+from helixframe.llm.base import held_out, slices, training_rows
 
 _WORD = re.compile(r"[^\s.,;:!?\"()\[\]|]+")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             scores = pa.array([scorer.score(x) for x in batch.column(2).to_pylist()], type=pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], ["id", "held_out", "score"])
 
@@ -284,7 +284,7 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             keep = [scorer.score(x) < limit for x in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
