@@ -17,7 +17,7 @@ class CorpusOptions:
     valid_batch_size: int = 128
     gradient_accumulation_steps: int = 2
     mlm_probability: float = 0.15
-    max_eval_steps: int = 100
+    max_eval_steps: int = -1  # no cap
     seed: int = 1
 
     def effective_buffer(self) -> int:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +53,11 @@ def with_specials(ids: Column, max_length: int | None = None) -> Column:
     return F.concat(F.array(F.lit(fixed.CLS)), ids, F.array(F.lit(fixed.SEP)))
 
 
-def tokenise(df: DataFrame, sequence: str = "sequence", k: int = 6, max_length: int | None = 512) -> DataFrame:
-    """Add ``input_ids`` and ``attention_mask``; the sequence column is dropped."""
+def tokenise(df: DataFrame, sequence: str = "sequence", k: int = 6, max_length: int | None = None) -> DataFrame:
+    """Add ``input_ids`` and ``attention_mask``; the sequence column is dropped.
+
+    Sequences keep all their tokens unless ``max_length`` asks for a cut.
+    """
     ids = with_specials(kmer_ids(F.col(sequence), k), max_length)
     return (
         df.withColumn("input_ids", ids)
@@ -160,37 +161,6 @@ def kmer_ids_batched(sequence: Column, k: int = 6) -> Column:
     return encode_batch(sequence)
 
 
-VOCABULARY_LIMIT_BYTES = 64 << 20
-
-
-def tokenise_batched(df: DataFrame, tokenizer_json: str, sequence: str = "sequence", max_length: int | None = 512) -> DataFrame:
-    """Tokenise with a trained tokenizer, given as the text of its JSON file.
-
-    The tokenizer goes to each executor once; its size is checked, since a
-    vocabulary has a fixed size and never grows with the corpus.
-    """
-    if len(tokenizer_json) > VOCABULARY_LIMIT_BYTES:
-        raise ValueError("tokenizer file is too large to send to every executor")
-    held = df.sparkSession.sparkContext.broadcast(tokenizer_json)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(held.value)
-        if max_length is not None:
-            tokenizer.enable_truncation(max_length)
-        for texts in batches:
-            encoded = iter(tokenizer.encode_batch([t for t in texts if t is not None]))
-            yield pd.Series([None if t is None else next(encoded).ids for t in texts], dtype=object)
-
-    return (
-        df.withColumn("input_ids", encode_batches(F.col(sequence)))
-        .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
-        .drop(sequence)
-    )
-
-
 def collate_batches(df: DataFrame, key: str, batch: str = "batch_id") -> DataFrame:
     """One row per batch with its padded id matrix: the shape a training loop reads.
 

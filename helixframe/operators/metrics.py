@@ -73,12 +73,12 @@ def best_fold(
 ) -> DataFrame:
     """Fold with the highest score above 0, the earliest on a tie.
 
-    A run without a positive score has no row. ``max`` over a struct keeps a
+    A NaN score never wins, and a run without a positive score has no row. ``max`` over a struct keeps a
     constant-size buffer per run, so no run is sorted.
     """
     top = F.max(F.struct(F.col(by).alias("score"), (-F.col(fold)).alias("order"))).alias("_top")
     return (
-        df.where(F.col(by) > 0)
+        df.where((F.col(by) > 0) & ~F.isnan(F.col(by).cast("double")))
         .groupBy(*keys)
         .agg(top)
         .select(*keys, (-F.col("_top.order")).alias(fold), F.col("_top.score").alias(by))

@@ -32,10 +32,29 @@ def hash_block(hex_text: Column, digits: int = 4) -> Column:
     return digits_to_int(hex_text, 1, digits)
 
 
-def text_block(text: Column, length: int = 3) -> Column:
-    """Block of a text order: the first bytes of the text as a number."""
-    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, length)), 2 * length, "0")
-    return F.conv(head, 16, 10).cast("bigint")
+def text_bounds(values: DataFrame, column: str, blocks: int = 1024) -> list:
+    """Values that cut the order of a column of distinct values into blocks of near-equal size.
+
+    Those of least hash, so it does not matter what the values have in common. Runs a job that
+    fetches ``blocks`` - 1 values at most.
+    """
+    picked = values.where(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column), column).limit(blocks - 1)
+    return [r[0] for r in picked.orderBy(column).collect()]
+
+
+def text_block(value: Column, bounds: Sequence) -> Column:
+    """Block of an order: how many of the sorted ``bounds`` are at most the value.
+
+    A coarse look at every 32nd bound, then a fine one among the next 32.
+    """
+    if not bounds:
+        return F.lit(0).cast("bigint")
+    step = 32
+    coarse = F.array(*[F.lit(b) for b in bounds[::step]])
+    fine = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
+    group = F.size(F.filter(coarse, lambda b: b <= value))
+    inside = F.size(F.filter(F.element_at(fine, F.greatest(group, F.lit(1))), lambda b: b <= value))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + inside).cast("bigint")
 
 
 def with_carry(

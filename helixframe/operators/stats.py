@@ -44,12 +44,15 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct non-NULL values of each column, long.
 
     Each (column, value) pair is made distinct before it is counted, so the plan
-    is a plain two-step aggregation instead of one expanded row set per column.
+    is a plain two-step aggregation instead of one expanded row set per column. 0.0
+    and -0.0 are one value.
     """
+    real = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+    value = lambda c: (F.col(c) + F.lit(0.0) if c in real else F.col(c)).cast("string")
     cells = df.select(
         F.inline(
             F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+                *[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns]
             )
         )
     )
@@ -166,10 +169,11 @@ def exact_quantiles(
 def box_stats(df: DataFrame, keys: Sequence[str], value: str = "score", whisker: float = 1.5) -> DataFrame:
     """Quartiles, whisker ends (furthest rows inside the fences) and outlier count.
 
-    Runs jobs: the quartiles are settled, so that a last scan can compare every row
-    with the fences of its group.
+    NULL, NaN and infinite values take no part. Runs jobs: the quartiles are settled, so
+    that a last scan can compare every row with the fences of its group.
     """
     keys = list(keys)
+    df = df.where(_finite(value))
     quartiles = exact_quantiles(df, keys, value).withColumnsRenamed(
         {"p0": "q1", "p1": "median", "p2": "q3"}
     )
@@ -189,6 +193,10 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str = "score", whisker:
     )
 
 
+def _finite(value: str) -> Column:
+    return F.abs(F.col(value).cast("double")) < float("inf")
+
+
 def fences(boxes: DataFrame, whisker: float = 1.5) -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * whisker
     return boxes.withColumn("fence_low", F.col("q1") - reach).withColumn(
@@ -199,13 +207,13 @@ def fences(boxes: DataFrame, whisker: float = 1.5) -> DataFrame:
 def outliers(
     df: DataFrame, boxes: DataFrame, keys: Sequence[str], value: str = "score", whisker: float = 1.5
 ) -> DataFrame:
-    """The rows beyond the fences of their group's box. Runs a job to settle the boxes."""
+    """The finite rows beyond the fences of their group's box. Runs a job to settle the boxes."""
     fenced = settle(fences(boxes, whisker).select(*keys, "fence_low", "fence_high"))
     x = F.col(value)
     beyond = (x < F.col("fence_low")) | (x > F.col("fence_high"))
     return (
         left_join_nulls_match(df, fenced, keys)
-        .where(beyond & ~F.isnan(x.cast("double")))
+        .where(beyond & _finite(value))
         .drop("fence_low", "fence_high")
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.text import literal_map
-from helixframe.operators.ordering import row_index, text_block
+from helixframe.operators.ordering import row_index, text_block, text_bounds
 from helixframe.session import settle
 
 # --- projection -------------------------------------------------------------
@@ -62,10 +62,12 @@ def label_codes(df: DataFrame, label: str, name: str = "code") -> DataFrame:
     """0-based code of each text label in sorted order; NULL has none.
 
     The order is made over the distinct labels. They are settled in a job of their
-    own, so the rows are joined to a table of known size and never sorted.
+    own, so the rows are joined to a table of known size and never sorted. A small
+    hash-picked part of them is fetched first, to cut the order into even blocks.
     """
     labels = df.select(label).where(F.col(label).isNotNull()).distinct()
-    coded = row_index(labels, [label], text_block(F.col(label).cast("string")), name=name)
+    labels = settle(labels)
+    coded = row_index(labels, [label], text_block(F.col(label), text_bounds(labels, label)), name=name, few_blocks=True)
     return df.join(settle(coded.withColumn(name, F.col(name).cast("int"))), label, "left")
 
 
@@ -106,19 +108,9 @@ def left_join_nulls_match(left: DataFrame, right: DataFrame, keys: Sequence[str]
     return left.join(right, same, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def run_grid(models: DataFrame, datasets: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Every (model, dataset) pair of two work lists.
-
-    The dataset list becomes one array that each model row unfolds. It is a list
-    of names kept by hand; a longer one than ``limit`` fails the job.
-    """
-    names = datasets.agg(F.collect_set("dataset").alias("names"))
-    held = names.select(
-        F.when(F.size("names") <= limit, F.col("names")).otherwise(
-            F.raise_error(F.lit("dataset list is too long for a run grid")).cast("array<string>")
-        )
-    )
-    return models.select("model").distinct().select("model", F.explode(held.scalar()).alias("dataset"))
+def run_grid(models: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Every (model, dataset) pair of two work lists; the product of the two is the feature."""
+    return models.select("model").distinct().join(datasets.select("dataset").distinct(), how="cross")
 
 
 def pending_runs(models: DataFrame, datasets: DataFrame, finished: DataFrame) -> DataFrame:

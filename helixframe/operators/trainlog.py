@@ -167,13 +167,14 @@ def early_stop(
 
     An evaluation gains if it beats the best of all earlier ones by more than
     ``threshold``; the best itself moves on any improvement. The first one always
-    gains. Runs that never stop have a NULL ``stop_step``.
+    gains. A NaN or NULL metric is never a gain and never moves the best. Runs that never stop have a NULL ``stop_step``.
 
     A run is worked on in blocks of steps. The best so far, the number of
     evaluations and the number of the last gain are carried from block to block.
     """
     keys = list(keys)
-    base = df.select(*keys, step, metric).withColumn(BLOCK, int_block(step, block_bits))
+    real = F.when(~F.isnan(F.col(metric).cast("double")), F.col(metric)).alias(metric)
+    base = df.select(*keys, step, real).withColumn(BLOCK, int_block(step, block_bits))
     ordered = Window.partitionBy(*keys, BLOCK).orderBy(step)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
@@ -184,7 +185,7 @@ def early_stop(
         local, keys, {"_best": (F.max(metric), F.max), "_count": (F.count(F.lit(1)), F.sum)}
     )
     best = F.greatest("_local_best", "_best")
-    gain = best.isNull() | (F.col(metric) - best > threshold)
+    gain = F.col(metric).isNotNull() & (best.isNull() | (F.col(metric) - best > threshold))
     numbered = seen.withColumn("_no", F.col("_local_no") + F.coalesce("_count", F.lit(0)))
     gains = numbered.withColumn("_gain", F.when(gain, F.col("_no"))).drop(
         "_local_best", "_best", "_local_no", "_count"
@@ -194,7 +195,7 @@ def early_stop(
         keys,
         {"_earlier_gain": (F.max("_gain"), F.max)},
     )
-    streak = F.col("_no") - F.greatest("_local_gain", "_earlier_gain")
+    streak = F.col("_no") - F.coalesce(F.greatest("_local_gain", "_earlier_gain"), F.lit(0))
     return known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("evaluations"),
         F.max(metric).alias("best"),

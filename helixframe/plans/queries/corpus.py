@@ -56,13 +56,13 @@ def udf_batch_map(spark, folder):
 )
 def pad_truncate(spark, folder):
     """Model inputs of fixed length 512."""
-    rows = corpus.pad(corpus.tokenise(views.seqs(spark, folder).select("doc_id", "sequence")), 512)
+    rows = corpus.pad(corpus.tokenise(views.seqs(spark, folder).select("doc_id", "sequence"), max_length=512), 512)
     real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint")
     return rows.select("doc_id", _joined("input_ids"), real.alias("n_real"), (F.size("attention_mask") - real).alias("n_pad"))
 
 
-_BATCHED = _CUT | {
-    "batched": "SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM cut"
+_BATCHED = _FRAMED | {
+    "batched": "SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM framed"
 }
 
 
@@ -103,23 +103,23 @@ def udf_group_collate(spark, folder):
 
 
 
-def _mask_sql() -> dict[str, str]:
+def _mask_sql(rows: str = "cut") -> dict[str, str]:
     digest = f"md5('mask:{views.MASK_SEED}:0:' || doc_id || ':' || (i - 1))"
     part = lambda start: f"('0x' || substr({digest}, {start}, 8))::BIGINT"
     u1, u2 = f"{part(1)} / 4294967296::DOUBLE", f"{part(9)} / 4294967296::DOUBLE"
     vocab = corpus.kmer_vocab_size()
     shown = f"CASE WHEN {u2} < 0.8 THEN 4 WHEN {u2} < 0.9 THEN {part(17)} % {vocab} ELSE x END"
     chosen = f"x >= 5 AND {u1} < 0.15"
-    return _CUT | {
+    return _TOKENISED | {rows: (_CUT | _FRAMED)[rows]} | {
         "masked": f"""SELECT doc_id,
             list_transform(ids, lambda x, i: CASE WHEN {chosen} THEN {shown} ELSE x END) AS input_ids,
-            list_transform(ids, lambda x, i: CASE WHEN {chosen} THEN x ELSE -100 END) AS labels FROM cut"""
+            list_transform(ids, lambda x, i: CASE WHEN {chosen} THEN x ELSE -100 END) AS labels FROM {rows}"""
     }
 
 
 @query(
     "mlm_mask",
-    sql("SELECT doc_id, array_to_string(input_ids, ',') AS input_ids, array_to_string(labels, ',') AS labels FROM masked", **_mask_sql()),
+    sql("SELECT doc_id, array_to_string(input_ids, ',') AS input_ids, array_to_string(labels, ',') AS labels FROM masked", **_mask_sql("framed")),
 )
 def mlm_mask(spark, folder):
     rows = corpus.tokenise(views.seqs(spark, folder).select("doc_id", "sequence"))
@@ -211,32 +211,3 @@ def eval_cap(spark, folder):
     rows = views.table(spark, folder, "documents").select("doc_id")
     capped = ordering.cap_batches(ordering.assign_batches(rows, "doc_id", 16), 5)
     return capped.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-# Every pair is one merge, so taking merges in rank order is replacing pairs in that
-# order; a merged pair becomes a lower-case letter that no later pair contains.
-_MERGED = "sequence"
-for _i, (_a, _b) in enumerate((a, b) for a in fixed.NUCLEOTIDES for b in fixed.NUCLEOTIDES):
-    _MERGED = f"replace({_MERGED}, '{_a + _b}', '{chr(ord('a') + _i)}')"
-
-
-@query(
-    "bpe_tokenise",
-    sql(
-        f"""SELECT doc_id, len(ids)::INT AS n_tokens, array_to_string(ids, ',') AS input_ids FROM (
-                SELECT doc_id, list_transform(regexp_extract_all({_MERGED}, '.'),
-                       lambda c: 4 + instr('ACGTabcdefghijklmnop', c)) AS ids FROM seqs)"""
-    ),
-)
-def bpe_tokenise(spark, folder):
-    """Learned merges through the batched mapper; the merges pair up nucleotides."""
-    from tokenizers import Tokenizer, models
-
-    letters = list(fixed.NUCLEOTIDES)
-    pairs = [(a, b) for a in letters for b in letters]
-    words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", *letters, *[a + b for a, b in pairs]]
-    model = models.BPE({w: i for i, w in enumerate(words)}, pairs, unk_token="[UNK]")
-    rows = views.seqs(spark, folder).select("doc_id", "sequence")
-    return corpus.tokenise_batched(rows, Tokenizer(model).to_str(), max_length=None).select(
-        "doc_id", F.size("input_ids").alias("n_tokens"), _joined("input_ids")
-    )

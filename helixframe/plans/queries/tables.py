@@ -58,9 +58,9 @@ def value_map(spark, folder):
 @query(
     "filters_in_notin",
     sql(
-        """SELECT event_id, model, metric FROM results
+        f"""SELECT event_id, model, metric FROM results
            WHERE metric IN ('eval_mcc', 'eval_accuracy')
-             AND model NOT IN ('nt_50_avg', 'nt_50_max') AND dataset <> 'promoter_tata'
+             AND model NOT IN ('{"', '".join(views.HEADS.values())}') AND dataset <> 'promoter_tata'
              AND model LIKE '%seqm%' AND model NOT LIKE '%esm%'
              AND score > 0 AND score < 0.5"""
     ),
@@ -70,7 +70,7 @@ def filters_in_notin(spark, folder):
         views.results(spark, folder)
         .where(
             tables.is_in("metric", ["eval_mcc", "eval_accuracy"])
-            & tables.not_in("model", ["nt_50_avg", "nt_50_max"])
+            & tables.not_in("model", list(views.HEADS.values()))
             & (F.col("dataset") != "promoter_tata")
             & F.col("model").rlike("seqm")
             & ~F.col("model").rlike("esm")
@@ -224,12 +224,12 @@ def concat_rows(spark, folder):
 @query(
     "string_kit",
     sql(
-        """SELECT event_id, concat_ws(' - ', model, dataset) AS facet, upper(model) AS upper_name, length(model)::INT AS name_length,
+        f"""SELECT event_id, concat_ws(' - ', model, dataset) AS facet, upper(model) AS upper_name, length(model)::INT AS name_length,
                   (dataset LIKE 'H%' OR dataset LIKE '%all') AS marked,
                   model || '_results_' || dataset AS run_name,
                   str_split('out/results/' || model || '_results_' || dataset || '.csv', '/')[-1] AS last_part,
                   model || '_results_' || dataset AS stem,
-                  CASE WHEN model LIKE '%-at-base-nt' THEN 'seqm_4096_512_89M-at-base' ELSE model END AS source,
+                  CASE WHEN model LIKE '%-at-base-nt' THEN '{views.LENDER}' ELSE model END AS source,
                   CASE WHEN score IS NOT NULL THEN printf('%.1f%%', score * 100) END AS pct,
                   CASE WHEN score IS NOT NULL THEN printf('%.3f', score) END AS shown, round(score, 1) + 0::DOUBLE AS one_digit,
                   round(exp(score), 6) AS e, round(pow(score, 2), 6) AS sq,

@@ -17,29 +17,39 @@ from helixframe.functions.hashing import uniform
 from helixframe.functions.vector import as_double
 from helixframe.operators.folds import assign_folds
 from helixframe.operators.ordering import int_block, row_index
-from helixframe.session import spread
 
 FOLD_SEED, PRED_SEED, SHUFFLE_SEED, MASK_SEED = 123, 7, 42, 1
 
-# Stand-in model and dataset names, in the shape that score files use.
+# Stand-in names of the own models, made by a rule in the shape that score files use:
+# prefix, vocabulary, width, size in millions, suffix of a variant or head.
+PREFIX = "seqm"
+
+
+def own_model(size: int, vocabulary: int = 4096, family: str = "", suffix: str = "") -> str:
+    return "_".join([PREFIX, *([family] if family else []), str(vocabulary), "512", f"{size}M"]) + suffix
+
+
+def foreign_model(size: int) -> str:
+    """A name of the other family: version, size and data, between hyphens."""
+    return f"nucleotide-transformer-v2-{size}m-multi-species"
+
+
+SIZES = [10 * 2**i for i in range(4)]
+MIDDLE, LARGEST, FOREIGN = SIZES[2], SIZES[-1], (50, 100)
+LENDER = own_model(LARGEST, suffix="-at-base")
+CONTINUED = {tag: own_model(MIDDLE, suffix=f"-{tag}") for tag in ("Mp", "Ms", "Me")}
+HEADS = {head: f"pooled_{head}" for head in ("max", "concat", "mean")}
+ADAPTERS = [f"{LENDER}-LoRA", "NT-100-LoRA"]
 MODELS = [
-    "seqm_4096_512_15M",
-    "seqm_4096_512_27M",
-    "seqm_4096_512_46M",
-    "seqm_4096_512_89M",
-    "seqm_4096_512_89M-at-base",
-    "seqm_4096_512_46M-Ms",
-    "seqm_4096_512_46M-Me",
-    "seqm_8192_512_17M",
-    "seqm_8192_512_30M",
-    "seqm_16384_512_22M",
-    "seqm_esm_4096_512_55M",
-    "seqm_esm_4096_512_97M",
-    "nucleotide-transformer-v2-50m-multi-species",
-    "nucleotide-transformer-v2-100m-multi-species",
-    "nt_50_avg",
-    "nt_50_max",
-    "seqm_4096",
+    *map(own_model, SIZES),
+    *(own_model(size + 5, vocabulary=2**bits) for bits in (13, 14) for size in SIZES[:2]),
+    *(own_model(size + 10, family="esm") for size in SIZES[2:]),
+    *map(foreign_model, FOREIGN),
+    *CONTINUED.values(),
+    *HEADS.values(),
+    LENDER,
+    *ADAPTERS,
+    f"{PREFIX}_4096",  # too few parts
 ]
 DATASETS = [
     "H3K4me1",
@@ -50,47 +60,25 @@ DATASETS = [
     "plasmid_detection",
     "four_kingdoms",
 ]
+_SHOWN = {foreign_model(size): f"NT-{size}" for size in FOREIGN}
+
+
+def _slice(*models: str) -> list[tuple[str, str]]:
+    return [(m, _SHOWN.get(m, m)) for m in models]
+
+
 NAMES = ReportNames(
-    prefix="seqm",
-    excluded=("seqm_4096_512_46M-Me", "seqm_4096_512_46M-Ms", "nt_50_avg", "nt_50_max"),
+    prefix=PREFIX,
+    excluded=(*CONTINUED.values(), *HEADS.values()),
     slices={
-        "pooling_heads": [
-            ("nucleotide-transformer-v2-50m-multi-species", "[CLS]"),
-            ("nt_50_avg", "Mean"),
-            ("nt_50_max", "Max"),
-        ],
-        "continual": [
-            ("seqm_4096_512_46M-Me", "seqm_4096_512_46M-Me"),
-            ("seqm_4096_512_46M-Ms", "seqm_4096_512_46M-Ms"),
-            ("seqm_4096_512_46M", "seqm_4096_512_46M"),
-        ],
-        "architecture": [
-            ("seqm_4096_512_15M", "seqm_4096_512_15M"),
-            ("seqm_4096_512_27M", "seqm_4096_512_27M"),
-            ("seqm_4096_512_46M", "seqm_4096_512_46M"),
-            ("seqm_4096_512_89M", "seqm_4096_512_89M"),
-            ("seqm_4096_512_89M-at-base", "seqm_4096_512_89M-at-base"),
-        ],
-        "family": [
-            ("seqm_esm_4096_512_55M", "seqm_esm_4096_512_55M"),
-            ("nucleotide-transformer-v2-50m-multi-species", "NT-50"),
-            ("seqm_esm_4096_512_97M", "seqm_esm_4096_512_97M"),
-            ("nucleotide-transformer-v2-100m-multi-species", "NT-100"),
-            ("seqm_4096_512_89M-at-base", "seqm_4096_512_89M-at-base"),
-        ],
-        "lora_vs_full": [
-            ("seqm_4096_512_89M-at-base", "seqm_4096_512_89M-at-base"),
-            ("nucleotide-transformer-v2-100m-multi-species", "NT-100"),
-            ("NT-100-LoRA", "NT-100-LoRA"),
-        ],
-    },
-    variants={
-        "base": "seqm_4096_512_46M",
-        "Ms": "seqm_4096_512_46M-Ms",
-        "Mp": "seqm_4096_512_46M-Mp",
-        "Me": "seqm_4096_512_46M-Me",
+        "pooling_heads": [(foreign_model(FOREIGN[0]), "[CLS]"), *((name, head.title()) for head, name in HEADS.items())],
+        "continual": _slice(own_model(MIDDLE), *CONTINUED.values()),
+        "architecture": _slice(*map(own_model, SIZES), LENDER),
+        "family": _slice(*map(foreign_model, FOREIGN), *(own_model(size + 10, family="esm") for size in SIZES[2:]), LENDER),
+        "lora_vs_full": _slice(LENDER, foreign_model(FOREIGN[1]), *ADAPTERS),
     },
-    lender="seqm_4096_512_89M-at-base",
+    variants={"base": own_model(MIDDLE)} | CONTINUED,
+    lender=LENDER,
 )
 METRICS = ["eval_mcc", "eval_accuracy", "eval_f1_score", "eval_samples_per_second"]
 
@@ -105,7 +93,7 @@ def _pick(names: list[str], index):
 
 def seqs(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    return spread(documents, "doc_id").select(
+    return documents.repartition("doc_id").select(
         "doc_id", "lang", "source", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("sequence")
     )
 

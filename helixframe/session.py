@@ -30,7 +30,6 @@ def get_session(app: str = "helixframe", master: str | None = None, **conf: str)
         if master.startswith("local"):
             settings |= {
                 "spark.sql.shuffle.partitions": "8",
-                "spark.driver.memory": "20g",
                 "spark.ui.enabled": "false",
             }
     for key, value in {**settings, **conf}.items():
@@ -64,22 +63,16 @@ def settle(df: DataFrame) -> DataFrame:
     before the join is planned: below ``spark.sql.autoBroadcastJoinThreshold`` it is
     broadcast and the large side is not shuffled, above it the join shuffles both.
     Estimates alone would take the reduced table for as large as its input. The
-    written table also survives lost executors.
+    written table also survives lost executors. It is deleted with the session's JVM.
     """
     path = shared_folder(df.sparkSession, "settled")
     df.write.parquet(path)
+    _drop_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table that was read in fewer splits than there are cores.
-
-    For row-wise work that costs far more than moving the rows, such as tokenising.
-    A table in fewer splits is at most cores x ``maxPartitionBytes`` large, so what
-    is moved is bounded; a larger one is left as it is. ``table`` is a plain scan:
-    its splits are counted without running a job.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
-        return table
-    return table.repartition(cores, key)
+def _drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have the folder deleted when the driver's JVM ends, however it ends in good order."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)

@@ -1,11 +1,16 @@
-"""Batch readers and writers. Schemas are declared, never inferred."""
+"""Batch readers and writers. Schemas are declared, never inferred.
+
+CSV columns are found by the names in the header, in whatever order they come; a missing one is an
+error, and so is a second file whose header differs from the first one's. A cell that does not parse as
+its type is NULL, as is ``NA``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +25,25 @@ def read_chunks(spark: SparkSession, paths: Mapping[str, str], schema: T.StructT
     says. An empty field is an empty sequence.
     """
     parts = [
-        spark.read.schema(schema).csv(path, sep="\t", header=True).withColumn("split", F.lit(name))
+        _csv_by_name(spark, path, schema, sep="\t").withColumn("split", F.lit(name))
         for name, path in paths.items()
     ]
     return fill_sequences(reduce(lambda a, b: a.unionByName(b), parts))
 
 
+def _csv_by_name(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, *more: Column, **options) -> DataFrame:
+    """The schema's columns of headed CSV files, by name; ``more`` may use the file metadata. Reads a header."""
+    raw = spark.read.csv(paths, header=True, enforceSchema=False, **options)
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema], *more)
+
+
+def _file_name() -> Column:
+    """Name of the row's file or, for a part file, of the folder it lies in; decoded."""
+    path = F.split(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))"), "/")
+    last = F.element_at(path, -1)
+    return F.when(last.startswith("part-"), F.element_at(path, -2)).otherwise(last)
+
+
 def fill_sequences(chunks: DataFrame, sequence: str = "sequence") -> DataFrame:
     return chunks.withColumn(sequence, F.coalesce(sequence, F.lit("")))
 
@@ -40,10 +58,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, index: bool
 
     ``index`` says that a leading unnamed row-index column is to be dropped.
     """
-    if index:
-        schema = T.StructType([T.StructField("_c0", T.LongType()), *[f for f in schema if f.name != "_c0"]])
-    df = spark.read.schema(schema).csv(path, header=True, nullValue="NA", enforceSchema=True)
-    return df.drop("_c0")
+    kept = T.StructType([f for f in schema if f.name != "_c0"])  # by name, so an index column needs no care
+    return _csv_by_name(spark, path, kept, nullValue="NA")
 
 
 def read_variants(
@@ -54,20 +70,21 @@ def read_variants(
     ``<stem>.csv`` is the base, ``<stem>-Ms.csv`` the variant ``Ms``. Folders written
     by Spark work too: the tag is then taken from the folder.
     """
-    tag = F.regexp_extract(F.col("_metadata.file_path"), rf"\Q{stem}\E(?:-([^./]+))?\.csv", 1)
-    df = spark.read.schema(schema).csv(paths, header=True, nullValue="NA")
-    return df.select("*", F.when(tag == "", "base").otherwise(tag).alias(name))
+    tag = F.regexp_extract(_file_name(), rf"\Q{stem}\E(?:-([^./]+))?\.csv", 1)
+    return _csv_by_name(spark, paths, schema, F.when(tag == "", "base").otherwise(tag).alias(name), nullValue="NA")
 
 
 def read_vector_folder(spark: SparkSession, paths: str | Sequence[str], width: int) -> DataFrame:
-    """Pooled-vector files: dataset and fine-tuning state come from the file path."""
-    path = F.col("_metadata.file_path")
-    df = spark.read.schema(schemas.vector_csv(width)).csv(paths, header=True, nullValue="NA")
-    tagged = df.select(
-        "*",
-        F.when(path.contains("plasmid"), "plasmid").otherwise("four_kingdom").alias("dataset"),
-        F.when(path.contains("fine"), "Yes").otherwise("No").alias("fine_tuned"),
-    ).drop("_c0")
+    """Pooled-vector files: dataset and fine-tuning state come from the file's own name."""
+    file = _file_name()
+    tagged = _csv_by_name(
+        spark,
+        paths,
+        T.StructType([f for f in schemas.vector_csv(width) if f.name != "_c0"]),
+        F.when(file.contains("plasmid"), "plasmid").otherwise("four_kingdom").alias("dataset"),
+        F.when(file.contains("fine"), "Yes").otherwise("No").alias("fine_tuned"),
+        nullValue="NA",
+    )
     return pack_matching(tagged, r"^v_\d+$")
 
 
@@ -78,11 +95,8 @@ def read_results(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All per-run result files as one table, with the method read from the file name."""
     path = F.col("_metadata.file_path")
     lora = F.regexp_extract(path, RESULT_FILE, 1) != ""
-    return (
-        spark.read.schema(schemas.RESULTS)
-        .csv(paths, header=True, nullValue="NA")
-        .select("*", F.when(lora, "LoRA").otherwise("full").alias("method"))
-    )
+    method = F.when(lora, "LoRA").otherwise("full").alias("method")
+    return _csv_by_name(spark, paths, schemas.RESULTS, method, nullValue="NA")
 
 
 def finished_runs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

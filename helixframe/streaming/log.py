@@ -84,17 +84,19 @@ def loss_rollup_stream(log: DataFrame, accumulation: int) -> DataFrame:
 def _early_stop(patience: int, threshold: float) -> StatefulProcessor:
     size = EVALUATIONS_PER_BLOCK
 
-    def walk(values: np.ndarray, best: float | None, waited: int) -> tuple[int | None, float, int]:
+    def walk(values: np.ndarray, best: float | None, waited: int) -> tuple[int | None, float | None, int]:
         """Go through evaluations in order: place of the stop, best so far, evaluations waited."""
         start = -math.inf if best is None else best
-        upto = np.maximum.accumulate(np.concatenate([[start], values]))
-        gained = values - upto[:-1] > threshold
+        real = np.where(np.isnan(values), -math.inf, values)  # NaN: no gain, and no new best
+        upto = np.maximum.accumulate(np.concatenate([[start], real]))
+        gained = np.isfinite(real) & (np.where(np.isfinite(real), real, 0.0) - upto[:-1] > threshold)
         places = np.arange(len(values))
         last_gain = np.maximum.accumulate(np.where(gained, places, -1))
         streak = np.where(last_gain >= 0, places - last_gain, waited + 1 + places)
         stops = np.flatnonzero(streak >= patience)
         at = int(stops[0]) if len(stops) else None
-        return at, float(upto[-1 if at is None else at + 1]), int(streak[-1])
+        top = float(upto[-1 if at is None else at + 1])
+        return at, None if top == -math.inf else top, int(streak[-1])
 
     class EarlyStop(StatefulProcessor):
         """Progress of one run, and evaluations that arrived before their turn."""

@@ -93,24 +93,10 @@ def test_masking(spark):
     assert rows != corpus.mask_tokens(df, "id", 4105, epoch=1).orderBy("id").collect()
 
 
-def test_trained_tokenizer(spark, seqs):
-    from tokenizers import Tokenizer, models, trainers
-
-    tokenizer = Tokenizer(models.BPE(unk_token="[UNK]"))
-    specials = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
-    tokenizer.train_from_iterator([s for s in SEQUENCES if s] * 3, trainers.BpeTrainer(vocab_size=40, special_tokens=specials, show_progress=False))
-    rows = corpus.tokenise_batched(seqs, tokenizer.to_str(), max_length=16).collect()
-    for r in rows:
-        text = SEQUENCES[r["id"]]
-        assert r["input_ids"] == (None if text is None else tokenizer.encode(text).ids[:16])
-        if text is not None:
-            assert r["attention_mask"] == [1] * len(r["input_ids"])
-
-
-def test_tokenizer_size_is_checked(spark, seqs, monkeypatch):
-    monkeypatch.setattr(corpus, "VOCABULARY_LIMIT_BYTES", 10)
-    with pytest.raises(ValueError, match="too large"):
-        corpus.tokenise_batched(seqs, "{" + " " * 20 + "}")
+def test_nothing_is_cut_by_default(spark):
+    df = spark.createDataFrame([(1, "ACGT" * 3000)], "id int, sequence string")
+    assert len(corpus.tokenise(df).first()["input_ids"]) == 2000 + 2
+    assert len(corpus.tokenise(df, max_length=512).first()["input_ids"]) == 512
 
 
 def test_effective_buffer():

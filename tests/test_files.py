@@ -130,3 +130,20 @@ def test_settled_tables_are_broadcast_by_their_real_size(spark):
     small = settle(spark.range(1000000).groupBy((F.col("id") % 3).alias("k")).count())
     plan = spark.range(100).withColumn("k", F.col("id") % 3).join(small, "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_columns_are_found_by_their_names(spark, tmp_path):
+    write(f"{tmp_path}/m1_results_d_1.csv", "score,dataset,model,metric,evaluation_set\n0.5,d_1,m1,eval_mcc,test\nodd,d_1,m1,eval_mcc,test\n")
+    rows = files.read_results(spark, f"{tmp_path}/*.csv").orderBy("score").collect()
+    assert [(r["model"], r["dataset"], r["score"]) for r in rows] == [("m1", "d_1", None), ("m1", "d_1", 0.5)]
+    write(f"{tmp_path}/m2_results_d_1.csv", "score,dataset,model,evaluation_set\n0.5,d_1,m1,test\n")
+    with pytest.raises(Exception, match="metric"):
+        files.read_results(spark, f"{tmp_path}/m2_results_d_1.csv").collect()
+
+
+def test_folder_names_say_nothing_about_the_file(spark, tmp_path):
+    folder = tmp_path / "refined plasmid+%"
+    folder.mkdir()
+    write(f"{folder}/kingdoms.csv", ",v_0,v_1,vec_type,model_type,label\n0,1.0,2.0,Mean,Base,Virus\n")
+    row = files.read_vector_folder(spark, str(folder), 2).first()
+    assert (row["dataset"], row["fine_tuned"]) == ("four_kingdom", "No")

@@ -66,3 +66,8 @@ def test_result_rows(spark):
         ("m", "d", "test", "eval_accuracy", 0.25),
         ("m", "d", "test", "eval_mcc", 0.5),
     ]
+
+
+def test_nan_fold_never_wins(spark):
+    df = spark.createDataFrame([("a", 0, 0.9), ("a", 1, float("nan")), ("b", 0, float("nan"))], "run string, fold int, mcc double")
+    assert [tuple(r) for r in metrics.best_fold(df, ["run"]).collect()] == [("a", 0, 0.9)]

@@ -37,8 +37,16 @@ def test_text_block_follows_text_order(spark):
     words = ["", "a", "ab", "abc", "abcd", "b", "ba", "zé", "é", "日本", "A", "Z"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     ordered = [r[0] for r in df.orderBy("w").collect()]
-    blocks = {r[0]: r[1] for r in df.select("w", ordering.text_block(F.col("w"))).collect()}
-    assert [blocks[w] for w in ordered] == sorted(blocks[w] for w in ordered)
+    bounds = ordering.text_bounds(df, "w", 5)
+    blocks = {r[0]: r[1] for r in df.select("w", ordering.text_block(F.col("w"), bounds)).collect()}
+    assert [blocks[w] for w in ordered] == sorted(blocks[w] for w in ordered) and len(set(blocks.values())) > 1
+
+
+def test_text_blocks_stay_small_for_a_common_prefix(spark):
+    df = spark.range(50_000).selectExpr("concat('GCF_', lpad(id, 9, '0'), '.1') as w")
+    bounds = ordering.text_bounds(df, "w")
+    sizes = [r["count"] for r in df.groupBy(ordering.text_block(F.col("w"), bounds).alias("b")).count().collect()]
+    assert len(sizes) > 1000 and max(sizes) < 1000 and sum(sizes) == 50_000
 
 
 @pytest.mark.parametrize("bits", [1, 3, 20])

@@ -103,3 +103,13 @@ def test_no_group_is_gathered(spark, values):
     plan = stats.exact_quantiles(values.select("g", "v"), ["g"], "v")._jdf.queryExecution().executedPlan().toString()
     assert "collect_" not in plan and "percentile" not in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_zeros_count_once_and_infinity_is_no_box_value(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "x double")
+    assert stats.distinct_counts(df, ["x"]).first()["n_distinct"] == 2
+    inf = float("inf")
+    df = spark.createDataFrame([("a", v) for v in [1.0, 2.0, 3.0, 4.0, inf, -inf, float("nan"), None, 90.0]], "k string, score double")
+    box = stats.box_stats(df, ["k"]).first()
+    assert (box["n"], box["median"], box["whisker_high"], box["n_outliers"]) == (5, 3.0, 4.0, 1)
+    assert [r["score"] for r in stats.outliers(df, stats.box_stats(df, ["k"]).select("k", "q1", "q3"), ["k"]).collect()] == [90.0]

@@ -43,7 +43,9 @@ def test_loss_rollup_across_batches(spark, tmp_path):
 def test_early_stop_waits_for_missing_steps(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(log, "EVALUATIONS_PER_BLOCK", block)
     rnd = random.Random(3)
-    runs = {"flat": [1.0] * 12, "rising": [float(i) for i in range(12)], **{f"r{i}": [rnd.random() + j * 0.02 for j in range(60)] for i in range(8)}}
+    nan = float("nan")
+    holes = {"hole": [0.5, nan, 0.6, 0.7, 0.8, 0.9], "stuck": [0.5, nan, 0.4, 0.4, 0.4, 0.4], "none": [nan] * 6}
+    runs = {**holes, "flat": [1.0] * 12, "rising": [float(i) for i in range(12)], **{f"r{i}": [rnd.random() + j * 0.02 for j in range(60)] for i in range(8)}}
     rows = [(r, i, m) for r, ms in runs.items() for i, m in enumerate(ms, 1)]
     repeated = rows + rows[::7]
     stream = arrivals(spark, repeated, "run string, eval_no bigint, metric double", f"{tmp_path}/in", 5)

@@ -97,3 +97,12 @@ def test_counters_and_filters(spark):
 def test_mean_over_processes(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 3.0), ("a", 2, 5.0)], "run string, step bigint, loss double")
     assert sorted(tuple(r) for r in trainlog.mean_over_processes(df).collect()) == [("a", 1, 2.0), ("a", 2, 5.0)]
+
+
+def test_nan_is_never_a_gain(spark):
+    nan = float("nan")
+    runs = {"goes_on": [0.5, nan, 0.6, 0.7, 0.8, 0.9], "stops": [0.5, nan, 0.4, 0.4], "first": [nan, nan, nan], "late": [nan, 0.3]}
+    rows = [(r, i, m) for r, ms in runs.items() for i, m in enumerate(ms, 1)]
+    df = spark.createDataFrame(rows, "run string, step bigint, metric double")
+    got = {r["run"]: (r["stop_step"], r["best"]) for r in trainlog.early_stop(df, patience=3, block_bits=1).collect()}
+    assert got == {"goes_on": (None, 0.9), "stops": (4, 0.5), "first": (3, None), "late": (None, 0.3)}

@@ -196,5 +196,3 @@ def test_kmeans_by_group(spark):
     assert all(r["ARI"] == pytest.approx(1.0) for r in scores.collect())
     table = clustering.score_table(scores, "g", "Set")
     assert table.count() == 12 and table.where("values < 0").count() == 0
-    with pytest.raises(ValueError, match="more than 2 groups"):
-        clustering.kmeans_by_group(df, "g", ["x"], "label", max_groups=2)
