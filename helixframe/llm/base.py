@@ -33,8 +33,8 @@ def training_rows(
 ) -> DataFrame:
     """(text, label) of at most ``per_class`` labelled documents of each class, held-out ones left out.
 
-    The choice follows a hash of the id, so it does not depend on how the rows lie. Ids with a NULL
-    or contradictory label are not used. Runs no job by itself; the id list is bounded by
+    The choice follows a hash of the id, so it does not depend on how the rows lie. NULL labels are
+    passed over, ids with contradictory ones are not used. Runs no job by itself; the id list is bounded by
     2 x ``per_class`` rows whatever the size of the tables.
     """
     usable = (

@@ -212,7 +212,7 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "wor
         return F.when(F.coalesce(at, F.lit(0)) > 0, joined).otherwise(parts)
 
     hexed = F.hex(F.encode(F.col(word_col), "UTF-8"))
-    split = F.transform(F.sequence(F.lit(1), F.length("_hex") / 2), lambda i: F.substring(F.col("_hex"), (2 * i - 1).cast("int"), F.lit(2)))
+    split = F.transform(F.sequence(F.lit(1), (F.length("_hex") / 2).cast("int")), lambda i: F.substring(F.col("_hex"), (2 * i - 1).cast("int"), F.lit(2)))
     folds = F.sequence(F.lit(1), F.greatest(F.size("_parts") - 1, F.lit(1)))
     merged = F.when(rank(F.col("_hex")).isNotNull(), F.array("_hex")).otherwise(F.aggregate(folds, F.col("_parts"), fold))
     return (

@@ -139,7 +139,7 @@ def _words(gap: Column, last: bool, n: int) -> Column:
 def occurrences(text: Column, spans: Column) -> Column:
     """Tokens with a digit or '@': (kind of the seed that begins in it, value, start, end, patterns).
 
-    Tokens that a seed begun earlier runs through are left out. The patterns are the word before, the
+    Tokens that a seed begun earlier runs through are left out; the value of a seed is all of it. The patterns are the word before, the
     two words before and the word after.
     """
 
@@ -151,9 +151,10 @@ def occurrences(text: Column, spans: Column) -> Column:
         touching = F.filter(spans, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
         first = F.get(touching, F.lit(0))
         inside = F.exists(touching, lambda s: s["start"] < x["start"])
+        seed = F.lower(F.substring(text, first["start"] + 1, first["end"] - first["start"]))
         return F.struct(
             F.when(inside, "").otherwise(first["kind"]).alias("kind"),
-            F.lower(core).alias("value"),
+            F.when(first.isNull(), F.lower(core)).otherwise(seed).alias("value"),
             start.alias("start"),
             end.alias("end"),
             F.array(
