@@ -82,10 +82,11 @@ def exponent(sources: DataFrame, s: Settings) -> float:
 def source_budgets(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(source, docs, tokens, weight, budget) of ``docs`` (source, tokens), settled. Runs jobs.
 
-    Sources without tokens have no row. If the whole budget cannot be met inside the repetition limit,
+    A NULL source is the source ''. Sources without tokens have no row. If the whole budget cannot be met inside the repetition limit,
     the budget shrinks to it.
     """
-    sources = docs.where("tokens > 0").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+    named = docs.withColumn("source", F.coalesce("source", F.lit("")))
+    sources = named.where("tokens > 0").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
     whole = Window.partitionBy()
     sources = settle(sources.withColumn("share", F.col("tokens") / F.sum("tokens").over(whole)))
     power = F.pow("share", F.lit(exponent(sources, s)))
