@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.base import slices
 
-CACHE_WORDS = 100_000
+CACHE_WORDS = 400_000
 LONG_WORD = 48  # bytes; longer ones merge by a heap, so that one huge word stays n log n
 
 
@@ -97,10 +97,11 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern, self.known = ranks, regex.compile(pattern), _Known(ranks)
 
-    def ids(self, text: str | None) -> list[int]:
+    def ids(self, text: str | None) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.known = _Known(self.ranks)
-        return list(chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text or ""))))
+        words = self.pattern.findall(text or "")
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype=np.int32)
 
 
 class Decoder:
@@ -136,7 +137,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         for batch in slices(batches):
             flat, bounds = [], [0]
             for text in batch.column(1).to_pylist():
-                own = np.array(encoder.ids(text), dtype=np.int32)
+                own = encoder.ids(text)
                 flat.append(own)
                 bounds.append(bounds[-1] + len(own))
             values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), type=pa.int32())
