@@ -16,6 +16,7 @@ from helixframe.session import settle
 
 SCORES = ["ARI", "AMI", "NID", "NMI"]
 _CHUNK = 1 << 16
+_SPREAD = 32
 
 
 def contingency(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
@@ -59,19 +60,25 @@ def expected_mutual_information(margins: DataFrame, keys: Sequence[str], totals:
 
     The sum runs over pairs of cluster sizes (equal sizes counted once, with their
     number) and, per pair, over all possible overlaps. The overlaps of a pair are
-    unfolded in chunks spread over the shuffle partitions.
+    unfolded in chunks spread over the shuffle partitions. A group's pairs are formed in
+    ``_SPREAD`` parts, each with some of the one side's sizes and all of the other's, so
+    that no task forms all pairs of a group with many distinct sizes.
     """
     keys = list(keys)
     sizes = margins.groupBy(*keys, "side", "n").agg(F.count(F.lit(1)).alias("times"))
-    left = sizes.where("side = 'a'").select(*keys, F.col("n").alias("a"), F.col("times").alias("ta"))
-    right = sizes.where("side = 'b'").select(*keys, F.col("n").alias("b"), F.col("times").alias("tb"))
+    left = sizes.where("side = 'a'").select(
+        *keys, F.col("n").alias("a"), F.col("times").alias("ta"), F.pmod(F.xxhash64("n"), F.lit(_SPREAD)).alias("_part")
+    )
+    right = sizes.where("side = 'b'").select(
+        *keys, F.col("n").alias("b"), F.col("times").alias("tb"), F.explode(F.expr(f"sequence(0L, {_SPREAD - 1}L)")).alias("_part")
+    )
     a, b = F.col("a"), F.col("b")
     N = F.col("N").cast("bigint")
     low = F.greatest(F.lit(1).cast("bigint"), a + b - N)
     high = F.least(a, b)
     width = int(margins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = (
-        left.join(right, keys)
+        left.join(right, [*keys, "_part"])
         .join(totals.select(*keys, "N"), keys)
         .withColumn("_low", low)
         .withColumn("_high", high)

@@ -10,13 +10,14 @@ the row, so a recomputed task always lands in the same block.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixframe.functions.hashing import digest, digits_to_int
+from helixframe.session import settle
 
 BLOCK = "_block"
 _GROUP_MASK = (1 << 20) - 1
@@ -57,24 +58,49 @@ def text_block(value: Column, bounds: Sequence) -> Column:
     return F.when(group == 0, 0).otherwise((group - 1) * step + inside).cast("bigint")
 
 
-def with_carry(
-    df: DataFrame, keys: Sequence[str], carried: Mapping[str, tuple[Column, Callable[[str], Column]]]
-) -> DataFrame:
+def with_carry(df: DataFrame, keys: Sequence[str], carried: Mapping[str, tuple[Column, str]]) -> DataFrame:
     """Add columns that sum up all earlier blocks of the key; NULL in the first block.
 
-    Each entry names a column and gives its per-block aggregate and the function
-    that runs over the blocks. The join is on (keys, block), the partitioning that
-    windows inside blocks already have, so it adds no shuffle of ``df``.
+    Each entry names a column and gives its per-block aggregate and how those add up
+    over blocks: "max", "sum" or "last" (of values that are never NULL). Runs a job: ``df``
+    is read once to settle the block table, however often the result goes on to be used.
+    The join is on (keys, block), the partitioning that windows inside blocks already
+    have, so it adds no shuffle of ``df``. Sparse orders may have as many blocks as rows,
+    so blocks are added up inside groups of 2^20 and those groups among themselves.
     """
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(BLOCK)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     parts = [part.alias(f"_part_{name}") for name, (part, _) in carried.items()]
-    running = [run(f"_part_{name}").over(earlier).alias(name) for name, (_, run) in carried.items()]
-    blocks = df.groupBy(*keys, BLOCK).agg(*parts).select(*keys, BLOCK, *running)
-    return df.join(blocks, [*keys, BLOCK])
+    blocks = settle(df.groupBy(*keys, BLOCK).agg(*parts)).withColumn("_group", _group_of_blocks())
+    past = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_group").orderBy(BLOCK).rowsBetween(*past)
+    across = Window.partitionBy(*keys).orderBy("_group").rowsBetween(*past)
+    ends = blocks.groupBy(*keys, "_group").agg(
+        *[
+            (F.max_by(f"_part_{name}", BLOCK) if how == "last" else _RUNNING[how](f"_part_{name}")).alias(f"_end_{name}")
+            for name, (_, how) in carried.items()
+        ]
+    )
+    before = ends.select(
+        *keys, "_group", *[_RUNNING[how](f"_end_{name}").over(across).alias(f"_far_{name}") for name, (_, how) in carried.items()]
+    )
+    near = blocks.select(
+        *keys, BLOCK, "_group", *[_RUNNING[how](f"_part_{name}").over(inside).alias(f"_near_{name}") for name, (_, how) in carried.items()]
+    )
+    both = near.join(before, [*keys, "_group"]).select(
+        *keys, BLOCK, *[_MERGED[how](F.col(f"_near_{name}"), F.col(f"_far_{name}")).alias(name) for name, (_, how) in carried.items()]
+    )
+    return df.join(both, [*keys, BLOCK])
+
+
+def _group_of_blocks() -> Column:
+    return F.col(BLOCK).bitwiseAND(~_GROUP_MASK)
+
+
+_RUNNING = {"max": F.max, "sum": F.sum, "last": F.last}
+_MERGED = {
+    "max": lambda near, far: F.greatest(near, far),
+    "sum": lambda near, far: F.coalesce(near + far, near, far),
+    "last": lambda near, far: F.coalesce(near, far),
+}
 
 
 def _block_offsets(
@@ -92,7 +118,7 @@ def _block_offsets(
     if few_blocks:
         added = counts.withColumn("_offset", _sum_or_zero("_n", whole.orderBy(BLOCK).rowsBetween(*past)))
         return (added.withColumn(total, F.sum("_n").over(whole)) if total else added).drop("_n")
-    grouped = counts.withColumn("_group", F.col(BLOCK).bitwiseAND(~_GROUP_MASK))
+    grouped = counts.withColumn("_group", _group_of_blocks())
     inside = Window.partitionBy(*keys, "_group").orderBy(BLOCK).rowsBetween(*past)
     groups = (
         grouped.groupBy(*keys, "_group")
@@ -121,15 +147,19 @@ def row_index(
     name: str = "row_idx",
     total: str | None = None,
     few_blocks: bool = False,
+    settled: bool = False,
 ) -> DataFrame:
     """Exact 0-based position in ``order``, per ``keys`` or over the whole table.
 
     ``total`` also adds the row count of the key; ``few_blocks`` says that ``block``
     is a hash block. Rows move once, to their (keys, block); everything else
-    happens on block counts.
+    happens on block counts. ``settled`` runs a job for those counts, so that a result
+    which is read several times does not count its rows again each time.
     """
     blocked = df.withColumn(BLOCK, block)
     counts = blocked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    if settled:
+        counts = settle(counts)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     return (
         blocked.withColumn("_local", F.row_number().over(inside) - 1)
@@ -147,12 +177,12 @@ def previous_value(
     block_bits: int = 20,
     name: str = "previous",
 ) -> DataFrame:
-    """Value of the row before in ``order`` within ``keys``; NULL for the first."""
+    """Value of the row before in ``order`` within ``keys``; NULL for the first. Runs a job, see ``with_carry``."""
     blocked = df.withColumn(BLOCK, int_block(order, block_bits))
     inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
     local = blocked.withColumn("_lag", F.lag(F.struct(value)).over(inside))
     last = F.max_by(F.struct(value), F.col(order))
-    carried = with_carry(local, keys, {"_carry": (last, F.last)})
+    carried = with_carry(local, keys, {"_carry": (last, "last")})
     return carried.withColumn(
         name, F.coalesce(F.col("_lag"), F.col("_carry"))[value]
     ).drop(BLOCK, "_lag", "_carry")

@@ -64,9 +64,15 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _log_scale(x: Column) -> Column:
-    """Increasing in x over the whole double range, with even relative resolution."""
-    return F.signum(x) * F.log1p(F.abs(x) * 1e9)
+_COARSE = 1e4
+_PARTS = 4096
+_BIN_ROWS = 1 << 16
+
+
+def _coarse_bin(x: Column) -> Column:
+    """Bins of even relative width, 1e-4, over the whole double range down to its smallest value."""
+    place = F.when(x == 0.0, F.lit(0.0)).otherwise(F.signum(x) * (F.ln(F.abs(x)) + 745.0))
+    return F.floor(place * _COARSE)
 
 
 def _count_below(keys: Sequence[str], bin_name: str) -> Column:
@@ -95,60 +101,70 @@ def _cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probabilities: Sequence[float] = (0.25, 0.5, 0.75),
-) -> DataFrame:
-    """Linearly interpolated quantiles as (keys, n, p0, p1, ...), exact at any group size.
+def _place(p: float) -> Column:
+    """Place of a quantile among the 0-based ranks of its group."""
+    return (F.col("total") - 1) * F.lit(float(p))
 
-    No group is gathered, and no row outside the bins around a wanted rank is
-    shuffled. One scan counts rows per bin of a fixed logarithmic scale; a second
-    one takes the rows of the bins that hold a wanted rank (at most two per
-    quantile), counts them on a 10,000 times finer scale, and only the values of
-    the fine bins found there are put in order. Runs one job per scan.
-    """
-    cells = _cells(df, keys, value)
-    scaled = _log_scale(F.col("x"))
-    coarse_bin, fine_bin = F.floor(scaled * 1e4), F.floor(scaled * 1e8)
 
-    wanted = []
-    for i, p in enumerate(probabilities):
-        place = (F.col("total") - 1) * F.lit(float(p))
-        for side, rank in ((0, F.floor(place)), (1, F.ceil(place))):
-            wanted.append(
-                F.struct(
-                    F.lit(i).alias("q"),
-                    F.lit(side).alias("side"),
-                    rank.cast("bigint").alias("rank"),
-                )
-            )
-    coarse = settle(
-        cells.groupBy("_key", coarse_bin.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+def _coarse_bins(cells: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Rows, smallest and largest value of each occupied bin, and the wanted ranks (``targets``) in it."""
+    wanted = F.array(
+        *[
+            F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), rank.cast("bigint").alias("rank"))
+            for i, p in enumerate(probabilities)
+            for side, rank in ((0, F.floor(_place(p))), (1, F.ceil(_place(p))))
+        ]
+    )
+    return (
+        cells.groupBy("_key", _coarse_bin(F.col("x")).alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         .withColumn("below", _count_below(["_key"], "bin"))
         .withColumn("total", F.sum("n").over(Window.partitionBy("_key")))
-        .select("_key", "bin", "total", _targets_inside(F.array(*wanted)).alias("targets"))
-        .where(F.size("targets") > 0)
+        .withColumn("targets", _targets_inside(wanted))
+        .drop("below")
     )
-    near = settle(
-        cells.withColumn("bin", coarse_bin)
-        .join(coarse.select("_key", "bin"), ["_key", "bin"])
-        .groupBy("_key", "bin", fine_bin.alias("bin2"), "x")
+
+
+def _values_of(cells: DataFrame, bins: DataFrame) -> DataFrame:
+    """The distinct values of the given bins with their counts; a bin of one value needs no look at the rows."""
+    known = bins.where("lo = hi").select("_key", "bin", F.col("lo").alias("x"), "n")
+    read = (
+        cells.withColumn("bin", _coarse_bin(F.col("x")))
+        .join(bins.where("lo < hi").select("_key", "bin"), ["_key", "bin"])
+        .groupBy("_key", "bin", "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    fine = (
-        near.groupBy("_key", "bin", "bin2")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("below", _count_below(["_key", "bin"], "bin2"))
-        .join(coarse, ["_key", "bin"])
-        .select("_key", "bin", "bin2", "total", _targets_inside(F.col("targets")).alias("targets"))
-        .where(F.size("targets") > 0)
-    )
+    return known.unionByName(read)
+
+
+def _ranked_values(near: DataFrame, bins: DataFrame, probabilities: Sequence[float], bin_rows: int) -> DataFrame:
+    """(_key, total, p0, p1, ...) from settled bins with targets and the settled values of those bins.
+
+    Bins with more than ``bin_rows`` rows and two values or more are cut into even parts between their
+    smallest and largest value, as often as it takes; a part is then put in order by one window.
+    A job per round; no round is needed where no bin is that full.
+    """
+    near = near.withColumn("bin", F.array("bin"))
+    bins = bins.where(F.size("targets") > 0).withColumn("bin", F.array("bin"))
+    while not bins.where((F.col("n") > bin_rows) & (F.col("lo") < F.col("hi"))).isEmpty():
+        share = F.when(F.col("lo") < F.col("hi"), (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+        parted = near.join(bins.select("_key", "bin", "lo", "hi"), ["_key", "bin"]).select(
+            "_key", "bin", F.concat("bin", F.array(F.floor(share * _PARTS))).alias("part"), "x", "n"
+        )
+        bins = settle(
+            parted.groupBy("_key", "bin", "part")
+            .agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            .withColumn("below", _count_below(["_key", "bin"], "part"))
+            .join(bins.select("_key", "bin", "total", "targets"), ["_key", "bin"])
+            .select("_key", F.col("part").alias("bin"), "n", "lo", "hi", "total", _targets_inside(F.col("targets")).alias("targets"))
+            .where(F.size("targets") > 0)
+        )
+        near = settle(
+            parted.select("_key", F.col("part").alias("bin"), "x", "n").join(bins.select("_key", "bin"), ["_key", "bin"])
+        )
     found = (
-        near.join(fine, ["_key", "bin", "bin2"])
-        .withColumn("below", _count_below(["_key", "bin", "bin2"], "x"))
+        near.join(bins.select("_key", "bin", "total", "targets"), ["_key", "bin"])
+        .withColumn("below", _count_below(["_key", "bin"], "x"))
         .select("_key", "x", "n", "below", "total", F.inline("targets"))
         .where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("n")))
     )
@@ -160,39 +176,87 @@ def exact_quantiles(
     out = found.groupBy("_key").agg(F.max("total").alias("total"), *picks)
     values = []
     for i, p in enumerate(probabilities):
-        place = (F.col("total") - 1) * F.lit(float(p))
-        low, high, rest = F.col(f"_{i}_0"), F.col(f"_{i}_1"), place - F.floor(place)
+        low, high, rest = F.col(f"_{i}_0"), F.col(f"_{i}_1"), _place(p) - F.floor(_place(p))
         values.append(F.when(rest == 0.0, low).otherwise(low + (high - low) * rest).alias(f"p{i}"))
-    return out.select("_key.*", F.col("total").alias("n"), *values)
+    return out.select("_key", "total", *values)
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], value: str = "score", whisker: float = 1.5) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: Sequence[float] = (0.25, 0.5, 0.75),
+    bin_rows: int = _BIN_ROWS,
+) -> DataFrame:
+    """Linearly interpolated quantiles as (keys, n, p0, p1, ...), exact at any group size.
+
+    No group is gathered, and no row outside the bins around a wanted rank is
+    shuffled. One scan counts rows per bin of a fixed logarithmic scale; a second
+    one takes the distinct values of the bins that hold a wanted rank (at most two per
+    quantile). Bins of more than ``bin_rows`` rows are refined between their smallest and
+    largest value until every part that one task sorts is small. Runs one job per scan.
+    """
+    cells = _cells(df, keys, value)
+    bins = settle(_coarse_bins(cells, probabilities).where(F.size("targets") > 0))
+    found = _ranked_values(settle(_values_of(cells, bins)), bins, probabilities, bin_rows)
+    return found.select("_key.*", F.col("total").alias("n"), *[f"p{i}" for i in range(len(probabilities))])
+
+
+_QUARTILES = (0.25, 0.5, 0.75)
+
+
+def box_stats(
+    df: DataFrame, keys: Sequence[str], value: str = "score", whisker: float = 1.5, bin_rows: int = _BIN_ROWS
+) -> DataFrame:
     """Quartiles, whisker ends (furthest rows inside the fences) and outlier count.
 
-    NULL, NaN and infinite values take no part. Runs jobs: the quartiles are settled, so
-    that a last scan can compare every row with the fences of its group.
+    NULL, NaN and infinite values take no part. Two scans of the rows, each a job: one
+    counts the bins, one takes the values of the bins that hold a quartile or may hold a
+    fence. All other bins lie wholly inside or outside the fences, and their
+    counts and ends say all that is needed of them.
     """
     keys = list(keys)
-    df = df.where(_finite(value))
-    quartiles = exact_quantiles(df, keys, value).withColumnsRenamed(
-        {"p0": "q1", "p1": "median", "p2": "q3"}
+    cells = _cells(df.where(_finite(value)), keys, value)
+    near = "near"
+    counted = _coarse_bins(cells, _QUARTILES)
+    bins = settle(counted.withColumn(near, (F.size("targets") > 0) | _may_hold_fence(whisker)))
+    values = settle(_values_of(cells, bins.where(near)))
+    quartiles = _ranked_values(values, bins, _QUARTILES, bin_rows).withColumnsRenamed({"p0": "q1", "p1": "median", "p2": "q3"})
+    fenced = fences(settle(quartiles), whisker)
+    parts = bins.where(~F.col(near)).select("_key", "lo", "hi", "n").unionByName(
+        values.select("_key", F.col("x").alias("lo"), F.col("x").alias("hi"), "n")
     )
-    boxes = settle(quartiles.select(F.struct(*keys).alias("_key"), "n", "q1", "median", "q3"))
-    x = F.col("x")
-    inside = (x >= F.col("fence_low")) & (x <= F.col("fence_high"))
+    inside = (F.col("lo") >= F.col("fence_low")) & (F.col("hi") <= F.col("fence_high"))
     return (
-        _cells(df, keys, value)
-        .join(fences(boxes, whisker), "_key")
-        .groupBy("_key", "n", "q1", "median", "q3")
+        parts.join(fenced, "_key")
+        .groupBy("_key", "total", "q1", "median", "q3")
         .agg(
-            F.min(F.when(inside, x)).alias("whisker_low"),
-            F.max(F.when(inside, x)).alias("whisker_high"),
-            F.count(F.when(~inside, 1)).alias("n_outliers"),
+            F.min(F.when(inside, F.col("lo"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("hi"))).alias("whisker_high"),
+            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers"),
         )
-        .select("_key.*", "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
+        .select("_key.*", F.col("total").alias("n"), "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
     )
 
 
+def _may_hold_fence(whisker: float) -> Column:
+    """Whether a fence can lie in a bin, going by the ends of the bins that hold the quartiles."""
+    group = Window.partitionBy("_key")
+
+    def end(quartile: int, side: int, column: str) -> Column:
+        here = F.exists("targets", lambda t: (t["q"] == quartile) & (t["side"] == side))
+        return F.max(F.when(here, F.col(column))).over(group)
+
+    q1_low, q1_high, q3_low, q3_high = end(0, 0, "lo"), end(0, 1, "hi"), end(2, 0, "lo"), end(2, 1, "hi")
+    reach_least, reach_most = (q3_low - q1_high) * whisker, (q3_high - q1_low) * whisker
+    slack = (F.abs(q1_low) + F.abs(q3_high) + F.abs(reach_most)) * 1e-12
+
+    def meets(low: Column, high: Column) -> Column:
+        return (F.col("lo") <= high + slack) & (F.col("hi") >= low - slack)
+
+    return meets(q1_low - reach_most, q1_high - reach_least) | meets(q3_low + reach_least, q3_high + reach_most)
+
+
 def _finite(value: str) -> Column:
     return F.abs(F.col(value).cast("double")) < float("inf")
 

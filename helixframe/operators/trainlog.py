@@ -17,10 +17,18 @@ def mean_over_processes(df: DataFrame, keys: Sequence[str] = ("run", "step"), va
     return df.groupBy(*keys).agg(F.avg(value).alias(value))
 
 
-def loss_rollup(df: DataFrame, accumulation: int, run: str = "run", step: str = "small_step", loss: str = "loss") -> DataFrame:
+def loss_rollup(
+    df: DataFrame,
+    accumulation: int,
+    run: str = "run",
+    step: str = "small_step",
+    loss: str = "loss",
+    last: Sequence[str] = (),
+) -> DataFrame:
     """Optimizer-step loss: the sum of loss / g over g micro-steps.
 
     Micro-steps count from 1. A last group that is not full is never flushed.
+    Columns in ``last`` keep their value at the group's last micro-step.
     Grouping by (run, group) spreads even a single huge run.
     """
     group = F.floor((F.col(step) - 1) / accumulation).cast("bigint")
@@ -30,6 +38,7 @@ def loss_rollup(df: DataFrame, accumulation: int, run: str = "run", step: str =
             F.count(F.lit(1)).alias("_n"),
             F.sum(F.col(loss) / accumulation).alias("loss"),
             F.max(step).alias(step),
+            *[F.max_by(c, step).alias(c) for c in last],
         )
         .where(F.col("_n") == accumulation)
         .drop("_n")
@@ -79,7 +88,7 @@ def with_counters(df: DataFrame, samples_per_step: int, accumulation: int, small
 def step_times(
     df: DataFrame, run: str = "run", step: str = "step", ts: str = "ts", block_bits: int = 20
 ) -> DataFrame:
-    """Seconds since the record before in the run, NULL for the first."""
+    """Seconds since the record before in the run, NULL for the first. Runs a job, see ``ordering.with_carry``."""
     out = previous_value(df, ts, step, [run], block_bits, "_before")
     micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))
     return out.withColumn("time_per_iteration", micros / 1e6).drop("_before")
@@ -170,7 +179,8 @@ def early_stop(
     gains. A NaN or NULL metric is never a gain and never moves the best. Runs that never stop have a NULL ``stop_step``.
 
     A run is worked on in blocks of steps. The best so far, the number of
-    evaluations and the number of the last gain are carried from block to block.
+    evaluations and the number of the last gain are carried from block to block. Runs two
+    jobs, one per carried table; with the result the log is read three times.
     """
     keys = list(keys)
     real = F.when(~F.isnan(F.col(metric).cast("double")), F.col(metric)).alias(metric)
@@ -181,9 +191,7 @@ def early_stop(
     local = base.withColumns(
         {"_local_best": F.max(metric).over(before), "_local_no": F.row_number().over(ordered)}
     )
-    seen = with_carry(
-        local, keys, {"_best": (F.max(metric), F.max), "_count": (F.count(F.lit(1)), F.sum)}
-    )
+    seen = with_carry(local, keys, {"_best": (F.max(metric), "max"), "_count": (F.count(F.lit(1)), "sum")})
     best = F.greatest("_local_best", "_best")
     gain = F.col(metric).isNotNull() & (best.isNull() | (F.col(metric) - best > threshold))
     numbered = seen.withColumn("_no", F.col("_local_no") + F.coalesce("_count", F.lit(0)))
@@ -193,7 +201,7 @@ def early_stop(
     known = with_carry(
         gains.withColumn("_local_gain", F.max("_gain").over(upto)),
         keys,
-        {"_earlier_gain": (F.max("_gain"), F.max)},
+        {"_earlier_gain": (F.max("_gain"), "max")},
     )
     streak = F.col("_no") - F.coalesce(F.greatest("_local_gain", "_earlier_gain"), F.lit(0))
     return known.groupBy(*keys).agg(

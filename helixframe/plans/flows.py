@@ -48,21 +48,17 @@ def optimizer_log(
 ) -> DataFrame:
     """One row per optimizer step: loss, samples seen, seconds, TFLOP/s, whether a checkpoint is due.
 
-    ``log`` has (run, model, small_step, ts, loss), one row per process and micro-step.
+    ``log`` has (run, model, small_step, ts, loss), one row per process and micro-step; a
+    micro-step's time is that of its slowest process. Seconds count from the optimizer step
+    before. Two aggregations, no join of the log with itself. Runs a job (``step_times``).
     """
     g = options.gradient_accumulation_steps
-    micro = trainlog.mean_over_processes(log, ("run", "small_step"))
-    steps = trainlog.loss_rollup(micro, g)
-    flushed = (
-        trainlog.checkpoint_steps(log, g, "small_step")
-        .groupBy("run", "small_step")
-        .agg(F.max("ts").alias("ts"), F.first("model").alias("model"))
+    micro = log.groupBy("run", "small_step").agg(
+        F.avg("loss").alias("loss"), F.max("ts").alias("ts"), F.max("model").alias("model")
     )
-    timed = trainlog.step_times(flushed, step="small_step")
+    timed = trainlog.step_times(trainlog.loss_rollup(micro, g, last=["ts", "model"]), step="small_step")
     per_micro = options.train_batch_size * options.processes
-    rows = trainlog.with_tflops(
-        steps.join(timed, ["run", "small_step"]), model_config, per_micro * g, max_length, options.processes
-    )
+    rows = trainlog.with_tflops(timed, model_config, per_micro * g, max_length, options.processes)
     return rows.select(
         "run",
         "model",

@@ -78,7 +78,7 @@ _STOPS = {
     ),
 )
 def early_stop(spark, folder):
-    log = views.log(spark, folder)
+    log = views.log(spark, folder, settled=True)
     return rounded(trainlog.early_stop(log, ["run"], "small_step", "loss", 5, 0.01), "best")
 
 
@@ -90,7 +90,7 @@ def early_stop(spark, folder):
     ),
 )
 def step_time(spark, folder):
-    timed = trainlog.step_times(views.log(spark, folder), step="small_step")
+    timed = trainlog.step_times(views.log(spark, folder, settled=True), step="small_step")
     return rounded(timed.select("run", "small_step", "time_per_iteration"), "time_per_iteration")
 
 
@@ -172,7 +172,7 @@ def latest_step(spark, folder):
 def optimizer_log(spark, folder):
     """The whole training log at optimizer-step level."""
     names = F.array(*[F.lit(c[0]) for c in _CONFIGS])
-    log = views.log(spark, folder).withColumn("model", F.get(names, (F.col("run") % 3).cast("int")))
+    log = views.log(spark, folder, settled=True).withColumn("model", F.get(names, (F.col("run") % 3).cast("int")))
     configs = spark.createDataFrame(_CONFIGS, "model string, n_layer int, n_embd int, vocab_size int")
     options = LogOptions(gradient_accumulation_steps=ACCUMULATION, save_checkpoint_steps=5)
     return rounded(flows.optimizer_log(log, configs, 512, options), "loss", "time_per_iteration", "tflops")

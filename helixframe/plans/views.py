@@ -136,9 +136,10 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def log(spark: SparkSession, folder: str) -> DataFrame:
+def log(spark: SparkSession, folder: str, settled: bool = False) -> DataFrame:
+    """Steps of a run; ``settled`` (a job) for those who read them several times."""
     indexed = row_index(
-        table(spark, folder, "events"), ["event_id"], int_block("event_id"), keys=["user_id"], name="_no"
+        table(spark, folder, "events"), ["event_id"], int_block("event_id"), keys=["user_id"], name="_no", settled=settled
     )
     return indexed.select(
         F.col("user_id").alias("run"),

@@ -112,3 +112,12 @@ def test_digit_comparison_is_the_number_comparison(spark, bound):
     h = digest("x", 1, "id")
     df = spark.range(500).select((unit(h) < bound).alias("a"), unit_below(h, bound).alias("b"))
     assert df.where("a <> b").count() == 0
+
+
+def test_carry_over_groups_of_blocks(spark):
+    """Steps so sparse that every row is a block and blocks fall into several groups of blocks."""
+    steps = [i * (1 << 19) for i in range(40)]
+    df = spark.createDataFrame([(k, s, f"{k}{s}") for k in "ab" for s in steps], "k string, s bigint, v string")
+    got = {(r["k"], r["s"]): r["previous"] for r in ordering.previous_value(df, "v", "s", ["k"], 0).collect()}
+    want = {(k, s): f"{k}{b}" if b is not None else None for k in "ab" for b, s in zip([None, *steps], steps)}
+    assert got == want

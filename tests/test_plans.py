@@ -66,3 +66,11 @@ def test_library_text():
         text = path.read_text()
         for word in ("localCheckpoint", "crossJoin", "toPandas", "monotonically_increasing_id", "F.broadcast", ".rdd.map", "collect_list"):
             assert word not in text, f"{word} in {path.name}"
+
+
+@pytest.mark.parametrize("name,most", [("early_stop", 4), ("step_time", 3), ("optimizer_log", 3)])
+def test_log_plans_read_their_input_few_times(spark, sf, name, most):
+    """All else is settled: per plan, scans of the events and of the carried tables."""
+    plan = plan_of(QUERIES[name](spark, sf))
+    assert len(re.findall(r"FileScan parquet .*events\.parquet", plan)) <= most
+    assert len(re.findall(r"FileScan parquet .*events\.parquet", plan)) >= 1

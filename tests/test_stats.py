@@ -113,3 +113,40 @@ def test_zeros_count_once_and_infinity_is_no_box_value(spark):
     box = stats.box_stats(df, ["k"]).first()
     assert (box["n"], box["median"], box["whisker_high"], box["n_outliers"]) == (5, 3.0, 4.0, 1)
     assert [r["score"] for r in stats.outliers(df, stats.box_stats(df, ["k"]).select("k", "q1", "q3"), ["k"]).collect()] == [90.0]
+
+
+def test_close_values_leave_no_full_bin(spark):
+    """Values a coarse bin cannot tell apart, large and tiny: refined until no part is over the limit."""
+    near = [1.75e15 + i for i in range(20000)]
+    tiny = [i * 1e-20 for i in range(20000)]
+    same = [7.0] * 5000 + [8.0]
+    rows = [("near", v) for v in near] + [("tiny", v) for v in tiny] + [("same", v) for v in same]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in stats.exact_quantiles(df, ["g"], "v", (0.1, 0.5), bin_rows=50).collect()}
+    for g, vs in (("near", near), ("tiny", tiny), ("same", same)):
+        assert [got[g]["p0"], got[g]["p1"]] == pytest.approx(np.percentile(vs, [10, 50]), rel=1e-12)
+    boxes = {r["g"]: r for r in stats.box_stats(df, ["g"], "v", bin_rows=50).collect()}
+    for g, vs in (("near", near), ("tiny", tiny), ("same", same)):
+        assert [boxes[g][c] for c in ("q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")] == pytest.approx(box(vs), rel=1e-12)
+
+
+def test_whiskers_from_bins(spark):
+    """Most bins are never read again; the ends and the outlier counts are still those of the rows."""
+    draw = random.Random(4)
+    groups = {
+        "normal": [draw.gauss(100, 15) for _ in range(4000)],
+        "skewed": [draw.lognormvariate(0, 2) for _ in range(4000)],
+        "around zero": [draw.gauss(0, 1e-6) for _ in range(2000)] + [1.0, -1.0],
+        "fence at zero": [1.0] * 10 + [2.0] * 10 + [-0.5, 0.0, 1e-12, -1e-12, 3.5, 3.6],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    got = {r["g"]: r for r in stats.box_stats(df, ["g"], "v").collect()}
+    for g, vs in groups.items():
+        mine = [got[g][c] for c in ("q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")]
+        assert mine == pytest.approx(box(vs), rel=1e-12), g
+
+
+def test_empty_table_has_no_boxes(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    assert stats.box_stats(df, ["g"], "v").count() == 0
+    assert stats.exact_quantiles(df, ["g"], "v").count() == 0
