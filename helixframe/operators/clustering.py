@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.vector import choose_two, log_factorial
-from helixframe.operators.tables import clamp_negative, wide_to_long
+from helixframe.operators.tables import clamp_negative, concat_rows, wide_to_long
 from helixframe.session import settle
 
 SCORES = ["ARI", "AMI", "NID", "NMI"]
@@ -160,6 +160,11 @@ def score_table(scores: DataFrame, key: str, dataset: str) -> DataFrame:
     return long.withColumn("values", clamp_negative(F.col("values"))).withColumn("dataset", F.lit(dataset))
 
 
+def score_tables(scores: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """The long score rows of several datasets, by name, one below the other."""
+    return concat_rows(*[score_table(df, key, dataset) for dataset, df in scores.items()])
+
+
 def kmeans_by_group(
     df: DataFrame,
     group: str,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -66,6 +67,41 @@ def principal_components(df: DataFrame, vec: str, k: int, name: str = "pc") -> t
     return projected, explained
 
 
+def principal_components_by(
+    df: DataFrame, vec: str, k: int, by: str, sample_sd: bool = True, name: str = "pc"
+) -> tuple[DataFrame, DataFrame]:
+    """Standardises and reduces each group of ``by`` on its own: coordinates, and explained variance per group.
+
+    The second table also has ``sdev``, the standard deviation along the component. Runs a
+    job for the list of groups and one fit per group; groups are report facets, so these
+    are few. A group of fewer than two rows has no components: its coordinates are NULL.
+    """
+    scaled = settle(standardise(df, vec, [by], sample_sd, "_scaled"))
+    sizes = {r[by]: r["n"] for r in scaled.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    coords, explained = [], []
+    empty = F.lit(None).cast("array<double>")
+    for group in sorted(sizes, key=str):
+        part = scaled.where(F.col(by).eqNullSafe(F.lit(group)))
+        if sizes[group] < 2:
+            coords.append(part.withColumn(name, empty))
+            continue
+        placed, shares = principal_components(part, "_scaled", k, name)
+        spread = placed.select(F.posexplode(name).alias("_i", "_x")).groupBy((F.col("_i") + 1).alias("component")).agg(
+            F.stddev_samp("_x").alias("sdev")
+        )
+        coords.append(placed)
+        explained.append(shares.join(spread, "component").withColumn(by, F.lit(group)))
+    if not coords:
+        return scaled.withColumn(name, empty).drop("_scaled"), df.sparkSession.createDataFrame([], _EXPLAINED).withColumn(by, F.lit(None))
+    shown = reduce(lambda a, b: a.unionByName(b), coords).drop("_scaled")
+    if not explained:
+        return shown, df.sparkSession.createDataFrame([], _EXPLAINED).withColumn(by, F.lit(None))
+    return shown, reduce(lambda a, b: a.unionByName(b), explained)
+
+
+_EXPLAINED = "component int, ratio double, axis_label string, sdev double"
+
+
 def pairs_with_base(df: DataFrame, key: str = "token", model: str = "model", vec: str = "vec", base: str = "base") -> DataFrame:
     """Every variant's vector next to the base vector of the same key."""
     basis = df.where(F.col(model) == base).select(key, F.col(vec).alias("base_vec"))

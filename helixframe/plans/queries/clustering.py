@@ -65,6 +65,28 @@ def cluster_score_table(spark, folder):
     return rounded(clustering.score_table(_agreed(spark, folder), "dataset", "Tasks"), "values")
 
 
+@query(
+    "cluster_score_tables",
+    sql(
+        """SELECT split_part(dataset, '|', 2) AS categories, metric, round(CASE WHEN v < 0 THEN 0 ELSE v END, 6) AS "values",
+                  split_part(dataset, '|', 1) AS dataset
+           FROM (SELECT dataset, unnest(['ARI', 'AMI', 'NID', 'NMI']) AS metric, unnest([ari, ami, nid, nmi]) AS v FROM agreed)""",
+        **_TABLES
+        | {
+            "cells": """SELECT dataset, pred AS a, label AS b, count(*) AS n FROM (
+                SELECT 'Tasks|' || dataset AS dataset, pred, label FROM preds
+                UNION ALL SELECT 'Folds|' || fold, pred, label FROM folded WHERE dataset = 'class10') GROUP BY ALL"""
+        },
+    ),
+)
+def cluster_score_tables(spark, folder):
+    """The scores of two datasets in one long table."""
+    folds = views.folded(spark, folder).where("dataset = 'class10'").select(F.col("fold").cast("string").alias("key"), "pred", "label")
+    tasks = views.preds(spark, folder).select(F.col("dataset").alias("key"), "pred", "label")
+    agreed = {name: clustering.agreement(df, ["key"], "pred", "label") for name, df in (("Tasks", tasks), ("Folds", folds))}
+    return rounded(clustering.score_tables(agreed, "key"), "values")
+
+
 @query(
     "facet_groups",
     sql(

@@ -13,7 +13,7 @@ from helixframe.plans.views import sql
 
 _DIGITS = " + ".join(f"(instr('ACGT', t[{i + 1}]) - 1) * {4 ** (5 - i)}" for i in range(6))
 _IDS = f"""list_transform(regexp_extract_all(sequence, '[ACGT]{{6}}|.'), lambda t:
-    CASE WHEN length(t) = 6 THEN 5 + {_DIGITS} ELSE 5 + 4096 - 1 + instr('ACGT', t) END)"""
+    CASE WHEN t = 'N' THEN 1 WHEN length(t) = 6 THEN 5 + {_DIGITS} ELSE 5 + 4096 - 1 + instr('ACGT', t) END)"""
 
 _TOKENISED = {"ids": f"SELECT doc_id, lang, {_IDS} AS body FROM seqs"}
 _FRAMED = _TOKENISED | {"framed": "SELECT doc_id, list_concat([2], body, [3]) AS ids FROM ids"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from helixframe.config import FoldOptions
 from helixframe.functions.hashing import uniform
@@ -122,14 +123,17 @@ def result_rows(spark, folder):
 @query("linear_probe")
 def linear_probe(spark, folder):
     """Five folds of a linear classifier on the vectors, the best one on held-out rows."""
+    return _vector_probe(spark, folder).results
+
+
+def _vector_probe(spark, folder):
     rows = probe.vector_features(
         views.table(spark, folder, "embeddings").withColumn("vec", as_double(F.col("embedding")))
     ).select("vec_id", "label", "features")
     held_out = uniform("test", 5, "vec_id") < 0.2
-    found = probe.cross_validate(
+    return probe.cross_validate(
         rows.where(~held_out), rows.where(held_out), "vec_id", "linear", "class10", FoldOptions(folds=5)
     )
-    return found.results
 
 
 @query("kmer_probe")
@@ -159,3 +163,88 @@ def pca(spark, folder):
 def pca_explained(spark, folder):
     rows = views.table(spark, folder, "embeddings").select(F.col("embedding").alias("vec"))
     return embedding.principal_components(embedding.standardise(rows), "scaled", 4)[1]
+
+
+_BY_TYPE = """SELECT vec_id, ['Mean', 'Max', 'CLS'][vec_id % 3 + 1] AS vec_type, unnest(range(64)) AS dim,
+    unnest(embedding::DOUBLE[]) AS x FROM embeddings"""
+_SCALED = """SELECT vec_id, vec_type, dim, CASE WHEN {sd}(x) OVER w = 0 THEN 0 ELSE (x - avg(x) OVER w) / {sd}(x) OVER w END AS z
+    FROM cells WINDOW w AS (PARTITION BY vec_type, dim)"""
+
+
+def _by_type(spark, folder):
+    names = F.array(*[F.lit(n) for n in ("Mean", "Max", "CLS")])
+    return views.table(spark, folder, "embeddings").select(
+        "vec_id", F.get(names, (F.col("vec_id") % 3).cast("int")).alias("vec_type"), F.col("embedding").alias("vec")
+    )
+
+
+@query(
+    "pca_lengths",
+    sql(
+        "SELECT vec_id, vec_type, round(sqrt(sum(z * z)), 5) AS length FROM scaled GROUP BY ALL",
+        cells=_BY_TYPE,
+        scaled=_SCALED.format(sd="stddev_pop"),
+    ),
+)
+def pca_lengths(spark, folder):
+    """Vectors on all 64 components of their group: a turn of the axes, so every vector keeps its length."""
+    coords, _ = embedding.principal_components_by(_by_type(spark, folder), "vec", 64, "vec_type", sample_sd=False)
+    length = F.sqrt(F.aggregate("pc", F.lit(0.0), lambda a, x: a + x * x))
+    return coords.select("vec_id", "vec_type", F.round(length, 5).alias("length"))
+
+
+@query(
+    "pca_by_type",
+    sql(
+        """SELECT vec_type, count(DISTINCT vec_id) AS n, round(sum(z * z) / (count(DISTINCT vec_id) - 1), 5) AS total_variance,
+                  0.0::DOUBLE AS largest_mean, 0.0::DOUBLE AS largest_covariance, 0::BIGINT AS not_falling, 0.0::DOUBLE AS ratio_error
+           FROM scaled GROUP BY vec_type""",
+        cells=_BY_TYPE,
+        scaled=_SCALED.format(sd="stddev_samp"),
+    ),
+)
+def pca_by_type(spark, folder):
+    """What must hold of the components of each group.
+
+    Their variances add up to the variance of the vectors and fall, each is its share of the
+    whole, their means are 0, and so are the covariances of neighbours.
+    """
+    coords, explained = embedding.principal_components_by(_by_type(spark, folder), "vec", 64, "vec_type")
+    cells = coords.select("vec_id", "vec_type", F.posexplode("pc").alias("dim", "x"), F.col("pc").alias("all"))
+    along = cells.withColumn("next", F.get("all", F.col("dim") + 1)).groupBy("vec_type", "dim").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("x").alias("mean"),
+        F.var_samp("x").alias("variance"),
+        F.covar_samp("x", "next").alias("covariance"),
+    )
+    shares = explained.select("vec_type", (F.col("component") - 1).alias("dim"), "ratio")
+    group = Window.partitionBy("vec_type")
+    checked = along.join(shares, ["vec_type", "dim"]).withColumns(
+        {
+            "total": F.sum("variance").over(group),
+            "before": F.lag("variance").over(group.orderBy("dim")),
+        }
+    )
+    near_zero = lambda c: F.round(F.max(F.abs(c)), 6)
+    return checked.groupBy("vec_type").agg(
+        F.max("n").alias("n"),
+        F.round(F.max("total"), 5).alias("total_variance"),
+        near_zero(F.col("mean")).alias("largest_mean"),
+        near_zero(F.coalesce("covariance", F.lit(0.0))).alias("largest_covariance"),
+        F.count(F.when(F.col("variance") > F.col("before") + 1e-9, 1)).alias("not_falling"),
+        near_zero(F.col("ratio") - F.col("variance") / F.col("total")).alias("ratio_error"),
+    )
+
+
+@query(
+    "probe_folds",
+    sql(
+        f"""SELECT fold, label, count(*) AS n FROM (
+               SELECT label, ntile(5) OVER (ORDER BY md5('fold:123:' || vec_id), vec_id)::INT AS fold
+               FROM embeddings WHERE NOT {views.sql_uniform('test', 5, 'vec_id')} < 0.2) GROUP BY ALL"""
+    ),
+)
+def probe_folds(spark, folder):
+    """Each training row is predicted once, in its fold, by the model that has not seen it."""
+    found = _vector_probe(spark, folder)
+    return stats.group_counts(found.predictions, ["fold", "label"])

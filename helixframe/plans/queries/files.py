@@ -15,7 +15,7 @@ from helixframe.session import shared_folder
 from helixframe.sources import files
 
 
-def _chunks(spark, folder):
+def chunk_rows(spark, folder):
     """Sequences in the layout of genome chunk files."""
     return views.seqs(spark, folder).select(
         F.lit("").alias("split"),
@@ -39,7 +39,7 @@ def _chunks(spark, folder):
 def scan_tsv(spark, folder):
     """Chunk files written as tab-separated text, read back as two named splits."""
     root = shared_folder(spark, "tsv")
-    rows = _chunks(spark, folder)
+    rows = chunk_rows(spark, folder)
     files.write_csv(rows.where("assembly_accession = 'en'"), f"{root}/train", sep="\t")
     files.write_csv(rows.where("assembly_accession <> 'en'"), f"{root}/valid", sep="\t")
     return files.read_chunks(spark, {"train": f"{root}/train", "valid": f"{root}/valid"})
@@ -224,9 +224,9 @@ def normalise_lora(spark, folder):
 @query(
     "append_log",
     sql(
-        """SELECT run::VARCHAR AS run, small_step AS step, 'micro' AS kind, 'loss_per_step/train' AS metric, round(loss, 6) AS score FROM log
-           UNION ALL SELECT run::VARCHAR, small_step, 'micro', 'small_steps', small_step::DOUBLE FROM log
-           UNION ALL SELECT run::VARCHAR, max(small_step), 'step', 'loss/train', round(sum(loss / 4), 6) FROM log
+        """SELECT run::VARCHAR AS run, small_step AS step, epoch_us(ts) AS ts, 'micro' AS kind, 'loss_per_step/train' AS metric, round(loss, 6) AS score FROM log
+           UNION ALL SELECT run::VARCHAR, small_step, epoch_us(ts), 'micro', 'small_steps', small_step::DOUBLE FROM log
+           UNION ALL SELECT run::VARCHAR, max(small_step), epoch_us(max_by(ts, small_step)), 'step', 'loss/train', round(sum(loss / 4), 6) FROM log
            GROUP BY run, (small_step - 1) // 4 HAVING count(*) = 4"""
     ),
 )
@@ -242,13 +242,14 @@ def append_log(spark, folder):
         return rows.select(
             F.col("run").cast("string").alias("run"),
             F.col("small_step").alias("step"),
-            F.lit(None).cast("timestamp").alias("ts"),
+            F.col("ts").cast("timestamp").alias("ts"),
             F.lit(kind).alias("kind"),
             metrics.alias("metrics"),
         )
 
     files.append_metrics(records(log, "micro", micro), path)
-    steps = trainlog.loss_rollup(log, 4)
+    steps = trainlog.loss_rollup(log, 4, last=["ts"])
     files.append_metrics(records(steps, "step", F.create_map(F.lit("loss/train"), F.col("loss"))), path)
     read = spark.read.schema(schemas.TRAIN_LOG).parquet(path)
-    return rounded(tables.metrics_to_rows(read, ["run", "step", "kind"]), "score")
+    read = read.withColumn("ts", F.unix_micros("ts"))
+    return rounded(tables.metrics_to_rows(read, ["run", "step", "ts", "kind"]), "score")

@@ -248,6 +248,31 @@ def size_rank_throughput(spark, folder):
     return rounded(table, "score_mean", "se", "ymin", "ymax")
 
 
+_RANK_KEYS = ["rank", "model", "vocab_size", "dataset", "metric", "group_data"]
+_RANKED = _PLAIN | {
+    "ranked": """SELECT p.*, r.rank FROM plain p JOIN ranks r ON p.vocab_size = r.vocab_size AND p.model_info = r.model_info
+        WHERE r.rank IN (1, 2, 3) AND metric = 'eval_mcc'"""
+}
+
+
+@query(
+    "size_rank_boxes",
+    sql(
+        "SELECT b.*, t.test_score FROM ("
+        + _BOX.format(keys=", ".join(_RANK_KEYS), source="(SELECT * FROM ranked WHERE evaluation_set = 'validation' AND score IS NOT NULL)")
+        + f""") b LEFT JOIN (SELECT {", ".join(_RANK_KEYS)}, round({_STRICT_MEAN}, 6) AS test_score FROM ranked
+              WHERE evaluation_set = 'test' GROUP BY ALL) t ON """
+        + " AND ".join(f"b.{k} = t.{k}" for k in _RANK_KEYS),
+        **_RANKED,
+    ),
+)
+def size_rank_boxes(spark, folder):
+    """Score boxes of the three smallest sizes per vocabulary, with the mean test score beside them."""
+    ranked = report.size_ranked(_clean(spark, folder), views.NAMES)
+    boxes = report.slice_boxes(ranked.where(F.col("rank").isin(1.0, 2.0, 3.0)), keys=_RANK_KEYS)
+    return rounded(boxes, *_BOX_COLUMNS, "test_score")
+
+
 @query(
     "throughput_se",
     sql(

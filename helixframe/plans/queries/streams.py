@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from helixframe.config import EarlyStopOptions
 from helixframe.plans import views
 from helixframe.plans.queries.corpus import _CUT, _PAD, _joined
+from helixframe.plans.queries.files import chunk_rows
 from helixframe.plans.queries.trainlog import ACCUMULATION, _STOPS
 from helixframe.plans.registry import query
 from helixframe.plans.views import rounded, sql
 from helixframe.session import shared_folder
+from helixframe.sources import files
 from helixframe.streaming import corpus, log, run
 
 
@@ -29,11 +31,30 @@ def stream_tokenise(spark, folder):
     documents = views.table(spark, folder, "documents")
     # The name is a glob so that the stream takes a single file as well as a folder.
     stream = spark.readStream.schema(documents.schema).parquet(f"{folder}/documents.[p]arquet")
-    chunks = stream.select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("sequence"))
+    chunks = stream.select("doc_id", views.letters(F.col("text")).alias("sequence"))
     done = run.materialise(corpus.tokenise_stream(chunks), "tokenised")
     return done.select("doc_id", _joined("input_ids"))
 
 
+@query(
+    "stream_chunks",
+    sql(
+        """SELECT CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS split, lang AS assembly_accession,
+                  doc_id::VARCHAR AS seq_id, length(sequence)::INT AS sequence_length, md5('N' || sequence) AS digest FROM seqs"""
+    ),
+)
+def stream_chunks(spark, folder):
+    """Chunk files as a stream that stops and goes on from its checkpoint when more files have come."""
+    path, output, checkpoint = (shared_folder(spark, f"chunks-{part}") for part in ("in", "out", "checkpoint"))
+    for remainder, split in ((0, "first"), (1, "second")):
+        part = chunk_rows(spark, folder).where(F.col("seq_id").cast("bigint") % 2 == remainder)
+        files.write_csv(part.withColumn("split", F.lit(split)), path, sep="\t", mode="append")
+        stream = corpus.read_chunk_stream(spark, path)
+        run.append_available(stream, output, checkpoint)
+    done = spark.read.schema(stream.schema).parquet(output)
+    return done.select("split", "assembly_accession", "seq_id", "sequence_length", F.md5("sequence").alias("digest"))
+
+
 @query(
     "stream_loss_rollup",
     sql(

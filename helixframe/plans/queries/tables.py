@@ -17,7 +17,8 @@ _WIDTH = 64
     "project_drop_rename",
     sql(
         """SELECT vec_id AS id, label AS labels, 'Mean' AS vec_type, 'Base' AS model_type,
-                  len(embedding) AS width, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last
+                  len(embedding) AS width, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last,
+                  md5(array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1000000)::BIGINT), ',')) AS digest
            FROM embeddings"""
     ),
 )
@@ -37,6 +38,7 @@ def project_drop_rename(spark, folder):
             F.size("vec").cast("bigint").alias("width"),
             F.get("vec", F.lit(0)).alias("first"),
             F.get("vec", F.lit(_WIDTH - 1)).alias("last"),
+            F.md5(F.array_join(F.transform("vec", lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",")).alias("digest"),
         ),
         "first",
         "last",
@@ -137,14 +139,17 @@ def pending_grid(spark, folder):
     "key_align",
     sql(
         """SELECT token, round(any_value(x) FILTER (model = 'base'), 6) AS base, round(any_value(x) FILTER (model = 'Ms'), 6) AS "Ms",
-                  round(any_value(x) FILTER (model = 'Me'), 6) AS "Me"
-           FROM token_cells WHERE dim = 2 AND model <> 'Mp' GROUP BY token"""
+                  round(any_value(x) FILTER (model = 'Mp'), 6) AS "Mp", round(any_value(x) FILTER (model = 'Me'), 6) AS "Me"
+           FROM (SELECT token, model, sum(x * (dim + 1)) AS x FROM token_cells GROUP BY ALL) GROUP BY token"""
     ),
 )
 def key_align(spark, folder):
-    rows = views.tokens(spark, folder).select("token", "model", F.get("vec", F.lit(2)).alias("x"))
-    parts = {m: rows.where(F.col("model") == m) for m in ("base", "Ms", "Me")}
-    return rounded(tables.align_by_key(parts, "token", "x"), "base", "Ms", "Me")
+    """One number per token, made of all elements of its vector, side by side for the variants."""
+    weighted = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    rows = views.tokens(spark, folder).select("token", "model", weighted.alias("x"))
+    variants = ("base", "Ms", "Mp", "Me")
+    parts = {m: rows.where(F.col("model") == m) for m in variants}
+    return rounded(tables.align_by_key(parts, "token", "x"), *variants)
 
 
 @query("peek_sorted", sql("SELECT event_id, model, round(score, 6) AS score FROM results ORDER BY score DESC NULLS LAST, event_id LIMIT 25"))

@@ -87,12 +87,12 @@ def report_slice(clean: DataFrame, models: Sequence[tuple[str, str]]) -> DataFra
 SLICE_KEYS = ["dataset", "metric", "group_data", "model", "model_n", "ord"]
 
 
-def slice_boxes(sliced: DataFrame, metric: str = DEFAULT_METRIC) -> DataFrame:
+def slice_boxes(sliced: DataFrame, metric: str = DEFAULT_METRIC, keys: Sequence[str] = SLICE_KEYS) -> DataFrame:
     """Box statistics of the validation scores with the mean test score beside them."""
     scored = sliced.where(F.col("metric") == metric)
-    boxes = stats.box_stats(scored.where(F.col("evaluation_set") == "validation"), SLICE_KEYS)
-    tests = stats.grouped_mean(scored.where(F.col("evaluation_set") == "test"), SLICE_KEYS)
-    return stats.overlay(boxes, tests, SLICE_KEYS)
+    boxes = stats.box_stats(scored.where(F.col("evaluation_set") == "validation"), keys)
+    tests = stats.grouped_mean(scored.where(F.col("evaluation_set") == "test"), keys)
+    return stats.overlay(boxes, tests, keys)
 
 
 def slice_throughput(sliced: DataFrame) -> DataFrame:

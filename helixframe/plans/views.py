@@ -94,10 +94,15 @@ def _pick(names: list[str], index):
 def seqs(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     return documents.repartition("doc_id").select(
-        "doc_id", "lang", "source", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("sequence")
+        "doc_id", "lang", "source", letters(F.col("text")).alias("sequence")
     )
 
 
+def letters(text):
+    """A text as a sequence: every character is kept, those that are no nucleotide as N."""
+    return F.regexp_replace(F.translate(text, "acgt", "ACGT"), "[^ACGT]", "N")
+
+
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Three classification tasks: (dataset, id, label, k)."""
     tags = table(spark, folder, "labels")
@@ -200,7 +205,7 @@ def sql_uniform(purpose: str, seed: int, key: str) -> str:
 
 SQL = {
     "seqs": """
-        SELECT doc_id, lang, source, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS sequence FROM documents""",
+        SELECT doc_id, lang, source, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS sequence FROM documents""",
     "labelled": """
         SELECT 'quality' AS dataset, doc_id AS id, quality AS label, 2 AS k FROM labels
         UNION ALL SELECT 'toxic', doc_id, toxic, 2 FROM labels

@@ -131,9 +131,9 @@ def normalise_methods(results: DataFrame, suffix: str = "-LoRA") -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """Write with a header and without an index, as a folder of part files."""
-    df.write.mode("overwrite").csv(path, header=True, sep=sep, nullValue="NA")
+def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
+    """Write with a header and without an index, as a folder of part files; mode "append" adds files."""
+    df.write.mode(mode).csv(path, header=True, sep=sep, nullValue="NA")
 
 
 def write_named_csv(df: DataFrame, root: str, name: str) -> None:
