@@ -196,3 +196,21 @@ def test_kmeans_by_group(spark):
     assert all(r["ARI"] == pytest.approx(1.0) for r in scores.collect())
     table = clustering.score_table(scores, "g", "Set")
     assert table.count() == 12 and table.where("values < 0").count() == 0
+
+
+def test_principal_components_by_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", [float(x) for x in rng.normal(size=4)]) for _ in range(30)]
+    rows += [("b", [float(x) for x in rng.normal(size=4)]) for _ in range(12)] + [("one", [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(rows, "g string, vec array<double>")
+    coords, explained = embedding.principal_components_by(df, "vec", 2, "g")
+    for g in ("a", "b"):
+        m = np.array([v for k, v in rows if k == g])
+        z = (m - m.mean(0)) / m.std(0, ddof=1)
+        sdev = np.linalg.svd(z, compute_uv=False) / np.sqrt(len(z) - 1)
+        got = {r["component"]: r for r in explained.where(F.col("g") == g).collect()}
+        assert [got[1]["sdev"], got[2]["sdev"]] == pytest.approx(sdev[:2])
+        assert [got[1]["ratio"], got[2]["ratio"]] == pytest.approx(sdev[:2] ** 2 / (sdev**2).sum())
+    assert coords.count() == len(rows) and [r["pc"] for r in coords.where("g = 'one'").collect()] == [None]
+    none, empty = embedding.principal_components_by(df.limit(0), "vec", 2, "g")
+    assert none.count() == empty.count() == 0
