@@ -3,7 +3,8 @@
 Every token is predicted from the tokens on both of its sides; the sum of these conditional
 log-probabilities scores the document. The network is small and trained in numpy: context embeddings,
 weighted by place, add up to a hidden layer, and a softmax over word classes and over the words of a class gives
-the token's probability. The vocabulary is counted over all documents; a fixed share of all
+the token's probability. The vocabulary is counted over all documents; words outside it share one
+place in the network, and which of them it was has its own probability, from the counts of all documents. A fixed share of all
 positions, wherever they lie, trains the network in rounds: every shard takes gradient steps from the
 current network, and the mean of the shards, weighted by positions, is the next one.
 """
@@ -11,7 +12,7 @@ current network, and the mean of the shards, weighted by positions, is the next
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -82,11 +83,20 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Hashes in order, and the id of each; ids count down the frequencies, 0 is any other word."""
+    """Hashes in order, and the id of each; ids count down the frequencies, 0 is any other word.
+
+    ``rest`` has (word, n) of the other words that were counted more than once, ``n_rest`` is the count of all others.
+    """
 
     hashes: np.ndarray
     ids: np.ndarray
     size: int
+    rest: DataFrame | None = None
+    n_rest: int = 0
+
+    def listed(self) -> Vocabulary:
+        """What tasks need: without the table, which stays with the cluster."""
+        return replace(self, rest=None)
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -96,11 +106,20 @@ class Vocabulary:
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", settings: Settings = Settings()) -> Vocabulary:
-    """The most frequent words of all documents, ties by hash. Runs a job; bounded by the settings."""
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(settings.words - 1).collect()
+    """The most frequent words of all documents, ties by hash, and the counts of the others.
+
+    Runs jobs. The list is bounded by the settings; the other words stay in a written table, however many.
+    """
+    counts = settle(word_counts(docs, text_col))
+    top = counts.orderBy(F.desc("n"), "word").limit(settings.words - 1).collect()
     hashes = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order + 1, settings.words)
+    rest = counts.where("false")
+    if top:
+        n, word = top[-1]["n"], top[-1]["word"]
+        rest = counts.where((F.col("n") < n) | (F.col("n") == n) & (F.col("word") > word))
+    n_rest = rest.agg(F.sum("n")).first()[0] or 0
+    return Vocabulary(hashes[order], order + 1, settings.words, rest.where("n > 1"), n_rest)
 
 
 def contexts(words: textbytes.Words, vocab: Vocabulary, at: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +237,7 @@ def training_positions(docs: DataFrame, vocab: Vocabulary, text_col: str, s: Set
     Which positions train is decided by a hash of the place and the words there, in every document
     alike, so their number grows with the corpus.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    shared = docs.sparkSession.sparkContext.broadcast(vocab.listed())
     step = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,29 +303,44 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", settings:
 def score(docs: DataFrame, vocab: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, log_prob, mean_log_prob) of every row, over all its tokens.
 
+    A word outside the vocabulary has P(other | context) times n / (n_rest + 1), n being its own count; what was
+    never counted has the 1 that is left. The logs of the counts come by a join on the word. Runs a job.
     A text without words (or NULL) has no tokens, log_prob 0 and a NULL mean.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, network.flat()))
+    shared = docs.sparkSession.sparkContext.broadcast((vocab.listed(), network.flat()))
     s = network.s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flat = shared.value
         own = Network(s).load(flat)
+        any_rest = np.log(known.n_rest + 1)
         for batch in batches:
-            counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+            at = 0
             for _, data, bounds in textbytes.chunks(batch.column(1)):
                 words = textbytes.find_words(data, bounds)
-                logs = own.log_probs(*contexts(words, known, np.arange(len(words.hash)), s.side))
-                counts.append(words.counts)
-                sums.append(np.add.reduceat(np.append(logs, 0.0), words.first[:-1]) * (words.counts > 0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(counts), type=pa.int64()), pa.array(np.concatenate(sums))],
-                ["id", "n_tokens", "log_prob"],
-            )
+                targets, around = contexts(words, known, np.arange(len(words.hash)), s.side)
+                other = targets == 0
+                logs = own.log_probs(targets, around) - any_rest * other
+                sums = np.add.reduceat(np.append(logs, 0.0), words.first[:-1]) * (words.counts > 0)
+                ends = np.concatenate([[0], np.cumsum(other)])[words.first]
+                others = pa.LargeListArray.from_arrays(ends, words.hash[other].view(np.int64)).cast(pa.list_(pa.int64()))
+                ids = batch.column(0).slice(at, len(bounds) - 1)
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(words.counts, type=pa.int64()), pa.array(sums), others],
+                    ["id", "n_tokens", "log_prob", "others"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, log_prob double")
+    scored = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, log_prob double, others array<bigint>")
+    if vocab.rest is not None:  # ids may repeat or be NULL, so rows get numbers, fixed by the writing
+        scored = settle(scored.withColumn("_row", F.monotonically_increasing_id()))
+        words = scored.select("_row", F.explode("others").alias("word"))
+        known_words = vocab.rest.select("word", F.log("n").alias("log_n"))
+        more = words.join(known_words, "word").groupBy("_row").agg(F.sum("log_n").alias("more"))
+        total = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+        scored = scored.select("_row", "id", "n_tokens", "log_prob").join(more, "_row", "left").withColumn("log_prob", total)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return scored.select(F.col("id").alias(id_col), "n_tokens", "log_prob", mean.alias("mean_log_prob"))
 

@@ -138,6 +138,25 @@ def test_word_order_matters_to_the_score(documents):
     assert masked_lm.score_corpus(documents([]), settings=LM).count() == 0
 
 
+def test_words_outside_the_vocabulary_have_their_own_probability(documents):
+    listed = " ".join(f"h{i}" for i in range(63))
+    rows = [(i, listed) for i in range(40)] + [(100 + i, "h1 mid h2") for i in range(10)]
+    rows += [(200, "h1 rare h2"), (201, "h1 odd h2"), (202, None), (None, "h1 mid h2"), (200, "h1 mid h2")]
+    docs = documents(rows, "others", "_row")
+    vocab = masked_lm.vocabulary(docs, settings=LM)
+    network = masked_lm.train(docs, vocab, settings=LM)
+    assert vocab.n_rest == 14 and [r["n"] for r in vocab.rest.collect()] == [12]
+    got = masked_lm.score(docs, vocab, network).collect()
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r["log_prob"] for r in got if r["doc_id"] != 200}
+    twice = sorted(r["log_prob"] for r in got if r["doc_id"] == 200)
+    assert by_id[100] - twice[0] == pytest.approx(np.log(12), abs=1e-4)
+    assert by_id[201] == pytest.approx(twice[0], abs=1e-4)
+    assert by_id[None] == pytest.approx(by_id[100], abs=1e-6) == pytest.approx(twice[1], abs=1e-6)
+    unseen = masked_lm.score(documents([(1, "h1 nowhere h2")]), vocab, network).first()["log_prob"]
+    assert unseen == pytest.approx(twice[0], abs=1e-4)
+
+
 def test_probabilities_add_up_to_one():
     network = masked_lm.Network(LM)
     around = np.array([[1, 2, 3, 64]])
