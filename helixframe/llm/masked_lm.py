@@ -4,8 +4,8 @@ Every token is predicted from the tokens on both of its sides; the sum of these
 log-probabilities scores the document. The network is small and trained in numpy: context embeddings,
 weighted by place, add up to a hidden layer, and a softmax over word classes and over the words of a class gives
 the token's probability. The vocabulary is counted over all documents; words outside it share one
-place in the network, and which of them it was has its own probability, from the counts of all documents. A fixed share of all
-positions, wherever they lie, trains the network in rounds: every shard takes gradient steps from the
+place in the network, and which of them it was has its own probability, from the counts of all documents. All
+positions train the network in rounds: every shard takes gradient steps from the
 current network, and the mean of the shards, weighted by positions, is the next one.
 """
 
@@ -29,7 +29,7 @@ class Settings:
     per_class: int = 64  # words of a class; the vocabulary has classes x per_class - 1 words and "other"
     side: int = 2  # context words on each side
     width: int = 16
-    share: int = 32  # one of so many positions trains the network
+    share: int = 1  # one of so many positions trains the network: 1 is all of them
     shard: int = 400_000  # training positions of a shard, about
     rounds: int = 3
     batch: int = 1_024
@@ -232,10 +232,11 @@ def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def training_positions(docs: DataFrame, vocab: Vocabulary, text_col: str, s: Settings) -> DataFrame:
-    """(n, ids): blocks of training positions, a target and its context each, as int16 bytes.
+    """(n, ids, chosen): blocks of whole documents and how many of their positions train.
 
-    Which positions train is decided by a hash of the place and the words there, in every document
-    alike, so their number grows with the corpus.
+    ``ids`` are int16 bytes, ``s.side`` ids ``vocab.size`` before, between and after the documents; ``chosen`` has a bit
+    per id. With a share above 1, which positions train is decided by a hash of the place and the words there, in
+    every document alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocab.listed())
     step = np.uint64(0x9E3779B97F4A7C15)
@@ -246,22 +247,30 @@ def training_positions(docs: DataFrame, vocab: Vocabulary, text_col: str, s: Set
                 words = textbytes.find_words(data, bounds)
                 if not len(words.hash):
                     continue
+                owner = np.repeat(np.arange(len(words.counts)), words.counts)
+                to = np.arange(len(words.hash)) + (owner + 1) * s.side
+                ids = np.full(len(words.hash) + (len(words.counts) + 1) * s.side, shared.value.size, dtype=np.int16)
+                ids[to] = shared.value.lookup(words.hash)
+                chosen = np.zeros(len(ids), dtype=bool)
                 doc = np.repeat(words.hash[np.minimum(words.first[:-1], len(words.hash) - 1)], words.counts)
                 place = np.arange(len(words.hash), dtype=np.uint64) - np.repeat(words.first[:-1], words.counts).astype(np.uint64)
                 draw = textbytes.mix(words.hash + (place + np.uint64(1)) * step + doc * np.uint64(3))
-                at = np.flatnonzero(draw % np.uint64(s.share) == 0)
-                target, around = contexts(words, shared.value, at, s.side)
-                block = np.concatenate([target[:, None], around], axis=1).astype(np.int16)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(block)], type=pa.int64()), pa.array([block.tobytes()], type=pa.binary())], ["n", "ids"]
-                )
+                chosen[to] = draw % np.uint64(s.share) == 0
+                columns = [pa.array([x], type=pa.binary()) for x in (ids.tobytes(), np.packbits(chosen).tobytes())]
+                yield pa.RecordBatch.from_arrays([pa.array([chosen.sum()], type=pa.int64()), *columns], ["n", "ids", "chosen"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "n bigint, ids binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "n bigint, ids binary, chosen binary")
 
 
-def _positions(blocks: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(b"".join(blocks), dtype=np.int16).reshape(-1, 1 + 2 * s.side).astype(np.int64)
-    return ids[:, 0], ids[:, 1:]
+def _positions(blocks: list[tuple[bytes, bytes]], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(targets, contexts) of the chosen positions of some blocks."""
+    targets, around = [], []
+    for raw, bits in blocks:
+        ids = np.frombuffer(raw, dtype=np.int16).astype(np.int64)
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(ids)))
+        targets.append(ids[at])
+        around.append(np.stack([ids[at + k] for k in (*range(-s.side, 0), *range(1, s.side + 1))], axis=1))
+    return np.concatenate(targets), np.concatenate(around)
 
 
 def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", settings: Settings = Settings()) -> Network:
@@ -281,9 +290,9 @@ def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", settings:
             held, n, done = [], 0, 0
             rng = np.random.default_rng(s.seed + number)
             for batch in batches:
-                for block in batch.column(1).to_pylist():
+                for size, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     held.append(block)
-                    n += len(block) // (2 + 4 * s.side)
+                    n += size
                     if n >= s.shard:  # memory stays bounded however large a shard is
                         own.train(*_positions(held, s), rng)
                         held, n, done = [], 0, done + n

@@ -157,6 +157,24 @@ def test_words_outside_the_vocabulary_have_their_own_probability(documents):
     assert unseen == pytest.approx(twice[0], abs=1e-4)
 
 
+def test_every_position_trains_with_the_words_around_it(documents):
+    rows = [(i, " ".join(f"w{(i + j) % 7}" for j in range(i % 5 + 1))) for i in range(60)]
+    docs = documents([*rows, (90, None), (91, "")])
+    s = masked_lm.Settings()
+    vocab = masked_lm.vocabulary(docs, settings=s)
+    blocks = masked_lm.training_positions(docs, vocab, "text", s).collect()
+    assert sum(r["n"] for r in blocks) == sum(len(text.split()) for _, text in rows)
+    got, want = [], []
+    for target, around in [masked_lm._positions([(r["ids"], r["chosen"])], s) for r in blocks]:
+        got += np.concatenate([target[:, None], around], axis=1).tolist()
+    for _, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        words = textbytes.find_words(data, np.array([0, len(data)]))
+        target, around = masked_lm.contexts(words, vocab, np.arange(len(words.hash)), s.side)
+        want += np.concatenate([target[:, None], around], axis=1).tolist()
+    assert sorted(got) == sorted(want)
+
+
 def test_probabilities_add_up_to_one():
     network = masked_lm.Network(LM)
     around = np.array([[1, 2, 3, 64]])
