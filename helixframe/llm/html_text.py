@@ -50,23 +50,24 @@ _NOISE = set(
     "form complementary contentinfo banner skip legal disclaimer".split()
 )
 _MAIN = set("article main".split())
-_MAIN_NAMES = set("articlebody main".split())
+_MAIN_NAMES = set("articlebody main".split())  # as a role, or as the whole value of class, id or itemprop
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """(words of class, id and role; whether the element is marked as hidden)."""
+def _names(attributes: str) -> tuple[set[str], bool, bool]:
+    """(words of class, id and role; whether the element is marked as hidden; whether it is named as the main one)."""
     words: set[str] = set()
-    hidden = False
+    hidden = main = False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key in ("class", "id", "role", "itemprop", "aria-label"):
             words.update(w.lower() for w in _NAME_PART.findall(value))
             words.add(value.lower())
+            main |= key != "aria-label" and value.strip().lower() in _MAIN_NAMES
         elif key == "style" and "display:none" in value.replace(" ", "").lower():
             hidden = True
         elif key == "aria-hidden" and value.lower() == "true":
             hidden = True
-    return words, hidden or bool(re.search(r"(?:^|\s)hidden(?=\s|$|=)", attributes))
+    return words, hidden or bool(re.search(r"(?:^|\s)hidden(?=\s|$|=)", attributes)), main
 
 
 @dataclass
@@ -129,7 +130,7 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             continue
         if name in _INLINE:
             if name not in _VOID and not closing:
-                words, hidden = _names(tag[2]) if tag[2] else (set(), False)
+                words, hidden, _ = _names(tag[2]) if tag[2] else (set(), False, False)
                 if hidden or words & _NOISE:
                     open_tags.append((name, True, False))
                     noise += 1
@@ -151,10 +152,11 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             close(len(open_tags) - 1)
         if tag[0].endswith("/>"):
             continue
-        words, hidden = _names(tag[2]) if tag[2] else (set(), False)
-        starts_main = name in _MAIN or bool(words & _MAIN_NAMES)
+        words, hidden, named_main = _names(tag[2]) if tag[2] else (set(), False, False)
         page_header = name in _HIDDEN and not (name == "header" and main)
-        starts_noise = hidden or page_header or (bool(words & _NOISE) and not starts_main and name not in ("body", "html"))
+        named_noise = bool(words & _NOISE) and not (name in _MAIN or named_main) and name not in ("body", "html")
+        starts_noise = hidden or page_header or named_noise
+        starts_main = (name in _MAIN or named_main) and not starts_noise
         any_main |= starts_main and not noise
         open_tags.append((name, starts_noise, starts_main))
         noise += starts_noise

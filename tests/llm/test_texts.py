@@ -83,6 +83,15 @@ def test_main_text(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+def test_menus_named_main_are_not_the_main_element():
+    post = f'<div class="post"><p>{ARTICLE}</p></div>'
+    for menu in ('<nav class="main-nav">', '<nav aria-label="Main">', '<header class="main-header">', '<div class="main-menu">', '<nav id="main">'):
+        page = f"<body>{menu}<ul><li>Home</li><li>About</li></ul></{menu[1:].split()[0]}>{post}</body>"
+        assert html_text.main_text(page) == ARTICLE.strip(), menu
+    for main in ('<div id="main">', '<div role="main">', '<div class="articleBody">'):
+        assert html_text.main_text(f"<body>{main}<p>short</p></div>{post}</body>") == "short", main
+
+
 def test_pages_of_the_tables_give_their_articles(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = html_text.main_texts(pages).join(pages.select("page_id", "html"), "page_id").collect()
