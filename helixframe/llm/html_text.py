@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +32,7 @@ _TOKEN = re.compile(
     r"|</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -49,25 +49,40 @@ _NOISE = set(
     "signup login share sharing social related recommended recommendations widget pagination pager toolbar search "
     "form complementary contentinfo banner skip legal disclaimer".split()
 )
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 _MAIN = set("article main".split())
 _MAIN_NAMES = set("articlebody main".split())  # as a role, or as the whole value of class, id or itemprop
 
 
-def _names(attributes: str) -> tuple[set[str], bool, bool]:
-    """(words of class, id and role; whether the element is marked as hidden; whether it is named as the main one)."""
-    words: set[str] = set()
-    hidden = main = False
+@dataclass
+class Marks:
+    words: set[str] = field(default_factory=set)  # of class, id, role, itemprop and aria-label
+    tokens: set[str] = field(default_factory=set)  # whole classes and roles
+    hidden: bool = False
+    main: bool = False  # named as the main element
+
+    def noise(self, name: str, inside_main: bool) -> bool:
+        """Ids of sections and headings are made of their titles, so there only whole classes and roles tell."""
+        return bool((self.tokens if inside_main or name in _HEADINGS else self.words) & _NOISE)
+
+
+def _marks(attributes: str) -> Marks:
+    out = Marks()
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key in ("class", "id", "role", "itemprop", "aria-label"):
-            words.update(w.lower() for w in _NAME_PART.findall(value))
-            words.add(value.lower())
-            main |= key != "aria-label" and value.strip().lower() in _MAIN_NAMES
+            out.words.update(w.lower() for w in _NAME_PART.findall(value))
+            out.words.add(value.lower())
+            out.main |= key != "aria-label" and value.strip().lower() in _MAIN_NAMES
+            if key in ("class", "role"):
+                out.tokens.update(value.lower().split())
+        elif key == "hidden":
+            out.hidden = True
         elif key == "style" and "display:none" in value.replace(" ", "").lower():
-            hidden = True
+            out.hidden = True
         elif key == "aria-hidden" and value.lower() == "true":
-            hidden = True
-    return words, hidden or bool(re.search(r"(?:^|\s)hidden(?=\s|$|=)", attributes)), main
+            out.hidden = True
+    return out
 
 
 @dataclass
@@ -130,8 +145,8 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             continue
         if name in _INLINE:
             if name not in _VOID and not closing:
-                words, hidden, _ = _names(tag[2]) if tag[2] else (set(), False, False)
-                if hidden or words & _NOISE:
+                marks = _marks(tag[2]) if tag[2] else Marks()
+                if marks.hidden or marks.noise(name, main > 0):
                     open_tags.append((name, True, False))
                     noise += 1
                     continue
@@ -152,11 +167,12 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             close(len(open_tags) - 1)
         if tag[0].endswith("/>"):
             continue
-        words, hidden, named_main = _names(tag[2]) if tag[2] else (set(), False, False)
+        marks = _marks(tag[2]) if tag[2] else Marks()
         page_header = name in _HIDDEN and not (name == "header" and main)
-        named_noise = bool(words & _NOISE) and not (name in _MAIN or named_main) and name not in ("body", "html")
-        starts_noise = hidden or page_header or named_noise
-        starts_main = (name in _MAIN or named_main) and not starts_noise
+        names_main = name in _MAIN or marks.main
+        named_noise = marks.noise(name, main > 0) and not names_main and name not in ("body", "html")
+        starts_noise = marks.hidden or page_header or named_noise
+        starts_main = names_main and not starts_noise
         any_main |= starts_main and not noise
         open_tags.append((name, starts_noise, starts_main))
         noise += starts_noise
@@ -170,7 +186,8 @@ def main_lines(lines: list[Line], any_main: bool, s: Settings) -> list[str]:
 
     A stretch runs from where the blocks leave zero to where they return to it. It counts if its
     blocks reach ``surge`` somewhere and it is not mostly links. A page in which no stretch does gives the
-    longest one, so that a short article is not lost. On a page that marks its main element, lines outside count as empty.
+    longest one, so that a short article is not lost. On a page that marks its main element, lines outside count as empty
+    and all stretches inside count.
     """
     size = [len(x.text) if x.main or not any_main else 0 for x in lines]
     blocks = [sum(size[i : i + s.window]) for i in range(len(size))]
@@ -184,8 +201,8 @@ def main_lines(lines: list[Line], any_main: bool, s: Settings) -> list[str]:
     inside = lambda a, b: [lines[i] for i in range(a, min(b + s.window, len(lines))) if size[i]]
     share = lambda a, b: sum(x.linked for x in inside(a, b)) / max(1, sum(len(x.text) for x in inside(a, b)))
     prose = [x for x in stretches if share(*x) <= s.links]
-    if any_main:  # the page itself says where the text is; short sections of it belong to it
-        kept = prose
+    if any_main:  # the page itself says where the text is; short sections and lists of links belong to it
+        kept = stretches
     else:
         kept = [(a, b) for a, b in prose if max(blocks[a:b]) >= s.surge]
         kept = kept or sorted(prose, key=lambda x: -sum(size[x[0] : x[1]]))[:1]

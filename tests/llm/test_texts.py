@@ -92,6 +92,18 @@ def test_menus_named_main_are_not_the_main_element():
         assert html_text.main_text(f"<body>{main}<p>short</p></div>{post}</body>") == "short", main
 
 
+def test_sections_of_a_marked_article_stay():
+    links = "".join(f'<li><a href="/{i}">Reference number {i}</a></li>' for i in range(3))
+    page = (
+        '<article><h2 id="search-and-rescue">Search</h2><section id="legal-status"><p>Law</p></section><p title="a hidden gem">Gem</p>'
+        f'<p data-x=\'is hidden\'>Single</p><div id="related-work"><ul>{links}</ul></div><div class="box related">Ad</div>'
+        '<p hidden>No</p><p HIDDEN="">No</p><div role="search">Find</div><p title="un hidden>Open</p></article>'
+    )
+    want = ["Search", "Law", "Gem", "Single", *(f"Reference number {i}" for i in range(3)), "Open"]
+    assert html_text.main_text(page) == "\n".join(want)
+    assert "Search" in html_text.main_text(f'<div><h2 id="search-and-rescue">Search</h2><p>{ARTICLE}</p></div>')
+
+
 def test_pages_of_the_tables_give_their_articles(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = html_text.main_texts(pages).join(pages.select("page_id", "html"), "page_id").collect()
