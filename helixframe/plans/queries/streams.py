@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.config import EarlyStopOptions
 from helixframe.plans import views
-from helixframe.plans.queries.corpus import _CUT, _PAD, _joined
+from helixframe.plans.queries.corpus import _CUT, _FRAMED, _PAD, _joined
 from helixframe.plans.queries.files import chunk_rows
 from helixframe.plans.queries.trainlog import ACCUMULATION, _STOPS
 from helixframe.plans.registry import query
@@ -23,16 +23,30 @@ def _stream_of(spark, df, purpose: str):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(path)
 
 
+def _sequence_stream(spark, folder):
+    documents = views.table(spark, folder, "documents")
+    # The name is a glob so that the stream takes a single file as well as a folder.
+    stream = spark.readStream.schema(documents.schema).parquet(f"{folder}/documents.[p]arquet")
+    return stream.select("doc_id", views.letters(F.col("text")).alias("sequence"))
+
+
 @query(
     "stream_tokenise",
     sql(f"SELECT doc_id, array_to_string({_PAD.format(width=512)}, ',') AS input_ids FROM cut", **_CUT),
 )
 def stream_tokenise(spark, folder):
-    documents = views.table(spark, folder, "documents")
-    # The name is a glob so that the stream takes a single file as well as a folder.
-    stream = spark.readStream.schema(documents.schema).parquet(f"{folder}/documents.[p]arquet")
-    chunks = stream.select("doc_id", views.letters(F.col("text")).alias("sequence"))
-    done = run.materialise(corpus.tokenise_stream(chunks), "tokenised")
+    """Model inputs of fixed length 512: longer texts are cut, as asked for here."""
+    done = run.materialise(corpus.tokenise_stream(_sequence_stream(spark, folder), max_length=512), "tokenised")
+    return done.select("doc_id", _joined("input_ids"))
+
+
+@query(
+    "stream_tokenise_whole",
+    sql("SELECT doc_id, array_to_string(ids, ',') AS input_ids FROM framed", **_FRAMED),
+)
+def stream_tokenise_whole(spark, folder):
+    """Token ids of whole texts."""
+    done = run.materialise(corpus.tokenise_stream(_sequence_stream(spark, folder)), "tokenised")
     return done.select("doc_id", _joined("input_ids"))
 
 

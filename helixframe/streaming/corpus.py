@@ -33,6 +33,12 @@ def read_chunk_stream(
     return fill_sequences(chunks)
 
 
-def tokenise_stream(chunks: DataFrame, k: int = 6, max_length: int = 512) -> DataFrame:
-    """Token ids padded to ``max_length``; the chunk's metadata columns are dropped."""
-    return corpus.pad(corpus.tokenise(chunks, "sequence", k, max_length), max_length).drop(*CHUNK_METADATA)
+def tokenise_stream(chunks: DataFrame, k: int = 6, max_length: int | None = None, width: int | None = None) -> DataFrame:
+    """Token ids; the chunk's metadata columns are dropped.
+
+    Sequences keep all their tokens unless ``max_length`` asks for a cut. Shorter ones are padded to ``width``,
+    which is ``max_length`` if not given; with neither, nothing is padded.
+    """
+    tokens = corpus.tokenise(chunks, "sequence", k, max_length)
+    width = max_length if width is None else width
+    return (tokens if width is None else corpus.pad(tokens, width)).drop(*CHUNK_METADATA)

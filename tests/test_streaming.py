@@ -80,3 +80,11 @@ def test_tokenise_stream_resumes_without_repeats(spark, tmp_path):
     key = lambda r: r["seq_id"]
     got = [tuple(r) for r in sorted(done.select("seq_id", "input_ids", "attention_mask").collect(), key=key)]
     assert got == [tuple(r) for r in sorted(want.select("seq_id", "input_ids", "attention_mask").collect(), key=key)]
+
+
+def test_tokenise_stream_keeps_whole_texts(spark, tmp_path):
+    stream = arrivals(spark, [("a", "ACGTAC" * 700), ("b", "ACG")], "seq_id string, sequence string", f"{tmp_path}/in", 1)
+    sizes = lambda df, name: {r["seq_id"]: len(r["input_ids"]) for r in run.materialise(df, name).collect()}
+    assert sizes(corpus.tokenise_stream(stream), "test-whole") == {"a": 702, "b": 5}
+    assert sizes(corpus.tokenise_stream(stream, width=8), "test-wide") == {"a": 702, "b": 8}
+    assert sizes(corpus.tokenise_stream(stream, max_length=512), "test-cut") == {"a": 512, "b": 512}
