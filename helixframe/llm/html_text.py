@@ -1,7 +1,8 @@
 """Main text of HTML pages by the distribution of text over line blocks.
 
 Markup is stripped to a list of lines, one per block element, empty where only tags stood. The text
-length of a line block is the sum over a sliding window of lines. The curve surges where the main
+length of a line block is the sum over a sliding window of lines; tags around a single line or a table row add no
+further empty lines to the one before it. The curve surges where the main
 text begins and dives where it ends; the lines between are kept. Lines inside elements that never
 hold main text (menus, headers, footers, adverts, forms, comments, ...) count as empty.
 """
@@ -85,11 +86,22 @@ def _marks(attributes: str) -> Marks:
     return out
 
 
+@dataclass
+class Element:
+    first: int  # text lines before it
+    last: int = 0  # and up to its end
+
+    @property
+    def single(self) -> bool:
+        return self.last - self.first < 2
+
+
 @dataclass
 class Line:
     text: str = ""
     linked: int = 0
     main: bool = False
+    element: Element | None = None  # whose tag made the line; None also for a closing tag of what is closed, as of a row after its cells
 
 
 def _tidy(raw: str) -> str:
@@ -101,22 +113,26 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
     lines: list[Line] = []
     pieces: list[str] = []
     linked: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # (name, starts noise, starts main)
-    noise = main = links = 0
+    open_tags: list[tuple[str, bool, bool, Element | None]] = []  # (name, starts noise, starts main, block element)
+    noise = main = links = n_text = 0
     any_main = False
 
     def flush() -> None:
+        nonlocal n_text
         text = _tidy("".join(pieces))
         if noise and not text:  # what is left out leaves no gap in the lines
             return
         lines.append(Line(text, min(len(text), len(_tidy("".join(linked)))), main > 0))
+        n_text += bool(text)
         pieces.clear()
         linked.clear()
 
     def close(upto: int) -> None:
         nonlocal noise, main
         while len(open_tags) > upto:
-            _, was_noise, was_main = open_tags.pop()
+            _, was_noise, was_main, element = open_tags.pop()
+            if element:
+                element.last = n_text
             noise -= was_noise
             main -= was_main
 
@@ -147,18 +163,21 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             if name not in _VOID and not closing:
                 marks = _marks(tag[2]) if tag[2] else Marks()
                 if marks.hidden or marks.noise(name, main > 0):
-                    open_tags.append((name, True, False))
+                    open_tags.append((name, True, False, None))
                     noise += 1
                     continue
             if closing and open_tags and open_tags[-1][0] == name:
                 close(len(open_tags) - 1)
             continue
+        at_line = len(lines)
         flush()
         if name in _VOID:
             continue
         if closing:
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == name:
+                    if len(lines) > at_line:
+                        lines[-1].element = open_tags[k][3]
                     close(k)
                     break
             continue
@@ -174,18 +193,37 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
         starts_noise = marks.hidden or page_header or named_noise
         starts_main = names_main and not starts_noise
         any_main |= starts_main and not noise
-        open_tags.append((name, starts_noise, starts_main))
+        element = Element(n_text)
+        if len(lines) > at_line:
+            lines[-1].element = element
+        open_tags.append((name, starts_noise, starts_main, element))
         noise += starts_noise
         main += starts_main
     flush()
-    return lines, any_main
+    close(0)
+    return _without_wrappers(lines), any_main
+
+
+def _without_wrappers(lines: list[Line]) -> list[Line]:
+    """One empty line in place of several that only tags of single lines and of table rows have made."""
+    out: list[Line] = []
+    at = 0
+    while at < len(lines):
+        stop = at
+        while stop < len(lines) and not lines[stop].text:
+            stop += 1
+        gap = lines[at:stop]
+        out += gap[:1] if all(x.element is None or x.element.single for x in gap) else gap
+        out += lines[stop : stop + 1]
+        at = stop + 1
+    return out
 
 
 def main_lines(lines: list[Line], any_main: bool, s: Settings) -> list[str]:
     """The lines between each surge and dive of the block lengths.
 
     A stretch runs from where the blocks leave zero to where they return to it. It counts if its
-    blocks reach ``surge`` somewhere and it is not mostly links. A page in which no stretch does gives the
+    blocks reach ``surge`` somewhere and it is not mostly links; shorter ones between two that count belong to the text. A page in which no stretch does gives the
     longest one, so that a short article is not lost. On a page that marks its main element, lines outside count as empty
     and all stretches inside count.
     """
@@ -204,8 +242,8 @@ def main_lines(lines: list[Line], any_main: bool, s: Settings) -> list[str]:
     if any_main:  # the page itself says where the text is; short sections and lists of links belong to it
         kept = stretches
     else:
-        kept = [(a, b) for a, b in prose if max(blocks[a:b]) >= s.surge]
-        kept = kept or sorted(prose, key=lambda x: -sum(size[x[0] : x[1]]))[:1]
+        surges = [k for k, (a, b) in enumerate(prose) if max(blocks[a:b]) >= s.surge]
+        kept = prose[surges[0] : surges[-1] + 1] if surges else sorted(prose, key=lambda x: -sum(size[x[0] : x[1]]))[:1]
     out, done = [], 0
     for a, b in kept:
         for i in range(max(a, done), min(b + s.window, len(lines))):

@@ -104,6 +104,21 @@ def test_sections_of_a_marked_article_stay():
     assert "Search" in html_text.main_text(f'<div><h2 id="search-and-rescue">Search</h2><p>{ARTICLE}</p></div>')
 
 
+def test_wrapper_tags_do_not_cut_the_text():
+    short = ["Short one.", "Head", "Short two.", "Short end."]
+    texts = [ARTICLE.strip(), *short[:3], ARTICLE.strip(), short[3]]
+    menu = "<div><ul><li>Home</li><li>About</li></ul></div>"
+    for before, after in (("<p>", "</p>"), ("<div><p>", "</p></div>"), ("<div><div><p>", "</p></div></div>"), ("<div></div><div><p>", "</p></div>")):
+        page = f"<body>{menu}<div class='post'>{''.join(before + x + after for x in texts)}</div></body>"
+        assert html_text.main_text(page) == "\n".join(texts), before
+    cells = [(f"Row {i}", f"value {i}", "x" * 20) for i in range(9)]
+    rows = "".join("<tr>" + "".join(f"<td>{x}</td>" for x in row) + "</tr>" for row in cells)
+    want = "\n".join(x for row in cells for x in row)
+    assert html_text.main_text(f"<body>{menu}<div><table>{rows}</table></div></body>") == want
+    sections = "".join(f"<div><h2>Head</h2><p>{x}</p></div>" for x in (ARTICLE.strip(), "Short.", ARTICLE.strip()))
+    assert html_text.main_text(f"<body>{menu}{sections}</body>").count("Short.") == 1
+
+
 def test_pages_of_the_tables_give_their_articles(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = html_text.main_texts(pages).join(pages.select("page_id", "html"), "page_id").collect()
