@@ -130,7 +130,7 @@ def _in_bloom(name: int, bloom: np.ndarray) -> bool:
 
 
 def members(docs: DataFrame, possible: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """(id, set, n, shingles) of every row, settled; the shingles only of sets that may link, once per task."""
+    """(id, set, n, text_hash, shingles) of every row, settled; the shingles only of sets that may link, once per task."""
     context = docs.sparkSession.sparkContext
     bloom = context.broadcast(bloom_filter(possible, s.bloom_bits))
 
@@ -145,12 +145,12 @@ def members(docs: DataFrame, possible: DataFrame, id_col: str, text_col: str, s:
                 if fresh:
                     seen.add(name)
                 kept.append(own if fresh else None)
-            columns = [batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(kept, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "set", "n", "shingles"])
+            columns = [batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), batch.column(2), pa.array(kept, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "set", "n", "text_hash", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return settle(rows.mapInArrow(run, f"id {kind}, set bigint, n bigint, shingles array<bigint>"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return settle(rows.mapInArrow(run, f"id {kind}, set bigint, n bigint, text_hash bigint, shingles array<bigint>"))
 
 
 def rare_first(found: DataFrame, s: Settings) -> DataFrame:
@@ -407,6 +407,18 @@ def link_sets(ready: DataFrame, s: Settings) -> DataFrame:
             step += 1
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, set, n) of every row, and (set, component, component_id) of every set that has words. Runs jobs."""
+    possible = settle(possible_sets(docs, text_col, s))
+    found = members(docs, possible, id_col, text_col, s)
+    components = link_sets(rare_first(found, s), s)
+    rows = found.select("id", "text_hash", "set", "n")
+    smallest = rows.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
+    named = smallest.join(components, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows, settle(named.join(names, "component").select("set", "component", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(id, n_shingles, component_id) of every row: the smallest id reachable by links. Runs jobs.
 
@@ -414,28 +426,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not even each other. A row whose id is NULL can link others but gives no component its name.
     Sets and shingles are told apart by 64-bit hashes.
     """
-    s = settings
-    possible = settle(possible_sets(docs, text_col, s))
-    found = members(docs, possible, id_col, text_col, s)
-    components = link_sets(rare_first(found, s), s)
-    rows = found.select("id", "set", "n")
-    smallest = rows.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
-    named = smallest.join(components, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = settle(named.join(names, "component").select("set", "component_id"))
+    rows, by_set = _grouped(docs, id_col, text_col, settings)
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return rows.join(by_set, "set", "left").select(
+    return rows.join(by_set.drop("component"), "set", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One row of each group, that of the smallest id, with all its columns; rows without an id all stay."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, settings)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    """One row of each group, the least by id and text hash, with all its columns; rows without an id all stay.
+
+    Rows that repeat an id are told apart by their texts. Those without words are one group per id.
+    """
+    rows, by_set = _grouped(docs.where(F.col(id_col).isNotNull()), id_col, text_col, settings)
+    least = F.min(F.struct("id", "text_hash")).alias("least")
+    of_set = rows.groupBy("set", F.when(F.col("n") == 0, F.col("id")).alias("wordless")).agg(least)
+    of_group = of_set.join(by_set, "set", "left").groupBy("component", "wordless").agg(F.min("least").alias("least"))
+    kept = of_group.select(F.col("least.id").alias("_kept"), F.col("least.text_hash").alias("_kept_text")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(row, F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"))
-    kept_rows = rows.join(settle(kept), rows["_id"] == F.col("_kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))  # rows that repeat an id
+    same = (rows["_id"] == F.col("_kept")) & (rows["_text"] == F.col("_kept_text"))
+    kept_rows = rows.join(settle(kept), same, "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_text"))  # rows that repeat id and text
     with_id = kept_rows.withColumn("_place", first).where("_place = 1").select("_row.*")
     return with_id.unionByName(docs.where(F.col(id_col).isNull()))

@@ -80,6 +80,14 @@ def test_one_of_each_group_stays(documents):
     assert jaccard_join.near_duplicates(documents([])).count() == 0 and jaccard_join.keep_one(documents([])).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(documents):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(1, texts[0]), (5, texts[1]), (5, texts[2]), (6, texts[0]), (6, texts[3]), (6, texts[3]), (7, texts[2]), (8, ""), (8, None)]
+    kept = jaccard_join.keep_one(documents(rows)).collect()
+    got = sorted((r["doc_id"], r["text"] or "") for r in kept)
+    assert got == sorted([(1, texts[0]), (5, texts[1]), (5, texts[2]), (6, texts[3]), (8, "")])
+
+
 def test_tree_finds_what_all_bounds_find():
     rng = np.random.default_rng(1)
     n, s = 400, jaccard_join.Settings(groups=8, leaf=4)
