@@ -174,7 +174,7 @@ def rare_first(found: DataFrame, s: Settings) -> DataFrame:
 
 
 def count_vector(tokens: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount(textbytes.mix(tokens.view(np.uint64)) % np.uint64(groups), minlength=groups).astype(np.uint16)
+    return np.bincount(textbytes.mix(tokens.view(np.uint64)) % np.uint64(groups), minlength=groups).astype(np.uint32)
 
 
 def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +247,7 @@ def block_pairs(rows: pd.DataFrame, s: Settings, all_pairs: bool) -> pd.DataFram
     """
     keys = rows[["token", "piece", "part"]].to_numpy()
     block = np.cumsum(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
-    points = np.frombuffer(b"".join(rows["vector"]), dtype=np.uint16).reshape(len(rows), s.groups)
+    points = np.frombuffer(b"".join(rows["vector"]), dtype=np.uint32).reshape(len(rows), s.groups)
     sets, sizes, parts = (rows[c].to_numpy() for c in ("set", "n", "component"))
     home, visits = rows["home"].to_numpy(), rows["visits"].to_numpy()
     at, ask = np.flatnonzero(home), np.flatnonzero(visits)

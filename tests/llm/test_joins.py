@@ -88,6 +88,10 @@ def test_rows_that_repeat_an_id_are_judged_by_their_texts(documents):
     assert got == sorted([(1, texts[0]), (5, texts[1]), (5, texts[2]), (6, texts[3]), (8, "")])
 
 
+def test_counts_of_large_sets_do_not_wrap():
+    assert jaccard_join.count_vector(np.arange(70_000, dtype=np.int64), 1).tolist() == [70_000]
+
+
 def test_tree_finds_what_all_bounds_find():
     rng = np.random.default_rng(1)
     n, s = 400, jaccard_join.Settings(groups=8, leaf=4)
