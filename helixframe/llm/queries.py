@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import (
     byte_bpe,
+    decontaminate,
     fingerprints,
     html_text,
     jaccard_join,
@@ -17,6 +18,7 @@ from helixframe.llm import (
     masked_lm,
     mixing,
     pii,
+    resampling,
     spann,
     toxicity,
 )
@@ -71,6 +73,16 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "source", F.col("tokens").alias("n_tokens"), "epoch", "block", "position")
 
 
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, folder, "benchmark")).drop("n_words")
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.digests(docs, table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_masked_lm,
         op9_line_crf,
         op10_mixing,
+        op11_resampling,
+        op13_decontamination,
     )
 }
 
@@ -161,4 +175,84 @@ SELECT doc_id, source, n_tokens, epoch, block,
 FROM fits
 """
 
-ORACLE: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op10_mixing": _MIXING_SQL}
+_RESAMPLING_SQL = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS step
+  FROM range(256) g(i)
+), texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), words AS (
+  SELECT side, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM texts
+), features AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words
+), counted AS (
+  SELECT side, id, f, count(*) AS n FROM features GROUP BY side, id, f
+), distinct_features AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+         lambda c, b: xor(c // 256, step[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM distinct_features, crc_table
+), filled AS (
+  SELECT side, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (f) GROUP BY side, bucket
+), totals AS (
+  SELECT coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::BIGINT AS s_all, coalesce(sum(n) FILTER (WHERE side = 'b'), 0)::BIGINT AS t_all FROM filled
+), gains AS (
+  SELECT d.bucket, floor(1000 * ln(((coalesce(b.n, 0) + 1)::DOUBLE * (s_all + 10000)) / ((d.n + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+  FROM (SELECT * FROM filled WHERE side = 'd') d LEFT JOIN (SELECT * FROM filled WHERE side = 'b') b USING (bucket), totals
+), weights AS (
+  SELECT id, sum(c.n)::BIGINT AS n_features, sum(c.n * gain)::BIGINT AS total
+  FROM counted c JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id
+), scored AS (
+  SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+         coalesce(CASE WHEN total % n_features < 0 THEN total // n_features - 1 ELSE total // n_features END, 0)::BIGINT AS weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM words w LEFT JOIN weights ON weights.id = w.id WHERE side = 'd'
+), ranked AS (
+  SELECT *, weight + noise AS score,
+         CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) END AS place,
+         count(*) FILTER (WHERE n_words >= 20) OVER () AS able
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= able * 25 // 100 THEN place END AS rank FROM ranked
+"""
+
+_DECONTAMINATION_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), item_words AS (
+  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM item_words WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT n, win, item_id FROM (
+    SELECT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win FROM sized)
+), lengths AS (
+  SELECT DISTINCT n FROM windows
+), cells AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos,
+         unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win
+  FROM doc_words, lengths
+), met AS (
+  SELECT doc_id, pos, c.n, item_id FROM cells c JOIN windows USING (n, win)
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS place FROM met) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_jaccard_join": _JACCARD_SQL,
+    "op10_mixing": _MIXING_SQL,
+    "op11_resampling": _RESAMPLING_SQL,
+    "op13_decontamination": _DECONTAMINATION_SQL,
+}
