@@ -74,7 +74,8 @@ def _kept(texts: DataFrame, needs: list[int], wanted: dict, s: Settings, start:
 
     passed = i < 0
     for need in needs:
-        least = F.least(*[F.get(F.col("grams"), i + k) for k in range(wide)])
+        grams_here = [F.get(F.col("grams"), i + k) for k in range(wide)]
+        least = F.least(*grams_here) if wide > 1 else grams_here[0]
         test = wanted[need](least if need == s.window else short(need, F.col("words"), i))
         passed = passed | F.coalesce(whole(need, size) & test, F.lit(False))
     rows = rows.where(passed).select(
@@ -115,7 +116,7 @@ def item_places(items: DataFrame, id_col: str, text_col: str, s: Settings) -> Da
     texts = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
     sized = texts.withColumn("_n", F.size(words_of(F.col("text"))))
     lengths = sorted(r[0] for r in sized.select(F.least("_n", F.lit(s.window)).alias("n")).distinct().collect() if r[0])
-    every = {n: lambda h: h.isNotNull() for n in lengths}
+    every = {n: lambda h: h.isNotNull() for n in {*lengths, s.window}}
     kinds = [_kept(sized.where(F.col("_n") >= s.window), [s.window], every, s, 0)]
     kinds += [_kept(sized.where(F.col("_n") == n), [n], every, s, 0) for n in lengths if n < s.window]
     found = kinds[0]

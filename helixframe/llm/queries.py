@@ -18,6 +18,7 @@ from helixframe.llm import (
     masked_lm,
     mixing,
     pii,
+    ranked_search,
     resampling,
     spann,
     toxicity,
@@ -78,6 +79,11 @@ def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(docs, table(spark, folder, "benchmark")).drop("n_words")
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, table(spark, folder, "benchmark"))
+
+
 def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.digests(docs, table(spark, folder, "benchmark"))
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_crf,
         op10_mixing,
         op11_resampling,
+        op12_ranked_search,
         op13_decontamination,
     )
 }
@@ -219,6 +226,32 @@ WITH crc_table AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= able * 25 // 100 THEN place END AS rank FROM ranked
 """
 
+_RANKED_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), item_terms AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark
+), corpus AS (
+  SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, sum(len(w))::BIGINT AS total FROM doc_words
+), postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM doc_words)
+  WHERE term IN (SELECT term FROM item_terms) GROUP BY doc_id, n, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus
+), impacts AS (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))) AS impact
+  FROM postings JOIN weights USING (term), corpus
+), scored AS (
+  SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM item_terms JOIN impacts USING (term) GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50
+"""
+
 _DECONTAMINATION_SQL = r"""
 WITH doc_words AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -254,5 +287,6 @@ ORACLE: dict[str, str] = {
     "op3_jaccard_join": _JACCARD_SQL,
     "op10_mixing": _MIXING_SQL,
     "op11_resampling": _RESAMPLING_SQL,
+    "op12_ranked_search": _RANKED_SQL,
     "op13_decontamination": _DECONTAMINATION_SQL,
 }
