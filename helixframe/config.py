@@ -28,6 +28,45 @@ class CorpusOptions:
         return 5 * rows_per_step
 
 
+@dataclass(frozen=True)
+class NearDuplicateOptions:
+    """Near duplicates by banded MinHash; a band of a sketch holds ``rows`` least hashes."""
+
+    threshold: float = 0.85
+    k: int = 21  # letters of a k-mer, 29 at most
+    bands: int = 16
+    rows: int = 5
+    seed: int = 1
+    leader_rounds: int = 4  # at most
+    small_bucket: int = 64  # sets of a bucket that is not split further
+    splits: int = 3
+
+
+@dataclass(frozen=True)
+class WindowOptions:
+    """Windows of genome sequences."""
+
+    width: int = 512
+    stride: int = 256
+    keep_rest: bool = True  # a last window that is shorter
+    windows_per_block: int = 4096
+    windows_per_task: int = 1 << 20
+
+
+@dataclass(frozen=True)
+class QualityOptions:
+    """Limits of a text's line and character statistics.
+
+    The fraction is that of alphanumeric characters, and less than ``alnum_fraction`` is too little: the usual reading of a
+    limit whose description speaks of the other characters.
+    """
+
+    line_max: float = 1000
+    line_mean: float = 100
+    alnum_fraction: float = 0.25
+    token_ratio: float = 1.5
+
+
 @dataclass(frozen=True)
 class FoldOptions:
     """Cross-validated evaluation."""

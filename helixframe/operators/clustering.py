@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.vector import choose_two, log_factorial
+from helixframe.functions.vector import choose_two, fold_sum, log_factorial
 from helixframe.operators.tables import clamp_negative, concat_rows, wide_to_long
 from helixframe.session import settle
 
@@ -171,26 +170,75 @@ def kmeans_by_group(
     columns: Sequence[str],
     label: str,
     seed: int = 1,
+    rounds: int = 100,
 ) -> DataFrame:
-    """K-means within each group, with as many clusters as the group has labels.
+    """K-means within each group, with as many clusters as the group has labels: ``cluster`` counts from 0. Runs jobs.
 
-    Runs one distributed fit per group. The driver reads only the list of groups
-    with their label counts; groups are report facets, so these are few.
+    All groups go through the same rounds together: each reads the points once and sums them per (group,
+    cluster). A group starts from a point picked by hash and then from the farthest one each time; rounds end when no
+    centre moves by more than rounding, or after ``rounds``. Every point belongs to the nearest of the final centres, the first of
+    equally near ones. A NULL group is a group; points with a NULL or NaN coordinate, and those of a group without
+    labels, take no part (cluster NULL). A cluster that loses all points keeps its centre.
     """
-    plan = (
-        df.select(group, label)
-        .distinct()
-        .groupBy(group)
-        .agg(F.count(label).alias("k"))
-        .collect()
-    )
-    features = df.withColumn("_v", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
-    parts = []
-    for row in sorted(plan, key=lambda r: str(r[group])):
-        part = features.where(F.col(group).eqNullSafe(F.lit(row[group])))
-        if row["k"] < 2:
-            parts.append(part.withColumn("cluster", F.lit(0)))
-            continue
-        model = KMeans(k=row["k"], seed=seed, featuresCol="_v", predictionCol="cluster").fit(part)
-        parts.append(model.transform(part))
-    return reduce(lambda x, y: x.unionByName(y), parts).drop("_v")
+    point = F.array(*[F.col(c).cast("double") for c in columns])
+    usable = F.forall(point, lambda x: x.isNotNull() & ~F.isnan(x))
+    points = settle(df.select(F.col(group).alias("g"), F.when(usable, point).alias("p"), F.col(label).alias("l")))
+    wanted = settle(points.groupBy("g").agg(F.count_distinct("l").cast("int").alias("k")))
+    points = points.where("p is not null").select("g", "p")
+    centres = kmeans_centres(points, wanted, seed, rounds)
+    named = centres.select(F.col("g").alias("_g"), F.col("c").alias("_c"))
+    joined = df.withColumn("_p", F.when(usable, point)).join(named, F.col(group).eqNullSafe(F.col("_g")), "left")
+    cluster = F.when(F.col("_p").isNotNull() & (F.size("_c") > 0), _nearest(F.col("_p"), F.col("_c")))
+    return joined.withColumn("cluster", cluster).drop("_p", "_c", "_g")
+
+
+def kmeans_centres(points: DataFrame, wanted: DataFrame, seed: int, rounds: int) -> DataFrame:
+    """(g, c): the centres of every group, settled; ``points`` is (g, p), settled, and ``wanted`` (g, k)."""
+    most = wanted.agg(F.max("k")).head()[0] or 0
+    centres = settle(wanted.select("g", "k", F.array().cast("array<array<double>>").alias("c")))
+    far = F.array_min(F.transform("c", lambda c: _square(F.col("p"), c)))
+    for _ in range(most):
+        open_ = _with_centres(points, centres.where(F.size("c") < F.col("k")))
+        order = F.struct(F.coalesce(far, F.lit(0.0)), F.xxhash64(F.lit(seed), "p"), "p")
+        picked = open_.groupBy("g").agg(F.max_by("p", order).alias("next")).withColumnRenamed("g", "_g")
+        joined = centres.join(picked, F.col("g").eqNullSafe(F.col("_g")), "left")
+        longer = F.when(F.col("next").isNull(), F.col("c")).otherwise(F.concat("c", F.array("next")))
+        centres = settle(joined.select("g", "k", longer.alias("c")))
+    for _ in range(rounds):
+        moved = settle(_moved(points, centres).withColumn("shift", _shift(F.col("c"), F.col("was"))))
+        centres = moved.select("g", "k", "c")
+        if not moved.where("shift > 1e-18").limit(1).count():
+            break
+    return centres
+
+
+def _with_centres(points: DataFrame, centres: DataFrame) -> DataFrame:
+    named = centres.withColumnRenamed("g", "_g")
+    return points.join(named, F.col("g").eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def _square(a: Column, b: Column) -> Column:
+    return fold_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
+
+
+def _nearest(point: Column, centres: Column) -> Column:
+    distances = F.transform(centres, lambda c: _square(point, c))
+    # worked out once, though the place of the least needs it twice
+    place = F.transform(F.array(distances), lambda d: F.array_position(d, F.array_min(d)))
+    return (F.element_at(place, 1) - 1).cast("int")
+
+
+def _moved(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(g, k, was, c): the centres and the means of the points nearest to each."""
+    placed = _with_centres(points, centres).select("g", _nearest(F.col("p"), F.col("c")).alias("i"), array_to_vector("p").alias("v"))
+    means = placed.groupBy("g", "i").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("m"))
+    by_group = means.groupBy("g").agg(F.map_from_entries(F.collect_set(F.struct("i", "m"))).alias("m")).withColumnRenamed("g", "_g")
+    joined = centres.join(by_group, F.col("g").eqNullSafe(F.col("_g")), "left")
+    after = F.transform("c", lambda c, i: F.coalesce(F.try_element_at(F.col("m"), i), c))
+    return joined.select("g", "k", F.col("c").alias("was"), after.alias("c"))
+
+
+def _shift(a: Column, b: Column) -> Column:
+    """The largest squared step of a centre, relative to the size of its group's coordinates."""
+    steps = F.zip_with(a, b, lambda x, y: _square(x, y) / (fold_sum(F.transform(x, lambda v: v * v)) + F.lit(1e-300)))
+    return F.coalesce(F.array_max(steps), F.lit(0.0))

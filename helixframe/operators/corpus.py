@@ -30,6 +30,11 @@ def kmer_tokens(sequence: Column, k: int = 6) -> Column:
     return F.regexp_extract_all(sequence, F.lit(f"(?s)[{fixed.NUCLEOTIDES}]{{{k}}}|."), F.lit(0))
 
 
+def n_kmer_tokens(sequence: Column, k: int = 6) -> Column:
+    """How many tokens ``kmer_tokens`` makes, without making them."""
+    return F.regexp_count(sequence, F.lit(f"(?s)[{fixed.NUCLEOTIDES}]{{{k}}}|."))
+
+
 def kmer_id(token: Column, k: int = 6) -> Column:
     """Id of a token: specials first, then k-mers in base-4 order, then single letters."""
     value = F.conv(F.translate(token, fixed.NUCLEOTIDES, "0123"), 4, 10).cast("int")
@@ -96,6 +101,21 @@ def pad_in_batches(df: DataFrame, key: str, batch_size: int, drop_last: bool = F
     return pad(df.join(widths, key), F.col("_width")).drop("_width")
 
 
+def tokenise_in_batches(
+    df: DataFrame, key: str, batch_size: int, sequence: str = "sequence", k: int = 6, drop_last: bool = False
+) -> DataFrame:
+    """``tokenise`` and ``pad_in_batches`` in one: sequences move as letters, and are tokenised and padded where they arrive.
+
+    Widths come from token counts alone; every sequence is tokenised once. Adds ``batch_id`` and ``n_tokens``. A
+    NULL sequence has NULL ids, and a batch of such rows only has no width.
+    """
+    lengths = df.select(key, (n_kmer_tokens(F.col(sequence), k) + 2).alias("n_tokens"))  # with both ends
+    numbered = assign_batches(lengths, key, batch_size, drop_last)
+    width = F.max("n_tokens").over(Window.partitionBy("batch_id")).alias("_width")
+    widths = numbered.select(key, "batch_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), width)
+    return pad(tokenise(df.join(widths, key), sequence, k), F.col("_width")).drop("_width")
+
+
 def mask_tokens(
     df: DataFrame,
     key: str,
@@ -111,18 +131,22 @@ def mask_tokens(
     are never chosen. One hash per position gives all three draws.
     """
 
-    def masked(token: Column, i: Column) -> Column:
-        h = F.md5(F.concat(F.col("_prefix"), i.cast("string")))
-        chosen = (token >= fixed.SPECIAL_COUNT) & unit_below(h, probability)
+    def drawn(token: Column, h: Column) -> Column:
+        chosen = unit_below(h, probability)
         shown = (
             F.when(~chosen, token)
             .when(unit_below(h, 0.8, 9), F.lit(fixed.MASK))
             .when(unit_below(h, 0.9, 9), (digits_to_int(h, 17, 8) % vocab_size).cast("int"))
             .otherwise(token)
         )
-        return F.struct(
-            shown.alias("id"), F.when(chosen, token).otherwise(F.lit(IGNORED_LABEL)).alias("label")
-        )
+        return F.struct(shown.alias("id"), F.when(chosen, token).otherwise(F.lit(IGNORED_LABEL)).alias("label"))
+
+    def masked(token: Column, i: Column) -> Column:
+        # lambdas do not share subexpressions: the inner transform binds the hash, so it is worked out once
+        h = F.md5(F.concat(F.col("_prefix"), i.cast("string")))
+        one = F.element_at(F.transform(F.array(h), lambda bound: drawn(token, bound)), 1)
+        kept = F.struct(token.alias("id"), F.lit(IGNORED_LABEL).alias("label"))
+        return F.when(token >= fixed.SPECIAL_COUNT, one).otherwise(kept)
 
     return (
         df.withColumn("_prefix", F.concat(F.lit(f"mask:{seed}:{epoch}:"), F.col(key).cast("string"), F.lit(":")))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.text import percent
-from helixframe.functions.vector import as_double, cosine_similarity, l2_distance
+from helixframe.functions.vector import as_double, cosine_similarity, dot, l2_distance
 from helixframe.operators.tables import long_to_wide
 from helixframe.session import settle
 
@@ -70,36 +72,98 @@ def principal_components(df: DataFrame, vec: str, k: int, name: str = "pc") -> t
 def principal_components_by(
     df: DataFrame, vec: str, k: int, by: str, sample_sd: bool = True, name: str = "pc"
 ) -> tuple[DataFrame, DataFrame]:
-    """Standardises and reduces each group of ``by`` on its own: coordinates, and explained variance per group.
+    """Standardises and reduces each group of ``by`` on its own: coordinates, and explained variance per group. Runs jobs.
 
-    The second table also has ``sdev``, the standard deviation along the component. Runs a
-    job for the list of groups and one fit per group; groups are report facets, so these
-    are few. A group of fewer than two rows has no components: its coordinates are NULL.
+    All groups are fitted by one aggregate: their counts, sums and products of dimensions. A task then solves one group's
+    width x width problem. The second table also has ``sdev``, the standard deviation along the component. A group
+    of fewer than two rows has no components: its coordinates are NULL. A NULL group is a group. The sign of a component
+    is set so that its largest loading is positive; a constant dimension counts as 0.
     """
-    scaled = settle(standardise(df, vec, [by], sample_sd, "_scaled"))
-    sizes = {r[by]: r["n"] for r in scaled.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
-    coords, explained = [], []
-    empty = F.lit(None).cast("array<double>")
-    for group in sorted(sizes, key=str):
-        part = scaled.where(F.col(by).eqNullSafe(F.lit(group)))
-        if sizes[group] < 2:
-            coords.append(part.withColumn(name, empty))
-            continue
-        placed, shares = principal_components(part, "_scaled", k, name)
-        spread = placed.select(F.posexplode(name).alias("_i", "_x")).groupBy((F.col("_i") + 1).alias("component")).agg(
-            F.stddev_samp("_x").alias("sdev")
-        )
-        coords.append(placed)
-        explained.append(shares.join(spread, "component").withColumn(by, F.lit(group)))
-    if not coords:
-        return scaled.withColumn(name, empty).drop("_scaled"), df.sparkSession.createDataFrame([], _EXPLAINED).withColumn(by, F.lit(None))
-    shown = reduce(lambda a, b: a.unionByName(b), coords).drop("_scaled")
-    if not explained:
-        return shown, df.sparkSession.createDataFrame([], _EXPLAINED).withColumn(by, F.lit(None))
-    return shown, reduce(lambda a, b: a.unionByName(b), explained)
-
-
-_EXPLAINED = "component int, ratio double, axis_label string, sdev double"
+    solved = settle(_solved(gram_matrices(df, vec, by), by, k, sample_sd))
+    fits = solved.select(F.col(by).alias("_by"), "_mean", "_sd", "_axes")
+    joined = df.join(fits, F.col(by).eqNullSafe(F.col("_by")), "left")
+    centred = F.zip_with(as_double(F.col(vec)), F.col("_mean"), lambda x, m: x - m)
+    scaled = F.zip_with(centred, F.col("_sd"), lambda x, s: F.when(s == 0.0, 0.0).otherwise(x / s))
+    place = F.transform(F.array(scaled), lambda z: F.transform("_axes", lambda axis: dot(z, axis)))
+    coords = joined.withColumn(name, F.when(F.col("_axes").isNotNull(), F.element_at(place, 1))).drop("_by", "_mean", "_sd", "_axes")
+    shares = solved.where("_axes is not null").select(by, F.posexplode(F.arrays_zip("_ratio", "_sdev")).alias("_i", "_s"))
+    label = F.concat(F.lit("PC"), F.col("component"), F.lit(" ("), percent(F.col("ratio"), 1), F.lit(")"))
+    explained = shares.select((F.col("_i") + 1).alias("component"), F.col("_s._ratio").alias("ratio"), F.col("_s._sdev").alias("sdev"), by)
+    return coords, explained.select("component", "ratio", label.alias("axis_label"), "sdev", by)
+
+
+def gram_matrices(df: DataFrame, vec: str, by: str) -> DataFrame:
+    """(by, i, j, s): per group the sum of products of dimensions i <= j over its rows; dimension -1 is the constant 1.
+
+    Tasks add up whole batches of vectors as matrix products and send one sum per group and pair of
+    dimensions, so a hot group costs a task's share of its rows. Rows with a NULL vector are left out.
+    """
+    limit = 1 << 22
+
+    def run(batches):
+        sums: dict = {}
+
+        def drained():
+            for group, total in sums.items():
+                i, j = np.triu_indices(len(total))
+                columns = [pa.array([group] * len(i), kind), pa.array(i - 1, pa.int32()), pa.array(j - 1, pa.int32()), pa.array(total[i, j])]
+                yield pa.RecordBatch.from_arrays(columns, ["g", "i", "j", "s"])
+            sums.clear()
+
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            groups, vectors = batch.column(0).to_pylist(), batch.column(1)
+            places: dict = {}
+            for at, group in enumerate(groups):
+                places.setdefault(group, []).append(at)
+            for group, rows in places.items():
+                own = vectors.take(pa.array(rows))
+                x = own.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                x = np.hstack([np.ones((len(rows), 1)), x])
+                product = x.T @ x
+                sums[group] = sums[group] + product if group in sums else product
+            if sum(t.size for t in sums.values()) > limit:
+                yield from drained()
+        if sums:
+            yield from drained()
+
+    kind = df.schema[by].dataType.simpleString()
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(by).alias("g"), as_double(F.col(vec)).alias("v"))
+    parts = rows.mapInArrow(run, f"g {kind}, i int, j int, s double")
+    return parts.groupBy(F.col("g").alias(by), "i", "j").agg(F.sum("s").alias("s"))
+
+
+def _solved(grams: DataFrame, by: str, k: int, sample_sd: bool) -> DataFrame:
+    """(by, _mean, _sd, _axes, _ratio, _sdev) of each group, from its sums of products."""
+    ddof = 1 if sample_sd else 0
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j, s = (rows[c].to_numpy() for c in ("i", "j", "s"))
+        gram = np.zeros((i.max() + 2, i.max() + 2))
+        gram[i + 1, j + 1] = gram[j + 1, i + 1] = s
+        n, total = gram[0, 0], gram[0, 1:]
+        mean = total / n
+        out = {by: [rows[by].iloc[0]], "_mean": [mean], "_sd": [None], "_axes": [None], "_ratio": [None], "_sdev": [None]}
+        if n >= 2:
+            spread = gram[1:, 1:] - np.outer(total, mean)
+            square = np.diag(gram)[1:]
+            # what is left of a constant dimension is rounding
+            variance = np.where(np.diag(spread) > 1e-13 * square, np.diag(spread), 0.0)
+            sd = np.sqrt(variance / (n - ddof))
+            scale = np.where(sd > 0, sd, 1.0)
+            spread = np.where((sd[:, None] > 0) & (sd > 0), spread / np.outer(scale, scale), 0.0) / (n - 1)
+            values, axes = np.linalg.eigh(spread)
+            values, axes = np.maximum(values[::-1], 0.0), axes[:, ::-1].T[:k]
+            signs = np.where(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)] < 0, -1.0, 1.0)
+            whole = values.sum()
+            ratio = values[:k] / whole if whole > 0 else np.zeros(len(axes))
+            out |= {"_sd": [sd], "_axes": [list(axes * signs[:, None])], "_ratio": [ratio], "_sdev": [np.sqrt(values[:k])]}
+        return pd.DataFrame(out)
+
+    kind = grams.schema[by].dataType.simpleString()
+    schema = f"`{by}` {kind}, _mean array<double>, _sd array<double>, _axes array<array<double>>, _ratio array<double>, _sdev array<double>"
+    return grams.groupBy(by).applyInPandas(solve, schema)  # a group is the half of a width x width matrix
 
 
 def pairs_with_base(df: DataFrame, key: str = "token", model: str = "model", vec: str = "vec", base: str = "base") -> DataFrame:

@@ -114,6 +114,32 @@ def kmeans_scores(spark, folder):
     return clustering.score_table(scores, "facet_label", "Vectors")
 
 
+@query(
+    "kmeans_fit",
+    sql(
+        """SELECT fine_tuned || ' - ' || vec_type AS facet_label, count(*) AS n, count(DISTINCT "Label") AS k,
+                  count(*) AS n_nearest, 0.0::DOUBLE AS largest_shift FROM points GROUP BY ALL"""
+    ),
+)
+def kmeans_fit(spark, folder):
+    """What must hold of k-means: there are k clusters, each point's nearest mean is that of its cluster.
+
+    Means are worked out anew from the clusters; ``largest_shift`` is the widest gap between a point's distance to the mean of
+    its cluster and to the nearest mean, which is 0 if centres are means and points are where they belong.
+    """
+    rows = report.facets(views.points(spark, folder))
+    clustered = clustering.kmeans_by_group(rows, "facet_label", ["UMAP1", "UMAP2"], "Label")
+    means = clustered.groupBy("facet_label", "cluster").agg(F.avg("UMAP1").alias("x"), F.avg("UMAP2").alias("y"))
+    of_group = means.groupBy("facet_label").agg(F.collect_set(F.struct("cluster", "x", "y")).alias("means"), F.count(F.lit(1)).alias("k"))
+    away = lambda m: (F.col("UMAP1") - m["x"]) ** 2 + (F.col("UMAP2") - m["y"]) ** 2
+    checked = clustered.join(of_group, "facet_label")
+    own = F.element_at(F.filter("means", lambda m: m["cluster"] == F.col("cluster")), 1)
+    checked = checked.select("facet_label", "k", (away(own) - F.array_min(F.transform("means", away))).alias("gap"))
+    return checked.groupBy("facet_label").agg(
+        F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), F.count_if(F.col("gap") <= 1e-9).alias("n_nearest"), F.round(F.max("gap"), 6).alias("largest_shift")
+    )
+
+
 @query("contingency", sql("SELECT dataset, pred AS a, label AS b, count(*) AS n FROM preds GROUP BY ALL"))
 def contingency(spark, folder):
     return clustering.contingency(views.preds(spark, folder), ["dataset"], "pred", "label")

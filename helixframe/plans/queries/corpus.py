@@ -80,8 +80,7 @@ def _batches(spark, folder, size=16, drop_last=False):
     ),
 )
 def dynamic_pad(spark, folder):
-    rows = corpus.tokenise(views.seqs(spark, folder).select("doc_id", "sequence"))
-    rows = corpus.pad_in_batches(rows.withColumn("n_tokens", F.size("input_ids").cast("bigint")), "doc_id", 16)
+    rows = corpus.tokenise_in_batches(views.seqs(spark, folder).select("doc_id", "sequence"), "doc_id", 16)
     return rows.select("doc_id", "batch_id", "n_tokens", F.size("input_ids").cast("bigint").alias("width"), _joined("input_ids"))
 
 

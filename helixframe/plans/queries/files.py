@@ -7,12 +7,13 @@ from pyspark.sql import types as T
 
 from helixframe import schemas
 from helixframe.functions import text
-from helixframe.operators import stats, tables, trainlog
+from helixframe.operators import corpus, stats, tables, trainlog
 from helixframe.plans import views
+from helixframe.plans.queries.corpus import _FRAMED
 from helixframe.plans.registry import query
 from helixframe.plans.views import rounded, sql
 from helixframe.session import shared_folder
-from helixframe.sources import files
+from helixframe.sources import files, shards
 
 
 def chunk_rows(spark, folder):
@@ -165,18 +166,17 @@ def scan_vector_folder(spark, folder):
 
 
 def _result_files(spark, folder):
-    """One result file per dataset for a full and an adapter run, suffix on test rows only."""
+    """One result file per model and dataset; adapter runs are named after their model, and only their test rows carry the suffix."""
     root = shared_folder(spark, "runs")
-    methods = F.array(*[F.struct(F.lit(p).alias("_prefix")) for p in ("", "lora_32_8_")])
-    rows = views.results(spark, folder).drop("event_id", "model").select("*", F.inline(methods))
-    adapter_test = (F.col("_prefix") != "") & (F.col("evaluation_set") == "test")
+    rows = views.results(spark, folder).drop("event_id")
+    adapter, bare = F.col("model").endswith("-LoRA"), F.regexp_replace("model", "-LoRA$", "")
     named = rows.select(
-        F.when(adapter_test, "runA-LoRA").otherwise("runA").alias("model"),
+        F.when(F.col("evaluation_set") == "test", F.col("model")).otherwise(bare).alias("model"),
         "dataset",
         "evaluation_set",
         "metric",
         "score",
-        F.concat("_prefix", text.result_file_name(F.lit("runA"), F.col("dataset")), F.lit(".csv")).alias("file"),
+        F.concat(F.when(adapter, "lora_32_8_").otherwise(""), text.result_file_name(bare, F.col("dataset")), F.lit(".csv")).alias("file"),
     )
     files.write_named_csv(named, root, "file")
     return f"{root}/*"
@@ -185,21 +185,19 @@ def _result_files(spark, folder):
 @query(
     "merge_results",
     sql(
-        """SELECT model, method, dataset, evaluation_set, count(*) AS n, count(score) AS n_scores
-           FROM results_m GROUP BY ALL""",
-        results_m="""SELECT 'runA' AS model, 'full' AS method, dataset, evaluation_set, score FROM results
-            UNION ALL SELECT 'runA-LoRA', 'LoRA', dataset, evaluation_set, score FROM results""",
+        """SELECT model, CASE WHEN model LIKE '%-LoRA' THEN 'LoRA' ELSE 'full' END AS method, dataset, evaluation_set, metric,
+                  count(*) AS n, count(score) AS n_scores, round(sum(score), 5) AS total FROM results GROUP BY ALL"""
     ),
 )
 def merge_results(spark, folder):
-    """Per-run result files merged, with one model name per adapter run."""
+    """Result files of all models merged, with one model name per adapter run."""
     merged = files.normalise_methods(files.read_results(spark, _result_files(spark, folder)))
-    return merged.groupBy("model", "method", "dataset", "evaluation_set").agg(
-        F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scores")
+    return merged.groupBy("model", "method", "dataset", "evaluation_set", "metric").agg(
+        F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scores"), F.round(F.sum("score"), 5).alias("total")
     )
 
 
-@query("finished_runs", sql("SELECT DISTINCT 'runA' AS model, dataset FROM results"))
+@query("finished_runs", sql("SELECT DISTINCT regexp_replace(model, '-LoRA$', '') AS model, dataset FROM results"))
 def finished_runs(spark, folder):
     """Runs that need not be started again, from the names of their result files."""
     return files.finished_runs(spark, _result_files(spark, folder))
@@ -253,3 +251,25 @@ def append_log(spark, folder):
     read = spark.read.schema(schemas.TRAIN_LOG).parquet(path)
     read = read.withColumn("ts", F.unix_micros("ts"))
     return rounded(tables.metrics_to_rows(read, ["run", "step", "ts", "kind"]), "score")
+
+
+_PER_SHARD = 48
+
+
+@query(
+    "pretokenised_write",
+    sql(
+        f"""SELECT doc_id, position, position // {_PER_SHARD} AS shard, array_to_string(ids, ',') AS input_ids
+            FROM framed JOIN (SELECT doc_id, row_number() OVER (ORDER BY md5('shuffle:{views.SHUFFLE_SEED}:' || doc_id), doc_id) - 1 AS position
+                              FROM documents) USING (doc_id)""",
+        **_FRAMED,
+    ),
+)
+def pretokenised_write(spark, folder):
+    """The tokenised corpus as shards of equal size; a second run finds nothing missing."""
+    path = shared_folder(spark, "shards")
+    rows = corpus.tokenise(views.seqs(spark, folder).select("doc_id", "sequence"))
+    for _ in range(2):
+        shards.write_shards(rows, path, "doc_id", _PER_SHARD, views.SHUFFLE_SEED)
+    found = shards.read_shards(spark, path, rows)
+    return found.select("doc_id", "position", "shard", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"))

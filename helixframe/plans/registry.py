@@ -19,7 +19,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ["evaluation", "report", "tables", "corpus", "vectors", "clustering", "trainlog", "files", "streams"]
+_MODULES = ["cleaning", "evaluation", "report", "tables", "corpus", "vectors", "clustering", "trainlog", "files", "streams"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:

@@ -93,9 +93,13 @@ def _pick(names: list[str], index):
 
 def seqs(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    return documents.repartition("doc_id").select(
-        "doc_id", "lang", "source", letters(F.col("text")).alias("sequence")
-    )
+    return spread(documents, "doc_id").select("doc_id", "lang", "source", letters(F.col("text")).alias("sequence"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table in fewer pieces than there are cores is dealt out by key; a large one stays as its files are."""
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(key) if pieces < df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def letters(text):
@@ -103,6 +107,20 @@ def letters(text):
     return F.regexp_replace(F.translate(text, "acgt", "ACGT"), "[^ACGT]", "N")
 
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+_BASES = "".join("ACGT"[i % 4] for i in range(len(_ALPHABET)))
+
+
+def strands(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts as genome chunks: every letter a-z stands for a nucleotide, all else is left out."""
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    return spread(documents, "doc_id").select("doc_id", "lang", "source", nucleotides(F.col("text")).alias("sequence"))
+
+
+def nucleotides(text):
+    return F.regexp_replace(F.translate(text, _ALPHABET + _ALPHABET.upper(), _BASES * 2), "[^ACGT]", "")
+
+
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Three classification tasks: (dataset, id, label, k)."""
     tags = table(spark, folder, "labels")
@@ -206,6 +224,9 @@ def sql_uniform(purpose: str, seed: int, key: str) -> str:
 SQL = {
     "seqs": """
         SELECT doc_id, lang, source, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'N', 'g') AS sequence FROM documents""",
+    "strands": f"""
+        SELECT doc_id, lang, source,
+               regexp_replace(translate(text, '{_ALPHABET + _ALPHABET.upper()}', '{_BASES * 2}'), '[^ACGT]', '', 'g') AS sequence FROM documents""",
     "labelled": """
         SELECT 'quality' AS dataset, doc_id AS id, quality AS label, 2 AS k FROM labels
         UNION ALL SELECT 'toxic', doc_id, toxic, 2 FROM labels

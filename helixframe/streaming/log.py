@@ -81,95 +81,92 @@ def loss_rollup_stream(log: DataFrame, accumulation: int) -> DataFrame:
     )
 
 
-def _early_stop(patience: int, threshold: float) -> StatefulProcessor:
-    size = EVALUATIONS_PER_BLOCK
-
-    def walk(values: np.ndarray, best: float | None, waited: int) -> tuple[int | None, float | None, int]:
-        """Go through evaluations in order: place of the stop, best so far, evaluations waited."""
-        start = -math.inf if best is None else best
-        real = np.where(np.isnan(values), -math.inf, values)  # NaN: no gain, and no new best
-        upto = np.maximum.accumulate(np.concatenate([[start], real]))
-        gained = np.isfinite(real) & (np.where(np.isfinite(real), real, 0.0) - upto[:-1] > threshold)
-        places = np.arange(len(values))
-        last_gain = np.maximum.accumulate(np.where(gained, places, -1))
-        streak = np.where(last_gain >= 0, places - last_gain, waited + 1 + places)
-        stops = np.flatnonzero(streak >= patience)
-        at = int(stops[0]) if len(stops) else None
-        top = float(upto[-1 if at is None else at + 1])
-        return at, None if top == -math.inf else top, int(streak[-1])
+def _block_records(size: int) -> StatefulProcessor:
+    class BlockRecords(StatefulProcessor):
+        """The records of one block of evaluations, each higher than all before it, and evaluations before their turn.
+
+        Whatever came before the block, its records tell the best so far at every place and which evaluations gain.
+        """
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.known = handle.getValueState("known", "n bigint, places array<bigint>, metrics array<double>")
+            self.early = handle.getValueState("early", "places array<bigint>, metrics array<double>")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            n, places, metrics = self.known.get() if self.known.exists() else (0, [], [])
+            waiting = self.early.get() if self.early.exists() else ([], [])
+            at, values = [np.array(waiting[0], dtype="int64")], [np.array(waiting[1], dtype="float64")]
+            for chunk in rows:
+                at.append((chunk["eval_no"].to_numpy() - 1) % size)
+                values.append(chunk["metric"].to_numpy(dtype="float64"))
+            at, first = np.unique(np.concatenate(at), return_index=True)  # a repeated evaluation counts once
+            values = np.concatenate(values)[first][at >= n]
+            at = at[at >= n]
+            inside = at == n + np.arange(len(at))
+            count = len(at) if inside.all() else int(inside.argmin())
+            if count < len(at):
+                self.early.update((at[count:].tolist(), values[count:].tolist()))
+            elif self.early.exists():
+                self.early.clear()
+            if count:
+                real = np.where(np.isnan(values[:count]), -math.inf, values[:count])  # NaN: no gain, and no new best
+                before = np.maximum.accumulate(np.concatenate([[metrics[-1] if len(metrics) else -math.inf], real]))
+                higher = np.flatnonzero(real > before[:-1])
+                places, metrics = [*places, *(n + higher).tolist()], [*metrics, *real[higher].tolist()]
+                n += count
+                self.known.update((int(n), places, metrics))
+                yield pd.DataFrame({"run": [key[0]], "block": [int(key[1])], "n": [int(n)], "places": [places], "metrics": [metrics]})
+
+        def close(self) -> None:
+            pass
+
+    return BlockRecords()
+
+
+def _early_stop(patience: int, threshold: float, size: int) -> StatefulProcessor:
+    def walk(n: int, places, metrics, best: float, waited: int) -> tuple[int | None, float, int]:
+        """Go through a block by its records: place of the stop, best so far, evaluations waited."""
+        gained = -1 - waited
+        for place, metric in zip(places, metrics, strict=True):
+            if place - gained > patience:
+                break
+            if math.isfinite(metric) and metric - best > threshold:
+                gained = place
+            best = max(best, metric)
+        stop = gained + patience
+        # a stop before the block's end; records up to it, and no later ones, have been seen
+        return (stop if stop < n else None), best, n - 1 - gained
 
     class EarlyStop(StatefulProcessor):
-        """Progress of one run, and evaluations that arrived before their turn."""
+        """Progress of one run over its finished blocks, and the records of blocks that wait for their turn."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.progress = handle.getValueState("progress", "next bigint, best double, waited bigint, done boolean")
-            self.early = handle.getMapState("early", "block bigint", "numbers array<bigint>, metrics array<double>")
+            self.progress = handle.getValueState("progress", "block bigint, best double, waited bigint, done boolean")
+            self.blocks = handle.getMapState("blocks", "block bigint", "n bigint, places array<bigint>, metrics array<double>")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            following, best, waited, done = self.progress.get() if self.progress.exists() else (1, None, 0, False)
-            numbers, metrics = [], []
+            block, best, waited, done = self.progress.get() if self.progress.exists() else (0, -math.inf, 0, False)
             for chunk in rows:
-                if not done:
-                    numbers.append(chunk["eval_no"].to_numpy())
-                    metrics.append(chunk["metric"].to_numpy())
+                for at, n, places, metrics in zip(chunk["block"], chunk["n"], chunk["places"], chunk["metrics"], strict=True):
+                    kept = self.blocks.getValue((int(at),)) if self.blocks.containsKey((int(at),)) else (0,)
+                    if not done and at >= block and kept[0] < n:
+                        self.blocks.updateValue((int(at),), (int(n), [int(p) for p in places], [float(m) for m in metrics]))
             stops = []
-            if not done:
-                numbers, metrics = np.concatenate(numbers), np.concatenate(metrics)
-                ahead = numbers >= following
-                blocks = self._merged(numbers[ahead], metrics[ahead])
-                while not done:
-                    here = following // size
-                    kept = blocks.pop(here, None) or self._stored(here)
-                    if kept is None:
-                        break
-                    ready = np.searchsorted(kept[0], following)
-                    run = kept[0][ready:] == following + np.arange(len(kept[0]) - ready)
-                    count = len(run) if run.all() else int(run.argmin())
-                    if count:
-                        at, best, waited = walk(kept[1][ready : ready + count], best, waited)
-                        if at is not None:
-                            done = True
-                            stops.append((key[0], int(following + at), best))
-                        following += count
-                    if done or not count or following % size:
-                        blocks[here] = (kept[0][ready + count :], kept[1][ready + count :])
-                        break
-                    if self.early.containsKey((here,)):
-                        self.early.removeKey((here,))
-                if done:
-                    self.early.clear()
+            while not done and self.blocks.containsKey((block,)):
+                n, places, metrics = self.blocks.getValue((block,))
+                stop, upto, left = walk(n, places, metrics, best, waited)
+                if stop is not None:
+                    done = True
+                    stops.append((key[0], int(block * size + stop + 1), None if upto == -math.inf else upto))
+                    self.blocks.clear()
+                elif n < size:
+                    break
                 else:
-                    for block, (left, values) in blocks.items():
-                        if len(left):
-                            self.early.updateValue((block,), (left.tolist(), values.tolist()))
-                        elif self.early.containsKey((block,)):
-                            self.early.removeKey((block,))
-                self.progress.update((int(following), best, int(waited), done))
+                    self.blocks.removeKey((block,))
+                    block, best, waited = block + 1, upto, left
+            self.progress.update((int(block), float(best), int(waited), done))
             yield pd.DataFrame(stops, columns=["run", "stop_no", "best"])
 
-        def _stored(self, block: int):
-            if not self.early.containsKey((block,)):
-                return None
-            numbers, metrics = self.early.getValue((block,))
-            return np.array(numbers, dtype="int64"), np.array(metrics, dtype="float64")
-
-        def _merged(self, numbers: np.ndarray, metrics: np.ndarray) -> dict:
-            """New evaluations by block, each once and in order, with those already waiting there."""
-            numbers, first = np.unique(numbers, return_index=True)
-            metrics = metrics[first]
-            cuts = np.flatnonzero(np.diff(numbers // size)) + 1
-            blocks = {}
-            for left, values in zip(np.split(numbers, cuts), np.split(metrics, cuts)):
-                if not len(left):
-                    continue
-                block = int(left[0] // size)
-                waiting = self._stored(block)
-                if waiting is not None:
-                    left, first = np.unique(np.concatenate([waiting[0], left]), return_index=True)
-                    values = np.concatenate([waiting[1], values])[first]
-                blocks[block] = (left, values)
-            return blocks
-
         def close(self) -> None:
             pass
 
@@ -179,19 +176,42 @@ def _early_stop(patience: int, threshold: float) -> StatefulProcessor:
 def early_stop_stream(log: DataFrame, options: EarlyStopOptions = EarlyStopOptions()) -> DataFrame:
     """One row per run at the evaluation that stops it.
 
-    Input (run, eval_no, metric) with evaluations numbered from 1, in any order;
-    they are taken in turn, early ones wait in the state in blocks. A run is followed
-    by one task, which holds its evaluations of one micro-batch as two number arrays:
-    the trigger size of the source bounds them. A stopped run's state is one row.
+    Input (run, eval_no, metric) with evaluations numbered from 1, in any order. Two keyed states follow one another. The
+    first is keyed by run and a block of evaluations, so that one large run spreads over many tasks; it takes a block's
+    evaluations in turn, holds early ones, and passes the block's records on whenever their unbroken start grows. The second is
+    keyed by run and walks its blocks in order: a message per block and micro-batch reaches it, not a row per evaluation. A stopped
+    run's state there is one row; its later blocks keep their records.
     """
-    run_type = log.schema["run"].dataType.simpleString()
-    return (
-        log.select("run", "eval_no", "metric")
-        .groupBy("run")
+    run_type, size = log.schema["run"].dataType.simpleString(), EVALUATIONS_PER_BLOCK
+    blocks = (
+        log.select("run", "eval_no", "metric", F.floor((F.col("eval_no") - 1) / size).cast("bigint").alias("block"))
+        .groupBy("run", "block")
         .transformWithStateInPandas(
-            statefulProcessor=_early_stop(options.patience, options.threshold),
-            outputStructType=f"run {run_type}, stop_no bigint, best double",
+            statefulProcessor=_block_records(size),
+            outputStructType=f"run {run_type}, block bigint, n bigint, places array<bigint>, metrics array<double>",
             outputMode="Append",
             timeMode="None",
         )
     )
+    return blocks.groupBy("run").transformWithStateInPandas(
+        statefulProcessor=_early_stop(options.patience, options.threshold, size),
+        outputStructType=f"run {run_type}, stop_no bigint, best double",
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
+def event_time_rollup(log: DataFrame, kinds: list[str], width: str = "1 hour", delay: str | None = "10 minutes") -> DataFrame:
+    """(start, stop, kinds..., n, total, least, most) of ``value`` per window of event time ``ts`` and kind.
+
+    On a stream, a window is emitted once, when the watermark (the latest event time seen, less ``delay``) has passed its end, and
+    rows that come after that are dropped; the state holds open windows only, as partial aggregates. On a table, or with ``delay``
+    None, every window counts. Rows without ``ts`` belong to no window; a NULL kind is a kind of its own, and NULL values count as rows only.
+    """
+    timed = log.where(F.col("ts").isNotNull())
+    if delay is not None:
+        timed = timed.withWatermark("ts", delay)
+    rolled = timed.groupBy(F.window("ts", width).alias("w"), *kinds).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most")
+    )
+    return rolled.select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), *kinds, "n", "total", "least", "most")

@@ -1,5 +1,6 @@
 """Streams give what the batch operators give, in any arrival order and across restarts."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -88,3 +89,61 @@ def test_tokenise_stream_keeps_whole_texts(spark, tmp_path):
     assert sizes(corpus.tokenise_stream(stream), "test-whole") == {"a": 702, "b": 5}
     assert sizes(corpus.tokenise_stream(stream, width=8), "test-wide") == {"a": 702, "b": 8}
     assert sizes(corpus.tokenise_stream(stream, max_length=512), "test-cut") == {"a": 512, "b": 512}
+
+
+def timed_rows(rnd, n=400):
+    start = dt.datetime(2024, 3, 1)
+    return [(start + dt.timedelta(seconds=rnd.randint(0, 40_000)), rnd.choice(["a", "b", None]), rnd.choice([None, rnd.random()])) for _ in range(n)]
+
+
+SCHEMA = "ts timestamp, kind string, value double"
+
+
+def rolled(df):
+    return {(r["start"], r["kind"]): (r["n"], r["total"] and round(r["total"], 9), r["least"], r["most"]) for r in df.collect()}
+
+
+def test_event_time_rollup_is_the_batch_result_with_a_restart(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = sorted(timed_rows(rnd), key=lambda r: r[0])
+    late = [r for r in rows[:100] if rnd.random() < 0.2]  # hours behind when they come
+    kept = [r for r in rows if r not in late]
+    path, out, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "checkpoint"))
+    size = -(-len(kept) // 5)
+    parts = [kept[i * size : (i + 1) * size] for i in range(5)] + [late, [(None, "a", 1.0)]]
+    for some in (parts[:3], parts[3:]):
+        for part in some:
+            spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+        run.append_available(log.event_time_rollup(stream, ["kind"], "1 hour", "10 minutes"), out, checkpoint)
+    got = spark.read.parquet(out)
+    whole = rolled(log.event_time_rollup(spark.createDataFrame(kept, SCHEMA), ["kind"], delay=None))
+    end = max(r[0] for r in kept) - dt.timedelta(minutes=10)
+    closed = {k: v for k, v in whole.items() if k[0] + dt.timedelta(hours=1) <= end}
+    assert len(closed) > 20 and rolled(got) == closed and got.count() == len(closed)  # each window once
+
+
+def test_event_time_rollup_of_a_table_and_of_nothing(spark):
+    rows = timed_rows(random.Random(7)) + [(None, "a", 1.0)]
+    got = rolled(log.event_time_rollup(spark.createDataFrame(rows, SCHEMA), ["kind"], delay=None))
+    want = {}
+    for ts, kind, value in rows[:-1]:
+        want.setdefault((ts.replace(minute=0, second=0), kind), []).append(value)
+    real = {k: [v for v in vs if v is not None] for k, vs in want.items()}
+    assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(v[1] == (round(sum(real[k]), 9) if real[k] else None) or abs(v[1] - sum(real[k])) < 1e-8 for k, v in got.items())
+    assert log.event_time_rollup(spark.createDataFrame([], SCHEMA), ["kind"], delay=None).count() == 0
+
+
+def test_one_hot_run_stops_where_the_batch_says(spark, tmp_path, monkeypatch):
+    """A run of many blocks whose stop lies far in, beside a short one; blocks arrive in any order."""
+    monkeypatch.setattr(log, "EVALUATIONS_PER_BLOCK", 50)
+    rnd = random.Random(11)
+    hot = [min(i, 700) * 0.1 + rnd.random() * 0.05 for i in range(1500)]
+    rows = [("hot", i, m) for i, m in enumerate(hot, 1)] + [("short", i, 1.0) for i in range(1, 9)]
+    stream = arrivals(spark, rows, "run string, eval_no bigint, metric double", f"{tmp_path}/in", 6)
+    done = {r["run"]: (r["stop_no"], r["best"]) for r in run.materialise(log.early_stop_stream(stream, EarlyStopOptions(7, 0.06)), "test-hot").collect()}
+    table = spark.createDataFrame(rows, "run string, step bigint, metric double")
+    stops = {r["run"]: r["stop_step"] for r in trainlog.early_stop(table, patience=7, threshold=0.06).where("stop_step is not null").collect()}
+    assert {k: v[0] for k, v in done.items()} == stops and stops["hot"] > 650
+    assert done["hot"][1] == max(hot[: stops["hot"]])

@@ -214,3 +214,42 @@ def test_principal_components_by_group(spark):
     assert coords.count() == len(rows) and [r["pc"] for r in coords.where("g = 'one'").collect()] == [None]
     none, empty = embedding.principal_components_by(df.limit(0), "vec", 2, "g")
     assert none.count() == empty.count() == 0
+
+
+def test_kmeans_of_all_groups_together(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(g, float(x), float(y), str(i % k)) for g, k in (("a", 3), ("b", 5), (None, 2)) for i, (x, y) in enumerate(rnd.normal(size=(80, 2)))]
+    rows += [("a", None, 1.0, "0"), ("b", float("nan"), 1.0, "9"), ("none", 1.0, 1.0, None), ("one", 2.0, 2.0, "z"), ("same", 1.0, 1.0, "p"), ("same", 1.0, 1.0, "q")]
+    df = spark.createDataFrame(rows, "g string, x double, y double, label string")
+    got = clustering.kmeans_by_group(df, "g", ["x", "y"], "label").collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"g", "x", "y", "label", "cluster"}
+    for g in ("a", "b", None):
+        own = [r for r in got if r["g"] == g and r["cluster"] is not None]
+        points, cluster = np.array([(r["x"], r["y"]) for r in own]), np.array([r["cluster"] for r in own])
+        k = {"a": 3, "b": 6, None: 2}[g]
+        assert len(own) == 80 and set(cluster) == set(range(k))
+        means = np.array([points[cluster == c].mean(axis=0) for c in range(k)])
+        away = ((points[:, None] - means) ** 2).sum(axis=2)
+        assert (away[np.arange(len(own)), cluster] <= away.min(axis=1) + 1e-9).all()
+    assert {r["g"]: r["cluster"] for r in got if r["g"] in ("none", "one")} == {"none": None, "one": 0}
+    assert [r["cluster"] for r in got if r["g"] == "same"] == [0, 0]
+    assert [r["cluster"] for r in got if r["x"] is None or np.isnan(r["x"])] == [None, None]
+    assert clustering.kmeans_by_group(df.limit(0), "g", ["x", "y"], "label").count() == 0
+
+
+def test_components_of_groups_with_constant_dimensions(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", [float(x), 7.1, float(y)]) for x, y in rng.normal(1e3, 1.0, size=(40, 2))] + [(None, [1.0, 2.0, float(i)]) for i in range(5)]
+    rows += [("flat", [0.1, 0.2, 0.3])] * 3 + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, vec array<double>")
+    coords, explained = embedding.principal_components_by(df, "vec", 2, "g")
+    m = np.array([v for g, v in rows if g == "a" and v])[:, [0, 2]]
+    z = (m - m.mean(0)) / m.std(0, ddof=1)
+    sdev = np.linalg.svd(z, compute_uv=False) / np.sqrt(len(z) - 1)
+    got = {(r["g"], r["component"]): r for r in explained.collect()}
+    assert [got["a", i]["sdev"] for i in (1, 2)] == pytest.approx(sdev) and got[None, 1]["ratio"] == pytest.approx(1.0)
+    assert got["flat", 1]["sdev"] == 0.0
+    table = coords.collect()
+    assert len(table) == len(rows) and sum(r["pc"] is None for r in table) == 1
+    pcs = np.array([r["pc"] for r in table if r["g"] == "a" and r["pc"]])
+    assert pcs.std(axis=0, ddof=1) == pytest.approx(sdev) and abs(np.cov(pcs.T)[0, 1]) < 1e-6
