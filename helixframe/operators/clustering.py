@@ -230,7 +230,7 @@ def _nearest(point: Column, centres: Column) -> Column:
 
 def _moved(points: DataFrame, centres: DataFrame) -> DataFrame:
     """(g, k, was, c): the centres and the means of the points nearest to each."""
-    placed = _with_centres(points, centres).select("g", _nearest(F.col("p"), F.col("c")).alias("i"), array_to_vector("p").alias("v"))
+    placed = _with_centres(points, centres.where(F.size("c") > 0)).select("g", _nearest(F.col("p"), F.col("c")).alias("i"), array_to_vector("p").alias("v"))
     means = placed.groupBy("g", "i").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("m"))
     by_group = means.groupBy("g").agg(F.map_from_entries(F.collect_set(F.struct("i", "m"))).alias("m")).withColumnRenamed("g", "_g")
     joined = centres.join(by_group, F.col("g").eqNullSafe(F.col("_g")), "left")

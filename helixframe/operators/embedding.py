@@ -85,7 +85,7 @@ def principal_components_by(
     centred = F.zip_with(as_double(F.col(vec)), F.col("_mean"), lambda x, m: x - m)
     scaled = F.zip_with(centred, F.col("_sd"), lambda x, s: F.when(s == 0.0, 0.0).otherwise(x / s))
     place = F.transform(F.array(scaled), lambda z: F.transform("_axes", lambda axis: dot(z, axis)))
-    coords = joined.withColumn(name, F.when(F.col("_axes").isNotNull(), F.element_at(place, 1))).drop("_by", "_mean", "_sd", "_axes")
+    coords = joined.withColumn(name, F.when(F.col("_axes").isNotNull() & F.col(vec).isNotNull(), F.element_at(place, 1))).drop("_by", "_mean", "_sd", "_axes")
     shares = solved.where("_axes is not null").select(by, F.posexplode(F.arrays_zip("_ratio", "_sdev")).alias("_i", "_s"))
     label = F.concat(F.lit("PC"), F.col("component"), F.lit(" ("), percent(F.col("ratio"), 1), F.lit(")"))
     explained = shares.select((F.col("_i") + 1).alias("component"), F.col("_s._ratio").alias("ratio"), F.col("_s._sdev").alias("sdev"), by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.session import settle
+from helixframe.session import release, settle
 
 
 def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,7 +23,8 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFr
         larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         smaller = larger.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        edges = settle(_edges(smaller, F.col("e.u"), F.col("e.m")))
+        last, edges = edges, settle(_edges(smaller, F.col("e.u"), F.col("e.m")))
+        release(last)
         before, state = state, _state(edges)
         if state == before:
             roots = edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()

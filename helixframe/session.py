@@ -63,12 +63,22 @@ def settle(df: DataFrame) -> DataFrame:
     before the join is planned: below ``spark.sql.autoBroadcastJoinThreshold`` it is
     broadcast and the large side is not shuffled, above it the join shuffles both.
     Estimates alone would take the reduced table for as large as its input. The
-    written table also survives lost executors. It is deleted with the session's JVM.
+    written table also survives lost executors. It is deleted by ``release``, or else with the session's JVM.
     """
     path = shared_folder(df.sparkSession, "settled")
     df.write.parquet(path)
     _drop_at_end(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled._settled_path = path
+    return settled
+
+
+def release(*settled: DataFrame | None) -> None:
+    """Delete the tables behind results of ``settle`` that nothing will read any more; all else is left alone."""
+    for df in settled:
+        if path := getattr(df, "_settled_path", None):
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _drop_at_end(spark: SparkSession, path: str) -> None:
