@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.session import settle
+from helixframe.session import release, settle
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = settle(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
+    last = labels = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
     while True:
         heard = (
             both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("near")), "v")
@@ -77,6 +77,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             )
         )
         moved = after.where("label <> was").limit(1).count()
-        labels = after.select("u", "label")
+        release(last)
+        last, labels = after, after.select("u", "label")
         if not moved:
+            release(both)
             return labels.select(F.col("u").alias("vertex"), F.col("label").alias("component"))

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from helixframe.llm import textbytes
 from helixframe.llm.base import connected_components, slices
-from helixframe.session import settle
+from helixframe.session import release, settle
 
 
 @dataclass(frozen=True)
@@ -41,12 +41,16 @@ class Settings:
     bloom_bits: int = 1 << 27  # filter that keeps most unlinked sets from being written
 
 
+#: Letters of a chunk: some ten arrays of 64-bit numbers of that length are held at a time.
+CHUNK_BYTES = 1 << 18
+
+
 # sets ------------------------------------------------------------------------------------------
 
 
 def sets_of(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hash of the set, sorted distinct shingle hashes as signed numbers) of each text."""
-    for _, data, bounds in textbytes.chunks(texts):
+    for _, data, bounds in textbytes.chunks(texts, CHUNK_BYTES):
         words = textbytes.find_words(data, bounds)
         hashes, first = textbytes.shingles(words, size)
         for low, high in zip(first, first[1:], strict=False):
@@ -177,6 +181,24 @@ def count_vector(tokens: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount(textbytes.mix(tokens.view(np.uint64)) % np.uint64(groups), minlength=groups).astype(np.uint32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector in the narrowest of one, two and four bytes a count; its length tells which."""
+    top = int(counts.max(initial=0))
+    return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(vectors: list[bytes], groups: int) -> np.ndarray:
+    """The count vectors as rows, in the width of the widest."""
+    width = max((len(v) for v in vectors), default=groups) // groups
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+    out = np.empty((len(vectors), groups), dtype=kinds[width])
+    sizes = np.fromiter(map(len, vectors), dtype=np.int64, count=len(vectors)) // groups
+    for own in np.unique(sizes):
+        rows = np.flatnonzero(sizes == own)
+        out[rows] = np.frombuffer(b"".join([vectors[i] for i in rows]), dtype=kinds[int(own)]).reshape(-1, groups)
+    return out
+
+
 def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, value) of all ``range(start, stop)``, one after the other."""
     sizes = stops - starts
@@ -247,7 +269,7 @@ def block_pairs(rows: pd.DataFrame, s: Settings, all_pairs: bool) -> pd.DataFram
     """
     keys = rows[["token", "piece", "part"]].to_numpy()
     block = np.cumsum(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
-    points = np.frombuffer(b"".join(rows["vector"]), dtype=np.uint32).reshape(len(rows), s.groups)
+    points = unpacked(rows["vector"].tolist(), s.groups)
     sets, sizes, parts = (rows[c].to_numpy() for c in ("set", "n", "component"))
     home, visits = rows["home"].to_numpy(), rows["visits"].to_numpy()
     at, ask = np.flatnonzero(home), np.flatnonzero(visits)
@@ -274,7 +296,7 @@ def best_of_component(pairs: pd.DataFrame) -> pd.DataFrame:
     return pairs.iloc[np.unique(first // 2)]
 
 
-def whole_blocks(frames: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+def whole_blocks(frames: Iterator[pd.DataFrame], rows: int = 8_000) -> Iterator[pd.DataFrame]:
     """Frames of about ``rows`` rows that end with a block, from rows that come sorted by block."""
     held: list[pd.DataFrame] = []
     for frame in frames:
@@ -296,32 +318,42 @@ def whole_blocks(frames: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator
 # links ------------------------------------------------------------------------------------------
 
 
-def leaders(blocks: DataFrame, components: DataFrame, seed: int) -> DataFrame:
-    """(a, b): every set with one set of another component, the block leader it meets most often.
+def open_blocks(blocks: DataFrame, components: DataFrame | None) -> DataFrame:
+    """(token, set, component) of the blocks that hold several components. Settled.
+
+    Components only grow, so a block that is closed stays closed and need not be looked at again.
+    """
+    if components is None:
+        labelled = blocks.select("token", "set", F.col("set").alias("component"))
+    else:
+        labelled = blocks.select("token", "set").join(components, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    ends = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return settle(labelled.join(ends.where("low <> high").select("token"), "token"))
+
+
+def leaders(opened: DataFrame, seed: int) -> DataFrame:
+    """(a, b): every set of an open block with one set of another component, the block leader it meets most often.
 
     The leader of a block is its set of least hash, so large groups of near copies agree on few leaders.
     """
-    rows = blocks.join(components, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    lead = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "set").alias("h"), "set", "component")).alias("lead"))
-    met = rows.join(lead, "token").where(F.col("lead.component") != F.col("component"))
+    lead = opened.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "set").alias("h"), "set", "component")).alias("lead"))
+    met = opened.join(lead, "token").where(F.col("lead.component") != F.col("component"))
     often = met.groupBy("set", F.col("lead.set").alias("b")).agg(F.count(F.lit(1)).alias("often"))
     return often.groupBy(F.col("set").alias("a")).agg(F.max_by("b", F.struct("often", "b")).alias("b"))
 
 
-def candidate_pairs(blocks: DataFrame, ready: DataFrame, components: DataFrame, s: Settings, all_pairs: bool) -> DataFrame:
+def candidate_pairs(opened: DataFrame, ready: DataFrame, s: Settings, all_pairs: bool) -> DataFrame:
     """(a, b) of sets of different components that share a block and may link.
 
     Only blocks with several components count. Their largest component stays at home in pieces; the documents of
     the others visit every piece, in parts of bounded size, so the work follows what is not yet connected. Unless
     ``all_pairs``, a component gives only its likeliest pair.
     """
-    labelled = blocks.join(components, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    parts = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
+    parts = opened.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
     base = F.max_by("component", F.struct("rows", "component")).alias("base")
     pieces = F.ceil(F.sum("rows") / s.piece).cast("int").alias("pieces")
     visitors = F.ceil((F.sum("rows") - F.max("rows")) / (4 * s.piece)).cast("int").alias("parts")
-    open_blocks = settle(parts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), base, pieces, visitors).where("n > 1").drop("n"))
-    rows = labelled.join(open_blocks, "token")
+    rows = opened.join(parts.groupBy("token").agg(base, pieces, visitors), "token")
     visits = F.col("component") != F.col("base")
     own_piece = F.pmod(F.xxhash64("set"), F.col("pieces")).cast("int")
     own_part = F.pmod(F.xxhash64(F.lit("part"), "set"), F.col("parts")).cast("int")
@@ -357,7 +389,7 @@ def _vectors(s: Settings):
             lists = batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            vectors = [count_vector(flat[a:b], s.groups).tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+            vectors = [packed(count_vector(flat[a:b], s.groups)) for a, b in zip([0, *ends], ends, strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())], ["set", "n", "vector"])
 
     return run
@@ -369,12 +401,14 @@ def verified(pairs: DataFrame, ready: DataFrame, s: Settings) -> DataFrame:
     The pairs are settled first: as long as they are few they are broadcast, and only the sets
     they name move.
     """
-    ends = settle(pairs.select("a", "b")).select("a", "b", F.explode(F.array("a", "b")).alias("set"))
-    sides = ready.join(ends, "set").groupBy("a", "b").agg(F.collect_list(F.struct("n", "tokens")).alias("two"))  # exactly two
-    p, q = F.element_at("two", 1), F.element_at("two", 2)
-    both = F.size(F.array_intersect(p["tokens"], q["tokens"]))
-    links = sides.where(both * (100 + s.percent) >= (p["n"] + q["n"]) * s.percent)
-    return settle(links.select("a", "b"))
+    found = settle(pairs.select("a", "b"))
+    one, two = ([F.col(c).alias(f"{side}_{c}") for c in ("set", "n", "tokens")] for side in "ab")
+    sides = found.join(ready.select(*one), F.col("a") == F.col("a_set")).join(ready.select(*two), F.col("b") == F.col("b_set"))
+    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    links = sides.where(both * (100 + s.percent) >= (F.col("a_n") + F.col("b_n")) * s.percent)
+    out = settle(links.select("a", "b"))
+    release(found)
+    return out
 
 
 def link_sets(ready: DataFrame, s: Settings) -> DataFrame:
@@ -385,21 +419,23 @@ def link_sets(ready: DataFrame, s: Settings) -> DataFrame:
     """
     # of the first n - need + 1 shingles, the n - size(tokens) that no other set has come first
     prefix = F.slice("tokens", F.lit(1), (F.size("tokens") - F.col("need") + 1).cast("int"))
-    blocks = settle(ready.select(F.explode(prefix).alias("token"), "set"))
-    components = ready.select("set", F.col("set").alias("component")).limit(0)
-    links, step = None, 0
+    blocks = ready.select(F.explode(prefix).alias("token"), "set")
+    opened = open_blocks(blocks, None)
+    components, links, step = ready.select("set", F.col("set").alias("component")).limit(0), None, 0
     while True:
         all_pairs = step > s.leader_rounds
-        if step < s.leader_rounds:
-            pairs = leaders(blocks, components, step)
-        else:
-            pairs = candidate_pairs(blocks, ready, components, s, all_pairs)
+        pairs = leaders(opened, step) if step < s.leader_rounds else candidate_pairs(opened, ready, s, all_pairs)
         more = verified(pairs, ready, s)
         grew = more.limit(1).count() > 0
         if grew:
-            links = more if links is None else settle(links.unionByName(more))
+            before, links = links, more if links is None else settle(links.unionByName(more))
+            if before is not None:
+                release(before, more)
             components = connected_components(links).select(F.col("vertex").alias("set"), "component")
+            last, opened = opened, open_blocks(opened, components)
+            release(last)
         if all_pairs:
+            release(opened)
             return components
         if step < s.leader_rounds:
             step = step + 1 if grew else s.leader_rounds
@@ -411,12 +447,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[
     """(id, text_hash, set, n) of every row, and (set, component, component_id) of every set that has words. Runs jobs."""
     possible = settle(possible_sets(docs, text_col, s))
     found = members(docs, possible, id_col, text_col, s)
-    components = link_sets(rare_first(found, s), s)
+    release(possible)
+    ready = rare_first(found, s)
+    components = link_sets(ready, s)
     rows = found.select("id", "text_hash", "set", "n")
     smallest = rows.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
     named = smallest.join(components, "set", "left").withColumn("component", F.coalesce("component", "set"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows, settle(named.join(names, "component").select("set", "component", "component_id"))
+    out = settle(named.join(names, "component").select("set", "component", "component_id"))
+    release(ready)
+    return rows, out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
