@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -127,3 +128,64 @@ def test_pages_of_the_tables_give_their_articles(spark, sf):
         for part in r["text"].split("\n"):
             assert part.split(" ")[0] in html_text.html.unescape(inside)
     assert html_text.extract(pages).where(F.col("text").contains("<p>")).count() == 0
+
+
+BODY = f"<h1>T</h1><p>{ARTICLE}</p><p>End.</p>"
+WHOLE = f"T\n{ARTICLE.strip()}\nEnd."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div id="page" class="site has-sidebar">{BODY}</div>',
+        f'<div class="social-layout">{BODY}</div><p class="share-bar">Share</p>',
+        f"<form action='x'>{BODY}</form>",
+        f'<div class="sidebar-page"><main>{BODY}</main><div class="sidebar"><p>{ARTICLE}{ARTICLE}</p></div></div>',
+        f'<div class="sidebar"><article>{BODY}</article></div>',
+        f'<main>{BODY}<div class="ad-slot"><p>no {ARTICLE}</p></div><div class="share-buttons">no</div><div class="cookie-banner">no</div>'
+        '<div class="newsletter-signup"><p>no</p></div><div class="related-posts">no</div></main>',
+        f'<main>{BODY}<div class="comments-area"><h2 class="comments-title">3 thoughts</h2><article class="comment"><p>no {ARTICLE}</p></article>'
+        "<h3>Leave a Reply</h3></div></main>",
+        f'<div>{BODY}</div><article class="comment"><p>no {ARTICLE}</p></article>',
+        f'<div>{BODY}</div><div class="comments"><p>no {ARTICLE}</p><article><p>{ARTICLE * 20}</p></article></div>',
+        f'<div>{BODY}</div><form class="search-form"><p>no {ARTICLE}</p></form>',
+    ],
+)
+def test_names_lean_and_text_decides(page):
+    assert html_text.main_text(page) == WHOLE
+
+
+def test_parts_of_an_article_stay_whatever_their_ids():
+    page = f'<main>{BODY}<section id="legal-status"><h2 id="search-and-rescue">Search</h2><p title="a hidden gem">kept</p></section></main>'
+    assert html_text.main_text(page) == f"{WHOLE}\nSearch\nkept"
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    start = time.perf_counter()
+    html_text.main_text("<ul>" * 20_000 + "x" + "</li>" * 20_000 + "</ul>" * 20_000)
+    assert time.perf_counter() - start < 10
+
+
+def test_lines_between_surge_and_dive():
+    """Against a plain restatement of the curve on pages without names."""
+    rnd = random.Random(6)
+    s = html_text.Settings()
+    for _ in range(300):
+        size = [rnd.choice([0, 0, 0, 5, 30, 90, 200]) for _ in range(rnd.randint(1, 25))]
+        lines = [html_text.Line("x" * n, n if rnd.random() < 0.2 else 0) for n in size]
+        blocks = [sum(size[i : i + s.window]) for i in range(len(size))]
+        runs = []
+        for i, b in enumerate(blocks):
+            if b and (i == 0 or not blocks[i - 1]):
+                runs.append([])
+            if b:
+                runs[-1].append(i)
+        covered = [sorted({j for i in r for j in range(i, min(i + s.window, len(size))) if size[j]}) for r in runs]
+        prose = [k for k, c in enumerate(covered) if sum(lines[j].linked for j in c) <= s.links * sum(size[j] for j in c)]
+        high = [k for k in prose if max(blocks[i] for i in runs[k]) >= s.surge]
+        if high:
+            kept = [k for k in prose if high[0] <= k <= high[-1]]
+        else:
+            kept = sorted(prose, key=lambda k: -sum(size[i] for i in runs[k]))[:1]
+        want = [lines[j].text for j in sorted({j for k in kept for j in covered[k]})]
+        assert html_text.main_lines(lines, False, s) == want
