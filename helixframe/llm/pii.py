@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are what four fixed patterns find: emails, IP addresses, card and phone numbers. The words around
+Seeds are what four fixed patterns find (emails, IP addresses, card and phone numbers) and, as a fifth kind, tokens
+that look like secrets: long, of letters and digits. The words around
 them are lexical patterns; patterns and the tokens they surround form a graph. In every round a pattern's
 confidence is the confidence of its instances, averaged over all its occurrences, and an instance gets the
 confidence of its best pattern. Tokens that look like identifiers and stand in high-confidence patterns
-are found too, in every document.
+are found too, in every document. A token that looks like a secret is a span only where such a pattern stands by it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from helixframe.llm.fingerprints import let
 from helixframe.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"  # a kind of its own, after the others
 
 # The contract's patterns. Loops are possessive, which changes no match (what follows a loop never
 # begins with what the loop takes) but keeps Java's matcher from recursing; a start inside a run that
@@ -46,6 +48,7 @@ class Settings:
     support: int = 5  # different seeds a pattern must surround
     confidence: float = 0.8  # of a pattern that may find new instances
     smoothing: float = 1.0  # occurrences that count against every pattern
+    secret: int = 20  # letters and digits of a token that looks like a secret, at least
     digits: int = 4  # a token without '@' needs so many digits to look like an identifier
 
 
@@ -136,7 +139,11 @@ def _words(gap: Column, last: bool, n: int) -> Column:
     return F.substring_index(clean, " ", -n if last else n)
 
 
-def occurrences(text: Column, spans: Column) -> Column:
+def _looks_like_secret(core: Column, s: Settings) -> Column:
+    return core.rlike(rf"^[A-Za-z0-9_+/=-]{{{s.secret},}}$") & core.rlike("[A-Za-z]") & (F.length(_digits(core)) >= s.digits)
+
+
+def occurrences(text: Column, spans: Column, s: Settings = Settings()) -> Column:
     """Tokens with a digit or '@': (kind of the seed that begins in it, value, start, end, patterns).
 
     Tokens that a seed begun earlier runs through are left out; the value of a seed is all of it. The patterns are the word before, the
@@ -152,8 +159,9 @@ def occurrences(text: Column, spans: Column) -> Column:
         first = F.get(touching, F.lit(0))
         inside = F.exists(touching, lambda s: s["start"] < x["start"])
         seed = F.lower(F.substring(text, first["start"] + 1, first["end"] - first["start"]))
+        kind = F.coalesce(first["kind"], F.when(_looks_like_secret(core, s), SECRET))
         return F.struct(
-            F.when(inside, "").otherwise(first["kind"]).alias("kind"),
+            F.when(inside, "").otherwise(kind).alias("kind"),
             F.when(first.isNull(), F.lower(core)).otherwise(seed).alias("value"),
             start.alias("start"),
             end.alias("end"),
@@ -168,7 +176,7 @@ def occurrences(text: Column, spans: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), found)
 
 
-def read_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def read_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """(id, key, base, found) of every row, settled: its seeds, and its occurrences. Runs a job.
 
     ``key`` names a row by its id and text; NULL texts are empty.
@@ -176,7 +184,7 @@ def read_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.lit("pii"), F.col(id_col), text).alias("key"))
     seeded = rows.select("id", "key", F.inline(F.array(F.struct("text", base_spans(F.col("text")).alias("base")))))
-    return settle(seeded.select("id", "key", "base", occurrences(F.col("text"), F.col("base")).alias("found")))
+    return settle(seeded.select("id", "key", "base", occurrences(F.col("text"), F.col("base"), s).alias("found")))
 
 
 def _looks_like_identifier(value: Column, s: Settings) -> Column:
@@ -220,8 +228,9 @@ def bootstrap(read: DataFrame, s: Settings = Settings()) -> DataFrame:
             .agg(F.max("confidence").alias("belief"))
         )
         believed = settle(seeds.unionByName(new))
-    open_tokens = tokens.where(F.col("kind").isNull() & _looks_like_identifier(F.col("value"), s))
-    placed = open_tokens.select("key", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
+    open_tokens = tokens.where((F.col("kind").isNull() & _looks_like_identifier(F.col("value"), s)) | (F.col("kind") == SECRET))
+    placed = open_tokens.select("key", "start", "end", F.col("kind").alias("_own"), F.explode("patterns").alias("pattern")).join(good, "pattern")
+    placed = placed.where(F.coalesce(F.col("_own") == F.col("kind"), F.lit(True)))
     return placed.groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")).select(
         "key", "kind", "start", "end"
     )
@@ -229,7 +238,7 @@ def bootstrap(read: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def _by_kind(spans: Column) -> Column:
     ranked = F.transform(
-        spans, lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("r"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+        spans, lambda x: F.struct(F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), x["kind"]).alias("r"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
     )
     return F.transform(F.array_sort(ranked), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
@@ -243,7 +252,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
 
     Both are arrays of (kind, start, end) by kind, then start. Rows without spans have empty arrays.
     """
-    read = read_documents(docs, id_col, text_col)
+    read = read_documents(docs, id_col, text_col, settings)
     added = settle(bootstrap(read, settings))
     added = added.groupBy("key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))  # of one document
     joined = read.select("id", "key", "base").join(added, "key", "left")
@@ -284,7 +293,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     All columns stay, NULL texts too. Runs jobs; the texts are read twice and not moved, unless
     context alone found more than a broadcast holds.
     """
-    added = settle(bootstrap(read_documents(docs, id_col, text_col), settings))
+    added = settle(bootstrap(read_documents(docs, id_col, text_col, settings), settings))
     added = added.groupBy("key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_added"))
     text = F.coalesce(F.col("_row")[text_col], F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

@@ -112,6 +112,32 @@ def test_context_finds_unseen_identifiers(documents):
     assert pii.mask(documents([])).count() == 0 and pii.report(documents([])).count() == 0
 
 
+def test_secrets_are_found_where_their_context_is_learnt(documents):
+    rnd = random.Random(9)
+    code = lambda n=40: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'word {i % 3} then token = "{code()}" goes on') for i in range(12)]
+    rows += [(50, 'a token = "ab12-34cd" here'), (51, f"the file {code()} lies alone"), (52, "token = none"), (53, f"é token = '{code(32)}'"), (54, "x 1.2.3.4 y")]
+    got = {r["doc_id"]: r for r in pii.report(documents(rows)).collect()}
+    for i, text in rows:
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in seeds(text))
+        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    for i in range(12):
+        start = rows[i][1].index('"') + 1
+        assert got[i]["spans"] == f"secret:{start}:{start + 40}"
+    assert got[50]["spans"] == "secret:11:20" and got[51]["spans"] == got[52]["spans"] == "" and got[53]["spans"] == "secret:11:43"
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(documents(rows)).collect()}
+    assert masked[50] == 'a token = "[SECRET]" here' and masked[54] == "x [IP] y" and masked[51] == rows[13][1]
+
+
+def test_context_adds_secrets_to_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = [(r["doc_id"], x) for r in pii.report(docs).collect() for x in r["spans"].split(",") if x.startswith("secret")]
+    planted = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    got = {(i, *map(int, x.split(":")[1:])) for i, x in found}
+    assert planted and len(got & planted) >= 0.9 * len(planted) and len(got & planted) >= 0.9 * len(got)
+
+
 def test_mixing_meets_entropy_and_repetition(documents):
     rows = [(i, "w " * (1 + i % 5), "big" if i % 10 else f"small{i % 3}") for i in range(3000)] + [(None, "x", None), (7, "", "big"), (8, None, "big")]
     light = documents(rows).select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("tokens"))
