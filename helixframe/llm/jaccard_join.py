@@ -402,10 +402,11 @@ def verified(pairs: DataFrame, ready: DataFrame, s: Settings) -> DataFrame:
     they name move.
     """
     found = settle(pairs.select("a", "b"))
-    one, two = ([F.col(c).alias(f"{side}_{c}") for c in ("set", "n", "tokens")] for side in "ab")
-    sides = found.join(ready.select(*one), F.col("a") == F.col("a_set")).join(ready.select(*two), F.col("b") == F.col("b_set"))
-    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    links = sides.where(both * (100 + s.percent) >= (F.col("a_n") + F.col("b_n")) * s.percent)
+    ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("set"))
+    sides = ready.join(ends, "set").groupBy("a", "b").agg(F.collect_list(F.struct("n", "tokens")).alias("two"))  # exactly two
+    p, q = F.element_at("two", 1), F.element_at("two", 2)
+    both = F.size(F.array_intersect(p["tokens"], q["tokens"]))
+    links = sides.where(both * (100 + s.percent) >= (p["n"] + q["n"]) * s.percent)
     out = settle(links.select("a", "b"))
     release(found)
     return out
