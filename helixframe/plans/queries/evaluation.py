@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixframe.config import FoldOptions
 from helixframe.functions.hashing import uniform
-from helixframe.functions.vector import as_double
+from helixframe.functions.vector import argmax, as_double, dot, fold_sum
 from helixframe.operators import embedding, folds, metrics, probe, stats, tables
 from helixframe.plans import views
 from helixframe.plans.registry import query
@@ -126,11 +128,13 @@ def linear_probe(spark, folder):
     return _vector_probe(spark, folder).results
 
 
+def _vector_rows(spark, folder):
+    rows = views.table(spark, folder, "embeddings").withColumn("vec", as_double(F.col("embedding")))
+    return probe.vector_features(rows).select("vec_id", "label", "features"), uniform("test", 5, "vec_id") < 0.2
+
+
 def _vector_probe(spark, folder):
-    rows = probe.vector_features(
-        views.table(spark, folder, "embeddings").withColumn("vec", as_double(F.col("embedding")))
-    ).select("vec_id", "label", "features")
-    held_out = uniform("test", 5, "vec_id") < 0.2
+    rows, held_out = _vector_rows(spark, folder)
     return probe.cross_validate(
         rows.where(~held_out), rows.where(held_out), "vec_id", "linear", "class10", FoldOptions(folds=5)
     )
@@ -145,7 +149,7 @@ def kmer_probe(spark, folder):
     rows = probe.kmer_features(tagged, k=3, width=256).select("doc_id", "label", "features")
     held_out = uniform("test", 5, "doc_id") < 0.2
     found = probe.cross_validate(
-        rows.where(~held_out), rows.where(held_out), "doc_id", "kmer3", "quality", FoldOptions(folds=3), max_iter=10
+        rows.where(~held_out), rows.where(held_out), "doc_id", "kmer3", "quality", FoldOptions(folds=3)
     )
     return found.results
 
@@ -248,3 +252,42 @@ def probe_folds(spark, folder):
     """Each training row is predicted once, in its fold, by the model that has not seen it."""
     found = _vector_probe(spark, folder)
     return stats.group_counts(found.predictions, ["fold", "label"])
+
+
+@query(
+    "probe_fit",
+    sql(
+        """SELECT fold, count(*) AS n_predicted, (SELECT count(*) FROM parts) - count(*) AS n_trained, count(*) AS n_same, true AS at_optimum
+           FROM parts GROUP BY fold""",
+        parts=f"""SELECT ntile(5) OVER (ORDER BY md5('fold:123:' || vec_id), vec_id)::INT AS fold
+                  FROM embeddings WHERE NOT {views.sql_uniform('test', 5, 'vec_id')} < 0.2""",
+    ),
+)
+def probe_fit(spark, folder):
+    """What must hold of the fitted folds: predictions follow from the weights, and the gradient of each fold's loss is 0.
+
+    Both are worked out anew by column functions: scores of each row by the model of its fold, and for every fold the mean of
+    (probability - label) x features over the rows of the others, with the penalty added.
+    """
+    rows, held_out = _vector_rows(spark, folder)
+    reg, found = 1e-3, _vector_probe(spark, folder)
+    models = [(k, [[float(v) for v in row] for row in m.weights], [float(v) for v in m.scale], m.labels) for k, m in found.models.items()]
+    models = spark.createDataFrame(models, "model int, weights array<array<double>>, scale array<double>, labels array<int>")
+    train = rows.where(~held_out).select("vec_id", "label", vector_to_array("features").alias("x"))
+    folded = train.join(found.predictions.select("vec_id", "fold", "pred"), "vec_id")
+    every = folded.withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(5)))).join(models, "model")
+    scaled = F.concat(F.zip_with("x", "scale", lambda v, sd: v / sd), F.array(F.lit(1.0)))
+    every = every.withColumn("z", scaled).withColumn("scores", F.transform("weights", lambda w: dot(F.col("z"), w)))
+    own = every.where("model = fold").groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_predicted"), F.count_if(F.get("labels", argmax(F.col("scores"))) == F.col("pred")).alias("n_same")
+    )
+    powers = F.transform("scores", lambda v: F.exp(v - F.array_max("scores")))
+    others = every.where("model <> fold").withColumn("powers", powers)
+    share = F.transform("powers", lambda v: v / fold_sum(F.col("powers")))
+    errors = F.zip_with(share, "labels", lambda p, c: p - F.when(c == F.col("label"), 1.0).otherwise(0.0))
+    parts = F.flatten(F.transform("errors", lambda e: F.transform("z", lambda v: e * v)))
+    mean = others.withColumn("errors", errors).select("model", array_to_vector(parts).alias("g")).groupBy("model")
+    mean = mean.agg(vector_to_array(Summarizer.mean(F.col("g"))).alias("g"), F.count(F.lit(1)).alias("n_trained")).join(models, "model")
+    penalty = F.flatten(F.transform("weights", lambda w: F.concat(F.slice(w, F.lit(1), F.size(w) - 1), F.array(F.lit(0.0)))))
+    largest = F.array_max(F.zip_with("g", penalty, lambda g, w: F.abs(g + reg * w)))
+    return mean.select(F.col("model").alias("fold"), "n_trained", (largest < 1e-4).alias("at_optimum")).join(own, "fold")

@@ -13,7 +13,8 @@ PRODUCTS = {"pending_grid"}  # the product of two work lists is the feature
 # the corpus operators have plan tests of their own
 QUERIES = {k: v for k, v in QUERIES.items() if k != "pipeline" and not re.match(r"op\d+_", k)}
 RUNS_LONG = {"linear_probe", "kmer_probe", "pca", "pca_explained", "kmeans_scores", "stream_loss_rollup",
-             "stream_early_stop", "stream_tokenise", "stream_chunks", "pca_lengths", "pca_by_type", "probe_folds", "merge_results", "finished_runs"}
+             "stream_early_stop", "stream_tokenise", "stream_chunks", "pca_lengths", "pca_by_type", "probe_folds", "merge_results", "finished_runs",
+             "near_dedup", "pretokenised_write", "stream_windowed_log", "kmeans_fit"}
 
 
 def plan_of(df):

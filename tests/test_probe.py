@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from helixframe.config import FoldOptions
 from helixframe.operators import probe
 
@@ -32,3 +34,29 @@ def test_kmer_features(spark):
     rows = probe.kmer_features(df, k=3, width=64).collect()
     assert rows[0]["features"].toArray().sum() == 2 and rows[1]["features"].toArray().sum() == 0
     assert rows[0]["features"].toArray().max() == 2
+
+
+def test_all_folds_reach_the_optimum_together(spark):
+    rng = np.random.default_rng(7)
+    label = rng.integers(0, 3, 150) * 5
+    x = rng.normal(size=(150, 4)) * [1, 10, 0.1, 0] + label[:, None] * [0.1, 1, 0, 0]
+    fold = rng.integers(1, 4, 150)
+    df = spark.createDataFrame([(int(f), int(y), row.tolist()) for f, y, row in zip(fold, label, x)], "fold int, label int, x array<double>")
+    models = probe.fit_folds(df.repartition(3), 3, 200, 0.01, 1e-8)
+    for k, m in models.items():
+        own = fold != k
+        z = np.hstack([x[own] / np.where(x.std(0, ddof=1) > 0, x.std(0, ddof=1), 1), np.ones((own.sum(), 1))])
+        p = np.exp(z @ m.weights.T)
+        p /= p.sum(1, keepdims=True)
+        gradient = (p - (label[own][:, None] == m.labels)).T @ z / own.sum()
+        gradient[:, :-1] += 0.01 * m.weights[:, :-1]
+        assert m.labels == [0, 5, 10] and np.abs(gradient).max() < 1e-6
+    assert probe.fit_folds(df.limit(0), 3, 5, 0.01) == {}
+
+
+def test_predictions_come_from_the_model_of_the_fold(spark):
+    models = {k: probe.LinearModel([0, 9], np.array([[0.0, 0.0], [sign, 0.0]]), np.array([2.0])) for k, sign in ((1, 1.0), (2, -1.0))}
+    rows = [(i, i % 2 + 1, 0, [float(v)]) for i, v in enumerate([-3, -3, 4, 4])]
+    df = probe.vector_features(spark.createDataFrame(rows, "id bigint, fold int, label int, vec array<double>")).drop("vec")
+    assert [(r["id"], r["pred"]) for r in probe.predict(df, models, "id", "fold").orderBy("id").collect()] == [(0, 0), (1, 9), (2, 9), (3, 0)]
+    assert probe.predict(df.limit(0), models, "id").count() == 0
