@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe import schemas
-from helixframe.session import settle, shared_folder
+from helixframe.session import release, settle, shared_folder
 from helixframe.sources import files
 
 
@@ -147,3 +147,11 @@ def test_folder_names_say_nothing_about_the_file(spark, tmp_path):
     write(f"{folder}/kingdoms.csv", ",v_0,v_1,vec_type,model_type,label\n0,1.0,2.0,Mean,Base,Virus\n")
     row = files.read_vector_folder(spark, str(folder), 2).first()
     assert (row["dataset"], row["fine_tuned"]) == ("four_kingdom", "No")
+
+
+def test_released_tables_are_gone_and_others_stay(spark):
+    kept, gone = settle(spark.range(3)), settle(spark.range(4))
+    release(gone, None, spark.range(2))
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        gone.count()
