@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,13 +196,15 @@ def collate_batches(df: DataFrame, key: str, batch: str = "batch_id") -> DataFra
     def collate(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key)
         width = int(rows["input_ids"].map(len).max())
-        matrix = [list(ids) + [fill] * (width - len(ids)) for ids in rows["input_ids"]]
+        matrix = np.full((len(rows), width), fill, dtype=np.int32)
+        for line, ids in zip(matrix, rows["input_ids"], strict=True):
+            line[: len(ids)] = ids
         return pd.DataFrame(
             {
                 batch: [rows[batch].iloc[0]],
                 "keys": [list(rows[key])],
                 "width": [width],
-                "input_ids": [matrix],
+                "input_ids": [list(matrix)],
             }
         )
 

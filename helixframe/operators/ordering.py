@@ -104,34 +104,31 @@ _MERGED = {
 
 
 def _block_offsets(
-    counts: DataFrame, keys: Sequence[str], total: str | None, few_blocks: bool
+    counts: DataFrame, keys: Sequence[str], total: str | None, few_blocks: bool, levels: int = 2
 ) -> DataFrame:
     """Rows of the key in earlier blocks, as (keys, block, _offset).
 
     A ``few_blocks`` order has at most some ten thousand blocks per key, which one
     window adds up. Otherwise blocks are added up inside groups of 2^20 blocks and
     those groups among themselves: for blocks of 2^20 ids the second window sees
-    at most 2^24 groups however sparse 64-bit ids are.
+    at most 2^24 groups however sparse 64-bit ids are. Smaller blocks need a third of
+    the ``levels``, groups of groups, for that.
     """
     whole = Window.partitionBy(*keys)
     past = (Window.unboundedPreceding, -1)
-    if few_blocks:
+    if few_blocks or levels == 1:
         added = counts.withColumn("_offset", _sum_or_zero("_n", whole.orderBy(BLOCK).rowsBetween(*past)))
         return (added.withColumn(total, F.sum("_n").over(whole)) if total else added).drop("_n")
     grouped = counts.withColumn("_group", _group_of_blocks())
     inside = Window.partitionBy(*keys, "_group").orderBy(BLOCK).rowsBetween(*past)
-    groups = (
-        grouped.groupBy(*keys, "_group")
-        .agg(F.sum("_n").alias("_group_n"))
-        .withColumn("_before", _sum_or_zero("_group_n", whole.orderBy("_group").rowsBetween(*past)))
-    )
-    if total:
-        groups = groups.withColumn(total, F.sum("_group_n").over(whole))
+    groups = grouped.groupBy(*keys, F.shiftright("_group", 20).alias(BLOCK)).agg(F.sum("_n").alias("_n"))
+    groups = _block_offsets(groups, keys, total, False, levels - 1)
+    groups = groups.withColumn("_group", F.shiftleft(BLOCK, 20)).withColumnRenamed("_offset", "_before").drop(BLOCK)
     return (
         grouped.withColumn("_inside", _sum_or_zero("_n", inside))
         .join(groups, [*keys, "_group"])
         .withColumn("_offset", F.col("_before") + F.col("_inside"))
-        .drop("_n", "_group", "_group_n", "_before", "_inside")
+        .drop("_n", "_group", "_before", "_inside")
     )
 
 
@@ -148,12 +145,13 @@ def row_index(
     total: str | None = None,
     few_blocks: bool = False,
     settled: bool = False,
+    levels: int = 2,
 ) -> DataFrame:
     """Exact 0-based position in ``order``, per ``keys`` or over the whole table.
 
     ``total`` also adds the row count of the key; ``few_blocks`` says that ``block``
     is a hash block. Rows move once, to their (keys, block); everything else
-    happens on block counts. ``settled`` runs a job for those counts, so that a result
+    happens on block counts, added up in ``levels`` (see ``_block_offsets``). ``settled`` runs a job for those counts, so that a result
     which is read several times does not count its rows again each time.
     """
     blocked = df.withColumn(BLOCK, block)
@@ -163,7 +161,7 @@ def row_index(
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     return (
         blocked.withColumn("_local", F.row_number().over(inside) - 1)
-        .join(_block_offsets(counts, keys, total, few_blocks), [*keys, BLOCK])
+        .join(_block_offsets(counts, keys, total, few_blocks, levels), [*keys, BLOCK])
         .withColumn(name, F.col("_offset") + F.col("_local"))
         .drop(BLOCK, "_local", "_offset")
     )
@@ -194,11 +192,15 @@ def shuffled_index(df: DataFrame, key: str, seed: int, name: str = "position") -
     return row_index(hashed, ["_hash", key], hash_block(F.col("_hash")), name=name, few_blocks=True).drop("_hash")
 
 
+def _levels(block_bits: int) -> int:
+    return 2 if block_bits >= 20 else 3
+
+
 def buffered_shuffle(
-    df: DataFrame, key: str, buffer: int, seed: int, block_bits: int = 20, name: str = "position"
+    df: DataFrame, key: str, buffer: int, seed: int, block_bits: int = 8, name: str = "position"
 ) -> DataFrame:
     """Random order inside consecutive buffers of ``buffer`` rows (in ``key`` order)."""
-    indexed = row_index(df, [key], int_block(key, block_bits), name="_idx")
+    indexed = row_index(df, [key], int_block(key, block_bits), name="_idx", levels=_levels(block_bits))
     hashed = indexed.withColumn("_buffer", F.floor(F.col("_idx") / buffer)).withColumn(
         "_hash", digest("shuffle", seed, key)
     )
@@ -213,11 +215,15 @@ def assign_batches(
     order: str,
     batch_size: int,
     drop_last: bool = False,
-    block_bits: int = 20,
+    block_bits: int = 8,
     name: str = "batch_id",
 ) -> DataFrame:
-    """Consecutive batches in ``order``; ``drop_last`` leaves out a short final one."""
-    indexed = row_index(df, [order], int_block(order, block_bits), name="_idx", total="_total")
+    """Consecutive batches in ``order``; ``drop_last`` leaves out a short final one.
+
+    Whole rows move to their block, so blocks are small: rows may hold texts or arrays.
+    """
+    block = int_block(order, block_bits)
+    indexed = row_index(df, [order], block, name="_idx", total="_total", levels=_levels(block_bits))
     out = indexed.withColumn(name, F.floor(F.col("_idx") / batch_size).cast("bigint"))
     if drop_last:
         out = out.where(F.col(name) < F.floor(F.col("_total") / batch_size))

@@ -67,8 +67,8 @@ _BATCHED = _FRAMED | {
 
 
 def _batches(spark, folder, size=16, drop_last=False):
-    rows = corpus.tokenise(views.seqs(spark, folder).select("doc_id", "sequence"))
-    return ordering.assign_batches(rows, "doc_id", size, drop_last)
+    rows = ordering.assign_batches(views.seqs(spark, folder).select("doc_id", "sequence"), "doc_id", size, drop_last)
+    return corpus.tokenise(rows)  # letters move, not ids
 
 
 @query(
