@@ -97,14 +97,18 @@ def seqs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table in fewer pieces than there are cores is dealt out by key; a large one stays as its files are."""
-    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(key) if pieces < df.sparkSession.sparkContext.defaultParallelism else df
+    """A table dealt out by key: pieces of a file are no measure, as a row group falls to one of them however large it is."""
+    return df.repartition(key)
+
+
+_NUCLEOTIDES, _ASCII = "ACGTacgt", [chr(i) for i in range(1, 128)]
+_OTHERS = "".join(c for c in _ASCII if c not in _NUCLEOTIDES)
 
 
 def letters(text):
     """A text as a sequence: every character is kept, those that are no nucleotide as N."""
-    return F.regexp_replace(F.translate(text, "acgt", "ACGT"), "[^ACGT]", "N")
+    plain = F.translate(text, _OTHERS + "acgt", "N" * len(_OTHERS) + "ACGT")
+    return F.regexp_replace(plain, "[^ACGTN]", "N")
 
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
@@ -118,7 +122,9 @@ def strands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nucleotides(text):
-    return F.regexp_replace(F.translate(text, _ALPHABET + _ALPHABET.upper(), _BASES * 2), "[^ACGT]", "")
+    letters_first = _ALPHABET + _ALPHABET.upper()
+    others = "".join(c for c in _ASCII if c not in letters_first)  # beyond the replacements, so left out
+    return F.regexp_replace(F.translate(text, letters_first + others, _BASES * 2), "[^ACGT]", "")
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,3 +36,16 @@ def test_small_blocks_of_sparse_ids_number_all_rows(spark, bits):
     ids = sorted({i * 7919 for i in range(-60, 60)} | {-(2**62), -1, 2**40 + 3, 2**61, 2**62 + 1})
     rows = ordering.assign_batches(spark.createDataFrame([(i,) for i in ids], "id bigint"), "id", 10, block_bits=bits)
     assert [r["batch_id"] for r in rows.orderBy("id").collect()] == [n // 10 for n in range(len(ids))]
+
+
+def test_sequences_of_one_full_piece_are_dealt_out(spark, no_merging):
+    """A row group is read by one task, however many pieces its file seems to have."""
+    assert pieces(views.spread(spark.range(0, 8000, 1, 8).where("id < 1000"), "id")) > 1
+
+
+def test_views_keep_other_letters(spark):
+    texts = ["", "acgtACGT nN", "\u00e9\u4e00\U0001f600\x00\t-a", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(views.letters(F.col("t")), views.nucleotides(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["", "ACGTACGTNNN", "NNNNNNA", None]
+    assert [r[1] for r in got] == ["", "AGGTAGGTCC", "A", None]
