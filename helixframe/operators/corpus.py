@@ -13,6 +13,7 @@ from helixframe.functions import fixed
 from helixframe.functions.hashing import digits_to_int, unit_below
 from helixframe.operators.ordering import assign_batches
 
+from helixframe.session import settle
 IGNORED_LABEL = -100
 
 
@@ -31,8 +32,8 @@ def kmer_tokens(sequence: Column, k: int = 6) -> Column:
 
 
 def n_kmer_tokens(sequence: Column, k: int = 6) -> Column:
-    """How many tokens ``kmer_tokens`` makes, without making them."""
-    return F.regexp_count(sequence, F.lit(f"(?s)[{fixed.NUCLEOTIDES}]{{{k}}}|."))
+    """How many tokens ``kmer_tokens`` makes, without making them: all letters, less those that a k-mer saves."""
+    return F.char_length(sequence) - (k - 1) * F.regexp_count(sequence, F.lit(f"[{fixed.NUCLEOTIDES}]{{{k}}}"))
 
 
 def kmer_id(token: Column, k: int = 6) -> Column:
@@ -107,13 +108,13 @@ def tokenise_in_batches(
     """``tokenise`` and ``pad_in_batches`` in one: sequences move as letters, and are tokenised and padded where they arrive.
 
     Widths come from token counts alone; every sequence is tokenised once. Adds ``batch_id`` and ``n_tokens``. A
-    NULL sequence has NULL ids, and a batch of such rows only has no width.
+    NULL sequence has NULL ids, and a batch of such rows only has no width. Runs a job, which settles the widths.
     """
     lengths = df.select(key, (n_kmer_tokens(F.col(sequence), k) + 2).alias("n_tokens"))  # with both ends
     numbered = assign_batches(lengths, key, batch_size, drop_last)
     width = F.max("n_tokens").over(Window.partitionBy("batch_id")).alias("_width")
     widths = numbered.select(key, "batch_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), width)
-    return pad(tokenise(df.join(widths, key), sequence, k), F.col("_width")).drop("_width")
+    return pad(tokenise(df.join(settle(widths), key), sequence, k), F.col("_width")).drop("_width")
 
 
 def mask_tokens(

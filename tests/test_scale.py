@@ -51,6 +51,13 @@ def test_views_keep_other_letters(spark):
     assert [r[1] for r in got] == ["", "AGGTAGGTCC", "A", None]
 
 
+def test_widths_of_batches_are_settled(spark):
+    df = spark.createDataFrame([(i, "ACGTAC" * (i % 7) + "NA") for i in range(40)], "id bigint, sequence string")
+    rows = corpus.tokenise_in_batches(df, "id", 16)
+    assert "Window" not in plan_of(rows)
+    assert all(r["n_tokens"] == r["id"] % 7 + 4 for r in rows.collect())
+
+
 def test_nearest_centre_is_compiled_and_the_first_of_equals(spark):
     rng = np.random.default_rng(3)
     data = [([float(x) for x in p], [[0.0, 0.0], [2.0, 0.0], [1.0, 5.0]][: 1 + i % 3]) for i, p in enumerate(rng.integers(-3, 6, (200, 2)))]
