@@ -58,6 +58,12 @@ def test_widths_of_batches_are_settled(spark):
     assert all(r["n_tokens"] == r["id"] % 7 + 4 for r in rows.collect())
 
 
+def test_mapped_ids_are_numbers_of_four_bytes(spark):
+    rows = spark.createDataFrame([("ACGTACG\u00e9",), ("",), (None,)], "s string").select(corpus.kmer_ids_batched(F.col("s")).alias("i"))
+    assert ", 250" in plan_of(rows)  # Arrow arrays, not lists of objects
+    assert [r["i"] for r in rows.collect()] == [[5 + int("012301", 4), 5 + 4096 + 2, 1], [], None]
+
+
 def test_nearest_centre_is_compiled_and_the_first_of_equals(spark):
     rng = np.random.default_rng(3)
     data = [([float(x) for x in p], [[0.0, 0.0], [2.0, 0.0], [1.0, 5.0]][: 1 + i % 3]) for i, p in enumerate(rng.integers(-3, 6, (200, 2)))]
