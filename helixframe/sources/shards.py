@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators.ordering import shuffled_index
-from helixframe.session import settle
+from helixframe.session import release, settle
 
+_PER_TASK = 64
 MANIFEST = "shard bigint, n_rows bigint, digest bigint"
 
 
@@ -21,7 +22,8 @@ def write_shards(rows: DataFrame, folder: str, key: str, rows_per_shard: int = 1
     others' files as they are; one that lost its folder is written again. A manifest made from other rows, another order or size is an error.
     """
     spark = rows.sparkSession
-    placed = shuffled_index(rows, key, seed).withColumn("shard", F.floor(F.col("position") / rows_per_shard).cast("bigint"))
+    # settled: the rows are worked out and moved once, not for the digests and again for the files
+    placed = settle(shuffled_index(rows, key, seed).withColumn("shard", F.floor(F.col("position") / rows_per_shard).cast("bigint")))
     wanted = settle(_described(placed, rows.columns))
     there, written = read_manifest(spark, folder), _described(_read(spark, folder, placed), rows.columns)
     plan = wanted.alias("w").join(there.alias("m"), "shard", "full").join(written.alias("d"), "shard", "left")
@@ -37,12 +39,14 @@ def write_shards(rows: DataFrame, folder: str, key: str, rows_per_shard: int = 1
     if missing := [(r["shard"],) for r in plan if not r["done"]]:
         some = spark.createDataFrame(missing, "shard bigint")
         part = placed.join(some, "shard", "left_semi")
-        # the rows of a shard meet in one task, which sorts and writes them
-        part = part.repartition(len(missing), "shard").sortWithinPartitions("shard", "position")
+        # the rows of a shard meet in one task, which sorts and writes them, as those of some other shards
+        tasks = min(len(missing), max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(missing) // _PER_TASK))
+        part = part.repartition(tasks, "shard").sortWithinPartitions("shard", "position")
         part.write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/data")
     if fresh := [(r["shard"],) for r in plan if r["new"]]:
         entries = spark.createDataFrame(fresh, "shard bigint").join(wanted, "shard")
         entries.coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    release(placed)
     return read_manifest(spark, folder)
 
 

@@ -64,6 +64,20 @@ def test_mapped_ids_are_numbers_of_four_bytes(spark):
     assert [r["i"] for r in rows.collect()] == [[5 + int("012301", 4), 5 + 4096 + 2, 1], [], None]
 
 
+def test_shards_work_their_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(100).withColumn("x", counted("id"))
+    assert shards.write_shards(rows, f"{tmp_path}/s", "id", 10).count() == 10
+    assert seen.value == 100
+    assert shards.read_shards(spark, f"{tmp_path}/s", rows).count() == 100
+
+
 def test_nearest_centre_is_compiled_and_the_first_of_equals(spark):
     rng = np.random.default_rng(3)
     data = [([float(x) for x in p], [[0.0, 0.0], [2.0, 0.0], [1.0, 5.0]][: 1 + i % 3]) for i, p in enumerate(rng.integers(-3, 6, (200, 2)))]
