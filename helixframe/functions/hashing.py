@@ -35,7 +35,8 @@ def unit_below(hex_text: Column, bound: float, start: int = 1) -> Column:
     whole = math.ceil(bound * 4294967296.0)
     if whole > 0xFFFFFFFF:
         return F.lit(True)
-    return F.substring(hex_text, start, 8) < F.lit(f"{whole:08x}")
+    # the text goes on after its eight digits, which does not change whether it comes before the bound
+    return (hex_text if start == 1 else F.substring(hex_text, start, 8)) < F.lit(f"{whole:08x}")
 
 
 def uniform(purpose: str, seed: int, *keys: Column | str) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from helixframe.functions import fixed
 from helixframe.functions.hashing import digits_to_int, unit_below
 from helixframe.operators.ordering import assign_batches
-
 from helixframe.session import settle
+
 IGNORED_LABEL = -100
 
 
@@ -133,29 +133,27 @@ def mask_tokens(
     are never chosen. One hash per position gives all three draws.
     """
 
-    def drawn(token: Column, h: Column) -> Column:
-        chosen = unit_below(h, probability)
-        shown = (
-            F.when(~chosen, token)
-            .when(unit_below(h, 0.8, 9), F.lit(fixed.MASK))
+    def hashed(token: Column, i: Column) -> Column:
+        text = F.concat(F.lit(f"mask:{seed}:{epoch}:"), F.col(key).cast("string"), F.lit(":"), i.cast("string"))
+        return F.when(token >= fixed.SPECIAL_COUNT, F.md5(text))
+
+    def shown(token: Column, h: Column) -> Column:
+        drawn = (
+            F.when(unit_below(h, 0.8, 9), F.lit(fixed.MASK))
             .when(unit_below(h, 0.9, 9), (digits_to_int(h, 17, 8) % vocab_size).cast("int"))
             .otherwise(token)
         )
-        return F.struct(shown.alias("id"), F.when(chosen, token).otherwise(F.lit(IGNORED_LABEL)).alias("label"))
+        return F.when(unit_below(h, probability), drawn).otherwise(token)
 
-    def masked(token: Column, i: Column) -> Column:
-        # lambdas do not share subexpressions: the inner transform binds the hash, so it is worked out once
-        h = F.md5(F.concat(F.col("_prefix"), i.cast("string")))
-        one = F.element_at(F.transform(F.array(h), lambda bound: drawn(token, bound)), 1)
-        kept = F.struct(token.alias("id"), F.lit(IGNORED_LABEL).alias("label"))
-        return F.when(token >= fixed.SPECIAL_COUNT, one).otherwise(kept)
+    def label(token: Column, h: Column) -> Column:
+        return F.when(unit_below(h, probability), token).otherwise(F.lit(IGNORED_LABEL))
 
+    # a column of its own: the hashes are worked out once, special tokens have none
+    hashes = df.withColumn("_hashes", F.transform("input_ids", hashed))
     return (
-        df.withColumn("_prefix", F.concat(F.lit(f"mask:{seed}:{epoch}:"), F.col(key).cast("string"), F.lit(":")))
-        .withColumn("_masked", F.transform("input_ids", masked))
-        .withColumn("input_ids", F.col("_masked.id"))
-        .withColumn("labels", F.col("_masked.label"))
-        .drop("_masked", "_prefix")
+        hashes.withColumn("labels", F.zip_with("input_ids", "_hashes", label))
+        .withColumn("input_ids", F.zip_with("input_ids", "_hashes", shown))
+        .drop("_hashes")
     )
 
 

@@ -64,6 +64,11 @@ def test_mapped_ids_are_numbers_of_four_bytes(spark):
     assert [r["i"] for r in rows.collect()] == [[5 + int("012301", 4), 5 + 4096 + 2, 1], [], None]
 
 
+def test_masking_hashes_are_bound_once(spark):
+    plan = plan_of(corpus.mask_tokens(spark.range(3).withColumn("input_ids", F.array(F.lit(2), F.lit(9))), "id", 4105))
+    assert plan.count("md5(") == 1 and "element_at" not in plan
+
+
 def test_shards_work_their_rows_out_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
