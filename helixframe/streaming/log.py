@@ -22,38 +22,48 @@ EVALUATIONS_PER_BLOCK = 4096
 
 def _loss_rollup(accumulation: int) -> StatefulProcessor:
     class LossRollup(StatefulProcessor):
-        """Open optimizer steps of one (run, block): their loss so far and micro-steps seen."""
+        """Open optimizer steps of one (run, block): their loss so far and micro-steps seen.
+
+        There are many such keys with few rows each, so a call is a few array operations, one read and one write of state.
+        """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.open = handle.getMapState(
-                "open", "completed_steps bigint", "loss double, n bigint, small_step bigint"
+            self.open = handle.getValueState(
+                "open", "completed_steps array<bigint>, loss array<double>, n array<bigint>, small_step array<bigint>"
             )
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            parts = [
-                chunk.groupby("completed_steps").agg(
-                    loss=("loss", "sum"), n=("loss", "size"), small_step=("small_step", "max")
-                )
-                for chunk in rows
-            ]
-            sums = pd.concat(parts).groupby(level=0).agg({"loss": "sum", "n": "sum", "small_step": "max"})
-            full = sums[sums["n"] >= accumulation]
+            groups, losses, places = [], [], []
+            for chunk in rows:
+                chunk = chunk[chunk["completed_steps"].notna().to_numpy()]
+                groups.append(chunk["completed_steps"].to_numpy(dtype="int64"))
+                losses.append(chunk["loss"].to_numpy(dtype="float64", na_value=math.nan))
+                places.append(chunk["small_step"].to_numpy(dtype="int64"))
+            names, at = np.unique(np.concatenate(groups), return_inverse=True)
+            loss, place = np.concatenate(losses), np.concatenate(places)
+            sums = np.bincount(at, weights=np.where(np.isnan(loss), 0.0, loss), minlength=len(names))  # a NULL counts as a row only
+            counts, lasts = np.bincount(at, minlength=len(names)), np.full(len(names), np.iinfo(np.int64).min)
+            np.maximum.at(lasts, at, place)
             # A step with all its micro-steps in this batch has none in the state.
-            closed = [(int(g), loss, int(last)) for g, loss, _, last in full.itertuples()]
-            for group, loss, n, last in sums[sums["n"] < accumulation].itertuples():
-                group = int(group)
-                if self.open.containsKey((group,)):
-                    kept = self.open.getValue((group,))
-                    loss, n, last = loss + kept[0], n + kept[1], max(last, kept[2])
+            full = counts >= accumulation
+            closed = list(zip(names[full].tolist(), sums[full].tolist(), lasts[full].tolist(), strict=True))
+            kept = self.open.get()
+            waiting = {g: (x, n, last) for g, x, n, last in zip(*kept, strict=True)} if kept else {}
+            for group, x, n, last in zip(*(v[~full].tolist() for v in (names, sums, counts, lasts)), strict=True):
+                if group in waiting:
+                    before = waiting.pop(group)
+                    x, n, last = x + before[0], n + before[1], max(last, before[2])
                 if n >= accumulation:
-                    closed.append((group, loss, int(last)))
-                    self.open.removeKey((group,))
+                    closed.append((group, x, last))
                 else:
-                    self.open.updateValue((group,), (float(loss), int(n), int(last)))
-            out = pd.DataFrame(closed, columns=["completed_steps", "loss", "small_step"])
-            out["loss"] = out["loss"].astype("float64") / accumulation
-            out.insert(0, "run", key[0])
-            yield out
+                    waiting[group] = (x, n, last)
+            if waiting:
+                self.open.update((list(waiting), *(list(v) for v in zip(*waiting.values(), strict=True))))
+            elif kept:
+                self.open.clear()
+            if closed:
+                steps, total, last = zip(*closed, strict=True)
+                yield pd.DataFrame({"run": [key[0]] * len(steps), "completed_steps": steps, "loss": np.array(total) / accumulation, "small_step": last})
 
         def close(self) -> None:
             pass

@@ -91,3 +91,35 @@ def test_nearest_centre_is_compiled_and_the_first_of_equals(spark):
     assert "lambda" not in plan_of(near)
     for r in near.collect():
         assert r["i"] == int(np.argmin([(r["p"][0] - c[0]) ** 2 + (r["p"][1] - c[1]) ** 2 for c in r["c"]]))
+
+
+class _Value:
+    def __init__(self):
+        self.kept, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.kept
+
+    def update(self, value):
+        self.calls += 1
+        self.kept = value
+
+    def clear(self):
+        self.calls += 1
+        self.kept = None
+
+
+def test_a_call_of_the_rollup_reads_and_writes_state_once():
+    state = _Value()
+    handle = type("Handle", (), {"getValueState": lambda self, *a: state})()
+    rollup = log._loss_rollup(4)
+    rollup.init(handle)
+
+    def call(steps):
+        rows = pd.DataFrame({"small_step": steps, "loss": [float(s) if s != 6 else None for s in steps], "completed_steps": [(s - 1) // 4 for s in steps]})
+        return [tuple(r) for out in rollup.handleInputRows((1, 0), iter([rows]), None) for r in out.itertuples(index=False)]
+
+    assert call([1, 2, 3, 4, 5, 9, 13]) == [(1, 0, 2.5, 4)] and state.calls == 2
+    assert call([6, 7, 8, 10]) == [(1, 1, 5.0, 8)] and state.calls == 4
+    assert sorted(call([11, 12, 14, 15, 16])) == [(1, 2, 10.5, 12), (1, 3, 14.5, 16)] and state.kept is None
