@@ -65,7 +65,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for _, data, bounds in textbytes.chunks(batch.column(0)):
                 found = textbytes.find_words(data, bounds).hash
                 if len(found):
-                    held.append(_merged(found, np.ones(len(found))))
+                    held.append(np.unique(found, return_counts=True))
                     size += len(held[-1][0])
                 if size > 1 << 21:
                     held[:] = [_merged(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))]
@@ -122,17 +122,22 @@ def vocabulary(docs: DataFrame, text_col: str = "text", settings: Settings = Set
     return Vocabulary(hashes[order], order + 1, settings.words, rest.where("n > 1"), n_rest)
 
 
+def _padded(words: textbytes.Words, vocab: Vocabulary, side: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, places of the words in them): ``side`` ids ``vocab.size`` stand before, between and after the documents."""
+    to = np.arange(len(words.hash)) + (np.repeat(np.arange(len(words.counts)), words.counts) + 1) * side
+    ids = np.full(len(words.hash) + (len(words.counts) + 1) * side, vocab.size, dtype=kind)
+    ids[to] = vocab.lookup(words.hash)
+    return ids, to
+
+
+def _around(ids: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
+    return np.stack([ids[at + k] for k in (*range(-side, 0), *range(1, side + 1))], axis=1)
+
+
 def contexts(words: textbytes.Words, vocab: Vocabulary, at: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
     """(targets, contexts) of the words at some places; beyond the document's ends stands ``vocab.size``."""
-    ids = vocab.lookup(words.hash)
-    doc = np.searchsorted(words.first, at, side="right") - 1
-    low, high = words.first[doc], words.first[doc + 1]
-    around = []
-    for step in (*range(-side, 0), *range(1, side + 1)):
-        place = at + step
-        inside = (place >= low) & (place < high)
-        around.append(np.where(inside, ids[np.clip(place, 0, max(len(ids) - 1, 0))], vocab.size))
-    return ids[at], np.stack(around, axis=1)
+    ids, to = _padded(words, vocab, side, np.int64)
+    return ids[to[at]], _around(ids, to[at], side)
 
 
 class Network:
@@ -162,73 +167,174 @@ class Network:
             at += part.size
         return self
 
-    def _hidden(self, around: np.ndarray) -> np.ndarray:
-        p = self.parts
-        x = np.zeros((len(around), self.s.width), dtype=np.float32)
-        for k in range(around.shape[1]):
-            x += p["embed"][around[:, k]] * p["place"][k]
-        return np.tanh(x + p["hidden"])
-
     def log_probs(self, targets: np.ndarray, around: np.ndarray) -> np.ndarray:
         """log P(class | context) + log P(word | class, context)."""
-        p, h = self.parts, self._hidden(around)
-        group, word = np.divmod(targets, self.s.per_class)
+        p, s = self.parts, self.s
+        placed = [p["embed"] * place for place in p["place"]]
+        group, word = np.divmod(targets, s.per_class)
+        order = np.argsort(group.astype(np.int16), kind="stable")  # 16 bits are sorted in linear time
         out = np.empty(len(targets))
-        for at in range(0, len(targets), 8192):
-            x = h[at : at + 8192] @ p["group"].T + p["group_bias"]
-            out[at : at + 8192] = _picked(x, group[at : at + 8192])
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.s.classes + 1))
-        for c in range(self.s.classes):
-            for at in range(ends[c], ends[c + 1], 8192):
-                rows = order[at : min(at + 8192, ends[c + 1])]
-                out[rows] += _picked(h[rows] @ p["out"][c].T + p["out_bias"][c], word[rows])
+        for at in range(0, len(order), s.batch):
+            rows = order[at : at + s.batch]
+            x = p["hidden"] + sum(np.take(e, around[rows, k], axis=0) for k, e in enumerate(placed))
+            h = _tanh(x)
+            logs = _picked(h @ p["group"].T + p["group_bias"], group[rows])
+            ends = [0, *np.flatnonzero(np.diff(group[rows])) + 1, len(rows)]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                c = group[rows[a]]
+                logs[a:b] += _picked(h[a:b] @ p["out"][c].T + p["out_bias"][c], word[rows[a:b]])
+            out[rows] = logs
         return out
 
     def train(self, targets: np.ndarray, around: np.ndarray, rng: np.random.Generator) -> None:
         """One pass of Adagrad steps over the positions in random order."""
-        seen = {k: np.full_like(v, 1e-2) for k, v in self.parts.items()}
+        steps = _Steps(self)
+        group = (targets // self.s.per_class).astype(np.int16)
         order = rng.permutation(len(targets))
         for at in range(0, len(order), self.s.batch):
             rows = order[at : at + self.s.batch]
-            for name, grad in self._gradients(targets[rows], around[rows]).items():
-                seen[name] += grad * grad
-                self.parts[name] -= self.s.rate * grad / np.sqrt(seen[name])
+            counts = np.bincount(group[rows], minlength=self.s.classes)
+            classes = np.argsort(-counts, kind="stable")
+            rank = np.empty(self.s.classes, dtype=np.int16)
+            rank[classes] = np.arange(self.s.classes)
+            rows = rows[np.argsort(rank[group[rows]], kind="stable")]
+            steps.step(targets[rows], np.take(around, rows, axis=0), classes, counts[classes])
+        steps.write()
 
-    def _gradients(self, targets: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
-        p, s, n = self.parts, self.s, len(targets)
-        h = self._hidden(around)
-        group, word = np.divmod(targets, s.per_class)
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        err = _softmax(h @ p["group"].T + p["group_bias"])
-        err[np.arange(n), group] -= 1
-        grad["group"], grad["group_bias"] = err.T @ h, err.sum(axis=0)
-        to_h = err @ p["group"]
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(s.classes + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[c] : ends[c + 1]]
-            err = _softmax(h[rows] @ p["out"][c].T + p["out_bias"][c])
-            err[np.arange(len(rows)), word[rows]] -= 1
-            grad["out"][c], grad["out_bias"][c] = err.T @ h[rows], err.sum(axis=0)
-            to_h[rows] += err @ p["out"][c]
-        to_x = to_h * (1 - h * h)
-        grad["hidden"] = to_x.sum(axis=0)
-        for k in range(around.shape[1]):
-            own = p["embed"][around[:, k]]
-            grad["place"][k] = (to_x * own).sum(axis=0)
-            np.add.at(grad["embed"], around[:, k], to_x * p["place"][k])
-        return {k: v / np.sqrt(n) for k, v in grad.items()}
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+
+_TILE = 8
+
+
+class _Steps:
+    """Adagrad steps of a network. Its parts lie in one array, biases as a last column; so do gradients.
+
+    A step takes the same sums as the formulas over single positions. Positions come ordered by their class, most
+    frequent classes first: a class of more than ``_TILE`` positions is a product of its own, the others,
+    filled up with rows of zeros, are products in one call.
+    """
+
+    def __init__(self, network: Network):
+        self.network, self.s = network, network.s
+        s, w = self.s, self.s.width
+        shapes = [(s.words + 1, w), (s.classes, w + 1), (s.classes, s.per_class, w + 1), (2 * s.side, w), (w,)]
+        ends = np.cumsum([0, *(int(np.prod(shape)) for shape in shapes)])
+        parts = lambda flat: [flat[a : a + np.prod(x)].reshape(x) for a, x in zip(ends[:-1], shapes, strict=True)]
+        self.values, self.grads, self.room = (np.zeros(ends[-1], dtype=np.float32) for _ in range(3))
+        self.seen = np.full(ends[-1], 1e-2, dtype=np.float32)
+        self.embed, self.group, self.out, self.place, self.hidden = parts(self.values)
+        self.d_embed, self.d_group, self.d_out, self.d_place, self.d_hidden = parts(self.grads)
+        for name, part in self._parts().items():
+            part[...] = network.parts[name]
+        # sums by context word: two numbers at a time, as one complex
+        self.pair = np.complex64 if w % 2 == 0 else np.float32
+        per = w * 4 // np.dtype(self.pair).itemsize
+        self.cells = np.arange((s.words + 1) * per).reshape(s.words + 1, per)
+        self.ones = np.ones(s.batch, dtype=np.float32)
+        self.logits, self.errors = (
+            np.empty((s.batch + s.classes * _TILE) * max(s.classes, s.per_class), dtype=np.float32) for _ in range(2)
+        )
+
+    def _parts(self) -> dict[str, np.ndarray]:
+        w = self.s.width
+        return {
+            "embed": self.embed, "place": self.place, "hidden": self.hidden,
+            "out": self.out[:, :, :w], "out_bias": self.out[:, :, w],
+            "group": self.group[:, :w], "group_bias": self.group[:, w],
+        }
+
+    def write(self) -> None:
+        self.network.parts |= {name: part.copy() for name, part in self._parts().items()}
+
+    def _less_one(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Softmax of the rows of x, less one at the targets."""
+        out = self.errors[: x.size].reshape(x.shape)
+        with np.errstate(over="ignore"):
+            sums = np.exp(x, out=out) @ np.ones(x.shape[1], dtype=np.float32)
+        if not (sums.min() > 1e-30 and sums.max() < 1e30):
+            np.exp(x - x.max(axis=1, keepdims=True), out=out)
+            sums = out.sum(axis=1)
+        out *= (1 / sums)[:, None]
+        out.reshape(-1)[at] -= 1
+        return out
+
+    def step(self, targets: np.ndarray, around: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> None:
+        s, w, n = self.s, self.s.width, len(targets)
+        group, word = np.divmod(targets.astype(np.int64), s.per_class)
+        around = around.T.astype(np.int64, order="C")
+        own = np.take(self.embed, around, axis=0)
+        x = own[0] * self.place[0]
+        for k in range(1, len(own)):
+            x += own[k] * self.place[k]
+        x += self.hidden
+        h = np.ones((n, w + 1), dtype=np.float32)
+        h[:, :w] = x = _tanh(x)
+        scaled = h * np.float32(1 / np.sqrt(n))
+
+        logits = np.matmul(h, self.group.T, out=self.logits[: n * s.classes].reshape(n, s.classes))
+        err = self._less_one(logits, np.arange(n) * s.classes + group)
+        np.matmul(err.T, scaled, out=self.d_group)
+        to_h = err @ self.group[:, :w]
+
+        big, few = int((counts > _TILE).sum()), int(((counts > 0) & (counts <= _TILE)).sum())
+        ends = np.cumsum(counts)
+        first = ends - counts
+        many = int(ends[big - 1]) if big else 0
+        runs = list(zip(classes[:big].tolist(), first[:big].tolist(), ends[:big].tolist(), strict=True))
+        small = slice(big, big + few)
+        slots = np.arange(n)
+        slots[many:] += np.repeat(many + np.arange(few) * _TILE - first[small], counts[small])
+        logits = self.logits[: (many + few * _TILE) * s.per_class].reshape(-1, s.per_class)
+        for c, a, b in runs:
+            np.matmul(h[a:b], self.out[c].T, out=logits[a:b])
+        weights = np.take(self.out, classes[small], axis=0)
+        tiles = np.zeros((few * _TILE, w + 1), dtype=np.float32)
+        tiles[slots[many:] - many] = h[many:]
+        tiles = tiles.reshape(few, _TILE, w + 1)
+        np.matmul(tiles, weights.transpose(0, 2, 1), out=logits[many:].reshape(few, _TILE, s.per_class))
+        err = self._less_one(logits, slots * s.per_class + word)
+        self.d_out[classes[big + few :]] = 0
+        for c, a, b in runs:
+            np.matmul(err[a:b].T, scaled[a:b], out=self.d_out[c])
+            to_h[a:b] += err[a:b] @ self.out[c, :, :w]
+        err = err[many:].reshape(few, _TILE, s.per_class)
+        to_h[many:] += np.matmul(err, weights[:, :, :w]).reshape(-1, w)[slots[many:] - many]
+        tiles *= np.float32(1 / np.sqrt(n))
+        self.d_out[classes[small]] = np.matmul(err.transpose(0, 2, 1), tiles)
+
+        to_h *= (1 - x * x) * np.float32(1 / np.sqrt(n))
+        ones = self.ones[:n]
+        np.matmul(ones, to_h, out=self.d_hidden)
+        self.d_embed[...] = 0
+        sums = self.d_embed.reshape(-1).view(self.pair)
+        for k in range(len(own)):
+            np.matmul(ones, own[k] * to_h, out=self.d_place[k])
+            cells = np.take(self.cells, around[k], axis=0).reshape(-1)
+            np.add.at(sums, cells, (to_h * self.place[k]).reshape(-1).view(self.pair))
+        self._adagrad()
+
+    def _adagrad(self) -> None:
+        self.seen += np.multiply(self.grads, self.grads, out=self.room)
+        np.sqrt(self.seen, out=self.room)
+        np.divide(self.grads, self.room, out=self.room)
+        self.room *= self.s.rate
+        self.values -= self.room
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """1 - 2 / (exp(2x) + 1), which takes less time than numpy's own."""
+    y = np.exp(np.minimum(x, 40) * 2) + 1
+    return 1 - 2 / y
 
 
 def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return x[np.arange(len(at)), at] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+    """log softmax of each row at one place."""
+    value = x[np.arange(len(at)), at]
+    with np.errstate(over="ignore"):
+        sums = np.exp(x) @ np.ones(x.shape[1], dtype=x.dtype)
+    if not (sums.min() > 1e-30 and sums.max() < 1e30):
+        top = x.max(axis=1)
+        return value - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+    return value - np.log(sums)
 
 
 def training_positions(docs: DataFrame, vocab: Vocabulary, text_col: str, s: Settings) -> DataFrame:
@@ -247,10 +353,7 @@ def training_positions(docs: DataFrame, vocab: Vocabulary, text_col: str, s: Set
                 words = textbytes.find_words(data, bounds)
                 if not len(words.hash):
                     continue
-                owner = np.repeat(np.arange(len(words.counts)), words.counts)
-                to = np.arange(len(words.hash)) + (owner + 1) * s.side
-                ids = np.full(len(words.hash) + (len(words.counts) + 1) * s.side, shared.value.size, dtype=np.int16)
-                ids[to] = shared.value.lookup(words.hash)
+                ids, to = _padded(words, shared.value, s.side, np.int16)
                 chosen = np.zeros(len(ids), dtype=bool)
                 doc = np.repeat(words.hash[np.minimum(words.first[:-1], len(words.hash) - 1)], words.counts)
                 place = np.arange(len(words.hash), dtype=np.uint64) - np.repeat(words.first[:-1], words.counts).astype(np.uint64)
@@ -266,10 +369,10 @@ def _positions(blocks: list[tuple[bytes, bytes]], s: Settings) -> tuple[np.ndarr
     """(targets, contexts) of the chosen positions of some blocks."""
     targets, around = [], []
     for raw, bits in blocks:
-        ids = np.frombuffer(raw, dtype=np.int16).astype(np.int64)
+        ids = np.frombuffer(raw, dtype=np.int16)
         at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(ids)))
         targets.append(ids[at])
-        around.append(np.stack([ids[at + k] for k in (*range(-s.side, 0), *range(1, s.side + 1))], axis=1))
+        around.append(_around(ids, at, s.side))
     return np.concatenate(targets), np.concatenate(around)
 
 

@@ -1,6 +1,7 @@
 """Toxicity, line quality and pseudo-likelihood: held-out accuracy and odd inputs."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -180,3 +181,99 @@ def test_probabilities_add_up_to_one():
     around = np.array([[1, 2, 3, 64]])
     logs = network.log_probs(np.arange(LM.words), np.repeat(around, LM.words, axis=0))
     assert np.exp(logs).sum() == pytest.approx(1.0, abs=1e-4)
+
+
+def plain_pass(network, targets, around, rng):
+    """Network.train as its formulas read: a class at a time, every gradient as an array of its own."""
+    p, s = network.parts, network.s
+
+    def softmax(x):
+        x = np.exp(x - x.max(axis=1, keepdims=True))
+        return x / x.sum(axis=1, keepdims=True)
+
+    seen = {k: np.full_like(v, 1e-2) for k, v in p.items()}
+    order = rng.permutation(len(targets))
+    for at in range(0, len(order), s.batch):
+        rows = order[at : at + s.batch]
+        n, ctx = len(rows), around[rows]
+        group, word = np.divmod(targets[rows], s.per_class)
+        h = np.tanh(sum(p["embed"][ctx[:, k]] * p["place"][k] for k in range(ctx.shape[1])) + p["hidden"])
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        err = softmax(h @ p["group"].T + p["group_bias"])
+        err[np.arange(n), group] -= 1
+        grad["group"], grad["group_bias"], to_h = err.T @ h, err.sum(axis=0), err @ p["group"]
+        for c in np.unique(group):
+            own = np.flatnonzero(group == c)
+            err = softmax(h[own] @ p["out"][c].T + p["out_bias"][c])
+            err[np.arange(len(own)), word[own]] -= 1
+            grad["out"][c], grad["out_bias"][c] = err.T @ h[own], err.sum(axis=0)
+            to_h[own] += err @ p["out"][c]
+        to_x = to_h * (1 - h * h)
+        grad["hidden"] = to_x.sum(axis=0)
+        for k in range(ctx.shape[1]):
+            grad["place"][k] = (to_x * p["embed"][ctx[:, k]]).sum(axis=0)
+            np.add.at(grad["embed"], ctx[:, k], to_x * p["place"][k])
+        for k, g in grad.items():
+            g = g / np.sqrt(n)
+            seen[k] += g * g
+            p[k] -= s.rate * g / np.sqrt(seen[k])
+
+
+def positions(s, n):
+    """Uneven as words are: some classes have most positions of a batch, some a few, some none."""
+    rng = np.random.default_rng(5)
+    draw = lambda *shape: np.minimum(rng.zipf(1.3, shape) - 1, s.words - 1)
+    around = draw(n, 2 * s.side)
+    around[rng.random(around.shape) < 0.05] = s.words
+    return draw(n), around
+
+
+def test_a_pass_takes_the_steps_of_the_formulas():
+    for s in (masked_lm.Settings(), masked_lm.Settings(classes=5, per_class=7, width=3, side=1, batch=50)):
+        for n in (3 * s.batch, 2 * s.batch + 3, 1):
+            targets, around = positions(s, n)
+            want, got = masked_lm.Network(s), masked_lm.Network(s)
+            for network in (want, got):
+                network.parts["out_bias"] += 200  # beyond what float32 can raise e to
+                network.parts["group_bias"][0] -= 300
+            plain_pass(want, targets, around, np.random.default_rng(2))
+            got.train(targets, around, np.random.default_rng(2))
+            for name, part in want.parts.items():
+                assert got.parts[name] == pytest.approx(part, abs=2e-4), name
+    logs = got.log_probs(np.arange(s.words), np.repeat(around, s.words, axis=0))
+    assert np.exp(logs).sum() == pytest.approx(1.0, abs=1e-3)
+
+
+def test_a_pass_is_much_faster_than_a_class_at_a_time():
+    s = masked_lm.Settings()
+    targets, around = positions(s, 8 * s.batch)
+
+    def seconds(run):
+        took = []
+        for _ in range(4):
+            start = time.perf_counter()
+            run(masked_lm.Network(s), targets, around, np.random.default_rng(2))
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert seconds(masked_lm.Network.train) < seconds(plain_pass) / 1.6
+
+
+def test_score_of_a_document_word_by_word(documents):
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(i % 9))) for i in range(40)]
+    docs = documents(rows)
+    vocab = masked_lm.vocabulary(docs, settings=LM)
+    network = masked_lm.train(docs, vocab, settings=LM)
+    got = {r["doc_id"]: r["log_prob"] for r in masked_lm.score(docs, vocab, network).collect()}
+    p, s = {k: v.astype(float) for k, v in network.parts.items()}, LM
+    log_softmax = lambda x: x - np.log(np.exp(x).sum())
+    for doc, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids = [s.words] * s.side + vocab.lookup(textbytes.find_words(data, np.array([0, len(data)])).hash).tolist() + [s.words] * s.side
+        total = 0.0
+        for at in range(s.side, len(ids) - s.side):
+            near = ids[at - s.side : at] + ids[at + 1 : at + s.side + 1]
+            h = np.tanh(sum(p["embed"][w] * p["place"][k] for k, w in enumerate(near)) + p["hidden"])
+            c, w = divmod(ids[at], s.per_class)
+            total += log_softmax(p["group"] @ h + p["group_bias"])[c] + log_softmax(p["out"][c] @ h + p["out_bias"][c])[w]
+        assert got[doc] == pytest.approx(total, abs=1e-3)
