@@ -39,7 +39,7 @@ class NearDuplicateOptions:
     seed: int = 1
     leader_rounds: int = 4  # at most
     small_bucket: int = 64  # sets of a bucket that is not split further
-    splits: int = 3
+    splits: int = 3  # classes of sizes, in larger buckets, to a step of the threshold
 
 
 @dataclass(frozen=True)

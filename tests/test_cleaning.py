@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,43 @@ def test_recall_of_sketches_against_all_pairs(spark):
     assert sum(groups[2 * i] == groups[2 * i + 1] for i in range(400)) == len(found)
 
 
+@pytest.mark.parametrize("splits", [0, 2])
+def test_unlike_sets_of_a_bucket_do_not_meet_their_sequences(spark, monkeypatch, splits):
+    """Texts that share a passage share buckets; only pairs that can be alike are compared letter by letter."""
+    rnd, options = random.Random(5), NearDuplicateOptions(k=11, leader_rounds=0, small_bucket=8, splits=splits)
+    passage = strand(rnd, 300)
+    texts = [passage + strand(rnd, rnd.randint(200, 400)) for _ in range(120)]
+    texts += [edited(rnd, x, 2) for x in texts[:20]] + [x[:3] + x for x in texts[20:30]]
+    rows, met, verify = list(enumerate(texts)), [], dedup.verified_pairs
+
+    def counted(pairs, *rest):
+        met.append(pairs.distinct().count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(dedup, "verified_pairs", counted)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # sets of a bucket come in several batches
+    try:
+        got = Counter(map(tuple, dedup.near_duplicates(spark.createDataFrame(rows, "seq_id bigint, sequence string"), options=options).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want, links = brute_groups(rows, options)
+    assert got == Counter(want) and 20 < sum(met) < 2 * links
+
+
+def test_profiles_rule_out_no_pair_that_is_alike(spark):
+    rnd, options = random.Random(6), NearDuplicateOptions(k=11)
+    texts = [strand(rnd, n) for n in (11, 12, 15, 20, 40, 90, 300, 900, 3000, 20_000) for _ in range(6)]
+    texts += [edited(rnd, x, len(x) // 150) for x in texts] + [x + strand(rnd, len(x) // 8) for x in texts] + [x + strand(rnd, 2 * len(x)) for x in texts]
+    rows = {r["key"]: r for r in dedup.sketches(spark.createDataFrame(list(enumerate(texts)), "i bigint, t string"), "i", "t", options).collect()}
+    alike, sets = dedup._alike(options), [kmers(t, 11) for t in texts]
+    part = lambda i: (np.array([rows[i]["n"]]), np.array([rows[i]["profile"]], dtype=np.int64).view(np.uint64))
+    true = [(i, j) for i in range(60) for j in (i + 60, i + 120) if len(sets[i] & sets[j]) >= options.threshold * len(sets[i] | sets[j])]
+    assert all(rows[i]["n"] == len(x) and len(rows[i]["bands"]) == options.bands for i, x in enumerate(sets))
+    assert len(true) > 50 and all(alike(*part(i), *part(j))[0] for i, j in true)
+    assert not any(alike(*part(i), *part(j))[0] for i in range(30, 60) for j in [i + 180, *range(60)] if i // 6 != j // 6 or i != j and j < 60)
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "seq_id bigint, sequence string")
     assert dedup.near_duplicates(empty).count() == 0 and dedup.drop_near_duplicates(empty).count() == 0
